@@ -134,8 +134,8 @@ item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDE
 win AS (SELECT item_id, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i, w FROM item WHERE len(w) > 0),
 grams AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM win),
 sizes AS (SELECT DISTINCT k FROM grams),
-at AS (SELECT id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM fold, sizes WHERE len(w) >= k),
-met AS (SELECT a.id, a.i, a.k, g.item_id FROM (SELECT id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM at) a JOIN grams g ON a.k = g.k AND a.g = g.g),
+place AS (SELECT id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM fold, sizes WHERE len(w) >= k),
+met AS (SELECT a.id, a.i, a.k, g.item_id FROM (SELECT id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM place) a JOIN grams g ON a.k = g.k AND a.g = g.g),
 hit AS (SELECT id, count(DISTINCT pos) AS n FROM (SELECT id, unnest(range(i, i + k)) AS pos FROM met) GROUP BY id),
 own AS (SELECT id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS s FROM met) GROUP BY id)
 SELECT fold.id AS doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,

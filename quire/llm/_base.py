@@ -11,12 +11,14 @@ Rules that hold for every operator of this subpackage
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Shared:
+    """A broadcast that carries its class along, so that workers need no import."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.raw, self.value_ = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"raw": self.raw, "value_": None}
+
+    @property
+    def value(self):
+        if self.value_ is None:
+            self.value_ = pickle.loads(self.raw.value)
+        return self.value_
+
+
 class Scratch:
     """Tables written once to the shared folder and read back, so that a lost
     executor costs a re-read and not the whole lineage."""

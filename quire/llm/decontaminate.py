@@ -109,7 +109,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: st
     kind = docs.schema[id_].dataType.simpleString()
     out = docs.select(F.col(id_).alias("id_"), F.col(text).alias("text_"))
     for grams in _blocks(benchmark, item_text, item_id, window, block):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(grams)), f"id_ {kind}, text_ string, n_words long, {FOUND}")
+        out = out.mapInArrow(_scan(_base.Shared(spark, grams)), f"id_ {kind}, text_ string, n_words long, {FOUND}")
     return out.select(F.col("id_").alias(id_), "n_words", "hits", "items")
 
 

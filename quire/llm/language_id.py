@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_
     learned from nothing, gives ``und`` and 0. Ties go to the first language in
     alphabetical order; equal texts give equal values."""
     _base.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages, fixed size
+    shared = _base.Shared(docs.sparkSession, model)  # slots x languages, fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -105,7 +105,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", id_: str = "
     Null and empty texts, and every text when there was no model to fit, score
     NEUTRAL. Equal texts score alike; other columns are not read."""
     _base.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    shared = _base.Shared(docs.sparkSession, model)  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -94,7 +94,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id
     keep = [id_] if keep is None else keep
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("text_"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one file of fixed size
+    shared = _base.Shared(docs.sparkSession, model)  # one file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(shared.value)
@@ -117,7 +117,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", id_: str = "doc_id") -> DataFrame:
     """``decoded string`` for each row's ids, by the library's decode; null ids give the empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = _base.Shared(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = ChunkTable(shared.value).sp

@@ -1 +1,357 @@
-"""To come."""
+"""Removal of repeated byte strings, by partitioned suffixes.
+
+A suffix array of every byte would hold the corpus many times over. Only
+suffixes that start at *anchors* are partitioned: in each string of LENGTH bytes
+the LEAD-byte substring of least hash (the leftmost of equals) is its anchor, so
+equal strings have equal anchors at equal places, and about one byte in 35
+starts an anchor. Suffixes are dealt by their leading LEAD bytes (the anchor's
+hash), those of one bucket are compared with their left and right context, and
+every string of LENGTH bytes is found at exactly one anchor.
+
+1. Anchor hashes alone are counted; those met twice make a filter of fixed size.
+2. A second scan emits the anchors that pass it, with LENGTH - LEAD bytes of
+   context on each side. Occurrences with equal context inside one task are
+   combined: all but the first are repeats as a whole and go no further, so a
+   passage copied a million times reaches its bucket once a task.
+3. A bucket's suffixes are sorted by document and place; every string through
+   the anchor is a repeat unless it is the first with its bytes. Buckets of more
+   than HOT_ROWS suffixes with different contexts are dealt again by the hash of
+   the whole string, as a grouped minimum, which splits any one anchor.
+4. Repeated ranges go back to their documents, where they are merged.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _base
+
+LENGTH, LEAD = 100, 32
+#: Suffixes of one bucket that are compared in one task.
+HOT_ROWS = 50_000
+#: Suffixes that are compared in one numpy pass.
+PASS_ROWS = 8_192
+LEAST_ID = -(2**63)
+
+
+def lead_hashes(raw: np.ndarray, lead: int = LEAD) -> np.ndarray:
+    """64-bit hash of the lead bytes from each byte on (lead a power of two)."""
+    with np.errstate(over="ignore"):
+        h, step, factor = _base.byte_values()[raw], 1, np.uint64(_base.MIX_A)
+        while step < lead:
+            h = h[:-step] * factor + h[step:]
+            factor, step = factor * factor, step * 2
+        return _base.mix(h)
+
+
+def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places of the anchors of all strings inside one document each, and
+    the hashes of their leading bytes."""
+    n = len(raw)
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = lead_hashes(raw, lead)
+    v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    width, step = length - lead + 1, 1
+    while step * 2 <= width:
+        v = np.minimum(v[:-step], v[step:])
+        step *= 2
+    if step < width:
+        v = np.minimum(v[: len(v) - (width - step)], v[width - step :])
+    ok = np.zeros(n - length + 2, np.int32)  # starts whose string ends in the same document
+    last = offs[1:] - length
+    some = last >= offs[:-1]
+    np.add.at(ok, offs[:-1][some], 1)
+    np.add.at(ok, last[some] + 1, -1)
+    at = (v[np.cumsum(ok[:-1]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.unique(at)
+    return at, h[at]
+
+
+def windows(left: list[bytes], right: list[bytes], length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes with their left context and (lead and) right context: a hash of
+    each string of length bytes through the anchor, by how far it reaches to the
+    left, and whether the contexts are long enough for it."""
+    reach = length - lead
+    row = np.zeros((len(left), 2 * reach), np.uint8)
+    have_l, have_r = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    for i, (a, b) in enumerate(zip(left, right)):
+        have_l[i], have_r[i] = len(a), len(b)
+        if a:
+            row[i, reach - len(a) : reach] = np.frombuffer(a, np.uint8)
+        if b:
+            row[i, reach : reach + len(b)] = np.frombuffer(b, np.uint8)
+    with np.errstate(over="ignore"):
+        power = _base.powers(_base.MIX_A, 2 * reach)
+        sums = np.zeros((len(left), 2 * reach + 1), np.uint64)
+        np.cumsum(_base.byte_values()[row] * power, axis=1, out=sums[:, 1:])
+        far = np.arange(reach + 1)  # bytes to the left; reach - far to the right
+        start, end = reach - far, 2 * reach - far
+        # aligned to the same power, so that equal strings have equal sums
+        h = (sums[:, end] - sums[:, start]) * power[far + reach - 1]
+        h = _base.mix(h + far.astype(np.uint64) * np.uint64(_base.MIX_C))
+    ok = (far[None, :] <= have_l[:, None]) & (reach - far[None, :] <= have_r[:, None])
+    return h, ok
+
+
+def later(group: np.ndarray, order: np.ndarray, h: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Which strings are not the first with their bytes in their group: order
+    ranks the suffixes by document and place, equal ranks are one place."""
+    flat = np.flatnonzero(ok.ravel())
+    row = flat // h.shape[1]
+    with np.errstate(over="ignore"):
+        key = h.ravel()[flat] ^ _base.mix(group[row].astype(np.uint64) + np.uint64(_base.MIX_A))
+    by = np.argsort(key, kind="stable")
+    k = key[by]
+    first = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    run = np.cumsum(first) - 1
+    rank = order[row[by]]
+    least = np.minimum.reduceat(rank, np.flatnonzero(first)) if len(k) else rank
+    out = np.zeros(ok.size, bool)
+    out[flat[by]] = rank > least[run] if len(k) else False
+    return out.reshape(ok.shape)
+
+
+def ranges(at: np.ndarray, late: np.ndarray, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the bytes that late strings cover; neighbouring reaches merge."""
+    step = np.diff(np.pad(late.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, lo = np.nonzero(step == 1)
+    hi = np.nonzero(step == -1)[1] - 1
+    return row, at[row] - hi, at[row] - lo + length
+
+
+class Merged:
+    """Ranges of documents, gathered as (doc, row) -> packed starts and ends."""
+
+    def __init__(self):
+        self.rows: dict[tuple[int, int], list[int]] = {}
+
+    def add(self, doc, row, start, end) -> None:
+        for d, r, a, b in zip(doc, row, start, end):
+            self.rows.setdefault((int(d), int(r)), []).extend((int(a), int(b)))
+
+
+def scan_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, raw, offs in _base.passes(batch, 2):
+            _, h = anchors(raw, offs)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["key"])
+
+
+PARTS = "kind int, h long, doc long, row long, at long, left binary, right binary"
+NAMES = [x.split()[0] for x in PARTS.split(", ")]
+REACH = LENGTH - LEAD
+
+
+def emit(kind: int, h, doc, row, at, left, right) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], NAMES)
+
+
+def ranged(doc, row, start, end) -> pa.RecordBatch | None:
+    """Kind 1: for each document of a pass, its ranges as packed 64-bit pairs in left."""
+    if not len(doc):
+        return None
+    found = Merged()
+    found.add(doc, row, start, end)
+    keys = list(found.rows)
+    zero = np.zeros(len(keys), np.int64)
+    return emit(1, zero, [k[0] for k in keys], [k[1] for k in keys], zero, [np.array(found.rows[k], np.int64).tobytes() for k in keys], [None] * len(keys))
+
+
+def scan_suffixes(shared, seen_bound: int = 2_000_000):
+    """Kind 0: suffixes for the buckets. Kind 1: ranges known to repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # first (doc, row, place) of each suffix with whole context seen in this task
+        seen: dict[int, tuple[int, int, int]] = {}
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 2):
+                at, h = anchors(raw, offs)
+                pick = shared.value.has(h)
+                at, h = at[pick], h[pick]
+                if not len(at):
+                    continue
+                if len(seen) > seen_bound:
+                    seen.clear()
+                doc, row = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                own = np.searchsorted(offs, at, "right") - 1
+                a, b = np.maximum(at - REACH, offs[own]), np.minimum(at + LEAD + REACH, offs[own + 1])
+                # a hash of all the bytes from a to b tells equal contexts apart
+                whole = (at - a == REACH) & (b - at == LEAD + REACH)
+                with np.errstate(over="ignore"):
+                    x = lead_hashes(raw, 128) if len(raw) >= 128 else np.zeros(0, np.uint64)
+                    key = np.zeros(len(at), np.uint64)
+                    w = np.flatnonzero(whole)
+                    key[w] = _base.mix(x[a[w]] * np.uint64(_base.MIX_B) + x[b[w] - 128])
+                keep = np.ones(len(at), bool)
+                known, place, d_, r_ = key.tolist(), (at - offs[own]).tolist(), doc[own].tolist(), row[own].tolist()
+                for i in w.tolist():
+                    mine = (d_[i], r_[i], place[i])
+                    first = seen.get(known[i])
+                    if first is None or mine <= first:
+                        seen[known[i]] = mine  # an earlier one is sent too; its bucket sorts it out
+                    else:
+                        keep[i] = False
+                gone = np.flatnonzero(~keep)
+                start = at[gone] - offs[own[gone]] - REACH
+                made = ranged(doc[own[gone]], row[own[gone]], start, start + LEAD + 2 * REACH)
+                if made:
+                    yield made
+                k = np.flatnonzero(keep)
+                blob = raw.tobytes()
+                yield emit(0, h[k].view(np.int64), doc[own[k]], row[own[k]], (at - offs[own])[k], [blob[p:q] for p, q in zip(a[k], at[k])], [blob[p:q] for p, q in zip(at[k] + LEAD, b[k])])
+
+    return run
+
+
+def compare(hot_rows: int):
+    """Buckets in order of (h, doc, row, at). Kind 1: ranges. Kind 2: strings of a
+    hot bucket, one row each, the string's hash in h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        hot: int | None = None
+
+        def settle(rows: pa.Table, as_hot: bool) -> Iterator[pa.RecordBatch]:
+            h, doc, row, at = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+            left, right = rows.column(5).to_pylist(), rows.column(6).to_pylist()
+            new = np.r_[True, h[1:] != h[:-1]]
+            if not as_hot:
+                size = np.diff(np.r_[np.flatnonzero(new), len(h)])
+                pick = np.flatnonzero(np.repeat(size, size) > 1)
+                h, doc, row, at, left, right = h[pick], doc[pick], row[pick], at[pick], [left[i] for i in pick], [right[i] for i in pick]
+                if not len(h):
+                    return
+                new = np.r_[True, h[1:] != h[:-1]]
+            moved = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | new[1:]]
+            code, ok = windows(left, right)
+            if as_hot:
+                r, far = np.nonzero(ok)
+                with np.errstate(over="ignore"):
+                    key = code[r, far] ^ _base.mix(h[r].view(np.uint64))
+                none = [None] * len(r)
+                yield emit(2, key.view(np.int64), doc[r], row[r], at[r] - far, none, none)
+                return
+            late = later(h, np.cumsum(moved), code, ok)
+            r, start, end = ranges(at, late)
+            made = ranged(doc[r], row[r], start, end)
+            if made:
+                yield made
+
+        def whole(tables: list[pa.RecordBatch]) -> pa.Table:
+            return pa.Table.from_batches(tables).combine_chunks()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = sum(b.num_rows for b in held)
+            if rows < PASS_ROWS:
+                continue
+            every = whole(held)
+            h = every.column(1).to_numpy()
+            edge = int(np.searchsorted(h, h[-1], "left"))  # sorted: the last bucket may go on
+            if hot is not None and h[0] == hot:
+                cut = int(np.searchsorted(h, hot, "right"))
+                yield from settle(every.slice(0, cut), True)
+                every, edge = every.slice(cut), max(0, edge - cut)
+                if not every.num_rows:
+                    held = []
+                    continue
+            hot = None
+            if edge:
+                yield from settle(every.slice(0, edge), False)
+                every = every.slice(edge)
+            if every.num_rows > hot_rows:
+                hot = int(every.column(1)[0].as_py())
+                yield from settle(every, True)
+                every = every.slice(0, 0)
+            held = every.to_batches() if every.num_rows else []
+        if held:
+            every = whole(held)
+            if hot is not None:
+                cut = int(np.searchsorted(every.column(1).to_numpy(), hot, "right"))
+                if cut:
+                    yield from settle(every.slice(0, cut), True)
+                every = every.slice(cut)
+            if every.num_rows:
+                yield from settle(every, False)
+
+    return run
+
+
+def union_of(packed: list[bytes]) -> np.ndarray:
+    """Sorted disjoint ranges, as rows of start and end; ranges that touch are one."""
+    x = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    top = np.maximum.accumulate(x[:, 1])
+    new = np.r_[True, x[1:, 0] > top[:-1]]
+    return np.c_[x[new, 0], np.r_[top[np.flatnonzero(new)[1:] - 1], top[-1]]]
+
+
+@F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
+def cut(text: pd.Series, packed: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, p in zip(text, packed):
+        raw = (t or "").encode()
+        if p is None or not len(p):
+            rows.append((len(raw), 0, 0, b"", raw))
+            continue
+        u = union_of(list(p))
+        ends = [0, *u[:, 1].tolist()]
+        starts = [*u[:, 0].tolist(), len(raw)]
+        rows.append((len(raw), int((u[:, 1] - u[:, 0]).sum()), len(u), u.tobytes(), b"".join(raw[a:b] for a, b in zip(ends, starts))))
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
+
+
+def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", hot_rows: int = HOT_ROWS, filter_bits: int = 26) -> DataFrame:
+    """One row a row of docs: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
+    removed runs), ``spans`` (their starts and ends as packed 64-bit numbers) and
+    ``kept`` (the bytes left, binary: a cut may fall inside a character).
+
+    A byte goes when some string of LENGTH bytes that covers it also starts
+    earlier: in a document of smaller id, or earlier in the same one. Strings are
+    judged on the input and never cross documents. A null text is empty; a null
+    id sorts first. Rows that repeat an id and its text are one document and get
+    the same result; rows of one id with different texts are ordered by a
+    fingerprint of the text.
+    """
+    spark = docs.sparkSession
+    _base.small_batches(spark)
+    scratch = _base.Scratch(spark)
+    rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text_"))
+
+    keys = rows.mapInArrow(scan_hashes, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    keys = scratch.keep(keys, "keys")
+    shared = _base.Shared(spark, _base.key_filter(keys, keys.count(), filter_bits))
+    scratch.drop("keys")
+
+    parts = scratch.keep(rows.mapInArrow(scan_suffixes(shared), PARTS), "suffixes")
+    buckets = parts.filter("kind = 0").repartition("h").sortWithinPartitions("h", "doc", "row", "at")
+    found = scratch.keep(buckets.mapInArrow(compare(hot_rows), PARTS), "found")
+
+    strings = found.filter("kind = 2").select("h", "doc", "row", "at")
+    first = strings.groupBy("h").agg(F.min(F.struct("doc", "row", "at")).alias("first"))
+    again = strings.join(first, "h").filter(F.struct("doc", "row", "at") > F.col("first"))
+    pair = F.unhex(F.concat(*[little_endian(x) for x in (F.col("at"), F.col("at") + LENGTH)]))
+    late = parts.filter("kind = 1").select("doc", "row", F.col("left").alias("packed"))
+    late = late.unionByName(found.filter("kind = 1").select("doc", "row", F.col("left").alias("packed")))
+    late = late.unionByName(again.select("doc", "row", pair.alias("packed")))
+    by_doc = late.groupBy("doc", "row").agg(F.collect_list("packed").alias("packed"))
+
+    left = docs.select(F.col(id_).alias("id_"), F.col(text).alias("text_"), F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"))
+    out = left.join(by_doc, ["doc", "row"], "left").select("id_", cut("text_", "packed").alias("c"))
+    return out.select(F.col("id_").alias(id_), "c.n_bytes", "c.n_removed", "c.n_spans", "c.spans", "c.kept")
+
+
+def little_endian(x):
+    """The 8 bytes of a long, least first, as hex."""
+    hexed = F.lpad(F.hex(x), 16, "0")
+    return F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)])

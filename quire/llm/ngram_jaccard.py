@@ -1 +1,324 @@
-"""To come."""
+"""Exact Jaccard self-join of documents on word n-grams, as a blocked product of
+the sparse document by n-gram incidence matrix.
+
+Documents with equal n-gram sets are one *class*; only classes are multiplied.
+With classes ordered by size, a pair at the bound must share an n-gram among the
+first few of each in any common order of the n-grams (the prefix). The order
+puts n-grams met often last, so prefixes hold rare ones and a passage that many
+documents share hardly ever makes a candidate. A column of the matrix (the
+classes with one prefix n-gram) is a block of candidate products. A pair's
+overlap can be no larger than its sizes and places in the column allow, and
+pairs below the bound that their sizes set are discarded; the rest are counted
+exactly on whole sets.
+
+Columns are first multiplied along neighbours only (each class with the one
+before it of like size). Links found so merge classes into components, and later
+rounds pair only what lies in different components, first between components'
+neighbours, at last between all members that the bounds leave. A group of n near
+copies so costs about n products and not n squared, while a link between any two
+components is still found.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import _base
+from .components import components as connected
+
+WORDS, PERCENT = 5, 80
+#: Slots of the table of n-gram frequencies, one byte each.
+LEVEL_BITS = 22
+#: An n-gram counts as frequent from so many documents on; a task reports one it
+#: met LOCAL times among SPAN n-grams.
+FREQUENT, LOCAL, SPAN = 16, 3, 2_000_000
+#: Frequent columns are cut in pieces of about this many classes for the first round.
+PIECE = 1024
+
+
+def sets_of(part: pa.RecordBatch, raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct n-gram hashes of each document."""
+    words = _base.Words(raw, offs, _base.whitespace_fold())
+    h = _base.shingles(words.hash, k)
+    for d in range(len(offs) - 1):
+        a, b = words.bounds[d], words.bounds[d + 1]
+        if b - a >= k:
+            yield np.unique(h[a : b - k + 1])
+        else:
+            yield _base.shingles(words.hash[a:b], k)
+
+
+def fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+class Columns:
+    """Growing output columns of a pass."""
+
+    def __init__(self, *kinds):
+        self.kinds, self.rows = kinds, []
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        cols = list(zip(*self.rows)) or [()] * len(self.kinds)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, self.kinds)], names)
+
+
+def scan_classes(k: int):
+    """Kind 0: a document's class. Kind 1: an n-gram met often here, in class n times.
+    Documents of a class met before in this span count once."""
+    names = ["kind", "at", "n", "class"]
+
+    def often(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        out = Columns(pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        if tokens:
+            token, n = np.unique(np.concatenate(tokens), return_counts=True)
+            pick = n >= LOCAL
+            out.rows = [(1, t, c, None) for t, c in zip(token[pick].view(np.int64).tolist(), n[pick].tolist())]
+        return out.batch(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, size, seen = [], 0, set()
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 1):
+                out = Columns(pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                for row, s in zip(part.column(0).to_pylist(), sets_of(part, raw, offs, k)):
+                    name = fingerprint(s) if len(s) else None
+                    out.rows.append((0, row, len(s), name))
+                    if name is not None and name not in seen:
+                        seen.add(name)
+                        tokens.append(s)
+                        size += len(s)
+                yield out.batch(names)
+                if size > SPAN:
+                    yield often(tokens)
+                    tokens, size, seen = [], 0, set()
+        yield often(tokens)
+
+    return run
+
+
+def ordered_prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of a set, rare ones first, that a partner must meet, and their levels."""
+    n = len(s)
+    p = n - -(-percent * n // 100) + 1
+    level = levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)]
+    rank = (level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    order = np.argsort(rank, kind="stable")[:p]
+    return s[order], level[order]
+
+
+def scan_prefixes(shared, k: int, percent: int):
+    names = ["token", "n", "at", "level", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        levels = shared.value
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 1):
+                tokens, level, sizes, counts, classes = [], [], [], [], []
+                for s in sets_of(part, raw, offs, k):
+                    if not len(s) or (name := fingerprint(s)) in seen:
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(name)
+                    t, v = ordered_prefix(s, levels, percent)
+                    tokens.append(t)
+                    level.append(v)
+                    sizes.append(len(s))
+                    counts.append(len(t))
+                    classes.append(name)
+                if not tokens:
+                    continue
+                c = np.array(counts)
+                at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(sizes, c).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(level).astype(np.int32)), pa.array(classes, pa.binary()).take(pa.array(np.repeat(np.arange(len(c)), c)))],
+                    names,
+                )
+
+    return run
+
+
+def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token, piece, n and class: those whose token is met in more
+    than one row, each with the row before it in its piece. Rows that repeat a
+    class are left out."""
+    last: dict | None = None  # the latest row, not passed on while it is alone
+    names = ["token", "n", "at", "class", "n0", "at0", "class0"]
+    for batch in batches:
+        token, piece, n, at = (batch.column(i).to_numpy() for i in range(4))
+        if not len(token):
+            continue
+        own = batch.column(4).to_pylist()
+        near = np.flatnonzero(np.r_[True, (token[1:] == token[:-1])] | np.r_[token[1:] == token[:-1], True])
+        rows = []
+        for i in near.tolist():
+            mine = {"token": int(token[i]), "piece": int(piece[i]), "n": int(n[i]), "at": int(at[i]), "class": own[i], "sent": False}
+            if last is not None and last["token"] == mine["token"]:
+                if last["piece"] == mine["piece"] and last["class"] == mine["class"]:
+                    continue
+                if not last["sent"]:
+                    rows.append((last["token"], last["n"], last["at"], last["class"], None, None, None))
+                same = last["piece"] == mine["piece"]
+                rows.append((mine["token"], mine["n"], mine["at"], mine["class"], *((last["n"], last["at"], last["class"]) if same else (None,) * 3)))
+                mine["sent"] = True
+            last = mine
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        out = Columns(*kinds)
+        out.rows = rows
+        yield out.batch(names)
+
+
+def bounded(percent: int, n, at, n0, at0):
+    """Whether sizes and places in a column leave a pair a chance: the overlap is at
+    most what lies before plus what lies from here on, and must be at least
+    percent / (100 + percent) of both sizes."""
+    most = F.least(at, at0) + F.least(n - at, n0 - at0)
+    return (100 * F.least(n, n0) >= percent * F.greatest(n, n0)) & (most * (100 + percent) >= percent * (n + n0))
+
+
+def scan_sets(shared, k: int):
+    """(class, n-gram set as bytes) of classes that pass the filter, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 1):
+                names, sets = [], []
+                for s in sets_of(part, raw, offs, k):
+                    if len(s) and (name := fingerprint(s)) not in seen and shared.value.has(np.frombuffer(name[:8], ">u8").astype(np.uint64))[0]:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(s.tobytes())
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["class", "set"])
+
+    return run
+
+
+def linked(percent: int):
+    """Pairs of sets that reach the bound, by exact count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+
+    return run
+
+
+class Join:
+    """The steps of one join; every table is kept in the scratch folder."""
+
+    def __init__(self, docs: DataFrame, text: str, id_: str, words: int, percent: int):
+        self.spark, self.words, self.percent = docs.sparkSession, words, percent
+        _base.small_batches(self.spark)
+        self.scratch = _base.Scratch(self.spark)
+        self.docs = docs.select(F.col(id_).cast("long").alias("id_"), F.col(text).alias("text_"))
+        self.texts = self.docs.select("text_").withColumn("zero_", F.lit(0)).select("zero_", "text_")
+        self.sets: DataFrame | None = None
+
+    def classes(self) -> DataFrame:
+        """(id, n, class) of each document; also counts n-grams for the order."""
+        found = self.scratch.keep(self.docs.mapInArrow(scan_classes(self.words), "kind int, at long, n long, class binary"), "classes")
+        often = found.filter("kind = 1").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+        slot = often.groupBy(F.col("at").bitwiseAND((1 << LEVEL_BITS) - 1).alias("slot")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level"))
+        rows = slot.toArrow()  # at most one row a slot of a table of fixed size
+        self.levels = np.zeros(1 << LEVEL_BITS, np.uint8)
+        self.levels[rows["slot"].to_numpy()] = rows["level"].to_numpy()
+        return found.filter("kind = 0").select(F.col("at").alias("id"), "n", "class")
+
+    def columns(self) -> DataFrame:
+        shared = _base.Shared(self.spark, self.levels)
+        rows = self.texts.mapInArrow(scan_prefixes(shared, self.words, self.percent), "token long, n int, at int, level int, class binary")
+        piece = F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("class"), F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.col("level")) / PIECE).cast("long"))).cast("int")
+        rows = rows.select("token", piece.alias("piece"), "n", "at", "class")
+        dealt = rows.repartition("token", "piece").sortWithinPartitions("token", "piece", "n", "class")
+        return self.scratch.keep(dealt.mapInArrow(shared_columns, "token long, n int, at int, class binary, n0 int, at0 int, class0 binary"), "columns")
+
+    def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Edges among distinct candidate pairs (u < v)."""
+        pairs = self.scratch.keep(pairs, f"pairs{tag}")
+        members = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
+        members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
+        n = members.count()
+        if not n:
+            return pairs.select("u", "v")
+        shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, 24))
+        raw = self.texts.mapInArrow(scan_sets(shared, self.words), "class binary, set binary")
+        sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
+        both = pairs.join(sets.select(F.col("class").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("set").alias("b")), "v")
+        edges = self.scratch.keep(both.select("u", "v", "a", "b").mapInArrow(linked(self.percent), "u binary, v binary"), f"edges{tag}")
+        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}")
+        return edges
+
+    def pair(self, rows: DataFrame) -> DataFrame:
+        ok = bounded(self.percent, F.col("n"), F.col("at"), F.col("n0"), F.col("at0"))
+        return rows.filter(ok & (F.col("class") != F.col("class0"))).select(F.least("class", "class0").alias("u"), F.greatest("class", "class0").alias("v")).distinct()
+
+    def split(self, columns: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of columns that still touch more than one component, with it."""
+        own = columns.select("token", "n", "at", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        mixed = own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+        return own.join(mixed, "token", "left_semi")
+
+
+def key_of(name: str):
+    """The first 8 bytes of a class as a long."""
+    return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
+
+
+def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row a row of docs: id, ``n_shingles`` (distinct n-grams) and
+    ``component_id``, the least id reachable by links.
+
+    Words are runs of anything but ASCII whitespace, with A-Z lower-cased. A text
+    of fewer words than an n-gram has its whole sequence as one; one without
+    words has none and links with nothing. Two documents link when 100 times
+    their common n-grams is at least percent times those of either. A null id
+    reaches others and is never the least unless all are null; repeated rows link
+    with each other.
+    """
+    job = Join(docs, text, id_, words, percent)
+    classes = job.classes()
+    columns = job.columns()
+    edges = job.verify(job.pair(columns.filter("class0 is not null")), "a")
+    roots = job.scratch.keep(connected(edges, job.scratch, "ca"), "rootsa")
+
+    # neighbours of different components in a column, then every pair left
+    rows = job.scratch.keep(job.split(columns, roots), "splitb")
+    beside = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(16))).orderBy("n", "class")
+    step = rows.select("*", F.lag("n").over(beside).alias("n0"), F.lag("at").over(beside).alias("at0"), F.lag("class").over(beside).alias("class0"), F.lag("root").over(beside).alias("root0"))
+    more = job.verify(job.pair(step.filter("class0 is not null and root <> root0")), "b")
+    edges = job.scratch.keep(edges.unionByName(more), "edgesab")
+    roots = job.scratch.keep(connected(edges, job.scratch, "cb"), "rootsb")
+
+    rows = job.scratch.keep(job.split(rows, roots), "splitc")
+    other = rows.select("token", F.col("n").alias("n0"), F.col("at").alias("at0"), F.col("class").alias("class0"), F.col("root").alias("root0"))
+    every = rows.join(other, "token").filter((F.col("class") < F.col("class0")) & (F.col("root") != F.col("root0")))
+    last = job.verify(job.pair(every), "c")
+    edges = job.scratch.keep(edges.unionByName(last), "edges")
+    roots = job.scratch.keep(connected(edges, job.scratch, "cc"), "roots")
+    job.scratch.drop("columns", "splitb", "splitc", "rootsa", "rootsb", "edgesab")
+
+    named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    out = named.join(least, "root", "left")
+    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

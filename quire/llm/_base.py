@@ -99,6 +99,28 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class Carried:
+    """The columns of a scan in Python: those to keep, under names that cannot
+    clash, and the text once, wherever it stands."""
+
+    def __init__(self, docs: DataFrame, keep: list[str], text: str):
+        self.keep, self.names = keep, [f"c{i}" for i in range(len(keep))]
+        cols = [F.col(c).alias(n) for c, n in zip(keep, self.names)]
+        self.text = keep.index(text) if text in keep else len(keep)
+        self.rows = docs.select(*cols, *[F.col(text).alias("text_")] * (text not in keep))
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema.fields}
+        self.schema = ", ".join(f"`{n}` {kinds[n]}" for n in self.names)
+
+    def columns(self, part: pa.RecordBatch) -> list[pa.Array]:
+        return part.columns[: len(self.names)]
+
+    def back(self, out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for n, c in zip(self.names, self.keep)], *more)
+
+    def __getstate__(self):
+        return {"names": self.names, "text": self.text}
+
+
 # ---------------------------------------------------------------- bytes of a batch
 
 

@@ -94,8 +94,8 @@ def _blocks(benchmark: DataFrame, text: str, id_: str, window: int, block: int)
     yield Grams(held, window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row a document: id, ``n_words long``, ``hits array<struct<start,end>>``
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+    """One row a document: the columns in keep (the id alone by default), ``n_words long``, ``hits array<struct<start,end>>``
     (runs of hit words, word positions, end exclusive) and ``items array<string>``
     (ids of items with a window in the text, sorted as strings).
 
@@ -106,24 +106,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: st
     """
     spark = docs.sparkSession
     _base.small_batches(spark)
-    kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("id_"), F.col(text).alias("text_"))
+    keep = [id_] if keep is None else keep
+    held = _base.Carried(docs, keep if text in keep else [*keep, text], text)
+    out = held.rows
     for grams in _blocks(benchmark, item_text, item_id, window, block):
-        out = out.mapInArrow(_scan(_base.Shared(spark, grams)), f"id_ {kind}, text_ string, n_words long, {FOUND}")
-    return out.select(F.col("id_").alias(id_), "n_words", "hits", "items")
+        out = out.mapInArrow(_scan(_base.Shared(spark, grams), held), f"{held.schema}, n_words long, {FOUND}")
+    return held.back(out, "n_words", "hits", "items").select(*keep, "n_words", "hits", "items")
 
 
 FOUND = "hits array<struct<start: long, end: long>>, items array<string>"
 
 
-def _scan(shared):
+def _scan(shared, held):
     """Each block's scan passes the text on, with the runs found so far and its own."""
     runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offs in _base.passes(batch, 1):
-                before = zip(part.column(3).to_pylist(), part.column(4).to_pylist()) if part.num_columns > 2 else None
+            for part, raw, offs in _base.passes(batch, held.text):
+                before = zip(*[c.to_pylist() for c in part.columns[-2:]]) if part.num_columns > len(held.names) else None
                 n_words, hits, items = [], [], []
                 for n, mask, found in shared.value.scan(raw, offs):
                     if before is not None:
@@ -135,7 +136,7 @@ def _scan(shared):
                     n_words.append(n)
                     hits.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                     items.append(sorted(str(x) for x in found if x is not None))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), pa.array(hits, runs), pa.array(items, pa.list_(pa.string()))], ["id_", "text_", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*held.columns(part), pa.array(n_words, pa.int64()), pa.array(hits, runs), pa.array(items, pa.list_(pa.string()))], [*held.names, "n_words", "hits", "items"])
 
     return run
 

@@ -124,29 +124,30 @@ def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang
     return [(r.t, r.l) for r in ranked.orderBy("l", "slot").collect() if has_letter(r.t)]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """One row a document: id, ``lang_pred`` and ``score`` (0 to 1, the chosen
-    language's share). A text that is null or has no letter, or a model that
+def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """One row a document: the columns in keep (the id alone by default),
+    ``lang_pred`` and ``score`` (0 to 1, the chosen language's share). A text that is null or has no letter, or a model that
     learned from nothing, gives ``und`` and 0. Ties go to the first language in
     alphabetical order; equal texts give equal values."""
     _base.small_batches(docs.sparkSession)
     shared = _base.Shared(docs.sparkSession, model)  # slots x languages, fixed size
+    held = _base.Carried(docs, [id_] if keep is None else keep, text)
+    at = held.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part, raw, offs in _base.passes(batch, 1):
-                texts = part.column(1).to_pylist()
+            for part, raw, offs in _base.passes(batch, at):
+                texts = part.column(at).to_pylist()
                 sets = [presence(raw[a:b]) for a, b in zip(offs[:-1], offs[1:])]
                 if m.languages:
-                    s = np.exp(SHARP * (out := m.score(sets)) - SHARP * out.max(axis=1, keepdims=True))
+                    out = m.score(sets)
+                    s = np.exp(SHARP * (out - out.max(axis=1, keepdims=True)))
                     best, share = out.argmax(axis=1), (s / s.sum(axis=1, keepdims=True)).max(axis=1)
                 ok = [bool(t) and bool(m.languages) and has_letter(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([m.languages[best[i]] if x else UNDETERMINED for i, x in enumerate(ok)], pa.string()), pa.array([float(share[i]) if x else 0.0 for i, x in enumerate(ok)], pa.float64())],
-                    ["id_", "lang_pred", "score"],
-                )
-
-    kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("id_"), F.col(text).alias("text_")).mapInArrow(run, f"id_ {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("id_", id_)
+                langs = pa.array([m.languages[best[i]] if x else UNDETERMINED for i, x in enumerate(ok)], pa.string())
+                scores = pa.array([float(share[i]) if x else 0.0 for i, x in enumerate(ok)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*held.columns(part), langs, scores], [*held.names, "lang_pred", "score"])
+
+    out = held.rows.mapInArrow(run, f"{held.schema}, lang_pred string, score double")
+    return held.back(out, "lang_pred", "score")

@@ -285,6 +285,20 @@ def key_of(name: str):
     return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """Each class of a column with the one before it, where their components differ;
+    a column is dealt in sixteen parts."""
+    by = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(16))).orderBy("n", "class")
+    step = rows.select("*", *[F.lag(c).over(by).alias(f"{c}0") for c in ("n", "at", "class", "root")])
+    return step.filter("class0 is not null and root <> root0")
+
+
+def every(rows: DataFrame) -> DataFrame:
+    """All pairs of a column whose components differ."""
+    other = rows.select("token", *[F.col(c).alias(f"{c}0") for c in ("n", "at", "class", "root")])
+    return rows.join(other, "token").filter("class < class0 and root <> root0")
+
+
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: id, ``n_shingles`` (distinct n-grams) and
     ``component_id``, the least id reachable by links.
@@ -303,20 +317,14 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     roots = job.scratch.keep(connected(edges, job.scratch, "ca"), "rootsa")
 
     # neighbours of different components in a column, then every pair left
-    rows = job.scratch.keep(job.split(columns, roots), "splitb")
-    beside = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(16))).orderBy("n", "class")
-    step = rows.select("*", F.lag("n").over(beside).alias("n0"), F.lag("at").over(beside).alias("at0"), F.lag("class").over(beside).alias("class0"), F.lag("root").over(beside).alias("root0"))
-    more = job.verify(job.pair(step.filter("class0 is not null and root <> root0")), "b")
-    edges = job.scratch.keep(edges.unionByName(more), "edgesab")
-    roots = job.scratch.keep(connected(edges, job.scratch, "cb"), "rootsb")
-
-    rows = job.scratch.keep(job.split(rows, roots), "splitc")
-    other = rows.select("token", F.col("n").alias("n0"), F.col("at").alias("at0"), F.col("class").alias("class0"), F.col("root").alias("root0"))
-    every = rows.join(other, "token").filter((F.col("class") < F.col("class0")) & (F.col("root") != F.col("root0")))
-    last = job.verify(job.pair(every), "c")
-    edges = job.scratch.keep(edges.unionByName(last), "edges")
-    roots = job.scratch.keep(connected(edges, job.scratch, "cc"), "roots")
-    job.scratch.drop("columns", "splitb", "splitc", "rootsa", "rootsb", "edgesab")
+    for tag, propose in (("b", beside), ("c", every)):
+        columns = job.scratch.keep(job.split(columns, roots), f"split{tag}")
+        if columns.isEmpty():
+            break
+        more = job.verify(job.pair(propose(columns)), tag)
+        if not more.isEmpty():
+            edges = job.scratch.keep(edges.unionByName(more), f"all{tag}")
+            roots = job.scratch.keep(connected(edges, job.scratch, f"c{tag}"), f"roots{tag}")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))

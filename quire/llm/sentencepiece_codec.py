@@ -91,28 +91,25 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id
     """
     check_model(model)
     _base.small_batches(docs.sparkSession)
-    keep = [id_] if keep is None else keep
-    names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("text_"))
+    held = _base.Carried(docs, [id_] if keep is None else keep, text)
     shared = _base.Shared(docs.sparkSession, model)  # one file of fixed size
+    at = held.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(shared.value)
         for batch in batches:
-            for part, _, _ in _base.passes(batch, len(names)):
-                ids = [table.encode(t or "") for t in part.column(len(names)).to_pylist()]
+            for part, _, _ in _base.passes(batch, at):
+                ids = [table.encode(t or "") for t in part.column(at).to_pylist()]
                 offs = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offs[1:])
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                cols = [*part.columns[: len(names)], pa.ListArray.from_arrays(pa.array(offs), flat)]
+                cols = [*held.columns(part), pa.ListArray.from_arrays(pa.array(offs), flat)]
                 if decoded:
                     cols.append(pa.array([table.sp.decode(x.tolist()) if len(x) else "" for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*names, "ids", *["decoded"] * decoded])
+                yield pa.RecordBatch.from_arrays(cols, [*held.names, "ids", *["decoded"] * decoded])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + ["ids array<int>"] + ["decoded string"] * decoded)
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "ids", *["decoded"] * decoded)
+    out = held.rows.mapInArrow(run, ", ".join([held.schema, "ids array<int>"] + ["decoded string"] * decoded))
+    return held.back(out, "ids", *["decoded"] * decoded)
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", id_: str = "doc_id") -> DataFrame:

@@ -100,7 +100,7 @@ def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term
     at everything but letters and digits. A term without letters or digits has no
     key and matches nothing."""
     tokens = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
-    keyed = terms.withColumn("key_", F.array_max(F.transform(tokens(F.col(term)), lambda w: F.struct(F.length(w), w)))["col2"]).withColumn("pattern_", T.term_pattern(F.col(term))).filter("key_ is not null")
+    keyed = terms.withColumn("key_", F.array_max(F.transform(tokens(F.col(term)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).withColumn("pattern_", T.term_pattern(F.col(term))).filter("key_ is not null")
     held = texts.withColumn("key_", F.explode(F.array_distinct(tokens(F.col(text)))))
     return held.join(keyed, "key_").filter(F.expr(f"`{text}` rlike pattern_")).drop("key_", "pattern_")
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
 
@@ -76,7 +77,7 @@ def phrases_of(text: str | None) -> set[str]:
     return found | {m for m in re.findall(chain, text or "") if valid(m)}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def phrases(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda t: sorted(phrases_of(t)))

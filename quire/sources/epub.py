@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from . import dom
@@ -98,12 +99,18 @@ def documents(books: DataFrame) -> DataFrame:
     return books.select("book_id", F.posexplode("documents").alias("doc_ord", "d")).select("book_id", "doc_ord", "d.*")
 
 
-@F.pandas_udf("array<struct<idx: int, text: string, tag_name: string, block_path: array<int>>>")
+#: idx, text, tag_name and block_path of each block of a document.
+SEGMENTS = types.ArrayType(
+    types.StructType().add("idx", types.IntegerType()).add("text", types.StringType()).add("tag_name", types.StringType()).add("block_path", types.ArrayType(types.IntegerType()))
+)
+
+
+@F.pandas_udf(SEGMENTS)
 def book_segments(xhtml: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([[{"idx": i, "text": b.text, "tag_name": b.tag, "block_path": list(b.path)} for i, b in enumerate(dom.book_blocks(x, p))] for x, p in zip(xhtml, path)])
 
 
-@F.pandas_udf("array<struct<idx: int, text: string, tag_name: string, block_path: array<int>>>")
+@F.pandas_udf(SEGMENTS)
 def page_segments(pages: pd.Series) -> pd.Series:
     return pd.Series([[{"idx": i, "text": b.text, "tag_name": b.tag, "block_path": list(b.path)} for i, b in enumerate(dom.page_blocks(x))] for x in pages])
 
@@ -116,7 +123,7 @@ def segments(books: DataFrame) -> DataFrame:
     return rows.select("book_id", order.cast("bigint").alias("seg_ord"), F.concat_ws("::", "doc_path", F.col("idx").cast("string")).alias("id"), "doc_path", "idx", "tag_name", "text", "block_path")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def patched(xhtml: pd.Series, translations: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([dom.patch(x, list(t) if t is not None else [], p) for x, t, p in zip(xhtml, translations, path)])
 

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from . import _base
 
@@ -132,13 +133,13 @@ def pack(n: int, drop: list[int]) -> bytes:
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(types.BinaryType())
 def bitmaps(size: pd.Series, pos: pd.Series) -> pd.Series:
     """Compressed keep bitmaps of size lines each, without the listed positions."""
     return pd.Series([pack(int(n), [x for part in p for x in part]) for n, p in zip(size, pos)])
 
 
-@F.pandas_udf("n_lines long, n_dropped long, kept string")
+@F.pandas_udf(types.StructType().add("n_lines", types.LongType()).add("n_dropped", types.LongType()).add("kept", types.StringType()))
 def apply_bitmap(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
     rows = []
     for t, k in zip(text, keep):

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from . import _base
 
@@ -296,7 +297,10 @@ def union_of(packed: list[bytes]) -> np.ndarray:
     return np.c_[x[new, 0], np.r_[top[np.flatnonzero(new)[1:] - 1], top[-1]]]
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
+CUT = types.StructType().add("n_bytes", types.LongType()).add("n_removed", types.LongType()).add("n_spans", types.LongType()).add("spans", types.BinaryType()).add("kept", types.BinaryType())
+
+
+@F.pandas_udf(CUT)
 def cut(text: pd.Series, packed: pd.Series) -> pd.DataFrame:
     rows = []
     for t, p in zip(text, packed):

@@ -60,7 +60,7 @@ class Level:
 def positions(key: Column, level: int, bits: int) -> list[Column]:
     """Double hashing with a seed of the level."""
     a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-    return [F.pmod(F.shiftrightunsigned(a, 1) + F.lit(i) * F.shiftrightunsigned(b, 8), F.lit(bits)) for i in range(HASHES)]
+    return [F.pmod(F.shiftrightunsigned(a, 2) + F.lit(i) * F.shiftrightunsigned(b, 8), F.lit(bits)) for i in range(HASHES)]
 
 
 def build_level(keys: DataFrame, level: int, n: int) -> Level:

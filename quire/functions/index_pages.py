@@ -16,7 +16,8 @@ SIGNALS = (
     ("css_class", 20, r'(?i)class="[^"]*\b(?:index|glossary|idx|searchable-terms)\b[^"]*"'),
     ("anchor_id", 10, r'(?i)id="(?:index|glossary)[-_a-z0-9]*"'),
     ("heading", 10, r"(?i)<h[1-6][^>]*>\s*(?:index|glossary|searchable terms|terminology)\s*</h[1-6]>"),
-    ("line_shape", 20, "(?i)" + _ENTRY),
+    # an entry somewhere: found from its comma, so that text without one costs nothing
+    ("line_shape", 20, r",(?=\s*(?:\d|[♣♦•·*†‡§¶]))(?<=[A-Za-z0-9].{1,160},)"),
 )
 STRONG = 35
 #: Words that mark the heading of an index, and pages that hold nothing else.

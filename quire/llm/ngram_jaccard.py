@@ -8,8 +8,9 @@ puts n-grams met often last, so prefixes hold rare ones and a passage that many
 documents share hardly ever makes a candidate. A column of the matrix (the
 classes with one prefix n-gram) is a block of candidate products. A pair's
 overlap can be no larger than its sizes and places in the column allow, and
-pairs below the bound that their sizes set are discarded; the rest are counted
-exactly on whole sets.
+pairs below the bound that their sizes set are discarded. Of the rest most fall to a
+parity table of one bit an n-gram, whose differing bits bound the overlap from
+above; what is left is counted exactly on whole sets.
 
 Columns are first multiplied along neighbours only (each class with the one
 before it of like size). Links found so merge classes into components, and later
@@ -59,6 +60,25 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each slot of a table of at least as many slots as n-grams: whether
+    an odd number of them falls there. The bits in which two such tables differ are
+    no more than the n-grams in which the sets do."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    slot = (s >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parity tables differ; the larger is folded to the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class Columns:
     """Growing output columns of a pass."""
 
@@ -74,24 +94,25 @@ class Columns:
 def scan_classes(k: int):
     """Kind 0: a document's class. Kind 1: an n-gram met often here, in class n times.
     Documents of a class met before in this span count once."""
-    names = ["kind", "at", "n", "class"]
+    names = ["kind", "at", "n", "class", "parity"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def often(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        out = Columns(pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        out = Columns(*kinds)
         if tokens:
             token, n = np.unique(np.concatenate(tokens), return_counts=True)
             pick = n >= LOCAL
-            out.rows = [(1, t, c, None) for t, c in zip(token[pick].view(np.int64).tolist(), n[pick].tolist())]
+            out.rows = [(1, t, c, None, None) for t, c in zip(token[pick].view(np.int64).tolist(), n[pick].tolist())]
         return out.batch(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size, seen = [], 0, set()
         for batch in batches:
             for part, raw, offs in _base.passes(batch, 1):
-                out = Columns(pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                out = Columns(*kinds)
                 for row, s in zip(part.column(0).to_pylist(), sets_of(part, raw, offs, k)):
                     name = fingerprint(s) if len(s) else None
-                    out.rows.append((0, row, len(s), name))
+                    out.rows.append((0, row, len(s), name, parity(s) if len(s) else None))
                     if name is not None and name not in seen:
                         seen.add(name)
                         tokens.append(s)
@@ -207,6 +228,19 @@ def scan_sets(shared, k: int):
     return run
 
 
+def hopeful(percent: int):
+    """Pairs whose parity tables differ in no more bits than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            far = np.array([differing(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            keep = pa.array(np.flatnonzero(far * (100 + percent) <= n * (100 - percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["u", "v"])
+
+    return run
+
+
 def linked(percent: int):
     """Pairs of sets that reach the bound, by exact count."""
 
@@ -237,12 +271,13 @@ class Join:
 
     def classes(self) -> DataFrame:
         """(id, n, class) of each document; also counts n-grams for the order."""
-        found = self.scratch.keep(self.docs.mapInArrow(scan_classes(self.words), "kind int, at long, n long, class binary"), "classes")
+        found = self.scratch.keep(self.docs.mapInArrow(scan_classes(self.words), "kind int, at long, n long, class binary, parity binary"), "classes")
         often = found.filter("kind = 1").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
         slot = often.groupBy(F.col("at").bitwiseAND((1 << LEVEL_BITS) - 1).alias("slot")).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level"))
         rows = slot.toArrow()  # at most one row a slot of a table of fixed size
         self.levels = np.zeros(1 << LEVEL_BITS, np.uint8)
         self.levels[rows["slot"].to_numpy()] = rows["level"].to_numpy()
+        self.parities = found.filter("kind = 0 and class is not null").select("class", "n", "parity")
         return found.filter("kind = 0").select(F.col("at").alias("id"), "n", "class")
 
     def columns(self) -> DataFrame:
@@ -254,9 +289,15 @@ class Join:
         return self.scratch.keep(dealt.mapInArrow(shared_columns, "token long, n int, at int, class binary, n0 int, at0 int, class0 binary"), "columns")
 
     def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Edges among distinct candidate pairs (u < v)."""
-        pairs = self.scratch.keep(pairs, f"pairs{tag}")
-        members = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
+        """Edges among distinct candidate pairs (u < v): first by their parity tables,
+        a bit for each n-gram, then by whole sets."""
+        pairs = self.scratch.keep(pairs, f"all{tag}")
+        tables = self.parities.join(ends(pairs), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+        tables = self.scratch.keep(tables, f"parity{tag}")
+        sides = [tables.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "parity")], F.col("class").alias(x)) for x in ("u", "v")]
+        both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "n_u", "n_v", "parity_u", "parity_v")
+        pairs = self.scratch.keep(both.mapInArrow(hopeful(self.percent), "u binary, v binary"), f"pairs{tag}")
+        members = ends(pairs)
         members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
         n = members.count()
         if not n:
@@ -266,7 +307,7 @@ class Join:
         sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
         both = pairs.join(sets.select(F.col("class").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("set").alias("b")), "v")
         edges = self.scratch.keep(both.select("u", "v", "a", "b").mapInArrow(linked(self.percent), "u binary, v binary"), f"edges{tag}")
-        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}")
+        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}", f"parity{tag}", f"all{tag}")
         return edges
 
     def pair(self, rows: DataFrame) -> DataFrame:
@@ -280,6 +321,10 @@ class Join:
         return own.join(mixed, "token", "left_semi")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
+
+
 def key_of(name: str):
     """The first 8 bytes of a class as a long."""
     return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
@@ -323,7 +368,7 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
             break
         more = job.verify(job.pair(propose(columns)), tag)
         if not more.isEmpty():
-            edges = job.scratch.keep(edges.unionByName(more), f"all{tag}")
+            edges = job.scratch.keep(edges.unionByName(more), f"links{tag}")
             roots = job.scratch.keep(connected(edges, job.scratch, f"c{tag}"), f"roots{tag}")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

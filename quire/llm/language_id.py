@@ -92,23 +92,24 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
         return Model([], np.zeros((len(ORDERS) * DIMS, 0)), np.zeros(0))
     sets = [presence(np.frombuffer(t.encode(), np.uint8)) for t, _ in rows]
     norm = np.sqrt([max(1, len(s)) for s in sets])
-    dense = np.zeros((len(sets), len(ORDERS) * DIMS), np.float32)
-    for i, s in enumerate(sets):
-        dense[i, s] = 1 / norm[i]
     by_lang = [[i for i, (_, x) in enumerate(rows) if x == lang] for lang in languages]
     take = max(1, landmarks // len(languages))
     marks = np.array([i for own in by_lang for i in own[:take]])
-    z = dense[marks]
-    value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
+    # only the landmarks are dense; a kernel row gathers their columns at a text's slots
+    z = np.zeros((len(marks), len(ORDERS) * DIMS), np.float32)
+    for k, i in enumerate(marks):
+        z[k, sets[i]] = 1 / norm[i]
+    kernel = np.array([z[:, s].sum(axis=1, dtype=np.float64) / m for s, m in zip(sets, norm)])
+    value, vector = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
     good = value > value.max() * 1e-6
     root = vector[:, good] / np.sqrt(value[good])  # Nyström map: kernel to landmarks times root
-    x = (dense @ z.T).astype(np.float64) @ root
+    x = kernel @ root
     y = np.array([[1.0 if lang == x_ else -1.0 for lang in languages] for _, x_ in rows])
     mean, bias = x.mean(axis=0), y.mean(axis=0)
     a = (x - mean).T @ (x - mean) + ridge * len(rows) * np.eye(x.shape[1])
     beta = np.linalg.solve(a, (x - mean).T @ (y - bias))
-    weights = z.T.astype(np.float64) @ (root @ beta)
-    return Model(languages, weights.astype(np.float32), bias - mean @ beta)
+    weights = z.T @ (root @ beta).astype(np.float32)
+    return Model(languages, weights, bias - mean @ beta)
 
 
 def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> list[tuple[str, str]]:

@@ -11,7 +11,9 @@ Rules that hold for every operator of this subpackage
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-")
+        own = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

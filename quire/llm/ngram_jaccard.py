@@ -13,9 +13,10 @@ parity table of one bit an n-gram, whose differing bits bound the overlap from
 above; what is left is counted exactly on whole sets.
 
 Columns are first multiplied along neighbours only (each class with the one
-before it of like size). Links found so merge classes into components, and later
-rounds pair only what lies in different components, first between components'
-neighbours, at last between all members that the bounds leave. A group of n near
+before it of like size), and of these each class keeps two. Links found so merge
+classes into components, and later rounds pair only what lies in different
+components: again neighbours, then neighbouring components, at last all members
+that the bounds leave. A group of n near
 copies so costs about n products and not n squared, while a link between any two
 components is still found.
 """
@@ -39,9 +40,11 @@ WORDS, PERCENT = 5, 80
 LEVEL_BITS = 22
 #: An n-gram counts as frequent from so many documents on; a task reports one it
 #: met LOCAL times among SPAN n-grams.
-FREQUENT, LOCAL, SPAN = 16, 3, 2_000_000
+FREQUENT, LOCAL, SPAN = 16, 2, 4_000_000
 #: Frequent columns are cut in pieces of about this many classes for the first round.
 PIECE = 1024
+#: Classes of a column in one block of the last round.
+BLOCK = 512
 
 
 def sets_of(part: pa.RecordBatch, raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -228,6 +231,67 @@ def scan_sets(shared, k: int):
     return run
 
 
+def near_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """The pairs of one block (side, n, at, class, root, parity) that no bound
+    refuses; across the two sides only when cross."""
+    rows = sorted(rows, key=lambda r: r[1])
+    n, at = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    side = np.array([r[0] for r in rows])
+    root = np.unique(np.array([r[4] for r in rows], dtype="S16"), return_inverse=True)[1]
+    size = np.array([len(r[5]) for r in rows])
+    own = {w: np.frombuffer(b"".join(r[5] for r in rows if len(r[5]) == w), np.uint8).reshape(-1, w) for w in set(size.tolist())}
+    place = np.zeros(len(rows), np.int64)
+    for w in own:
+        place[size == w] = np.arange(len(own[w]))
+    half = {w // 2: own[w][:, : w // 2] ^ own[w][:, w // 2 :] for w in own}
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (root[j] != root[i]) & (most * (100 + percent) >= percent * (n[i] + n[j]))
+        if cross:
+            ok &= side[j] != side[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        w, far = size[i], np.full(len(j), 1 << 60)
+        mine = own[w][place[i]]
+        for same, tables in ((size[j] == w, own), (size[j] == 2 * w, half)):
+            if same.any():
+                far[same] = np.bitwise_count(tables[w][place[j[same]]] ^ mine).sum(axis=1, dtype=np.int64)
+        for k in j[far * (100 + percent) <= (n[i] + n[j]) * (100 - percent)].tolist():
+            a, b = rows[i][3], rows[k][3]
+            yield (a, b) if a < b else (b, a)
+
+
+def product(percent: int):
+    """Over rows sorted by token and block pair: (u, v) of the pairs of each block
+    that no bound refuses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], set()
+
+        def batch_of(pairs) -> pa.RecordBatch:
+            pairs = list(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["u", "v"])
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for token, low, high, *row in zip(*cols):
+                if (token, low, high) != key:
+                    if len(held) > 1:
+                        found.update(near_pairs(held, key[1] != key[2], percent))
+                    key, held = (token, low, high), []
+                held.append(row)
+            if len(found) > 50_000:
+                yield batch_of(found)
+                found = set()
+        if len(held) > 1:
+            found.update(near_pairs(held, key[1] != key[2], percent))
+        yield batch_of(found)
+
+    return run
+
+
 def hopeful(percent: int):
     """Pairs whose parity tables differ in no more bits than linked sets can."""
 
@@ -310,9 +374,27 @@ class Join:
         self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}", f"parity{tag}", f"all{tag}")
         return edges
 
-    def pair(self, rows: DataFrame) -> DataFrame:
+    def nearest(self, rows: DataFrame) -> DataFrame:
+        """Of the pairs that rows propose, two for each class: the partner of most
+        columns and the smallest one. What is left out stays for a later round,
+        and for the last, which leaves nothing out."""
         ok = bounded(self.percent, F.col("n"), F.col("at"), F.col("n0"), F.col("at0"))
-        return rows.filter(ok & (F.col("class") != F.col("class0"))).select(F.least("class", "class0").alias("u"), F.greatest("class", "class0").alias("v")).distinct()
+        met = rows.filter(ok & (F.col("class") != F.col("class0"))).groupBy("class", "class0").agg(F.count("*").alias("times"), F.min("n0").alias("n0"))
+        two = met.groupBy("class").agg(F.max_by("class0", F.struct("times", "class0")).alias("a"), F.min_by("class0", F.struct("n0", "class0")).alias("b"))
+        pairs = two.select("class", F.explode(F.array_distinct(F.array("a", "b"))).alias("class0"))
+        return pairs.select(F.least("class", "class0").alias("u"), F.greatest("class", "class0").alias("v")).distinct()
+
+    def every(self, rows: DataFrame) -> DataFrame:
+        """All pairs of each column whose components differ, as far as the bounds
+        leave them: the column's classes in blocks, and a task for each two blocks,
+        so that a column of any size is split and its pairs never leave the task."""
+        tables = self.parities.join(rows.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("parity").alias("parity"))
+        sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = rows.join(sizes, "token").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(tables, "class")
+        dealt = dealt.select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "n", "at", "class", "root", "parity")
+        dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        return dealt.mapInArrow(product(self.percent), "u binary, v binary").distinct()
 
     def split(self, columns: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of columns that still touch more than one component, with it."""
@@ -330,20 +412,17 @@ def key_of(name: str):
     return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
 
 
-def beside(rows: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, parts: int) -> DataFrame:
     """Each class of a column with the one before it, where their components differ;
-    a column is dealt in sixteen parts."""
-    by = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(16))).orderBy("n", "class")
+    a column is dealt in so many parts. With one part a component stands in a column
+    once, by its smallest class."""
+    if parts == 1:
+        rows = rows.groupBy("token", "root").agg(F.min(F.struct("n", "at", "class")).alias("s")).select("token", "root", "s.*")
+    by = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(parts))).orderBy("n", "class")
     step = rows.select("*", *[F.lag(c).over(by).alias(f"{c}0") for c in ("n", "at", "class", "root")])
     return step.filter("class0 is not null and root <> root0")
 
 
-def every(rows: DataFrame) -> DataFrame:
-    """All pairs of a column whose components differ."""
-    other = rows.select("token", *[F.col(c).alias(f"{c}0") for c in ("n", "at", "class", "root")])
-    return rows.join(other, "token").filter("class < class0 and root <> root0")
-
-
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: id, ``n_shingles`` (distinct n-grams) and
     ``component_id``, the least id reachable by links.
@@ -358,15 +437,15 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     job = Join(docs, text, id_, words, percent)
     classes = job.classes()
     columns = job.columns()
-    edges = job.verify(job.pair(columns.filter("class0 is not null")), "a")
+    edges = job.verify(job.nearest(columns.filter("class0 is not null")), "a")
     roots = job.scratch.keep(connected(edges, job.scratch, "ca"), "rootsa")
 
     # neighbours of different components in a column, then every pair left
-    for tag, propose in (("b", beside), ("c", every)):
+    for tag, propose in (("b", lambda rows: job.nearest(beside(rows, 16))), ("c", lambda rows: job.nearest(beside(rows, 1))), ("d", job.every)):
         columns = job.scratch.keep(job.split(columns, roots), f"split{tag}")
         if columns.isEmpty():
             break
-        more = job.verify(job.pair(propose(columns)), tag)
+        more = job.verify(propose(columns), tag)
         if not more.isEmpty():
             edges = job.scratch.keep(edges.unionByName(more), f"links{tag}")
             roots = job.scratch.keep(connected(edges, job.scratch, f"c{tag}"), f"roots{tag}")

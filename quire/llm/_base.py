@@ -12,6 +12,7 @@ Rules that hold for every operator of this subpackage
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import shutil
 import tempfile
@@ -82,6 +83,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free_shuffles(self) -> None:
+        """Shuffle files behind kept tables are needed no more; Spark deletes them once
+        the driver has collected the plans that made them, so collect now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches are counted in rows; whole texts are long rows."""

@@ -7,18 +7,18 @@ first few of each in any common order of the n-grams (the prefix). The order
 puts n-grams met often last, so prefixes hold rare ones and a passage that many
 documents share hardly ever makes a candidate. A column of the matrix (the
 classes with one prefix n-gram) is a block of candidate products. A pair's
-overlap can be no larger than its sizes and places in the column allow, and
-pairs below the bound that their sizes set are discarded. Of the rest most fall to a
+overlap can be no larger than its sizes and places in the column of its first common
+n-gram allow, and pairs below the bound that their sizes set are discarded. Of the rest most fall to a
 parity table of one bit an n-gram, whose differing bits bound the overlap from
 above; what is left is counted exactly on whole sets.
 
 Columns are first multiplied along neighbours only (each class with the one
 before it of like size), and of these each class keeps two. Links found so merge
 classes into components, and later rounds pair only what lies in different
-components: again neighbours, then neighbouring components, at last all members
-that the bounds leave. A group of n near
-copies so costs about n products and not n squared, while a link between any two
-components is still found.
+components: first a least spanning forest of each block by differing bits, which
+joins what links join but for the error of the tables, at last all members that
+the bounds leave. A group of n near copies so costs about n exact counts and not n
+squared, while a link between any two components is still found.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _base
@@ -43,6 +42,8 @@ LEVEL_BITS = 22
 FREQUENT, LOCAL, SPAN = 16, 2, 4_000_000
 #: Frequent columns are cut in pieces of about this many classes for the first round.
 PIECE = 1024
+#: A task holds so many rows of a column at most, and seeks partners in columns up to SMALL.
+HELD, SMALL = 4096, 64
 #: Classes of a column in one block of the last round.
 BLOCK = 512
 
@@ -172,41 +173,69 @@ def scan_prefixes(shared, k: int, percent: int):
     return run
 
 
-def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, piece, n and class: those whose token is met in more
-    than one row, each with the row before it in its piece. Rows that repeat a
-    class are left out."""
-    last: dict | None = None  # the latest row, not passed on while it is alone
+def partnered(rows: list[tuple], percent: int) -> list[bool]:
+    """Which rows (n, at, class) of a column, by size, have a partner there within bounds."""
+    ok = [False] * len(rows)
+    for i, (n, at, _) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            m, to, _ = rows[j]
+            if percent * m > 100 * n:
+                break
+            if min(n - at, m - to) * (100 + percent) >= percent * (n + m):
+                ok[i] = ok[j] = True
+    return ok
+
+
+def shared_columns(percent: int):
+    """Of rows sorted by token, piece, n and class: each with the row before it in
+    its piece. Rows that repeat a class are left out, and of columns that are one
+    piece (-1) also rows without a partner."""
     names = ["token", "n", "at", "class", "n0", "at0", "class0"]
-    for batch in batches:
-        token, piece, n, at = (batch.column(i).to_numpy() for i in range(4))
-        if not len(token):
-            continue
-        own = batch.column(4).to_pylist()
-        near = np.flatnonzero(np.r_[True, (token[1:] == token[:-1])] | np.r_[token[1:] == token[:-1], True])
-        rows = []
-        for i in near.tolist():
-            mine = {"token": int(token[i]), "piece": int(piece[i]), "n": int(n[i]), "at": int(at[i]), "class": own[i], "sent": False}
-            if last is not None and last["token"] == mine["token"]:
-                if last["piece"] == mine["piece"] and last["class"] == mine["class"]:
-                    continue
-                if not last["sent"]:
-                    rows.append((last["token"], last["n"], last["at"], last["class"], None, None, None))
-                same = last["piece"] == mine["piece"]
-                rows.append((mine["token"], mine["n"], mine["at"], mine["class"], *((last["n"], last["at"], last["class"]) if same else (None,) * 3)))
-                mine["sent"] = True
-            last = mine
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, before = None, [], None
         out = Columns(*kinds)
-        out.rows = rows
+
+        def send(ended: bool):
+            nonlocal before, held
+            rows = held
+            if rows and ended and key[1] < 0 and before is None and len(rows) <= SMALL:
+                rows = [r for r, ok in zip(rows, partnered(rows, percent)) if ok]
+            for r in rows:
+                out.rows.append((key[0], *r, *(before or (None,) * 3)))
+                before = r
+            before, held = None if ended else before, []
+
+        for batch in batches:
+            token, piece, n, at = (batch.column(i).to_numpy() for i in range(4))
+            if not len(token):
+                continue
+            own = batch.column(4).to_pylist()
+            same = token[1:] == token[:-1]
+            near = np.flatnonzero(np.r_[True, same] | np.r_[same, True] | (piece >= 0))
+            for i, t, p, n_, at_ in zip(near.tolist(), token[near].tolist(), piece[near].tolist(), n[near].tolist(), at[near].tolist()):
+                if (t, p) != key:
+                    send(True)
+                    key = (t, p)
+                last = held[-1] if held else before
+                if last is None or last[2] != own[i]:
+                    held.append((n_, at_, own[i]))
+                if len(held) >= HELD:
+                    send(False)
+            yield out.batch(names)
+        send(True)
         yield out.batch(names)
 
+    return run
+
 
 def bounded(percent: int, n, at, n0, at0):
-    """Whether sizes and places in a column leave a pair a chance: the overlap is at
-    most what lies before plus what lies from here on, and must be at least
-    percent / (100 + percent) of both sizes."""
-    most = F.least(at, at0) + F.least(n - at, n0 - at0)
+    """Whether sizes and places in a column leave a pair a chance with this n-gram as
+    the first that both have: the overlap is then at most what either has from
+    there on, and must be at least percent / (100 + percent) of both sizes. A linked
+    pair passes in the column of its first common n-gram."""
+    most = F.least(n - at, n0 - at0)
     return (100 * F.least(n, n0) >= percent * F.greatest(n, n0)) & (most * (100 + percent) >= percent * (n + n0))
 
 
@@ -231,10 +260,11 @@ def scan_sets(shared, k: int):
     return run
 
 
-def near_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[bytes, bytes]]:
+def near_pairs(rows: list[tuple], cross: bool, percent: int, forest: bool) -> Iterator[tuple[bytes, bytes]]:
     """The pairs of one block (side, n, at, class, root, parity) that no bound
-    refuses; across the two sides only when cross."""
-    rows = sorted(rows, key=lambda r: r[1])
+    refuses; across the two sides only when cross. With forest, of these the ones
+    of a least spanning forest of the block's components by differing bits."""
+    rows = sorted(rows, key=lambda r: (r[1], r[3]))
     n, at = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     side = np.array([r[0] for r in rows])
     root = np.unique(np.array([r[4] for r in rows], dtype="S16"), return_inverse=True)[1]
@@ -244,9 +274,10 @@ def near_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[b
     for w in own:
         place[size == w] = np.arange(len(own[w]))
     half = {w // 2: own[w][:, : w // 2] ^ own[w][:, w // 2 :] for w in own}
+    left, right, weight = [], [], []
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
-        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
         ok = (root[j] != root[i]) & (most * (100 + percent) >= percent * (n[i] + n[j]))
         if cross:
             ok &= side[j] != side[i]
@@ -258,14 +289,37 @@ def near_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[b
         for same, tables in ((size[j] == w, own), (size[j] == 2 * w, half)):
             if same.any():
                 far[same] = np.bitwise_count(tables[w][place[j[same]]] ^ mine).sum(axis=1, dtype=np.int64)
-        for k in j[far * (100 + percent) <= (n[i] + n[j]) * (100 - percent)].tolist():
-            a, b = rows[i][3], rows[k][3]
-            yield (a, b) if a < b else (b, a)
-
-
-def product(percent: int):
+        good = far * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        j, far = j[good], far[good]
+        left.append(np.full(len(j), i))
+        right.append(j)
+        weight.append(far / (n[i] + n[j]))
+    if not left:
+        return
+    left, right = np.concatenate(left), np.concatenate(right)
+    if forest:
+        order = np.argsort(np.concatenate(weight), kind="stable")
+        left, right = left[order], right[order]
+    above = list(range(len(rows)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for i, j, x, y in zip(left.tolist(), right.tolist(), root[left].tolist(), root[right].tolist()):
+        if forest:
+            x, y = top(x), top(y)
+            if x == y:
+                continue
+            above[x] = y
+        a, b = rows[i][3], rows[j][3]
+        yield (a, b) if a < b else (b, a)
+
+
+def product(percent: int, forest: bool):
     """Over rows sorted by token and block pair: (u, v) of the pairs of each block
-    that no bound refuses."""
+    that no bound refuses, or a forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], set()
@@ -279,14 +333,14 @@ def product(percent: int):
             for token, low, high, *row in zip(*cols):
                 if (token, low, high) != key:
                     if len(held) > 1:
-                        found.update(near_pairs(held, key[1] != key[2], percent))
+                        found.update(near_pairs(held, key[1] != key[2], percent, forest))
                     key, held = (token, low, high), []
                 held.append(row)
             if len(found) > 50_000:
                 yield batch_of(found)
                 found = set()
         if len(held) > 1:
-            found.update(near_pairs(held, key[1] != key[2], percent))
+            found.update(near_pairs(held, key[1] != key[2], percent, forest))
         yield batch_of(found)
 
     return run
@@ -347,20 +401,15 @@ class Join:
     def columns(self) -> DataFrame:
         shared = _base.Shared(self.spark, self.levels)
         rows = self.texts.mapInArrow(scan_prefixes(shared, self.words, self.percent), "token long, n int, at int, level int, class binary")
-        piece = F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("class"), F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.col("level")) / PIECE).cast("long"))).cast("int")
+        pieces = (F.pow(F.lit(2.0), F.col("level")) / PIECE).cast("long")
+        piece = F.when(pieces < 2, -1).otherwise(F.pmod(F.xxhash64("class"), F.greatest(pieces, F.lit(1)))).cast("int")
         rows = rows.select("token", piece.alias("piece"), "n", "at", "class")
         dealt = rows.repartition("token", "piece").sortWithinPartitions("token", "piece", "n", "class")
-        return self.scratch.keep(dealt.mapInArrow(shared_columns, "token long, n int, at int, class binary, n0 int, at0 int, class0 binary"), "columns")
+        return self.scratch.keep(dealt.mapInArrow(shared_columns(self.percent), "token long, n int, at int, class binary, n0 int, at0 int, class0 binary"), "columns")
 
     def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Edges among distinct candidate pairs (u < v): first by their parity tables,
-        a bit for each n-gram, then by whole sets."""
-        pairs = self.scratch.keep(pairs, f"all{tag}")
-        tables = self.parities.join(ends(pairs), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-        tables = self.scratch.keep(tables, f"parity{tag}")
-        sides = [tables.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "parity")], F.col("class").alias(x)) for x in ("u", "v")]
-        both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "n_u", "n_v", "parity_u", "parity_v")
-        pairs = self.scratch.keep(both.mapInArrow(hopeful(self.percent), "u binary, v binary"), f"pairs{tag}")
+        """Edges among distinct candidate pairs (u < v), by whole sets."""
+        pairs = self.scratch.keep(pairs, f"pairs{tag}")
         members = ends(pairs)
         members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
         n = members.count()
@@ -371,9 +420,18 @@ class Join:
         sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
         both = pairs.join(sets.select(F.col("class").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("set").alias("b")), "v")
         edges = self.scratch.keep(both.select("u", "v", "a", "b").mapInArrow(linked(self.percent), "u binary, v binary"), f"edges{tag}")
-        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}", f"parity{tag}", f"all{tag}")
+        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}")
         return edges
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (u < v) those that their parity tables leave."""
+        pairs = self.scratch.keep(pairs, "all")
+        tables = self.parities.join(ends(pairs), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+        tables = self.scratch.keep(tables, "parity")
+        sides = [tables.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "parity")], F.col("class").alias(x)) for x in ("u", "v")]
+        both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "n_u", "n_v", "parity_u", "parity_v")
+        return both.mapInArrow(hopeful(self.percent), "u binary, v binary")
+
     def nearest(self, rows: DataFrame) -> DataFrame:
         """Of the pairs that rows propose, two for each class: the partner of most
         columns and the smallest one. What is left out stays for a later round,
@@ -384,17 +442,19 @@ class Join:
         pairs = two.select("class", F.explode(F.array_distinct(F.array("a", "b"))).alias("class0"))
         return pairs.select(F.least("class", "class0").alias("u"), F.greatest("class", "class0").alias("v")).distinct()
 
-    def every(self, rows: DataFrame) -> DataFrame:
-        """All pairs of each column whose components differ, as far as the bounds
-        leave them: the column's classes in blocks, and a task for each two blocks,
-        so that a column of any size is split and its pairs never leave the task."""
+    def multiplied(self, rows: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of each column whose components differ, as far as the bounds leave
+        them: the column's classes in blocks, and a task for each two blocks, so that
+        a column of any size is split and its pairs never leave the task. With forest
+        each block is taken alone and gives a spanning forest of its pairs."""
         tables = self.parities.join(rows.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("parity").alias("parity"))
         sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = rows.join(sizes, "token").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(tables, "class")
+        other = F.col("side") if forest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = dealt.withColumn("other", other).join(tables, "class")
         dealt = dealt.select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "n", "at", "class", "root", "parity")
         dealt = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-        return dealt.mapInArrow(product(self.percent), "u binary, v binary").distinct()
+        return dealt.mapInArrow(product(self.percent, forest), "u binary, v binary").distinct()
 
     def split(self, columns: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of columns that still touch more than one component, with it."""
@@ -412,17 +472,6 @@ def key_of(name: str):
     return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
 
 
-def beside(rows: DataFrame, parts: int) -> DataFrame:
-    """Each class of a column with the one before it, where their components differ;
-    a column is dealt in so many parts. With one part a component stands in a column
-    once, by its smallest class."""
-    if parts == 1:
-        rows = rows.groupBy("token", "root").agg(F.min(F.struct("n", "at", "class")).alias("s")).select("token", "root", "s.*")
-    by = W.partitionBy("token", F.pmod(F.xxhash64("class"), F.lit(parts))).orderBy("n", "class")
-    step = rows.select("*", *[F.lag(c).over(by).alias(f"{c}0") for c in ("n", "at", "class", "root")])
-    return step.filter("class0 is not null and root <> root0")
-
-
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a row of docs: id, ``n_shingles`` (distinct n-grams) and
     ``component_id``, the least id reachable by links.
@@ -437,18 +486,20 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     job = Join(docs, text, id_, words, percent)
     classes = job.classes()
     columns = job.columns()
-    edges = job.verify(job.nearest(columns.filter("class0 is not null")), "a")
+    job.scratch.free_shuffles()
+    edges = job.verify(job.likely(job.nearest(columns.filter("class0 is not null"))), "a")
     roots = job.scratch.keep(connected(edges, job.scratch, "ca"), "rootsa")
 
-    # neighbours of different components in a column, then every pair left
-    for tag, propose in (("b", lambda rows: job.nearest(beside(rows, 16))), ("c", lambda rows: job.nearest(beside(rows, 1))), ("d", job.every)):
+    # a forest of each block between different components, then every pair left
+    for tag, forest in (("b", True), ("c", False)):
         columns = job.scratch.keep(job.split(columns, roots), f"split{tag}")
         if columns.isEmpty():
             break
-        more = job.verify(propose(columns), tag)
+        more = job.verify(job.multiplied(columns, forest), tag)
         if not more.isEmpty():
             edges = job.scratch.keep(edges.unionByName(more), f"links{tag}")
             roots = job.scratch.keep(connected(edges, job.scratch, f"c{tag}"), f"roots{tag}")
+        job.scratch.free_shuffles()
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))

@@ -410,6 +410,7 @@ class Join:
     def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Edges among distinct candidate pairs (u < v), by whole sets."""
         pairs = self.scratch.keep(pairs, f"pairs{tag}")
+        self.scratch.free_shuffles()
         members = ends(pairs)
         members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
         n = members.count()
@@ -418,6 +419,7 @@ class Join:
         shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, 24))
         raw = self.texts.mapInArrow(scan_sets(shared, self.words), "class binary, set binary")
         sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
+        self.scratch.free_shuffles()
         both = pairs.join(sets.select(F.col("class").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("set").alias("b")), "v")
         edges = self.scratch.keep(both.select("u", "v", "a", "b").mapInArrow(linked(self.percent), "u binary, v binary"), f"edges{tag}")
         self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}")
@@ -426,8 +428,10 @@ class Join:
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (u < v) those that their parity tables leave."""
         pairs = self.scratch.keep(pairs, "all")
+        self.scratch.free_shuffles()
         tables = self.parities.join(ends(pairs), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
         tables = self.scratch.keep(tables, "parity")
+        self.scratch.free_shuffles()
         sides = [tables.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "parity")], F.col("class").alias(x)) for x in ("u", "v")]
         both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "n_u", "n_v", "parity_u", "parity_v")
         return both.mapInArrow(hopeful(self.percent), "u binary, v binary")
@@ -493,6 +497,8 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     # a forest of each block between different components, then every pair left
     for tag, forest in (("b", True), ("c", False)):
         columns = job.scratch.keep(job.split(columns, roots), f"split{tag}")
+        job.scratch.drop("all", "parity", "columns")
+        job.scratch.free_shuffles()
         if columns.isEmpty():
             break
         more = job.verify(job.multiplied(columns, forest), tag)

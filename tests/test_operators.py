@@ -123,6 +123,14 @@ def test_chains_and_cycles(spark):
     assert {(r.id, r.target) for r in panel.resolve_chains(direct).collect()} == {(2, 1), (3, 1)}
 
 
+def test_long_chains(spark):
+    edges = [(i, i - 1) for i in range(1, 301)] + [(1000, 1001), (1001, 1002), (1002, 1000)] + [(i, i - 1) for i in range(1003, 1200)] + [(2000, 2000)]
+    direct = spark.createDataFrame(edges, "id long, target long")
+    assert sorted((r.id, r.target) for r in panel.resolve_chains(direct).collect()) == [(i, 0) for i in range(1, 301)]
+    assert panel.resolve_chains(direct.filter("id > 900")).count() == 0
+    assert panel.resolve_chains(direct.filter("id < 0")).count() == 0
+
+
 def test_bias_needs_ten_votes(spark):
     vendors = spark.createDataFrame([(i, "a") for i in range(10)] + [(i, "b") for i in range(10, 15)], "id long, vendor string")
     votes = spark.createDataFrame([vote("a", 0, i, i < 9) for i in range(15)] + [vote("b", 1, i, True) for i in range(15)], VOTE)

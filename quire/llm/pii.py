@@ -30,6 +30,8 @@ class Kind:
     score: float
     #: Words that raise the score when found before the span.
     context: str
+    #: The pattern matches a head and captures what may follow it; ``ended`` decides how much does.
+    headed: bool = False
 
 
 #: Code points before a span that context words are looked for in.
@@ -41,10 +43,17 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]", True, 0.6, r"(?i)\b(?:ip|host|server|address|login)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", True, 0.8, r"(?i)\b(?:card|credit|debit|visa|pay|paid)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+", True, 0.7, r"(?i)\b(?:phone|call|tel|mobile|fax|whatsapp)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[0-9]", False, 0.8, r"(?i)\b(?:iban|account|bank|transfer|konto)\b"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))", "[0-9]", False, 0.8, r"(?i)\b(?:iban|account|bank|transfer|konto)\b", True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", False, 0.4, r"(?i)\b(?:ssn|social|security|insurance)\b"),
 )
 
+#: Length of an account number by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+
 
 def digits_of(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
@@ -82,7 +91,7 @@ def confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        return F.length(F.replace(m, F.lit(" "))).between(15, 34) & mod97(m)
+        return m.isNotNull()
     if kind == "ssn":
         return ~F.left(m, F.lit(3)).isin("000", "666") & (F.left(m, F.lit(1)) != "9") & (F.substr(m, F.lit(5), F.lit(2)) != "00") & (F.right(m, F.lit(4)) != "0000")
     return F.lit(True)
@@ -97,6 +106,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def ended(run: Column) -> Column:
+    """The account number that a run starts with: the words after it may look like
+    its groups, so each end of a word is tried. Of several that pass mod 97 the one
+    of the country's length is taken, else the longest; null when none passes."""
+    size = lambda p: F.length(F.replace(p, F.lit(" ")))
+    ends = F.transform(F.sequence(F.lit(1), F.size(F.split(run, " "))), lambda k: F.call_function("substring_index", run, F.lit(" "), k))
+    good = F.filter(ends, lambda p: size(p).between(15, 34) & ~p.rlike("[a-z]") & mod97(p))
+    fits = lambda p: F.contains(F.lit(IBAN_LENGTHS), F.concat(F.left(p, F.lit(2)), size(p).cast("string")))
+    return let(good, lambda v: F.coalesce(F.get(F.filter(v, fits), F.lit(0)), F.get(v, F.size(v) - 1)))
+
+
+def apart(spans: Column) -> Column:
+    """Spans in order of start without those that begin inside one before them; as
+    heads alone are matched, a later one may lie in an earlier number."""
+    last = lambda a: F.element_at(a, -1)["end"]
+    clear = lambda v: F.aggregate(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1), lambda a, s: F.when(s["start"] < last(a), a).otherwise(F.concat(a, F.array(s))))
+    return let(spans, lambda v: F.when(F.exists(F.transform(v, lambda s, i: s["start"] < F.get(v, i - 1)["end"]), lambda x: F.coalesce(x, F.lit(False))), clear(v)).otherwise(v))
+
+
 #: Matches whose lengths are summed one by one; earlier ones go by block.
 BLOCK = 256
 
@@ -106,20 +134,23 @@ def proposals(text: Column, kind: Kind) -> Column:
     matches before it; the lengths are summed in blocks, so that a text with very
     many matches is not summed from its start for each."""
     add = lambda a, x: a + x
-    parts = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
+    found = lambda group: F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(group))
+    parts = F.struct(found(0).alias("m"), F.split(text, kind.pattern, -1).alias("p"), *[found(1).alias("t")] * kind.headed)
+    more = lambda v: [v["t"].alias("t")] * kind.headed
+    whole_of = lambda v, m, i: ended(F.concat(m, F.get(v["t"], i))) if kind.headed else m
 
     def measured(v: Column) -> Column:
         lens = F.transform(v["m"], lambda m, i: F.length(m) + F.length(F.get(v["p"], i)))
-        return let(F.struct(v["m"].alias("m"), v["p"].alias("p"), lens.alias("n")), blocked)
+        return let(F.struct(v["m"].alias("m"), v["p"].alias("p"), *more(v), lens.alias("n")), blocked)
 
     def blocked(v: Column) -> Column:
         whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(v["n"]) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(v["n"], b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), add))
         before = F.aggregate(whole, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        return let(F.struct(v["m"].alias("m"), v["p"].alias("p"), v["n"].alias("n"), before.alias("b")), placed)
+        return let(F.struct(v["m"].alias("m"), v["p"].alias("p"), *more(v), v["n"].alias("n"), before.alias("b")), placed)
 
     def placed(v: Column) -> Column:
         start = lambda i: F.get(v["b"], F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(v["n"], F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0), add) + F.length(F.get(v["p"], i))
-        return F.transform(v["m"], lambda m, i: let(start(i), lambda at: F.struct(m.alias("m"), at.alias("start"), (at + F.length(m)).alias("end"))))
+        return F.transform(v["m"], lambda m, i: let(F.struct(whole_of(v, m, i).alias("m"), start(i).alias("at")), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"))))
 
     return let(parts, lambda v: F.when(F.size(v["m"]) > 0, measured(v)).otherwise(F.array().cast("array<struct<m: string, start: int, end: int>>")))
 
@@ -128,6 +159,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
     near = lambda s: F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
     score = lambda s: F.lit(kind.score) + F.when(near(s).rlike(kind.context), F.lit(RAISE)).otherwise(F.lit(0.0))
     ok = F.filter(proposals(text, kind), lambda s: confirmed(kind.name, s["m"]))
+    if kind.headed:
+        ok = apart(ok)
     if not kind.base:
         ok = F.filter(ok, lambda s: score(s) >= KEEP)
     out = F.transform(ok, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score(s), F.lit(1.0)).alias("score")))
@@ -144,6 +177,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     card ``[0-9]([ -]?[0-9])+`` with 16 to 19 digits that pass Luhn,
     phone ``\\+[0-9][ ().0-9-]+[0-9]`` with 8 to 15 digits.
 
+    An iban is two capitals, two digits and 11 to 30 capitals or digits, each with
+    at most one space before it, that end with a word and pass mod 97.
+
     Null and empty texts have no spans. Rows are independent, so ids, repeated
     rows and other columns don't matter; columns of the same names are replaced.
     """

@@ -60,6 +60,22 @@ def test_pii(spark):
     assert pii.run(frame(spark, [])).count() == 0
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    tails = ["", " Please pay", " I paid", " 2024", " BIC COBADEFF", " AND 12 MORE WORDS IN CAPITALS", "A", "a", "é", ".", "  X"]
+    rows = [(i, f"to 😀 {n}{t}") for i, (n, t) in enumerate((n, t) for n in (de, de.replace(" ", ""), gb, no) for t in tails)]
+    rows += [(100, f"{de} {gb} {no} {de}"), (101, "DE89 3704 0044 0532 0130 01 Please"), (102, f"{gb} X " * 600), (103, "AB12 " * 5000)]
+    got = {r.doc_id: r.spans for r in pii.run(frame(spark, rows)).collect()}
+    for i, t in rows[: 4 * len(tails)]:
+        n = (de, de.replace(" ", ""), gb, no)[i // len(tails)]
+        glued = tails[i % len(tails)] in ("A", "a")
+        found = [x for x in got[i].split(",") if x.startswith("iban")]
+        assert found == ([] if glued else [f"iban:5:{5 + len(n)}"]), t
+    at = [0, len(de) + 1, len(de) + len(gb) + 2, len(de) + len(gb) + len(no) + 3]
+    assert [x for x in got[100].split(",") if x.startswith("iban")] == [f"iban:{a}:{a + len(n)}" for a, n in zip(at, (de, gb, no, de))]
+    assert "iban" not in got[101] and got[102].count("iban") == 600 and "iban" not in got[103]
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 

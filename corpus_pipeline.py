@@ -17,8 +17,11 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a determined language (null, or no letter at all) go."""
+    """Texts without a determined language (null, or no letter at all) go, no others:
+    where no row has a language to learn, all texts with a letter stay."""
     model = language_id.fit(language_id.sample(docs, catalog.crc_slot("doc_id", 4) != 2))
+    if not model.languages:
+        model = language_id.unlearned()
     return language_id.identify(docs, model, keep=COLUMNS).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(COLUMNS)
 
 

@@ -112,6 +112,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(languages, weights, bias - mean @ beta)
 
 
+def unlearned(name: str = "any") -> Model:
+    """A model of one language, that of every text with a letter."""
+    return Model([name], np.zeros((len(ORDERS) * DIMS, 1)), np.zeros(1))
+
+
 def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> list[tuple[str, str]]:
     """The bounded training rows: for each language the PER_LANGUAGE learnable
     texts with the least hash of their id. Texts are cut to TRAIN_BYTES here, for

@@ -328,3 +328,17 @@ def test_pipeline(spark):
             rows = after
     sp = sentencepiece_codec.ChunkTable(catalog.tokenizer_model()).sp
     assert all(r.ids == sp.encode(rows[r.doc_id]) for r in now.collect()) and now.count() == len(rows)
+
+
+def test_pipeline_without_languages(spark):
+    import corpus_pipeline as P
+
+    docs = _base.table(spark, SF, "documents").select(P.COLUMNS)
+    odd = spark.createDataFrame([(9001, None, None, "s", None), (9002, "123 --", None, "s", 6), (9003, "é", None, "s", 1)], docs.schema)
+    bare = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    held = docs.unionByName(odd).withColumn("lang", F.when(catalog.crc_slot("doc_id", 4) == 2, F.col("lang")))
+    for now in (bare, held):
+        want = {(r.doc_id, r.text, r.lang) for r in now.collect() if language_id.has_letter(r.text or "")}
+        out = P.identify_language(spark, now, SF)
+        assert out.columns == P.COLUMNS and {(r.doc_id, r.text, r.lang) for r in out.collect()} == want and len(want) > 100
+    assert P.identify_language(spark, docs.filter("false"), SF).count() == 0

@@ -242,6 +242,30 @@ def test_png_filters():
         media.read_png(png[:-12])
 
 
+def test_png_filters_at_work(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ramp = np.cumsum(rng.integers(0, 3, (40, 64)), axis=1).astype(np.uint8)
+    data = np.vstack([ramp, ramp[::-1], np.cumsum(ramp, axis=0).astype(np.uint8), rng.integers(0, 256, (40, 64), dtype=np.uint8)]).tobytes()
+    monkeypatch.setattr(media, "LINES", 7)
+    lines = media.inflated(media.write_png(data))
+    assert set(lines[:, 0]) == {0, 1, 2, 3, 4} and media.unfiltered(lines).tobytes() == data
+    # images of several heights, filtered and undone together as each by itself
+    parts = [data[64 * a : 64 * b] for a, b in ((0, 1), (1, 90), (90, 91), (91, 160))]
+    first = np.isin(np.arange(160), (0, 1, 90, 91))
+    every = media.filtered(np.frombuffer(data, np.uint8).reshape(-1, 64), None, first)
+    assert every.tobytes() == b"".join(media.inflated(media.write_png(p)).tobytes() for p in parts)
+    assert media.unfiltered(every, first).tobytes() == data
+    docs = _base.table(spark, SF, "documents").select("doc_id", "text")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    kinds = set()
+    for r in media.to_media(docs).collect():
+        assert bytes(r.payload) == media.payload((text[r.doc_id] or "").encode()) == media.read_png(bytes(r.media)).tobytes()
+        kinds |= set(media.inflated(bytes(r.media))[:, 0])
+    assert kinds >= {1, 2, 3, 4}
+
+
 def test_media(spark):
     rows = [*EDGES, (50, "x" * 64), (51, "x" * 65)]
     out = media.to_media(frame(spark, rows, extra=True)).collect()

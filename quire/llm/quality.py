@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from . import _base
 
-FRAME, LEVEL, DICT_BYTES = 2048, 3, 112_640
-#: Bounds of the fit: labelled texts of each class, and bytes of one of them
+FRAME, LEVEL = 2048, 3
+#: Bounds of the fit: labelled texts of each class, and characters of one of them
 #: (from its middle). Half make the dictionaries, half the calibration.
 PER_CLASS, TRAIN_BYTES = 800, 4096
+#: A dictionary holds all of its half, at one byte a character.
+DICT_BYTES = PER_CLASS // 2 * TRAIN_BYTES
 #: Score of a text without bytes, and of any text when one class has no rows.
 NEUTRAL = 0.5
 THRESHOLD = 0.3
@@ -55,12 +57,10 @@ class Model:
 
 
 def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Raw-content dictionary: equal shares of as many texts as there are."""
-    if not texts:
-        return b""
-    share = max(64, size // len(texts))
-    out = b"".join(t.encode()[:share] for t in texts)
-    return out[:size]
+    """Raw-content dictionary: the whole texts, or equal shares where they exceed size."""
+    raw = [t.encode() for t in texts]
+    share = size if sum(map(len, raw)) <= size else max(64, size // len(raw))
+    return b"".join(t[:share] for t in raw)[:size]
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:

@@ -221,6 +221,21 @@ def test_quality(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+def test_dictionary_holds_whole_slices():
+    random.seed(7)
+    most = quality.PER_CLASS // 2
+    texts = ["".join(random.choices("abcdefgh ", k=quality.TRAIN_BYTES)) for _ in range(most)]
+    assert quality.dictionary(texts) == "".join(texts).encode()
+    wide = quality.dictionary(["é" * quality.TRAIN_BYTES] * most)
+    assert len(wide) == quality.DICT_BYTES and quality.dictionary([]) == b""
+    # classes that differ in the last words of long texts only
+    rows = [("".join(random.choices("abcdefgh ", k=4000)) + f" {w} {w} {w} {w}", y) for y, w in ((1, "excellent-reading"), (0, "worthless-clutter")) for _ in range(most)]
+    model = quality.fit(rows)
+    score = model.scorer()
+    assert model.probability(score(b"an excellent-reading here")) > 0.5 > model.probability(score(b"an worthless-clutter here"))
+    assert all(w in d and w not in e for w, d, e in ((b"excellent-reading", model.good, model.bad), (b"worthless-clutter", model.bad, model.good)))
+
+
 # ---------------------------------------------------------------- media
 
 

@@ -139,6 +139,17 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(pages.filter("page_id = 3"), none).collect()} == {"allow"}
 
 
+def test_urls_of_a_long_list(spark, monkeypatch):
+    built, build = [], url_filter.build
+    monkeypatch.setattr(url_filter, "build", lambda universe: built.append(build(universe)) or built[-1])
+    hosts = [f"h{i}.site{i % 50}.{end}" for i in range(2500) for end in ("example", "com", "org")]
+    listed = set(hosts[::3]) | {f"site{i}.com" for i in range(0, 50, 2)}
+    pages = spark.createDataFrame([(i, f"http://www.{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, spark.createDataFrame([(x,) for x in sorted(listed)], "h string"), rules=()).collect()}
+    assert got == {i: "block" if h in listed or h.split(".", 1)[1] in listed else "allow" for i, h in enumerate(hosts)}
+    assert len(built[0]) > 2 and len(built[0][0].words) > 256  # a cascade, whose first array is read from JSON
+
+
 # ---------------------------------------------------------------- n-gram Jaccard
 
 

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings, by partitioned suffixes.
+"""Removal of repeated byte strings, by suffixes dealt to buckets at anchors.
 
 A suffix array of every byte would hold the corpus many times over. Only
 suffixes that start at *anchors* are partitioned: in each string of LENGTH bytes
@@ -6,7 +6,8 @@ the LEAD-byte substring of least hash (the leftmost of equals) is its anchor, so
 equal strings have equal anchors at equal places, and about one byte in 35
 starts an anchor. Suffixes are dealt by their leading LEAD bytes (the anchor's
 hash), those of one bucket are compared with their left and right context, and
-every string of LENGTH bytes is found at exactly one anchor.
+every string of LENGTH bytes is found at exactly one anchor. Buckets are dealt by
+hash and strings told apart by 64-bit hashes; no suffix is put in byte order.
 
 1. Anchor hashes alone are counted; those met twice make a filter of fixed size.
 2. A second scan emits the anchors that pass it, with LENGTH - LEAD bytes of

@@ -18,7 +18,8 @@ classes into components, and later rounds pair only what lies in different
 components: first a least spanning forest of each block by differing bits, which
 joins what links join but for the error of the tables, at last all members that
 the bounds leave. A group of n near copies so costs about n exact counts and not n
-squared, while a link between any two components is still found.
+squared, while a link between any two components is still found. The result is
+components: links inside a component beyond those that joined it are not decided.
 """
 
 from __future__ import annotations

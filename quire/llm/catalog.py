@@ -144,5 +144,20 @@ FROM fold LEFT JOIN hit ON hit.id = fold.id LEFT JOIN own ON own.id = fold.id
 """
 
 
+OP10_SQL = r"""
+WITH b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM b WHERE n >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs
+         UNION ALL SELECT b.doc_id, coalesce(max(e), 0), any_value(n) FROM b LEFT JOIN runs ON runs.doc_id = b.doc_id GROUP BY b.doc_id),
+kept AS (SELECT b.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS h FROM gaps JOIN b ON b.doc_id = gaps.doc_id GROUP BY b.doc_id),
+gone AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN gone ON gone.doc_id = b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_decontaminate": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -1,24 +1,31 @@
-"""Removal of repeated byte strings, by suffixes dealt to buckets at anchors.
-
-A suffix array of every byte would hold the corpus many times over. Only
-suffixes that start at *anchors* are partitioned: in each string of LENGTH bytes
-the LEAD-byte substring of least hash (the leftmost of equals) is its anchor, so
-equal strings have equal anchors at equal places, and about one byte in 35
-starts an anchor. Suffixes are dealt by their leading LEAD bytes (the anchor's
-hash), those of one bucket are compared with their left and right context, and
-every string of LENGTH bytes is found at exactly one anchor. Buckets are dealt by
-hash and strings told apart by 64-bit hashes; no suffix is put in byte order.
-
-1. Anchor hashes alone are counted; those met twice make a filter of fixed size.
-2. A second scan emits the anchors that pass it, with LENGTH - LEAD bytes of
-   context on each side. Occurrences with equal context inside one task are
-   combined: all but the first are repeats as a whole and go no further, so a
-   passage copied a million times reaches its bucket once a task.
-3. A bucket's suffixes are sorted by document and place; every string through
-   the anchor is a repeat unless it is the first with its bytes. Buckets of more
-   than HOT_ROWS suffixes with different contexts are dealt again by the hash of
-   the whole string, as a grouped minimum, which splits any one anchor.
-4. Repeated ranges go back to their documents, where they are merged.
+"""Removal of repeated byte strings by a sparse suffix array.
+
+A suffix at every byte would hold the corpus many times over. Suffixes start at
+*anchors*, tokens chosen by content: in each string of LENGTH bytes the LEAD-byte
+substring of least hash (the leftmost of equals) is its anchor. Equal strings have
+equal anchors at equal places, so every repeat is seen at some anchor, and about
+one byte in 35 starts a suffix.
+
+1. Anchors met once lead no repeated string. Each task counts its own anchors and
+   sends one row an anchor to a bucket of anchor hashes; what is met again in its
+   task or in its bucket goes on. The count is exact, and a passage copied a
+   million times reaches its bucket once a task.
+2. Documents emit the suffixes at these anchors: LENGTH bytes to the right of the
+   anchor's start, LENGTH - LEAD to its left. Occurrences with equal bytes on both
+   sides inside one task are combined; all but the first are repeats as a whole.
+3. Splitters sampled from the suffixes range-partition them by their leading bytes
+   (then by document and place, so that one very common passage spreads over many
+   buckets). A bucket is put in order by multikey quicksort, eight bytes at a time.
+   Neighbours are compared byte by byte: runs with equal leads are ordered again by
+   the bytes to their left, and a string that reaches f bytes to the left is told by
+   its run to the right (at least LENGTH - f bytes in common) and to the left (at
+   least f). All but the first of a string's places repeat.
+4. The first and last run of a bucket may go on in the buckets beside it. Strings
+   that are first there are compared across the boundary by their bytes, as a
+   grouped minimum over whole strings.
+5. Repeated ranges go back to their documents, where they are merged.
+
+Hashes only choose anchors and propose; which bytes go is decided on bytes.
 """
 
 from __future__ import annotations
@@ -35,13 +42,22 @@ from pyspark.sql import types
 from . import _base
 
 LENGTH, LEAD = 100, 32
-#: Suffixes of one bucket that are compared in one task.
-HOT_ROWS = 50_000
-#: Suffixes that are compared in one numpy pass.
-PASS_ROWS = 8_192
+REACH = LENGTH - LEAD
+#: Suffixes of a bucket, as sampled splitters cut them on average.
+BUCKET_ROWS = 100_000
+#: Anchors that a task counts at a time.
+COUNTED = 1_000_000
+#: Runs up to this size are ordered by plain sorts in place of further quicksort steps.
+SMALL = 1 << 13
+#: Contexts that a task remembers to combine equal ones; a full table is emptied,
+#: after which equal ones are sent once more.
+SEEN = 100_000
 LEAST_ID = -(2**63)
 
 
+# ---------------------------------------------------------------- anchors
+
+
 def lead_hashes(raw: np.ndarray, lead: int = LEAD) -> np.ndarray:
     """64-bit hash of the lead bytes from each byte on (lead a power of two)."""
     with np.errstate(over="ignore"):
@@ -76,222 +92,322 @@ def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, lead: int =
     return at, h[at]
 
 
-def windows(left: list[bytes], right: list[bytes], length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes with their left context and (lead and) right context: a hash of
-    each string of length bytes through the anchor, by how far it reaches to the
-    left, and whether the contexts are long enough for it."""
-    reach = length - lead
-    row = np.zeros((len(left), 2 * reach), np.uint8)
-    have_l, have_r = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-    for i, (a, b) in enumerate(zip(left, right)):
-        have_l[i], have_r[i] = len(a), len(b)
-        if a:
-            row[i, reach - len(a) : reach] = np.frombuffer(a, np.uint8)
-        if b:
-            row[i, reach : reach + len(b)] = np.frombuffer(b, np.uint8)
-    with np.errstate(over="ignore"):
-        power = _base.powers(_base.MIX_A, 2 * reach)
-        sums = np.zeros((len(left), 2 * reach + 1), np.uint64)
-        np.cumsum(_base.byte_values()[row] * power, axis=1, out=sums[:, 1:])
-        far = np.arange(reach + 1)  # bytes to the left; reach - far to the right
-        start, end = reach - far, 2 * reach - far
-        # aligned to the same power, so that equal strings have equal sums
-        h = (sums[:, end] - sums[:, start]) * power[far + reach - 1]
-        h = _base.mix(h + far.astype(np.uint64) * np.uint64(_base.MIX_C))
-    ok = (far[None, :] <= have_l[:, None]) & (reach - far[None, :] <= have_r[:, None])
-    return h, ok
-
-
-def later(group: np.ndarray, order: np.ndarray, h: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """Which strings are not the first with their bytes in their group: order
-    ranks the suffixes by document and place, equal ranks are one place."""
-    flat = np.flatnonzero(ok.ravel())
-    row = flat // h.shape[1]
-    with np.errstate(over="ignore"):
-        key = h.ravel()[flat] ^ _base.mix(group[row].astype(np.uint64) + np.uint64(_base.MIX_A))
-    by = np.argsort(key, kind="stable")
-    k = key[by]
-    first = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    run = np.cumsum(first) - 1
-    rank = order[row[by]]
-    least = np.minimum.reduceat(rank, np.flatnonzero(first)) if len(k) else rank
-    out = np.zeros(ok.size, bool)
-    out[flat[by]] = rank > least[run] if len(k) else False
-    return out.reshape(ok.shape)
-
-
-def ranges(at: np.ndarray, late: np.ndarray, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the bytes that late strings cover; neighbouring reaches merge."""
-    step = np.diff(np.pad(late.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, lo = np.nonzero(step == 1)
-    hi = np.nonzero(step == -1)[1] - 1
-    return row, at[row] - hi, at[row] - lo + length
+# ---------------------------------------------------------------- 1: anchors met again
+
+MET = "kind int, bucket int, doc long, row long, packed binary"
+PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<u4"), ("sent", "u1")])
+
+
+def by_document(places: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Places of each document as packed 32-bit numbers."""
+    places = places[np.lexsort((places["at"], places["row"], places["doc"]))]
+    doc, row = places["doc"].astype(np.int64), places["row"].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    offs = np.append(new, len(doc)).astype(np.int32) * 4
+    packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offs), pa.py_buffer(places["at"].astype("<u4").tobytes())])
+    bucket = (np.arange(len(new)) % buckets).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(bucket), pa.array(doc[new]), pa.array(row[new]), packed], ["kind", "bucket", "doc", "row", "packed"])
+
+
+def runs_of(h: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places in order, each place once, and the starts of equal hashes."""
+    order = np.lexsort((places["at"], places["row"], places["doc"], h))
+    h, places = h[order], places[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (places["doc"][1:] == places["doc"][:-1]) & (places["row"][1:] == places["row"][:-1]) & (places["at"][1:] == places["at"][:-1])
+    if again.any():  # a repeated row is one document; a place that was sent before stays so
+        group = np.cumsum(~again) - 1
+        sent = np.zeros(group[-1] + 1, np.uint8)
+        np.maximum.at(sent, group, places["sent"])
+        h, places = h[~again], places[~again]
+        places["sent"] = sent
+    return h, places, np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+
+
+def scan_anchors(buckets: int, counted: int = COUNTED):
+    """Kind 1: places of anchors that this task met again. Kind 0: for each bucket
+    the anchors met here, one place each, packed."""
+
+    def flush(h: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, places, new = runs_of(h, places)
+        size = np.diff(np.append(new, len(h)))
+        yield by_document(places[np.repeat(size, size) > 1], 1, buckets)
+        h, places = h[new], places[new]
+        places["sent"] = size > 1
+        # the buckets are equal ranges of the hash
+        at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        blobs = [planes(h[a:b], places[a:b]) for a, b in zip(edge, np.append(edge[1:], len(h)))]
+        none = np.zeros(len(edge), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32)), pa.array(at[edge].astype(np.int32)), pa.array(none), pa.array(none), pa.array(blobs, pa.binary())], ["kind", "bucket", "doc", "row", "packed"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 2):
+                at, h = anchors(raw, offs)
+                own = np.searchsorted(offs, at, "right") - 1
+                places = np.zeros(len(at), PLACE)
+                places["doc"], places["row"] = part.column(0).to_numpy(zero_copy_only=False)[own], part.column(1).to_numpy(zero_copy_only=False)[own]
+                places["at"] = at - offs[own]
+                held.append((h, places))
+                size += len(h)
+                if size >= counted:
+                    yield from flush(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if size:
+            yield from flush(*map(np.concatenate, zip(*held)))
 
-class Merged:
-    """Ranges of documents, gathered as (doc, row) -> packed starts and ends."""
+    return run
 
-    def __init__(self):
-        self.rows: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, doc, row, start, end) -> None:
-        for d, r, a, b in zip(doc, row, start, end):
-            self.rows.setdefault((int(d), int(r)), []).extend((int(a), int(b)))
+def planes(h: np.ndarray, places: np.ndarray) -> bytes:
+    """Hashes and places byte by byte, so that leading zeros lie together."""
+    both = np.hstack([h.astype("<u8").view(np.uint8).reshape(-1, 8), places.view(np.uint8).reshape(-1, PLACE.itemsize)])
+    return both.T.tobytes()
 
 
-def scan_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, raw, offs in _base.passes(batch, 2):
-            _, h = anchors(raw, offs)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["key"])
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8 + PLACE.itemsize, -1).T)
+    return np.ascontiguousarray(both[:, :8]).view("<u8").ravel(), np.ascontiguousarray(both[:, 8:]).view(PLACE).ravel()
 
 
-PARTS = "kind int, h long, doc long, row long, at long, left binary, right binary"
-NAMES = [x.split()[0] for x in PARTS.split(", ")]
-REACH = LENGTH - LEAD
+def settle_anchors(buckets: int):
+    """Over rows of scan_anchors in order of bucket: places of anchors met again."""
 
+    def settled(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if blobs:
+            h, places, new = runs_of(*map(np.concatenate, zip(*map(unpacked, blobs))))
+            size = np.diff(np.append(new, len(h)))
+            yield by_document(places[(np.repeat(size, size) > 1) & (places["sent"] == 0)], 1, buckets)
 
-def emit(kind: int, h, doc, row, at, left, right) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            kind, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield batch.take(pa.array(np.flatnonzero(kind == 1)))
+            for i in np.flatnonzero(kind == 0).tolist():
+                if bucket[i] != now:
+                    yield from settled(held)
+                    now, held = bucket[i], []
+                held.append(batch.column(4)[i].as_py())
+        yield from settled(held)
 
+    return run
 
-def ranged(doc, row, start, end) -> pa.RecordBatch | None:
-    """Kind 1: for each document of a pass, its ranges as packed 64-bit pairs in left."""
-    if not len(doc):
-        return None
-    found = Merged()
-    found.add(doc, row, start, end)
-    keys = list(found.rows)
-    zero = np.zeros(len(keys), np.int64)
-    return emit(1, zero, [k[0] for k in keys], [k[1] for k in keys], zero, [np.array(found.rows[k], np.int64).tobytes() for k in keys], [None] * len(keys))
 
+# ---------------------------------------------------------------- 2: suffixes
 
-def scan_suffixes(shared, seen_bound: int = 2_000_000):
-    """Kind 0: suffixes for the buckets. Kind 1: ranges known to repeat."""
+PARTS = "kind int, doc long, row long, at long, left binary, right binary"
+NAMES = [x.split()[0] for x in PARTS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # first (doc, row, place) of each suffix with whole context seen in this task
-        seen: dict[int, tuple[int, int, int]] = {}
-        for batch in batches:
-            for part, raw, offs in _base.passes(batch, 2):
-                at, h = anchors(raw, offs)
-                pick = shared.value.has(h)
-                at, h = at[pick], h[pick]
-                if not len(at):
-                    continue
-                if len(seen) > seen_bound:
-                    seen.clear()
-                doc, row = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                own = np.searchsorted(offs, at, "right") - 1
-                a, b = np.maximum(at - REACH, offs[own]), np.minimum(at + LEAD + REACH, offs[own + 1])
-                # a hash of all the bytes from a to b tells equal contexts apart
-                whole = (at - a == REACH) & (b - at == LEAD + REACH)
-                with np.errstate(over="ignore"):
-                    x = lead_hashes(raw, 128) if len(raw) >= 128 else np.zeros(0, np.uint64)
-                    key = np.zeros(len(at), np.uint64)
-                    w = np.flatnonzero(whole)
-                    key[w] = _base.mix(x[a[w]] * np.uint64(_base.MIX_B) + x[b[w] - 128])
-                keep = np.ones(len(at), bool)
-                known, place, d_, r_ = key.tolist(), (at - offs[own]).tolist(), doc[own].tolist(), row[own].tolist()
-                for i in w.tolist():
-                    mine = (d_[i], r_[i], place[i])
-                    first = seen.get(known[i])
-                    if first is None or mine <= first:
-                        seen[known[i]] = mine  # an earlier one is sent too; its bucket sorts it out
-                    else:
-                        keep[i] = False
-                gone = np.flatnonzero(~keep)
-                start = at[gone] - offs[own[gone]] - REACH
-                made = ranged(doc[own[gone]], row[own[gone]], start, start + LEAD + 2 * REACH)
-                if made:
-                    yield made
-                k = np.flatnonzero(keep)
-                blob = raw.tobytes()
-                yield emit(0, h[k].view(np.int64), doc[own[k]], row[own[k]], (at - offs[own])[k], [blob[p:q] for p, q in zip(a[k], at[k])], [blob[p:q] for p, q in zip(at[k] + LEAD, b[k])])
 
-    return run
+def emit(kind: int, doc, row, at, left, right) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], NAMES)
 
 
-def compare(hot_rows: int):
-    """Buckets in order of (h, doc, row, at). Kind 1: ranges. Kind 2: strings of a
-    hot bucket, one row each, the string's hash in h."""
+def ranged(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Kind 1: for each document its ranges, as packed 64-bit pairs in left."""
+    if len(doc):
+        order = np.lexsort((end, start, row, doc))
+        doc, row = doc[order], row[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+        pairs = np.c_[start[order], end[order]].astype(np.int64)
+        left = [union_of(pairs[a:b]).tobytes() for a, b in zip(new, np.append(new[1:], len(doc)))]
+        yield emit(1, doc[new], row[new], np.zeros(len(new), np.int64), left, [None] * len(new))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        hot: int | None = None
-
-        def settle(rows: pa.Table, as_hot: bool) -> Iterator[pa.RecordBatch]:
-            h, doc, row, at = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
-            left, right = rows.column(5).to_pylist(), rows.column(6).to_pylist()
-            new = np.r_[True, h[1:] != h[:-1]]
-            if not as_hot:
-                size = np.diff(np.r_[np.flatnonzero(new), len(h)])
-                pick = np.flatnonzero(np.repeat(size, size) > 1)
-                h, doc, row, at, left, right = h[pick], doc[pick], row[pick], at[pick], [left[i] for i in pick], [right[i] for i in pick]
-                if not len(h):
-                    return
-                new = np.r_[True, h[1:] != h[:-1]]
-            moved = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | new[1:]]
-            code, ok = windows(left, right)
-            if as_hot:
-                r, far = np.nonzero(ok)
-                with np.errstate(over="ignore"):
-                    key = code[r, far] ^ _base.mix(h[r].view(np.uint64))
-                none = [None] * len(r)
-                yield emit(2, key.view(np.int64), doc[r], row[r], at[r] - far, none, none)
-                return
-            late = later(h, np.cumsum(moved), code, ok)
-            r, start, end = ranges(at, late)
-            made = ranged(doc[r], row[r], start, end)
-            if made:
-                yield made
-
-        def whole(tables: list[pa.RecordBatch]) -> pa.Table:
-            return pa.Table.from_batches(tables).combine_chunks()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows = sum(b.num_rows for b in held)
-            if rows < PASS_ROWS:
+def emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (doc, row, text, places): kind 0 are suffixes (left context, bytes from
+    the anchor on), kind 1 ranges known to repeat."""
+    seen: dict[bytes, tuple[int, int, int]] = {}
+    for batch in batches:
+        for part, raw, offs in _base.passes(batch, 2):
+            doc, row = part.column(0).to_pylist(), part.column(1).to_pylist()
+            blob, out, gone = raw.tobytes(), [], []
+            for i, packed in enumerate(part.column(3).to_pylist()):
+                lo, hi = int(offs[i]), int(offs[i + 1])
+                for at in np.unique(np.frombuffer(b"".join(packed), "<u4")).tolist():
+                    a, m, b = max(lo, lo + at - REACH), lo + at, min(hi, lo + at + LENGTH)
+                    left, right = blob[a:m], blob[m:b]
+                    mine = (doc[i], row[i], at)
+                    if m - a == REACH and b - m == LENGTH:
+                        first = seen.get(left + right)
+                        if first is not None and mine > first:
+                            gone.append(mine)
+                            continue
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen[left + right] = mine  # an earlier one is sent too; its bucket sorts it out
+                    out.append((*mine, left, right))
+            if gone:
+                d, r, at = (np.array(x, np.int64) for x in zip(*gone))
+                yield from ranged(d, r, at - REACH, at + LENGTH)
+            if out:
+                yield emit(0, *zip(*out))
+
+
+# ---------------------------------------------------------------- 3: order and comparison
+
+
+def matrix(col: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column as rows of width bytes, zeros after their end, and
+    their lengths; backwards puts the last byte first."""
+    _, offsets, data = col.cast(pa.large_binary()).buffers()
+    offs = np.frombuffer(offsets, np.int64)[: len(col) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    size = np.diff(offs)
+    step = np.arange(width)
+    at = offs[1:, None] - 1 - step if backwards else offs[:-1, None] + step
+    out = raw[np.clip(at, 0, len(raw) - 1)]
+    out[step[None, :] >= size[:, None]] = 0
+    return out, size
+
+
+def words_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit numbers that order alike."""
+    pad = -rows.shape[1] % 8
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
+
+
+def multikey_quicksort(words: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """Order of rows of words: three ways around a pivot at one word, the middle
+    part again at the next word. Parts of at most small rows end in plain sorts."""
+    order = np.arange(len(words))
+    stack = [(0, len(words), 0)]
+    while stack:
+        lo, hi, depth = stack.pop()
+        if hi - lo < 2 or depth == words.shape[1]:
+            continue
+        own = order[lo:hi]
+        if hi - lo <= small:
+            order[lo:hi] = own[np.lexsort(words[own, depth:].T[::-1])]
+            continue
+        w = words[own, depth]
+        some = np.sort(w[:: max(1, len(w) // 9)][:9])
+        pivot = some[len(some) // 2]
+        less, same = w < pivot, w == pivot
+        a, b = lo + int(less.sum()), lo + int(less.sum()) + int(same.sum())
+        order[lo:hi] = np.concatenate([own[less], own[same], own[w > pivot]])
+        stack += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
+    return order
+
+
+def common(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        differ = rows[1:] != rows[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def longest(lcp: np.ndarray) -> np.ndarray:
+    """The most that each row has in common with either neighbour."""
+    return np.maximum(lcp, np.append(lcp[1:], 0))
+
+
+class Bucket:
+    """Suffixes between two splitters."""
+
+    def __init__(self, rows: pa.Table):
+        self.doc, self.row, self.at = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        self.left, self.n_left = matrix(rows.column(4).combine_chunks(), REACH, backwards=True)
+        self.right, self.n_right = matrix(rows.column(5).combine_chunks(), LENGTH)
+        place = np.lexsort((self.at, self.row, self.doc))
+        d, r, a = self.doc[place], self.row[place], self.at[place]
+        moved = np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] != a[:-1])]
+        #: Rank of each suffix by document and place; equal ranks are one place.
+        self.rank = np.empty(len(place), np.int64)
+        self.rank[place] = np.cumsum(moved)
+
+    def take(self, keep: np.ndarray) -> None:
+        for name in ("doc", "row", "at", "left", "n_left", "right", "n_right", "rank"):
+            setattr(self, name, getattr(self, name)[keep])
+
+    def combine(self) -> Iterator[pa.RecordBatch]:
+        """Puts the suffixes in order; of those equal on both sides the first stays,
+        and the others are repeats as a whole."""
+        lens = (self.n_left << 32 | self.n_right).astype(np.uint64)
+        key = np.hstack([words_of(self.right), words_of(self.left), lens[:, None]])
+        order = multikey_quicksort(key)
+        key = key[order]
+        self.take(order)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        size = np.diff(np.append(new, len(key)))
+        least = np.repeat(np.minimum.reduceat(self.rank, new), size)
+        gone = np.flatnonzero((self.rank > least) & (self.n_left + self.n_right >= LENGTH))
+        yield from ranged(self.doc[gone], self.row[gone], self.at[gone] - self.n_left[gone], self.at[gone] + self.n_right[gone])
+        run = np.repeat(np.arange(len(new)), size)
+        firsts = np.flatnonzero(self.rank == least)
+        self.take(firsts[np.r_[True, run[firsts][1:] != run[firsts][:-1]]])  # repeated rows are one
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix and reach f to the left: whether the string of LENGTH bytes
+        from there is in the bucket before, and whether it is in the document at all.
+        Leaves only suffixes that may have a partner, here or in a bucket beside."""
+        lcp = common(self.right)
+        run = np.cumsum(lcp < LEAD)
+        edge = (run == run[0]) | (run == run[-1])
+        most = longest(lcp)
+        keep = np.flatnonzero((most >= LEAD) | edge)
+        self.take(keep)
+        lcp, edge = common(self.right), edge[keep]
+        run = np.cumsum(lcp < LEAD)
+        most = longest(lcp)
+        # the same runs in order of the bytes to their left
+        by = multikey_quicksort(np.hstack([run[:, None].astype(np.uint64), words_of(self.left)]))
+        lcs = common(self.left[by])
+        lcs[np.r_[True, run[by][1:] != run[by][:-1]]] = -1
+        side = np.empty(len(by), np.int64)
+        side[by] = np.arange(len(by))
+        reach = np.maximum(lcs, np.append(lcs[1:], -1))[side]
+        far = np.arange(REACH + 1)
+        ok = (far[None, :] <= self.n_left[:, None]) & (LENGTH - far[None, :] <= self.n_right[:, None])
+        late = np.zeros(ok.shape, bool)
+        for f in far.tolist():
+            pick = np.flatnonzero(ok[:, f] & (most >= LENGTH - f) & (reach >= f))
+            if not len(pick):
                 continue
-            every = whole(held)
-            h = every.column(1).to_numpy()
-            edge = int(np.searchsorted(h, h[-1], "left"))  # sorted: the last bucket may go on
-            if hot is not None and h[0] == hot:
-                cut = int(np.searchsorted(h, hot, "right"))
-                yield from settle(every.slice(0, cut), True)
-                every, edge = every.slice(cut), max(0, edge - cut)
-                if not every.num_rows:
-                    held = []
-                    continue
-            hot = None
-            if edge:
-                yield from settle(every.slice(0, edge), False)
-                every = every.slice(edge)
-            if every.num_rows > hot_rows:
-                hot = int(every.column(1)[0].as_py())
-                yield from settle(every, True)
-                every = every.slice(0, 0)
-            held = every.to_batches() if every.num_rows else []
-        if held:
-            every = whole(held)
-            if hot is not None:
-                cut = int(np.searchsorted(every.column(1).to_numpy(), hot, "right"))
-                if cut:
-                    yield from settle(every.slice(0, cut), True)
-                every = every.slice(cut)
-            if every.num_rows:
-                yield from settle(every, False)
+            right = np.cumsum(lcp < LENGTH - f)
+            left = np.cumsum(lcs < f)[side]
+            key = right[pick] * (len(by) + 1) + left[pick]
+            order = np.lexsort((self.rank[pick], key))
+            key, own, rank = key[order], pick[order], self.rank[pick][order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            late[own, f] = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+        self.edge = edge
+        return late, ok
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket. Kind 1: ranges that repeat. Kind 2: strings in right that come
+    first in a run that may go on in another bucket, with their place."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    bucket = Bucket(pa.Table.from_batches(held))
+    held.clear()
+    yield from bucket.combine()
+    late, ok = bucket.repeats()
+    step = np.diff(np.pad(late.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    i, lo = np.nonzero(step == 1)
+    hi = np.nonzero(step == -1)[1] - 1
+    yield from ranged(bucket.doc[i], bucket.row[i], bucket.at[i] - hi, bucket.at[i] - lo + LENGTH)
+    i, far = np.nonzero(ok & ~late & bucket.edge[:, None])
+    for a in range(0, len(i), 20_000):
+        own, f = i[a : a + 20_000], far[a : a + 20_000]
+        whole = np.hstack([bucket.left[own][:, ::-1], bucket.right[own]])
+        strings = whole[np.arange(len(own))[:, None], (REACH - f)[:, None] + np.arange(LENGTH)]
+        yield emit(2, bucket.doc[own], bucket.row[own], bucket.at[own] - f, [None] * len(own), [s.tobytes() for s in strings])
 
-    return run
+
+# ---------------------------------------------------------------- 5: documents
 
 
-def union_of(packed: list[bytes]) -> np.ndarray:
+def union_of(x: np.ndarray) -> np.ndarray:
     """Sorted disjoint ranges, as rows of start and end; ranges that touch are one."""
-    x = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
     x = x[np.argsort(x[:, 0], kind="stable")]
     top = np.maximum.accumulate(x[:, 1])
     new = np.r_[True, x[1:, 0] > top[:-1]]
@@ -309,14 +425,14 @@ def cut(text: pd.Series, packed: pd.Series) -> pd.DataFrame:
         if p is None or not len(p):
             rows.append((len(raw), 0, 0, b"", raw))
             continue
-        u = union_of(list(p))
+        u = union_of(np.frombuffer(b"".join(p), np.int64).reshape(-1, 2))
         ends = [0, *u[:, 1].tolist()]
         starts = [*u[:, 0].tolist(), len(raw)]
         rows.append((len(raw), int((u[:, 1] - u[:, 0]).sum()), len(u), u.tobytes(), b"".join(raw[a:b] for a, b in zip(ends, starts))))
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", hot_rows: int = HOT_ROWS, filter_bits: int = 26) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", bucket_rows: int = BUCKET_ROWS, counted: int = COUNTED) -> DataFrame:
     """One row a row of docs: id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
     removed runs), ``spans`` (their starts and ends as packed 64-bit numbers) and
     ``kept`` (the bytes left, binary: a cut may fall inside a character).
@@ -326,28 +442,37 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", hot_rows: in
     judged on the input and never cross documents. A null text is empty; a null
     id sorts first. Rows that repeat an id and its text are one document and get
     the same result; rows of one id with different texts are ordered by a
-    fingerprint of the text.
+    fingerprint of the text. Other columns are not read.
     """
     spark = docs.sparkSession
     _base.small_batches(spark)
     scratch = _base.Scratch(spark)
     rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text_"))
 
-    keys = rows.mapInArrow(scan_hashes, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    keys = scratch.keep(keys, "keys")
-    shared = _base.Shared(spark, _base.key_filter(keys, keys.count(), filter_bits))
-    scratch.drop("keys")
-
-    parts = scratch.keep(rows.mapInArrow(scan_suffixes(shared), PARTS), "suffixes")
-    buckets = parts.filter("kind = 0").repartition("h").sortWithinPartitions("h", "doc", "row", "at")
-    found = scratch.keep(buckets.mapInArrow(compare(hot_rows), PARTS), "found")
-
-    strings = found.filter("kind = 2").select("h", "doc", "row", "at")
-    first = strings.groupBy("h").agg(F.min(F.struct("doc", "row", "at")).alias("first"))
-    again = strings.join(first, "h").filter(F.struct("doc", "row", "at") > F.col("first"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.mapInArrow(scan_anchors(buckets, counted), MET).repartition("bucket").sortWithinPartitions("bucket")
+    met = scratch.keep(met.mapInArrow(settle_anchors(buckets), MET).select("doc", "row", "packed"), "met")
+    scratch.free_shuffles()
+
+    places = met.groupBy("doc", "row").agg(F.collect_list("packed").alias("places"))
+    own = rows.join(places, ["doc", "row"]).select("doc", "row", "text_", "places")
+    parts = scratch.keep(own.mapInArrow(emit_suffixes, PARTS), "suffixes")
+    scratch.drop("met")
+    scratch.free_shuffles()
+
+    suffixes = parts.filter("kind = 0")
+    n = max(1, -(-suffixes.count() // bucket_rows))
+    dealt = suffixes.repartitionByRange(n, "right", "doc", "row", "at")
+    found = scratch.keep(dealt.mapInArrow(compare, PARTS), "found")
+    known = scratch.keep(parts.filter("kind = 1").select("doc", "row", F.col("left").alias("packed")), "known")
+    scratch.drop("suffixes")
+    scratch.free_shuffles()
+
+    strings = found.filter("kind = 2").select("right", "doc", "row", "at")
+    first = strings.groupBy("right").agg(F.min(F.struct("doc", "row", "at")).alias("first"))
+    again = strings.join(first, "right").filter(F.struct("doc", "row", "at") > F.col("first"))
     pair = F.unhex(F.concat(*[little_endian(x) for x in (F.col("at"), F.col("at") + LENGTH)]))
-    late = parts.filter("kind = 1").select("doc", "row", F.col("left").alias("packed"))
-    late = late.unionByName(found.filter("kind = 1").select("doc", "row", F.col("left").alias("packed")))
+    late = known.unionByName(found.filter("kind = 1").select("doc", "row", F.col("left").alias("packed")))
     late = late.unionByName(again.select("doc", "row", pair.alias("packed")))
     by_doc = late.groupBy("doc", "row").agg(F.collect_list("packed").alias("packed"))
 

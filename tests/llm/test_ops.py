@@ -6,6 +6,7 @@ import random
 import re
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,19 +332,38 @@ def test_primal_form_equals_kernel():
 # ---------------------------------------------------------------- suffixes
 
 
-@pytest.mark.parametrize("hot", [50_000, 15])
-def test_suffixes(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PASS_ROWS", 8192 if hot > 15 else 16)
+@pytest.mark.parametrize("bucket_rows,counted", [(100_000, 1_000_000), (25, 40)])
+def test_suffixes(spark, bucket_rows, counted):
     random.seed(3)
     text = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
     shared = [text(n) for n in (99, 100, 101, 150, 400)]
     rows = [(i, "".join(random.choice([text(random.randint(0, 130)), random.choice(shared), random.choice(shared)[30:]]) for _ in range(random.randint(0, 5)))) for i in range(110)]
-    rows += [(200, None), (201, ""), (202, "ab" * 150), (203, "é" * 120), (204, shared[4]), (205, rows[3][1]), (None, shared[3])]
+    rows += [(200, None), (201, ""), (202, "ab" * 150), (203, "é" * 120), (204, shared[4]), (205, rows[3][1]), (206, "\0" * 130), (207, "x" + "\0" * 120), (None, shared[3])]
     df = frame(spark, rows, extra=True).unionByName(frame(spark, [(204, shared[4])], extra=True))  # a repeated row
-    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(df, hot_rows=hot).collect()}
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(df, bucket_rows=bucket_rows, counted=counted).collect()}
     assert got == set(H.repeats_removed(rows))
 
 
+def test_hot_suffix_spans_buckets(spark):
+    """One passage in every document, before and after it other text each time."""
+    random.seed(4)
+    text = lambda n: "".join(random.choice("abcd") for _ in range(n))
+    common, rows = text(70), []
+    for i in range(300):
+        rows.append((i, text(20) + random.choice("xy") * 25 + common + random.choice("zw") * 25 + text(20)))
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(frame(spark, rows), bucket_rows=20, counted=100).collect()}
+    assert got == set(H.repeats_removed(rows))
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(5)
+    for spread in (2, 50, 1 << 60):
+        words = rng.integers(0, spread, (3000, 4)).astype(np.uint64)
+        for small in (1, 100, 5000):
+            order = suffix_dedup.multikey_quicksort(words, small)
+            assert words[order].tolist() == sorted(words.tolist()) and sorted(order.tolist()) == list(range(3000))
+
+
 def test_suffixes_of_nothing(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 

@@ -105,7 +105,8 @@ def by_document(places: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.zeros(0, np.int64)
     offs = np.append(new, len(doc)).astype(np.int32) * 4
     packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offs), pa.py_buffer(places["at"].astype("<u4").tobytes())])
-    bucket = (np.arange(len(new)) % buckets).astype(np.int32)
+    with np.errstate(over="ignore"):  # only passes through: any bucket will do
+        bucket = (_base.mix((doc[new] ^ row[new]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int32)), pa.array(bucket), pa.array(doc[new]), pa.array(row[new]), packed], ["kind", "bucket", "doc", "row", "packed"])
 
 

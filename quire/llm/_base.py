@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is one pass.
 PASS_BYTES = 1 << 21
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is one batch.
+BATCH_BYTES = 1 << 23
 
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -91,10 +93,11 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are counted in rows; whole texts are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 500:
-        spark.conf.set(key, 500)
+    """Arrow batches are counted in rows by default; whole texts and sets are long
+    rows, so batches are bounded in bytes too, for this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def unused(df: DataFrame, stem: str) -> str:
@@ -112,9 +115,11 @@ def ascii_lower(c):
 
 class Carried:
     """The columns of a scan in Python: those to keep, under names that cannot
-    clash, and the text once, wherever it stands."""
+    clash, and the text once, wherever it stands. Of columns to keep that have the
+    name of one in made (in any letter case) the made one takes the place."""
 
-    def __init__(self, docs: DataFrame, keep: list[str], text: str):
+    def __init__(self, docs: DataFrame, keep: list[str], text: str, made: list[str] = []):  # noqa: B006
+        keep = [c for c in keep if c.lower() not in made]
         self.keep, self.names = keep, [f"c{i}" for i in range(len(keep))]
         cols = [F.col(c).alias(n) for c, n in zip(keep, self.names)]
         self.text = keep.index(text) if text in keep else len(keep)
@@ -122,6 +127,10 @@ class Carried:
         kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema.fields}
         self.schema = ", ".join(f"`{n}` {kinds[n]}" for n in self.names)
 
+    def with_columns(self, *more: str) -> str:
+        """The schema of the kept columns and more."""
+        return ", ".join([*[self.schema] * bool(self.schema), *more])
+
     def columns(self, part: pa.RecordBatch) -> list[pa.Array]:
         return part.columns[: len(self.names)]
 

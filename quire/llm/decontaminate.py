@@ -95,7 +95,8 @@ def _blocks(benchmark: DataFrame, text: str, id_: str, window: int, block: int)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, block: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
-    """One row a document: the columns in keep (the id alone by default), ``n_words long``, ``hits array<struct<start,end>>``
+    """One row a document: the columns in keep (the id alone by default; the result's own
+    columns replace any of their names), ``n_words long``, ``hits array<struct<start,end>>``
     (runs of hit words, word positions, end exclusive) and ``items array<string>``
     (ids of items with a window in the text, sorted as strings).
 
@@ -107,11 +108,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: st
     spark = docs.sparkSession
     _base.small_batches(spark)
     keep = [id_] if keep is None else keep
-    held = _base.Carried(docs, keep if text in keep else [*keep, text], text)
+    made = ["n_words", "hits", "items"]
+    held = _base.Carried(docs, keep if text in keep else [*keep, text], text, made)
     out = held.rows
     for grams in _blocks(benchmark, item_text, item_id, window, block):
-        out = out.mapInArrow(_scan(_base.Shared(spark, grams), held), f"{held.schema}, n_words long, {FOUND}")
-    return held.back(out, "n_words", "hits", "items").select(*keep, "n_words", "hits", "items")
+        out = out.mapInArrow(_scan(_base.Shared(spark, grams), held), held.with_columns("n_words long", FOUND))
+    return held.back(out, *made).select(*[c for c in keep if c.lower() not in made], *made)
 
 
 FOUND = "hits array<struct<start: long, end: long>>, items array<string>"

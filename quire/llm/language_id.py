@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_
     alphabetical order; equal texts give equal values."""
     _base.small_batches(docs.sparkSession)
     shared = _base.Shared(docs.sparkSession, model)  # slots x languages, fixed size
-    held = _base.Carried(docs, [id_] if keep is None else keep, text)
+    held = _base.Carried(docs, [id_] if keep is None else keep, text, ["lang_pred", "score"])
     at = held.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,5 +155,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_
                 scores = pa.array([float(share[i]) if x else 0.0 for i, x in enumerate(ok)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*held.columns(part), langs, scores], [*held.names, "lang_pred", "score"])
 
-    out = held.rows.mapInArrow(run, f"{held.schema}, lang_pred string, score double")
+    out = held.rows.mapInArrow(run, held.with_columns("lang_pred string", "score double"))
     return held.back(out, "lang_pred", "score")

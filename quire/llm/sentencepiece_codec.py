@@ -4,10 +4,14 @@ No piece of the vocabulary continues past a whitespace marker, and none but the
 byte pieces holds a newline. A text therefore falls into chunks (a run of
 markers with what follows it, cut after each newline) whose ids do not depend on
 their neighbours: each distinct chunk is segmented once and the ids are joined
-back by position. The table lives in the task, with a bound on its size. A table
-for the whole corpus would have to shuffle every word occurrence to join ids
-back, several times the input; a task's table meets nearly all repeats of a
-skewed vocabulary with no shuffle at all.
+back by position.
+
+Chunks are counted over the whole corpus, distinct ones only being shuffled. The
+TABLE_CHUNKS met most often are segmented once and their ids broadcast, a table
+of at most TABLE_CHUNKS entries of ENTRY_BYTES. The rare rest is segmented where it
+stands, each distinct chunk once a pass of a task. Shuffling every occurrence to
+join ids back would move the text several times over. Bytes are cut, told apart
+and joined back by numpy and Arrow; Python sees distinct chunks alone.
 """
 
 from __future__ import annotations
@@ -23,12 +27,11 @@ from pyspark.sql import functions as F
 from . import _base
 
 MARK = "▁"
-#: Fixed bound on a task's table; a full table is emptied and refilled.
-TABLE_CHUNKS = 300_000
-#: Chunks longer than this are segmented in place and not kept.
-LONG_CHUNK = 64
-#: Up to and with a newline, or up to the next run of markers.
-CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*\n?|[^ {MARK}\n]*\n|[^ {MARK}\n]+")
+#: Bounds of the broadcast table: entries, and bytes of a chunk in it. Longer
+#: chunks are segmented where they stand.
+TABLE_CHUNKS, ENTRY_BYTES = 100_000, 128
+#: Distinct chunks that a task counts at a time.
+COUNTED = 500_000
 
 
 def check_model(model: bytes) -> None:
@@ -43,73 +46,149 @@ def check_model(model: bytes) -> None:
         raise ValueError(f"chunks of this model are not independent: {bad[:5] or n.name}")
 
 
-class ChunkTable:
-    """Distinct chunks and their ids, as one growing array with starts and lengths."""
-
-    def __init__(self, model: bytes, bound: int = TABLE_CHUNKS):
+def chunks_of(raw: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of a slice of texts, each text with a space before it, and the
+    first chunk of each text (and after the last)."""
+    some = np.diff(offs) > 0
+    buf = np.insert(raw, offs[:-1][some], 32)
+    top = offs + np.r_[0, np.cumsum(some)]
+    lead = buf == 32
+    end = lead.copy()
+    mark = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)) if len(buf) > 2 else np.zeros(0, np.int64)
+    lead[mark], end[mark + 2] = True, True
+    cut = lead
+    cut[1:] &= ~end[:-1]
+    cut[1:] |= buf[:-1] == 10
+    cut[top[:-1][some]] = True
+    starts = np.flatnonzero(cut)
+    bounds = np.append(starts, len(buf)).astype(np.int64)
+    chunks = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))])
+    return chunks.dictionary_encode(), np.searchsorted(starts, top)
+
+
+class Segmenter:
+    """Ids of single chunks."""
+
+    def __init__(self, model: bytes):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.mark, self.newline, self.bound = self.sp.piece_to_id(MARK), self.sp.encode("\n")[1:], bound
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def segment(self, chunk: str) -> np.ndarray:
-        if chunk[0] in (" ", MARK):
-            rest = chunk[1:]
-            return np.array(self.sp.encode(rest) if rest else [self.mark], np.int32)
-        return np.array(self.sp.encode("\n" + chunk)[1 + len(self.newline) :], np.int32)
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(self.known) > self.bound:
-            self.clear()
-        known, ids, parts = self.known, self.ids, []
-        for chunk in CHUNK.findall(" " + text):
-            at = known.get(chunk)
-            if at is None:
-                found = self.segment(chunk)
-                if len(chunk) > LONG_CHUNK:
-                    parts.append(found)
-                    continue
-                at = known[chunk] = len(ids)
-                ids.append(found)
-            parts.append(ids[at])
-        return np.concatenate(parts)
-
-
-def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+        self.mark, self.skip = self.sp.piece_to_id(MARK), len(self.sp.encode("\n"))
+
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The library puts a marker before a text: that of the chunk itself, or one
+        before a newline whose ids are left out."""
+        marked = [c[0] in (" ", MARK) for c in chunks]
+        out = self.sp.encode([c[1:] if m else "\n" + c for c, m in zip(chunks, marked)], num_threads=1)
+        return [(x or [self.mark]) if m else x[self.skip :] for x, m in zip(out, marked)]
+
+
+def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array with n + 1 offsets."""
+    offs = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=offs[1:])
+    return np.fromiter((i for x in lists for i in x), np.int32, int(offs[-1])), offs
+
+
+class Table:
+    """Chunks met often, with their ids."""
+
+    def __init__(self, chunks: list[str], ids: list[list[int]]):
+        self.place = {c: i for i, c in enumerate(chunks)}
+        self.ids, self.offs = joined(ids)
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray, segmenter: Segmenter) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of texts, and their n + 1 offsets."""
+        chunks, first = chunks_of(raw, offs)
+        names, own = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        at = np.array([self.place.get(c, -1) for c in names], np.int64)
+        rare = np.flatnonzero(at < 0)
+        ids, ends = joined(segmenter.segment([names[i] for i in rare.tolist()]))
+        start, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        known = at >= 0
+        start[known], size[known] = self.offs[at[known]], np.diff(self.offs)[at[known]]
+        start[rare], size[rare] = ends[:-1] + len(self.ids), np.diff(ends)
+        sizes = size[own]
+        before = np.r_[0, np.cumsum(sizes)]
+        flat = np.concatenate([self.ids, ids])[np.repeat(start[own] - before[:-1], sizes) + np.arange(before[-1])]
+        return flat, before[first]
+
+
+def scan_chunks(counted: int):
+    """Distinct chunks of a task and how often it met them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def combined() -> pa.Table:
+            return pa.concat_tables(held).group_by("chunk").aggregate([("n", "sum")]).rename_columns(["chunk", "n"])
+
+        def sent(table: pa.Table) -> list[pa.RecordBatch]:
+            return table.cast(pa.schema([("chunk", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            for _, raw, offs in _base.passes(batch, 1):
+                chunks, _ = chunks_of(raw, offs)
+                n = np.bincount(chunks.indices.to_numpy(), minlength=len(chunks.dictionary))
+                held.append(pa.table({"chunk": chunks.dictionary, "n": n}))
+                size += len(n)
+                if size > counted:
+                    held = [combined()]
+                    size = held[0].num_rows
+                    if 2 * size > counted:
+                        yield from sent(held[0])
+                        held, size = [], 0
+        if held:
+            yield from sent(combined())
+
+    return run
+
+
+def common_chunks(docs: DataFrame, model: bytes, text: str = "text", entries: int = TABLE_CHUNKS, counted: int = COUNTED) -> Table:
+    """The chunks of the whole corpus that are met most often, each segmented once."""
+    shared = _base.Shared(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segmenter.segment(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
+
+    found = docs.select(F.lit(0).alias("zero_"), F.col(text).alias("text_")).mapInArrow(scan_chunks(counted), "chunk string, n long")
+    often = found.groupBy("chunk").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.octet_length("chunk") <= ENTRY_BYTES))
+    often = often.orderBy(F.desc("n"), "chunk").limit(entries).select("chunk")
+    rows = often.mapInArrow(run, "chunk string, ids array<int>").toArrow()  # at most so many entries
+    return Table(rows["chunk"].to_pylist(), rows["ids"].to_pylist())
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id", keep: list[str] | None = None, decoded: bool = False, entries: int = TABLE_CHUNKS, counted: int = COUNTED) -> DataFrame:
     """Adds ``ids array<int>`` (and ``decoded string``: those ids put through the
-    library's decode) to the columns in keep (the id alone by default).
+    library's decode) to the columns in keep (the id alone by default; of these the
+    result's own columns replace any of their names).
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows
     give repeated results; other columns are not read.
     """
     check_model(model)
     _base.small_batches(docs.sparkSession)
-    held = _base.Carried(docs, [id_] if keep is None else keep, text)
-    shared = _base.Shared(docs.sparkSession, model)  # one file of fixed size
+    more = ["ids", *["decoded"] * decoded]
+    held = _base.Carried(docs, [id_] if keep is None else keep, text, more)
+    shared = _base.Shared(docs.sparkSession, (model, common_chunks(docs, model, text, entries, counted)))  # of bounded size
     at = held.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(shared.value)
+        model, table = shared.value
+        segmenter = Segmenter(model)
         for batch in batches:
-            for part, _, _ in _base.passes(batch, at):
-                ids = [table.encode(t or "") for t in part.column(at).to_pylist()]
-                offs = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offs[1:])
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                cols = [*held.columns(part), pa.ListArray.from_arrays(pa.array(offs), flat)]
+            for part, raw, offs in _base.passes(batch, at):
+                flat, ends = table.encode(raw, offs, segmenter)
+                cols = [*held.columns(part), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded:
-                    cols.append(pa.array([table.sp.decode(x.tolist()) if len(x) else "" for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*held.names, "ids", *["decoded"] * decoded])
+                    lists = [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+                    cols.append(pa.array(segmenter.sp.decode(lists, num_threads=1) if lists else [], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, [*held.names, *more])
 
-    out = held.rows.mapInArrow(run, ", ".join([held.schema, "ids array<int>"] + ["decoded string"] * decoded))
-    return held.back(out, "ids", *["decoded"] * decoded)
+    out = held.rows.mapInArrow(run, held.with_columns("ids array<int>", *["decoded string"] * decoded))
+    return held.back(out, *more)
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", id_: str = "doc_id") -> DataFrame:
@@ -117,7 +196,7 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", id_: str = "doc_id")
     shared = _base.Shared(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = ChunkTable(shared.value).sp
+        sp = Segmenter(shared.value).sp
         for batch in batches:
             texts = [sp.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id_", "decoded"])

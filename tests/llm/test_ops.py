@@ -93,8 +93,12 @@ def test_codec(spark):
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(df, model), model)
     assert {(r.doc_id, r.decoded) for r in back.collect()} == {(i, d) for i, _, d in got}
     assert sentencepiece_codec.encode(frame(spark, []), model).count() == 0
-    table = sentencepiece_codec.ChunkTable(model, bound=3)  # a table that overflows again and again
-    assert all(list(table.encode(t or "")) == sp.encode(t or "") for _, t in rows)
+    for entries, counted in ((0, 10), (3, 1), (40, 100)):  # tables that hold nothing, little, and are counted in parts
+        got = {(r.doc_id, tuple(r.ids)) for r in sentencepiece_codec.encode(df, model, entries=entries, counted=counted).collect()}
+        assert got == {(i, tuple(sp.encode(t or ""))) for i, t in rows}
+    wide = frame(spark, [(1, "a b")]).withColumns({"IDS": F.lit("x"), "other": F.lit("y")})
+    assert sentencepiece_codec.encode(wide, model, keep=["IDS", "other"]).columns == ["other", "ids"]
+    assert sentencepiece_codec.encode(wide, model, keep=["IDS"]).first().ids == sp.encode("a b")
 
 
 # ---------------------------------------------------------------- lines

@@ -7,7 +7,7 @@ their neighbours: each distinct chunk is segmented once and the ids are joined
 back by position.
 
 Chunks are counted over the whole corpus, distinct ones only being shuffled. The
-TABLE_CHUNKS met most often are segmented once and their ids broadcast, a table
+(up to) TABLE_CHUNKS met most often are segmented once and their ids broadcast, a table
 of at most TABLE_CHUNKS entries of ENTRY_BYTES. The rare rest is segmented where it
 stands, each distinct chunk once a pass of a task. Shuffling every occurrence to
 join ids back would move the text several times over. Bytes are cut, told apart
@@ -153,10 +153,19 @@ def common_chunks(docs: DataFrame, model: bytes, text: str = "text", entries: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(segmenter.segment(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["chunk", "ids"])
 
+    scratch = _base.Scratch(docs.sparkSession)
     found = docs.select(F.lit(0).alias("zero_"), F.col(text).alias("text_")).mapInArrow(scan_chunks(counted), "chunk string, n long")
-    often = found.groupBy("chunk").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.octet_length("chunk") <= ENTRY_BYTES))
-    often = often.orderBy(F.desc("n"), "chunk").limit(entries).select("chunk")
+    counts = found.groupBy("chunk").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.octet_length("chunk") <= ENTRY_BYTES))
+    counts = scratch.keep(counts.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "chunks")
+    # the lowest step of counts from which on no more than the bound are left
+    least, left = 1 << 30, entries
+    for step, n in sorted(map(tuple, counts.groupBy("step").count().collect()), reverse=True):
+        if n > left:
+            break
+        least, left = step, left - n
+    often = counts.filter(F.col("step") >= least).select("chunk")
     rows = often.mapInArrow(run, "chunk string, ids array<int>").toArrow()  # at most so many entries
+    scratch.drop("chunks")
     return Table(rows["chunk"].to_pylist(), rows["ids"].to_pylist())
 
 

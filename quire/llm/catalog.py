@@ -66,7 +66,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"), lambda i: crc_slot(i, 5) != 0))
+    labels, learn = table(spark, sf_dir, "labels"), lambda i: crc_slot(i, 5) != 0
+    model = quality.fit(quality.sample(docs, labels, learn), quality.share(labels, learn))
     return quality.score(docs, model).select("doc_id", F.coalesce(crc_slot("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 from . import _base
 
 FRAME, LEVEL = 2048, 3
-#: Bounds of the fit: labelled texts of each class, and characters of one of them
-#: (from its middle). Half make the dictionaries, half the calibration.
-PER_CLASS, TRAIN_BYTES = 800, 4096
-#: A dictionary holds all of its half, at one byte a character.
-DICT_BYTES = PER_CLASS // 2 * TRAIN_BYTES
+#: Bound of the fit: whole labelled texts of each class. Half make the
+#: dictionaries, half the calibration.
+PER_CLASS = 800
 #: Score of a text without bytes, and of any text when one class has no rows.
 NEUTRAL = 0.5
 THRESHOLD = 0.3
@@ -56,15 +54,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30))))
 
 
-def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Raw-content dictionary: the whole texts, or equal shares where they exceed size."""
-    raw = [t.encode() for t in texts]
-    share = size if sum(map(len, raw)) <= size else max(64, size // len(raw))
-    return b"".join(t[:share] for t in raw)[:size]
+def dictionary(texts: list[str]) -> bytes:
+    """Raw-content dictionary: the whole texts."""
+    return b"".join(t.encode() for t in texts)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """rows: (text, label 0 or 1), a bounded sample in a fixed order; none when a class is missing."""
+def fit(rows: list[tuple[str, int]], share: float = 0.5) -> Model | None:
+    """rows: (text, label 0 or 1), a bounded sample in a fixed order; none when a
+    class is missing. share: how many of the table's labels are 1, to which the
+    probabilities are calibrated."""
     halves = {y: [t for t, x in rows if x == y and t] for y in (0, 1)}
     if min(map(len, halves.values())) < 2:
         return None
@@ -73,7 +71,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     score = model.scorer()
     held = [(score(t.encode()), y) for y in (0, 1) for t in halves[y][1::2]]
     x, y = np.array([a for a, _ in held]), np.array([float(b) for _, b in held])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
     mean, scale = x.mean(), x.std() or 1.0
     u, b = (x - mean) / scale, np.zeros(2)
     design = np.c_[u, np.ones(len(u))]
@@ -93,12 +91,16 @@ def sample(docs: DataFrame, labels: DataFrame, learn, text: str = "text", id_: s
     rows = rows.filter(learn("i"))
     h = F.xxhash64("i")
     chosen = rows.groupBy("y", F.pmod(h, F.lit(PER_CLASS)).alias("slot")).agg(F.min_by("i", h).alias("i")).select("i", "y")
-    size = F.length("t")
-    cut = F.substring("t", F.greatest((size - TRAIN_BYTES) / 2, F.lit(0)).cast("int") + 1, F.lit(TRAIN_BYTES))
-    found = docs.select(F.col(id_).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min(cut).alias("t")).orderBy(F.xxhash64("i"))
+    found = docs.select(F.col(id_).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"))
     return [(r.t, r.y) for r in found.collect() if r.t]
 
 
+def share(labels: DataFrame, learn, id_: str = "doc_id", label: str = "quality") -> float:
+    """How many of the learnable labels are 1; a half when there are none."""
+    rows = labels.select(F.col(id_).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
+    return rows.filter(learn("i")).agg(F.avg("y")).first()[0] or 0.5
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """One row a document: id and ``score`` (0 to 1, higher: label 1 likelier).
 

@@ -7,7 +7,7 @@ regression for each language against the rest is solved. n-grams are bytes of
 the lower-cased text, hashed to DIMS slots for each order.
 
 The presence kernel is linear in presence vectors, so landmarks and regression
-fold into one DIMS x languages matrix: a batch is scored by one product of its
+fold into one slots x languages matrix: a batch is scored by one product of its
 sparse presence matrix with that matrix, at a cost that does not depend on the
 number of landmarks, and equals the sum over landmarks to rounding.
 """
@@ -27,9 +27,10 @@ from . import _base
 ORDERS = (1, 2, 3, 4)
 #: Slots for each order.
 DIMS = 1 << 15
-#: Bounds of the fit: texts of one language, bytes of one training text (taken
-#: from its middle), landmarks in all.
-PER_LANGUAGE, TRAIN_BYTES, LANDMARKS = 400, 4000, 256
+#: Bounds of the fit: whole texts of one language, landmarks in all.
+PER_LANGUAGE, LANDMARKS = 400, 256
+#: Kernel rows that are computed at a time.
+ROWS = 64
 RIDGE = 1e-2
 UNDETERMINED = "und"
 #: Sharpness of the score; monotone in the margin.
@@ -85,21 +86,36 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """rows: (text, language), already a bounded sample in a fixed order."""
+def kernel_rows(sets: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """The presence kernel of texts with landmarks: common slots over the root of
+    the product of both numbers, by batched products of 0/1 matrices on the slots
+    that landmarks have."""
+    cols = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+    if not len(cols):
+        return np.zeros((len(sets), len(marks)))
+
+    def dense(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(some), len(cols)), np.float32)
+        for i, x in enumerate(some):
+            out[i, np.searchsorted(cols, x[np.isin(x, cols, assume_unique=True)])] = 1
+        return out
+
+    right = dense(marks).T
+    norm = [np.sqrt([max(1, len(x)) for x in some]) for some in (sets, marks)]
+    both = np.vstack([dense(sets[i : i + ROWS]) @ right for i in range(0, len(sets), ROWS)])
+    return both / norm[0][:, None] / norm[1]
+
+
+def fit(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """rows: (slots, language), already a bounded sample in a fixed order."""
     languages = sorted({lang for _, lang in rows})
     if not rows:
         return Model([], np.zeros((len(ORDERS) * DIMS, 0)), np.zeros(0))
-    sets = [presence(np.frombuffer(t.encode(), np.uint8)) for t, _ in rows]
-    norm = np.sqrt([max(1, len(s)) for s in sets])
+    sets = [s for s, _ in rows]
     by_lang = [[i for i, (_, x) in enumerate(rows) if x == lang] for lang in languages]
     take = max(1, landmarks // len(languages))
-    marks = np.array([i for own in by_lang for i in own[:take]])
-    # only the landmarks are dense; a kernel row gathers their columns at a text's slots
-    z = np.zeros((len(marks), len(ORDERS) * DIMS), np.float32)
-    for k, i in enumerate(marks):
-        z[k, sets[i]] = 1 / norm[i]
-    kernel = np.array([z[:, s].sum(axis=1, dtype=np.float64) / m for s, m in zip(sets, norm)])
+    marks = [i for own in by_lang for i in own[:take]]
+    kernel = kernel_rows(sets, [sets[i] for i in marks])
     value, vector = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
     good = value > value.max() * 1e-6
     root = vector[:, good] / np.sqrt(value[good])  # Nyström map: kernel to landmarks times root
@@ -107,9 +123,12 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     y = np.array([[1.0 if lang == x_ else -1.0 for lang in languages] for _, x_ in rows])
     mean, bias = x.mean(axis=0), y.mean(axis=0)
     a = (x - mean).T @ (x - mean) + ridge * len(rows) * np.eye(x.shape[1])
-    beta = np.linalg.solve(a, (x - mean).T @ (y - bias))
-    weights = z.T @ (root @ beta).astype(np.float32)
-    return Model(languages, weights, bias - mean @ beta)
+    beta = root @ np.linalg.solve(a, (x - mean).T @ (y - bias))
+    # the primal form: each landmark's share at its slots
+    weights = np.zeros((len(ORDERS) * DIMS, len(languages)))
+    for i, w in zip(marks, beta):
+        weights[sets[i]] += w / np.sqrt(max(1, len(sets[i])))
+    return Model(languages, weights.astype(np.float32), bias - kernel.mean(axis=0) @ beta)
 
 
 def unlearned(name: str = "any") -> Model:
@@ -117,22 +136,29 @@ def unlearned(name: str = "any") -> Model:
     return Model([name], np.zeros((len(ORDERS) * DIMS, 1)), np.zeros(1))
 
 
-def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> list[tuple[str, str]]:
-    """The bounded training rows: for each language the PER_LANGUAGE learnable
-    texts with the least hash of their id. Texts are cut to TRAIN_BYTES here, for
-    training only."""
-    size = F.length("t")
-    rows = docs.filter(learn).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_), F.col(text)).alias("h"))
-    cut = F.substring("t", F.greatest((size - TRAIN_BYTES) / 2, F.lit(0)).cast("int") + 1, F.lit(TRAIN_BYTES))
-    # min_by with a count keeps the least rows in each map task, so a language that
-    # fills the table is cut down before anything is shuffled
-    ranked = rows.select("l", "h", cut.alias("t")).groupBy("l", F.pmod("h", F.lit(PER_LANGUAGE)).alias("slot")).agg(F.min_by("t", "h").alias("t"))
-    return [(r.t, r.l) for r in ranked.orderBy("l", "slot").collect() if has_letter(r.t)]
+def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> list[tuple[np.ndarray, str]]:
+    """The bounded training rows, slots and language: for each language up to
+    PER_LANGUAGE learnable texts, the one of least hash in each slot of hashes.
+    Hashes are chosen first and the chosen rows found by them; whole texts become
+    slots (at most ORDERS x DIMS of them) where they stand."""
+    rows = docs.filter(learn).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_), F.col(text)).alias("h")).filter(F.col("t").rlike("\\p{L}"))
+    chosen = rows.groupBy("l", F.pmod("h", F.lit(PER_LANGUAGE)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
+    found = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").select("h", "l", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offs in _base.passes(batch, 2):
+                sets = [presence(raw[a:b]).astype(np.int32).tobytes() for a, b in zip(offs[:-1], offs[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["h", "l", "s"])
+
+    sets = found.mapInArrow(run, "h long, l string, s binary").groupBy("l", "h").agg(F.first("s").alias("s"))
+    return [(np.frombuffer(r.s, np.int32).astype(np.int64), r.l) for r in sets.orderBy("l", "h").collect()]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", id_: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """One row a document: the columns in keep (the id alone by default),
-    ``lang_pred`` and ``score`` (0 to 1, the chosen language's share). A text that is null or has no letter, or a model that
+    """One row a document: the columns in keep (the id alone by default; the result's
+    own columns replace any of their names), ``lang_pred`` and ``score`` (0 to 1, the chosen language's share). A text that is null or has no letter, or a model that
     learned from nothing, gives ``und`` and 0. Ties go to the first language in
     alphabetical order; equal texts give equal values."""
     _base.small_batches(docs.sparkSession)

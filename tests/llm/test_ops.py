@@ -223,11 +223,17 @@ def test_decontamination_of_nothing(spark):
 
 def test_quality(spark):
     docs, labels = _base.table(spark, SF.replace("0.001", "0.01"), "documents"), _base.table(spark, SF.replace("0.001", "0.01"), "labels")
-    model = quality.fit(quality.sample(docs, labels, lambda i: catalog.crc_slot(i, 5) != 0))
+    learn = lambda i: catalog.crc_slot(i, 5) != 0
+    model = quality.fit(quality.sample(docs, labels, learn), quality.share(labels, learn))
     scored = quality.score(docs, model).join(labels, "doc_id").filter(catalog.crc_slot("doc_id", 5) == 0).collect()
     good, bad = ([r.score for r in scored if r.quality == y] for y in (1, 0))
     auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     assert auc > 0.85
+    rate = len(good) / len(scored)
+    brier = sum((r.score - r.quality) ** 2 for r in scored) / len(scored)
+    assert brier < 0.5 * rate * (1 - rate)  # half of what the rate alone gives
+    none = docs.limit(0)
+    assert quality.sample(none, labels, learn) == [] and quality.sample(docs, labels.limit(0), learn) == [] and quality.share(labels.limit(0), learn) == 0.5
     edges = quality.score(frame(spark, EDGES, extra=True), model).collect()
     assert len(edges) == len(EDGES) and all(0 <= r.score <= 1 for r in edges)
     assert {r.score for r in edges if r.doc_id in (1, 2)} == {quality.NEUTRAL}
@@ -237,21 +243,42 @@ def test_quality(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
-def test_dictionary_holds_whole_slices():
+def test_dictionary_holds_whole_texts():
     random.seed(7)
-    most = quality.PER_CLASS // 2
-    texts = ["".join(random.choices("abcdefgh ", k=quality.TRAIN_BYTES)) for _ in range(most)]
-    assert quality.dictionary(texts) == "".join(texts).encode()
-    wide = quality.dictionary(["é" * quality.TRAIN_BYTES] * most)
-    assert len(wide) == quality.DICT_BYTES and quality.dictionary([]) == b""
+    texts = ["".join(random.choices("abcdefgh é", k=random.choice([5, 9000]))) for _ in range(40)]
+    assert quality.dictionary(texts) == "".join(texts).encode() and quality.dictionary([]) == b""
     # classes that differ in the last words of long texts only
-    rows = [("".join(random.choices("abcdefgh ", k=4000)) + f" {w} {w} {w} {w}", y) for y, w in ((1, "excellent-reading"), (0, "worthless-clutter")) for _ in range(most)]
+    rows = [("".join(random.choices("abcdefgh ", k=4000)) + f" {w} {w} {w} {w}", y) for y, w in ((1, "excellent-reading"), (0, "worthless-clutter")) for _ in range(100)]
     model = quality.fit(rows)
     score = model.scorer()
     assert model.probability(score(b"an excellent-reading here")) > 0.5 > model.probability(score(b"an worthless-clutter here"))
     assert all(w in d and w not in e for w, d, e in ((b"excellent-reading", model.good, model.bad), (b"worthless-clutter", model.bad, model.good)))
 
 
+def test_quality_by_plain_sizes(spark):
+    """Scores from sizes that a plain compressor gives, and the class shares that they are calibrated to."""
+    import math
+
+    import zstandard as z
+
+    random.seed(8)
+    word = lambda y: random.choice(["clear", "fine", "prose"] if y else ["spam", "click", "buy"]) if random.random() < 0.3 else random.choice(["the", "of", "and", "x"])
+    rows = [(" ".join(word(y) for _ in range(random.randint(1, 900))), y) for y in [0, 1] * 60]
+    model = quality.fit(rows, 0.9)
+    halves = {y: [t for t, x in rows if x == y][0::2] for y in (0, 1)}
+    packs = {y: z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict("".join(halves[y]).encode(), dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for y in halves}
+    texts = [t for t, _ in rows[:20]]
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        size = {y: sum(len(p.compress(raw[j : j + 2048])) for j in range(0, len(raw), 2048)) for y, p in packs.items()}
+        want = 1 / (1 + math.exp(-(model.slope * (size[0] - size[1]) / len(raw) + model.shift)))
+        assert abs(got[i] - want) < 0.05, i  # precomputed tables may compress a few bytes better
+    held = [t for y in (0, 1) for t in [t for t, x in rows if x == y][1::2]]
+    mean = {y: sum(model.probability(model.scorer()(t.encode())) for t in held[y * 30 : y * 30 + 30]) / 30 for y in (0, 1)}
+    assert abs(0.1 * mean[0] + 0.9 * mean[1] - 0.9) < 0.01
+
+
 # ---------------------------------------------------------------- media
 
 
@@ -323,14 +350,36 @@ def test_language(spark):
     assert language_id.identify(frame(spark, []), model).count() == 0
 
 
-def test_primal_form_equals_kernel():
-    import numpy as np
-
-    rows = [(f"der die das und {i} nicht", "de") for i in range(9)] + [(f"the and of {i} that", "en") for i in range(9)]
-    model = language_id.fit(rows)
-    sets = [language_id.presence(np.frombuffer(t.encode(), np.uint8)) for t, _ in rows]
-    one = np.array([model.weights[s].sum(axis=0) / np.sqrt(len(s)) for s in sets]) + model.bias
-    assert np.allclose(one, model.score(sets), atol=1e-4) and (one.argmax(axis=1) == [0] * 9 + [1] * 9).all()
+def test_kernel_by_brute_force():
+    """The model's scores against kernel ridge regression on n-gram sets, with no slots x languages matrix."""
+    random.seed(6)
+    vocab = {"de": "der die das und nicht ist ein".split(), "en": "the and of that is a not".split(), "fr": "le la les et des un pas".split()}
+    text = lambda lang: " ".join(random.choice(vocab[lang] + ["mixed", "words"]) for _ in range(random.randint(3, 40)))
+    rows = [(text(lang), lang) for lang in vocab for _ in range(12)]
+    slots = lambda t: set(language_id.presence(np.frombuffer(t.encode(), np.uint8)).tolist())
+    model = language_id.fit([(np.array(sorted(slots(t))), lang) for t, lang in rows], landmarks=15)
+    marks = [t for lang in vocab for t, x in rows if x == lang][0:5] + [t for t, x in rows if x == "en"][:5] + [t for t, x in rows if x == "fr"][:5]
+    k = lambda a, b: len(slots(a) & slots(b)) / (len(slots(a)) * len(slots(b))) ** 0.5
+    kmm = np.array([[k(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(kmm)
+    half = vector / np.sqrt(value)  # landmarks are independent here
+    x = np.array([[k(t, m) for m in marks] for t, _ in rows]) @ half
+    y = np.array([[1.0 if lang == other else -1.0 for other in sorted(vocab)] for _, lang in rows])
+    w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + language_id.RIDGE * len(rows) * np.eye(15), (x - x.mean(0)).T @ (y - y.mean(0)))
+    new = [text(lang) for lang in vocab for _ in range(5)]
+    want = (np.array([[k(t, m) for m in marks] for t in new]) @ half - x.mean(0)) @ w + y.mean(0)
+    got = model.score([np.array(sorted(slots(t))) for t in new])
+    assert np.allclose(got, want, atol=1e-4) and [model.languages[i] for i in got.argmax(axis=1)] == ["de"] * 5 + ["en"] * 5 + ["fr"] * 5
+
+
+def test_language_learns_from_whole_texts(spark):
+    """Languages that differ only after thousands of equal bytes, and a table without any."""
+    rows = [(i, "same words here " * 600 + f"{w} {w}", lang, "x") for i in range(40) for w, lang in (("gleich", "de"), ("equal", "en"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = language_id.fit(language_id.sample(docs, F.lit(True)))
+    got = language_id.identify(docs, model, keep=["doc_id", "lang", "score"])
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score"] and all(r.lang == r.lang_pred for r in got.collect())
+    assert language_id.sample(docs.limit(0), F.lit(True)) == []
 
 
 # ---------------------------------------------------------------- suffixes

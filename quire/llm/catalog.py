@@ -43,8 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocklist = spark.createDataFrame([(h,) for h in url_filter.BLOCKLIST], "host string")
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), blocklist).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.blocklist(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +118,19 @@ r AS (SELECT *, CASE
     WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
-SELECT page_id, host, path, rule, CASE
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+families AS (SELECT unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS family),
+endings AS (SELECT unnest(['example.com', 'example.net', 'example.org']) AS ending),
+numbers AS (SELECT unnest(range(0, 401)) AS n),
+list AS (SELECT family || CASE WHEN n > 0 THEN '-' || n ELSE '' END || '.' || ending AS name FROM families, endings, numbers),
+named AS (SELECT DISTINCT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM h),
+bad AS (SELECT DISTINCT host FROM named JOIN list ON list.name = array_to_string(string_split(host, '.')[i:], '.'))
+SELECT page_id, r.host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
-    WHEN ends_with('.' || host, '.ads-track.example.org') OR ends_with('.' || host, '.cheap-pills.example.com')
-      OR ends_with('.' || host, '.free-bets.example.com') OR ends_with('.' || host, '.spam-farm.example.org') THEN 'block'
+    WHEN bad.host IS NOT NULL THEN 'block'
     ELSE 'allow' END AS verdict
-FROM r
+FROM r LEFT JOIN bad ON bad.host = r.host
 """
 
 OP6_SQL = r"""

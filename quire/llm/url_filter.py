@@ -7,8 +7,9 @@ that pass the second, and so on until a level has no false positives. A key's
 first refusing level then tells, with no error, whether it is listed: a probe is
 a few bit tests on fixed arrays, and no URL is ever joined with the list.
 
-The universe (every distinct host suffix that the list could name) is labelled
-by one grouped union of list and corpus. Each level is one grouped ``bit_or``.
+The universe (every distinct host suffix of the corpus that the list could name, and
+the list) is labelled by one grouped union. Each level is one grouped ``bit_or``,
+read by the driver into an array of bounded size that the plan carries.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _base
 
-#: Production list: hosts (and all below them) to refuse.
-BLOCKLIST = ("ads-track.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
+#: Production list: each family of hosts under each ending, by itself and numbered
+#: below NUMBERED; a listed host stands for all below it too.
+FAMILIES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("example.com", "example.net", "example.org")
+NUMBERED = 400
 #: Fixed rules: host, path prefix, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 BITS_PER_KEY, HASHES = 10, 4
-#: A level's array may not grow past this many 64-bit words (64 MB).
-MAX_WORDS = 1 << 23
+#: 64-bit words of one level's array (8 MB); a longer list is dealt to shards by the
+#: hash of its keys, each with its own cascade, that are run one after the other.
+MAX_WORDS = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -65,8 +70,6 @@ def positions(key: Column, level: int, bits: int) -> list[Column]:
 
 def build_level(keys: DataFrame, level: int, n: int) -> Level:
     words = max(1, math.ceil(n * BITS_PER_KEY / 64))
-    if words > MAX_WORDS:
-        raise ValueError(f"{n} listed keys need a level of {words} words; the bound is {MAX_WORDS}. Shard the list by key hash and run the shards in turn.")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), level, words * 64))).alias("at"))
     rows = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).collect()
     out = [0] * words
@@ -85,7 +88,7 @@ def passes(key: Column, level: int, it: Level) -> Column:
 
 
 def build(universe: DataFrame) -> list[Level]:
-    """universe: distinct ``key`` and ``listed``, every key of the corpus."""
+    """universe: distinct ``key`` and ``listed``: the list, and every key of the corpus."""
     levels: list[Level] = []
     mine, other = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
     n = mine.count()
@@ -97,6 +100,17 @@ def build(universe: DataFrame) -> list[Level]:
     return levels
 
 
+def blocklist(spark: SparkSession) -> DataFrame:
+    """The production list, made from its rule."""
+    names = spark.range(0, NUMBERED + 1).select(F.when(F.col("id") > 0, F.concat(F.lit("-"), F.col("id"))).otherwise("").alias("n"))
+    names = names.select(F.explode(F.array(*[F.concat(F.lit(f), F.col("n"), F.lit("." + e)) for f in FAMILIES for e in ENDINGS])).alias("host"))
+    return names
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards))
+
+
 def listed(key: Column, levels: list[Level]) -> Column:
     """Exact for keys of the universe: the first refusing level decides; a key
     that no level refuses has the side of the last."""
@@ -124,16 +138,25 @@ def judge(pages: DataFrame, blocklist: DataFrame, url: str = "url", rules=RULES)
     most = wanted.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1
     keys = pages.select(host_of(F.col(url)).alias("h")).filter("h <> ''").distinct().select(F.explode(F.array_distinct(suffixes(F.col("h"), most))).alias("key"))
     both = wanted.select("key", F.lit(True).alias("listed"), F.lit(False).alias("met")).unionByName(keys.select("key", F.lit(False).alias("listed"), F.lit(True).alias("met")))
-    universe = both.groupBy("key").agg(F.max("listed").alias("listed"), F.max("met").alias("met")).filter("met").drop("met")
     scratch = _base.Scratch(spark)
-    levels = build(scratch.keep(universe, "universe"))
+    universe = scratch.keep(both.groupBy("key").agg(F.max("listed").alias("listed")), "universe")
+    shards = max(1, math.ceil(universe.filter("listed").count() * BITS_PER_KEY / 64 / MAX_WORDS))
+    flag, refused = _base.unused(pages, "listed_"), F.lit(False)
+    for i in range(shards):
+        own = shard_of(F.col("key"), shards) == i
+        levels = build(universe.filter(own))
+        refused = F.exists(suffixes(host_of(F.col(url)), most), lambda k: (shard_of(k, shards) == i) & listed(k, levels))  # noqa: B023
+        if shards > 1:  # one shard's arrays in a plan at a time
+            pages = scratch.keep(pages.withColumn(flag, F.col(flag) | refused if i else refused), f"shard{i}")
+            scratch.drop(f"shard{i - 1}")
+            refused = F.col(flag)
     scratch.drop("universe")
 
     out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     host, path = F.col("host"), F.col("path")
     ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = [(F.concat(F.lit("."), host).endswith("." + h) & path.startswith(p), h + p, v) for h, p, v in ordered]
-    rule, verdict = F.lit(None).cast("string"), F.when((host != "") & F.exists(suffixes(host, most), lambda k: listed(k, levels)), "block").otherwise("allow")
+    rule, verdict = F.lit(None).cast("string"), F.when((host != "") & refused, "block").otherwise("allow")
     for fit, text, v in reversed(fits):
         rule, verdict = F.when(fit, text).otherwise(rule), F.when(fit, v).otherwise(verdict)
-    return out.withColumns({"rule": rule, "verdict": verdict})
+    return out.withColumns({"rule": rule, "verdict": verdict}).drop(flag)

@@ -144,15 +144,24 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(pages.filter("page_id = 3"), none).collect()} == {"allow"}
 
 
-def test_urls_of_a_long_list(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 20, 100])
+def test_urls_of_a_long_list(spark, monkeypatch, most):
     built, build = [], url_filter.build
     monkeypatch.setattr(url_filter, "build", lambda universe: built.append(build(universe)) or built[-1])
+    monkeypatch.setattr(url_filter, "MAX_WORDS", most)
     hosts = [f"h{i}.site{i % 50}.{end}" for i in range(2500) for end in ("example", "com", "org")]
     listed = set(hosts[::3]) | {f"site{i}.com" for i in range(0, 50, 2)}
-    pages = spark.createDataFrame([(i, f"http://www.{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_filter.judge(pages, spark.createDataFrame([(x,) for x in sorted(listed)], "h string"), rules=()).collect()}
-    assert got == {i: "block" if h in listed or h.split(".", 1)[1] in listed else "allow" for i, h in enumerate(hosts)}
-    assert len(built[0]) > 2 and len(built[0][0].words) > 256  # a cascade, whose first array is read from JSON
+    pages = spark.createDataFrame([(i, f"http://www.{h}/p", "x", "y") for i, h in enumerate(hosts)], "page_id long, url string, listed_ string, Verdict string")
+    pages = pages.unionByName(pages.filter("page_id = 7"))  # a repeated row, and names that the operator uses
+    out = url_filter.judge(pages, spark.createDataFrame([(x,) for x in sorted(listed)], "h string"), rules=())
+    got = out.collect()
+    assert len(got) == len(hosts) + 1 and [c.lower() for c in out.columns] == ["page_id", "url", "listed_", "verdict", "host", "path", "rule"]
+    assert all(r.listed_ == "x" for r in got)
+    assert {r.page_id: r[3] for r in got} == {i: "block" if h in listed or h.split(".", 1)[1] in listed else "allow" for i, h in enumerate(hosts)}
+    if most > 100:
+        assert len(built) == 1 and len(built[0]) > 2 and len(built[0][0].words) > 256  # a cascade, whose first array is read from JSON
+    else:
+        assert len(built) == 4  # shards
 
 
 # ---------------------------------------------------------------- n-gram Jaccard

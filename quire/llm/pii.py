@@ -28,13 +28,13 @@ class Kind:
     gate: str
     base: bool
     score: float
-    #: Words that raise the score when found before the span.
+    #: Words that raise the score when found before the span or after it.
     context: str
     #: The pattern matches a head and captures what may follow it; ``ended`` decides how much does.
     headed: bool = False
 
 
-#: Code points before a span that context words are looked for in.
+#: Code points on each side of a span that context words are looked for in.
 NEAR = 40
 RAISE, KEEP = 0.35, 0.6
 
@@ -129,9 +129,10 @@ def apart(spans: Column) -> Column:
 BLOCK = 256
 
 
-def proposals(text: Column, kind: Kind) -> Column:
-    """Matches with their offsets. Match i starts after the pieces 0 to i and the
-    matches before it; the lengths are summed in blocks, so that a text with very
+def confirmed_matches(text: Column, kind: Kind, scored) -> Column:
+    """What scored makes of the confirmed matches, with their offsets, and the
+    matches and pieces they come from. Match i starts after the pieces 0 to i and
+    the matches before it; the lengths are summed in blocks, so that a text with very
     many matches is not summed from its start for each."""
     add = lambda a, x: a + x
     found = lambda group: F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(group))
@@ -150,21 +151,30 @@ def proposals(text: Column, kind: Kind) -> Column:
 
     def placed(v: Column) -> Column:
         start = lambda i: F.get(v["b"], F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(v["n"], F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0), add) + F.length(F.get(v["p"], i))
-        return F.transform(v["m"], lambda m, i: let(F.struct(whole_of(v, m, i).alias("m"), start(i).alias("at")), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"))))
+        every = F.transform(v["m"], lambda m, i: F.struct(whole_of(v, m, i).alias("m"), i.alias("i")))
+        ok = F.filter(every, lambda s: confirmed(kind.name, s["m"]))
+        at = F.transform(ok, lambda s: let(start(s["i"]), lambda x: F.struct(s["m"].alias("m"), s["i"].alias("i"), x.alias("start"), (x + F.length(s["m"])).alias("end"))))
+        return let(at, lambda o: F.when(F.size(o) > 0, scored(v, o)).otherwise(F.array().cast(SPANS)))
 
-    return let(parts, lambda v: F.when(F.size(v["m"]) > 0, measured(v)).otherwise(F.array().cast("array<struct<m: string, start: int, end: int>>")))
+    return let(parts, lambda v: F.when(F.size(v["m"]) > 0, measured(v)).otherwise(F.array().cast(SPANS)))
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
-    near = lambda s: F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-    score = lambda s: F.lit(kind.score) + F.when(near(s).rlike(kind.context), F.lit(RAISE)).otherwise(F.lit(0.0))
-    ok = F.filter(proposals(text, kind), lambda s: confirmed(kind.name, s["m"]))
-    if kind.headed:
-        ok = apart(ok)
+    def scored(v: Column, ok: Column) -> Column:
+        """Context comes from the pieces and matches around a match, of each of which
+        the ends that can lie near are cut once, so its cost does not grow with the text."""
+        tails = F.transform(v["m"], lambda m, i: F.concat(F.right(F.get(v["p"], i), F.lit(NEAR)), F.right(m, F.lit(NEAR))))
+        few = NEAR // 2  # a match has two code points at least
+        before = lambda z, i: F.concat(F.array_join(F.slice(z, F.greatest(i - few, F.lit(0)) + 1, F.least(i, F.lit(few))), ""), F.right(F.get(v["p"], i), F.lit(NEAR)))
+        near = lambda z, i: F.concat(F.right(before(z, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(v["p"], i + 1), F.lit(NEAR)))
+        score = lambda z, s: F.lit(kind.score) + F.when(near(z, s["i"]).rlike(kind.context), F.lit(RAISE)).otherwise(F.lit(0.0))
+        out = lambda z: F.transform(apart(ok) if kind.headed else ok, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score(z, s), F.lit(1.0)).alias("score")))
+        return let(tails, out).cast(SPANS)
+
+    out = confirmed_matches(text, kind, scored)
     if not kind.base:
-        ok = F.filter(ok, lambda s: score(s) >= KEEP)
-    out = F.transform(ok, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(score(s), F.lit(1.0)).alias("score")))
-    return F.when(text.rlike(kind.gate), out).otherwise(F.array()).cast(SPANS)
+        out = F.filter(out, lambda s: s["score"] >= KEEP)
+    return F.when(text.rlike(kind.gate), out).otherwise(F.array().cast(SPANS))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:

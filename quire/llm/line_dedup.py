@@ -117,8 +117,10 @@ def refused(docs: DataFrame, text: str, id_: str, min_chars: int, min_docs: int,
     rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(whole).alias("row"), F.posexplode(keys_of(F.col(text))).alias("p", "key"))
     rows = rows.filter(F.length("key") >= min_chars)
     rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "row", F.array("p").alias("pos"))
+    rows = scratch.keep(rows, "hashes")  # the splitters are sampled from it, then it is dealt
     ordered = rows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "row")
     found = scratch.keep(ordered.mapInArrow(stream(min_docs), OUT), "lines")
+    scratch.drop("hashes")
     waiting = found.filter("kind = 1")
     # at most a few rows a partition, grouped by line
     total = waiting.groupBy("h1", "h2").agg(F.sum("weight").alias("docs"), F.max("doc").alias("last"))

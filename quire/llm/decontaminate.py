@@ -2,8 +2,9 @@
 training-token windows scanned against it, hits verified word by word.
 
 The benchmark is a small table by nature, but its size is checked: it is read in
-blocks of at most BLOCK_WINDOWS windows. Each block is a broadcast of its own and
-a further pass over the same batch, so no broadcast grows with the benchmark.
+blocks of at most BLOCK_WINDOWS windows, long items in parts. Each block is a broadcast
+of its own and a further pass over the same batch, and no more than BLOCKS are held
+at a time, so no broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from . import _base
 
 WINDOW = 13
-#: Windows in one broadcast table; about 200 bytes each.
-BLOCK_WINDOWS = 200_000
+#: Windows in one broadcast table, about 200 bytes each, and tables that are held
+#: at a time: between groups of them the rows found so far are kept.
+BLOCK_WINDOWS, BLOCKS = 200_000, 4
 
 
 def word_fold() -> np.ndarray:
@@ -82,15 +84,30 @@ class Grams:
             yield int(words.bounds[d + 1] - words.bounds[d]), mask[words.bounds[d] : words.bounds[d + 1]], items.get(d, set())
 
 
+def parts_of(text: str | None, window: int, block: int) -> Iterator[tuple[str | None, int]]:
+    """A text in parts of at most block windows, with their windows; parts overlap so
+    that no window is lost."""
+    if len(text or "") <= block:
+        yield text, len(text or "") // 2 + 1
+        return
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words = _base.Words(raw, np.array([0, len(raw)]), word_fold())
+    n = len(words.hash)
+    for lo in range(0, max(1, n - window + 1), block):
+        hi = min(n, lo + block + window - 1)
+        yield raw[words.starts[lo] : words.ends[hi - 1]].tobytes().decode() if n else "", hi - lo
+
+
 def _blocks(benchmark: DataFrame, text: str, id_: str, window: int, block: int) -> Iterator[Grams]:
     held, size = [], 0
     rows = benchmark.select(F.col(id_).alias("i"), F.col(text).alias("t"))
     for row in rows.toLocalIterator():
-        if held and size + len(row.t or "") // 2 > block:
-            yield Grams(held, window)
-            held, size = [], 0
-        held.append((row.i, row.t))
-        size += len(row.t or "") // 2 + 1
+        for part, n in parts_of(row.t, window, block):
+            if held and size + n > block:
+                yield Grams(held, window)
+                held, size = [], 0
+            held.append((row.i, part))
+            size += n
     yield Grams(held, window)
 
 
@@ -111,8 +128,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: st
     made = ["n_words", "hits", "items"]
     held = _base.Carried(docs, keep if text in keep else [*keep, text], text, made)
     out = held.rows
-    for grams in _blocks(benchmark, item_text, item_id, window, block):
-        out = out.mapInArrow(_scan(_base.Shared(spark, grams), held), held.with_columns("n_words long", FOUND))
+    scratch, shared = _base.Scratch(spark), []
+    for i, grams in enumerate(_blocks(benchmark, item_text, item_id, window, block)):
+        if i and i % BLOCKS == 0:
+            out = scratch.keep(out, f"blocks{i}")
+            scratch.drop(f"blocks{i - BLOCKS}")
+            while shared:
+                shared.pop().free()
+        shared.append(_base.Shared(spark, grams))
+        out = out.mapInArrow(_scan(shared[-1], held), held.with_columns("n_words long", FOUND))
     return held.back(out, *made).select(*[c for c in keep if c.lower() not in made], *made)
 
 

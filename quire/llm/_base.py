@@ -12,6 +12,7 @@ Rules that hold for every operator of this subpackage
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import pickle
 import shutil
@@ -41,9 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set, and only
+    when driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -52,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Shared:
-    """A broadcast that carries its class along, so that workers need no import."""
+    """A broadcast value, unpickled once a task."""
 
     def __init__(self, spark: SparkSession, value):
         self.raw, self.value_ = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
@@ -60,6 +64,10 @@ class Shared:
     def __getstate__(self):
         return {"raw": self.raw, "value_": None}
 
+    def free(self) -> None:
+        """Frees the executors' copies; a later use would fetch it again."""
+        self.raw.unpersist()
+
     @property
     def value(self):
         if self.value_ is None:
@@ -73,10 +81,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+        atexit.register(self.close)  # results are read from here for as long as the program runs
+
+    def close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            self.drop("")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -188,11 +201,21 @@ def byte_values() -> np.ndarray:
         return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX_A)) | np.uint64(1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(1, n), base, np.uint64)
-    out[0] = 1
+#: Places in a word whose values are looked up; those of later bytes are computed.
+NEAR_PLACES = 64
+
+
+def placed_values(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each byte at its place in its word, as good as random: sums
+    of these, unlike polynomials modulo 2**64, have no words that always meet."""
+    value = byte_values()
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+        known = mix(value[:, None] + np.arange(NEAR_PLACES, dtype=np.uint64) * np.uint64(MIX_B)).ravel()
+        out = known[raw.astype(np.int64) * NEAR_PLACES + np.minimum(place, NEAR_PLACES - 1)]
+        far = np.flatnonzero(place >= NEAR_PLACES)
+        if len(far):
+            out[far] = mix(value[raw[far]] + place[far].astype(np.uint64) * np.uint64(MIX_B))
+    return out
 
 
 class Words:
@@ -214,7 +237,7 @@ class Words:
         with np.errstate(over="ignore"):
             if len(at):
                 offset = np.arange(len(packed)) - np.repeat(at, lens)
-                h = np.add.reduceat(byte_values()[packed] * powers(MIX_A, int(lens.max()))[offset], at)
+                h = np.add.reduceat(placed_values(packed, offset), at)
                 self.hash = mix(h + lens.astype(np.uint64) * np.uint64(MIX_C))
             else:
                 self.hash = np.zeros(0, np.uint64)

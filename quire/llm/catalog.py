@@ -133,6 +133,17 @@ SELECT page_id, r.host, path, rule, CASE
 FROM r LEFT JOIN bad ON bad.host = r.host
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM met JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
+
 OP6_SQL = r"""
 WITH fold AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -165,4 +176,4 @@ FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN gone ON gone.doc_id = b.doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_decontaminate": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -17,7 +17,8 @@ before it of like size), and of these each class keeps two. Links found so merge
 classes into components, and later rounds pair only what lies in different
 components: first a least spanning forest of each block by differing bits, which
 joins what links join but for the error of the tables, at last all members that
-the bounds leave. A group of n near copies so costs about n exact counts and not n
+the bounds leave. N-grams are told apart by 64-bit hashes, whose chance meetings are
+too rare to move an overlap. A group of n near copies so costs about n exact counts and not n
 squared, while a link between any two components is still found. The result is
 components: links inside a component beyond those that joined it are not decided.
 """
@@ -45,6 +46,9 @@ FREQUENT, LOCAL, SPAN = 16, 2, 4_000_000
 PIECE = 1024
 #: A task holds so many rows of a column at most, and seeks partners in columns up to SMALL.
 HELD, SMALL = 4096, 64
+#: Bits of the filter on classes whose sets are wanted, at most (32 MB); beyond the
+#: classes that fit, more sets pass and the join after it still decides.
+FILTER_BITS = 28
 #: Classes of a column in one block of the last round.
 BLOCK = 512
 
@@ -335,11 +339,11 @@ def product(percent: int, forest: bool):
                 if (token, low, high) != key:
                     if len(held) > 1:
                         found.update(near_pairs(held, key[1] != key[2], percent, forest))
+                    if len(found) > 50_000:
+                        yield batch_of(found)
+                        found = set()
                     key, held = (token, low, high), []
                 held.append(row)
-            if len(found) > 50_000:
-                yield batch_of(found)
-                found = set()
         if len(held) > 1:
             found.update(near_pairs(held, key[1] != key[2], percent, forest))
         yield batch_of(found)
@@ -417,7 +421,7 @@ class Join:
         n = members.count()
         if not n:
             return pairs.select("u", "v")
-        shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, 24))
+        shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, FILTER_BITS))
         raw = self.texts.mapInArrow(scan_sets(shared, self.words), "class binary, set binary")
         sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
         self.scratch.free_shuffles()

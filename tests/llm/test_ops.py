@@ -190,6 +190,16 @@ def test_jaccard_of_nothing(spark):
     assert ngram_jaccard.components(frame(spark, [])).count() == 0
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements share no n-gram, nor do words that differ far inside."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    rows = []
+    for n in (64, 1024, 2048, 4096):
+        rows += [(len(rows), morse[:n]), (len(rows) + 1, morse[:n].translate(str.maketrans("ab", "ba")))]
+    rows += [(90, "x" * 500 + "a" + "x" * 500), (91, "x" * 500 + "b" + "x" * 500), (92, "x" * 501 + "a" + "x" * 499)]
+    assert all(r.component_id == r.doc_id for r in ngram_jaccard.components(frame(spark, rows)).collect())
+
+
 def test_parity_bounds_difference():
     import numpy as np
 
@@ -221,6 +231,17 @@ def test_decontamination(spark, block):
     assert got == sorted(H.hits(docs, items), key=repr)
 
 
+def test_parts_of_a_long_item(spark):
+    random.seed(9)
+    words = [f"w{i}" for i in range(300)]
+    items = [(1, " ".join(random.choices(words, k=700))), (2, "é, " * 400), (3, "--" * 500)]
+    docs = [(i, " ".join(items[0][1].split()[i : i + random.choice([12, 13, 40])])) for i in range(0, 690, 3)] + [(900, "é é é " * 5)]
+    out = decontaminate.find_hits(spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, items string, Hits string"), spark.createDataFrame(items, "item_id long, text string"), block=20, keep=["doc_id", "items", "Hits"])
+    assert out.columns == ["doc_id", "n_words", "hits", "items"]
+    got = sorted(((r["doc_id"], r["n_words"], r["n"], list(r["items"])) for r in out.withColumn("n", decontaminate.n_hit()).collect()), key=repr)
+    assert got == sorted(H.hits(docs, items), key=repr)
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_words for r in decontaminate.find_hits(frame(spark, [(1, "a b")]), bench).collect()] == [2]

@@ -106,13 +106,15 @@ def scan_classes(k: int):
     names = ["kind", "at", "n", "class", "parity"]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-    def often(tokens: list[np.ndarray]) -> pa.RecordBatch:
-        out = Columns(*kinds)
-        if tokens:
-            token, n = np.unique(np.concatenate(tokens), return_counts=True)
-            pick = n >= LOCAL
-            out.rows = [(1, t, c, None, None) for t, c in zip(token[pick].view(np.int64).tolist(), n[pick].tolist())]
-        return out.batch(names)
+    def often(tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        whole = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+        new = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(whole)))
+        new, n = new[n >= LOCAL], n[n >= LOCAL]
+        for lo in range(0, len(n), 50_000):
+            token, times = whole[new[lo : lo + 50_000]].view(np.int64), n[lo : lo + 50_000]
+            none = pa.nulls(len(times), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(times), np.int32)), pa.array(token), pa.array(times), none, none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size, seen = [], 0, set()
@@ -128,9 +130,9 @@ def scan_classes(k: int):
                         size += len(s)
                 yield out.batch(names)
                 if size > SPAN:
-                    yield often(tokens)
+                    yield from often(tokens)
                     tokens, size, seen = [], 0, set()
-        yield often(tokens)
+        yield from often(tokens)
 
     return run
 

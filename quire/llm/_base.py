@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is one pass.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python; a longer row is one batch.
 BATCH_BYTES = 1 << 23
 

@@ -53,17 +53,20 @@ def local(name: str) -> str:
 def from_xml(text: str) -> Node:
     """Raises ET.ParseError on what is no XML."""
 
-    def build(e: ET.Element) -> Node:
-        node = Node(local(e.tag) if isinstance(e.tag, str) else "", {local(k): v for k, v in e.attrib.items()})
+    top = ET.fromstring(text)
+    made = lambda e: Node(local(e.tag) if isinstance(e.tag, str) else "", {local(k): v for k, v in e.attrib.items()})
+    root = made(top)
+    stack = [(top, root)]  # trees may be deeper than Python's own stack
+    while stack:
+        e, node = stack.pop()
         if e.text and isinstance(e.tag, str):
             node.parts.append(e.text)
         for child in e:
-            node.parts.append(build(child))
+            node.parts.append(made(child))
+            stack.append((child, node.parts[-1]))
             if child.tail:
                 node.parts.append(child.tail)
-        return node
-
-    return build(ET.fromstring(text))
+    return root
 
 
 class _Pages(HTMLParser):
@@ -116,15 +119,18 @@ def reads_as_heading(rest: str) -> bool:
     return not letters or (any(c.lower() != c.upper() for c in letters) and rest.upper() == rest)
 
 
-@dataclass
-class Seen:
-    """What a subtree tells the nodes above it."""
+class Open:
+    """A node on the way: what it stands in, and what the nodes below it told."""
 
-    shown: str = ""
-    unbold: str = ""
-    has_bold: bool = False
-    tags: set = field(default_factory=set)
-    inner_block: bool = False
+    def __init__(self, node: Node, shut: bool, strong: bool, start: int):
+        self.node, self.start = node, start
+        self.dark = node.tag in HIDDEN
+        self.shut = shut or self.dark or toc_nav(node)
+        self.strong = strong or bold(node)
+        self.has_bold = bold(node)
+        self.tags: set[str] = set()
+        self.inner_block = self.after_break = False
+        self.rest, self.at = iter(node.parts), -1
 
 
 @dataclass(frozen=True)
@@ -137,62 +143,72 @@ class Block:
 def blocks(body: Node) -> list[Block]:
     """Leaf blocks of prose, in order: no headings, no scripts, no table of contents."""
     found: list[Block] = []
+    # what is shown so far, piece by piece, and whether it stands in bold; a node's text
+    # is a range of pieces, joined only for nodes that may be blocks
+    pieces: list[tuple[str, bool]] = []
+
+    def text_of(me: Open, bold_too: bool = True) -> str:
+        return tidy("".join(p for p, strong in pieces[me.start :] if bold_too or not strong))
 
-    def visit(node: Node, path: tuple[int, ...], shut: bool, in_bold: bool) -> Seen:
-        me, at = Seen(), -1
-        dark = node.tag in HIDDEN
-        strong = in_bold or bold(node)
-        me.has_bold = bold(node)
-        shut = shut or dark or toc_nav(node)
-        after_break = False
-        for part in node.parts:
-            if isinstance(part, str):
-                text = part.lstrip() if after_break else part
-                me.shown += text
-                me.unbold += "" if strong else text
-                after_break = False
-                continue
-            at += 1
-            below = visit(part, (*path, at), shut, strong)
-            me.tags |= below.tags | {part.tag}
-            me.has_bold |= below.has_bold
-            me.inner_block |= below.inner_block or (part.tag in BLOCKS and bool(tidy(below.shown)))
-            after_break = part.tag == "br"
-            if after_break:
-                me.shown += "\n"
-                me.unbold += "" if strong else "\n"
-            elif part.tag not in HIDDEN:
-                me.shown += below.shown
-                me.unbold += below.unbold
-        if dark:
-            me.shown = me.unbold = ""
-        if node.tag in BLOCKS and not shut and not me.inner_block:
-            text = tidy(me.shown)
-            if text and not heading(node, text, me) and not (node.tag == "div" and me.tags & STRUCTURES):
-                found.append(Block(text, path, node.tag))
-        return me
-
-    def heading(node: Node, text: str, me: Seen) -> bool:
-        if any(h in node.attrs.get("class", "").lower() for h in HEADING_CLASSES):
+    def heading(me: Open, text: str) -> bool:
+        if any(h in me.node.attrs.get("class", "").lower() for h in HEADING_CLASSES):
             return True
         plain = not me.tags & (BLOCKS | STRUCTURES | HEADINGS)
-        return node.tag == "div" and len(text) <= MAX_HEADING_CHARS and me.has_bold and plain and reads_as_heading("".join(tidy(me.unbold).split()))
-
-    visit(body, (), False, False)
+        return me.node.tag == "div" and len(text) <= MAX_HEADING_CHARS and me.has_bold and plain and reads_as_heading("".join(text_of(me, False).split()))
+
+    def leave(me: Open, above: Open | None) -> None:
+        node = me.node
+        if me.dark:
+            del pieces[me.start :]
+        if node.tag in BLOCKS and not me.shut and not me.inner_block:
+            text = text_of(me)
+            if text and not heading(me, text) and not (node.tag == "div" and me.tags & STRUCTURES):
+                found.append(Block(text, tuple(x.at for x in stack), node.tag))
+        if above is None:
+            return
+        above.tags |= me.tags | {node.tag}
+        above.has_bold |= me.has_bold
+        above.inner_block |= me.inner_block or (node.tag in BLOCKS and any(p.strip() for p, _ in pieces[me.start :]))
+        above.after_break = node.tag == "br"
+        if above.after_break:
+            pieces[me.start :] = [("\n", above.strong)]
+
+    stack = [Open(body, False, False, 0)]
+    while stack:
+        me = stack[-1]
+        part = next(me.rest, None)
+        if part is None:
+            leave(stack.pop(), stack[-1] if stack else None)
+        elif isinstance(part, str):
+            pieces.append((part.lstrip() if me.after_break else part, me.strong))
+            me.after_break = False
+        else:
+            me.at += 1
+            stack.append(Open(part, me.shut, me.strong, len(pieces)))
     return found
 
 
 def shown(node: Node) -> str:
-    out, after_break = "", False
-    if node.tag in HIDDEN:
-        return out
-    for part in node.parts:
-        if isinstance(part, str):
-            out += part.lstrip() if after_break else part
+    """The text of a node as a reader sees it."""
+    out: list[str] = []
+    stack = [(node, iter(() if node.tag in HIDDEN else node.parts))]
+    after_break = False
+    while stack:
+        part = next(stack[-1][1], None)
+        if part is None:
+            after_break = False
+            stack.pop()
+        elif isinstance(part, str):
+            out.append(part.lstrip() if after_break else part)
+            after_break = False
+        elif part.tag == "br":
+            out.append("\n")
+            after_break = True
         else:
-            out += "\n" if part.tag == "br" else shown(part)
-        after_break = isinstance(part, Node) and part.tag == "br"
-    return out
+            after_break = False
+            if part.tag not in HIDDEN:
+                stack.append((part, iter(part.parts)))
+    return "".join(out)
 
 
 def is_bibliography(body: Node) -> bool:
@@ -200,26 +216,20 @@ def is_bibliography(body: Node) -> bool:
     if "bibliography" in body.attrs.get("type", "").split() or "doc-bibliography" in body.attrs.get("role", "").split():
         return True
     order: list[Node | str] = []
-
-    def flatten(node: Node) -> None:
-        for part in node.parts:
-            if isinstance(part, str):
-                order.extend([part] if part.strip() else [])
-            elif part.tag in HEADINGS:
-                order.append(part)
-                order.extend(x for x in _headings(part))
-            else:
-                flatten(part)
-
-    flatten(body)
+    stack = [(x, False) for x in reversed(body.parts)]  # a part, and whether it stands in a heading
+    while stack:
+        part, inside = stack.pop()
+        if isinstance(part, str):
+            order.extend([part] if part.strip() and not inside else [])
+            continue
+        if part.tag in HEADINGS:
+            order.append(part)
+        below = inside or part.tag in HEADINGS
+        stack += [(x, below) for x in reversed(part.parts)]
     heads = [x for x in order if isinstance(x, Node)]
     return len(heads) == 1 and order[0] is heads[0] and tidy(shown(heads[0])).casefold() in BIBLIOGRAPHY
 
 
-def _headings(node: Node) -> list[Node]:
-    return [x for c in node.children for x in ([c] if c.tag in HEADINGS else []) + _headings(c)]
-
-
 def is_toc_path(path: str | None) -> bool:
     name = (path or "").rpartition("/")[2].lower()
     return "toc" in name or "contents" in name

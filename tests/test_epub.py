@@ -107,3 +107,12 @@ def test_refusals():
         epub.open_book(out.getvalue())
     with pytest.raises(ValueError, match="no such entries"):
         epub.repack(book({"c": "<p>x</p>"}, ["c"]), {"nope": "x"})
+
+
+def test_deep_trees():
+    """Trees deeper than Python's own stack."""
+    deep = "<div>" * 10_000 + "<p>inside <b>all</b></p>" + "</div>" * 10_000
+    assert [b.text for b in dom.page_blocks(deep)] == ["inside all"]
+    assert [(b.text, len(b.path)) for b in dom.book_blocks(f"<html><body>{deep}</body></html>", "x.xhtml")] == [("inside all", 10_001)]
+    assert len(dom.page_blocks("<p>x<b>y<i>" * 3000)) >= 1
+    assert dom.shown(dom.from_html("<b>" * 5000 + "a<br> b" + "</b>" * 5000)) == "a\nb"

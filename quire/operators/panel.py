@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import keep
 
 MIN_BIAS_SAMPLE, MAX_ALTERNATIVES = 10, 2
 
@@ -51,11 +52,6 @@ def duplicate_targets(candidates: DataFrame, votes: DataFrame, judges: int) -> D
     return top.join(known, "duplicate_of", "left_semi").select("id", F.col("duplicate_of").alias("target"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, or by the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def resolve_chains(direct: DataFrame) -> DataFrame:
     """``id, target``: chains of any length followed to their end by pointer doubling;
     whatever runs into a cycle merges nothing. direct: ``id, target``, one row an id.
@@ -64,12 +60,12 @@ def resolve_chains(direct: DataFrame) -> DataFrame:
     2**k hops; while a longer chain is left, it has a row that the next pass settles,
     so a pass that settles none leaves only rows that run into a cycle."""
     ids = direct.select(F.col("id").alias("target"), F.lit(True).alias("open"))
-    now = written(direct.select("id", "target").join(ids, "target", "left").select("id", "target", F.coalesce("open", F.lit(False)).alias("open")))
+    now = keep(direct.select("id", "target").join(ids, "target", "left").select("id", "target", F.coalesce("open", F.lit(False)).alias("open")))
     left, before = now.filter("open").count(), None
     while left and left != before:
         hop = now.select(F.col("id").alias("target"), F.col("target").alias("next"), F.col("open").alias("more"))
         moved = now.filter("open").join(hop, "target").select("id", F.col("next").alias("target"), F.col("more").alias("open"))
-        now = written(now.filter("not open").unionByName(moved))
+        now = keep(now.filter("not open").unionByName(moved))
         left, before = now.filter("open").count(), left
     return now.filter("not open").select("id", "target")
 

@@ -10,8 +10,9 @@ PRIORITIES = ("critical", "high", "medium", "low")
 #: Language names by code.
 LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French", "ja": "Japanese", "ko": "Korean", "zh": "Chinese", "zh-CN": "Simplified Chinese"}
 
-EXCERPT_CHARS, CLIP_CHARS, CLIP_LEAD = 120, 400, 180
+#: Fixed value: what a source with addresses or imprint lines looks like.
 URL_HINT = r"(?i)https?://|www\.|\.com\b|\.org\b|\.net\b|\.co\.\w{2}\b|@\w|©|ISBN\b|First\s+published\b"
+EXCERPT_CHARS, CLIP_CHARS, CLIP_LEAD = 120, 400, 180
 
 
 def collapse(c: Column) -> Column:
@@ -137,12 +138,12 @@ def elapsed_seconds(text: Column) -> Column:
 
 
 def retry_after(message: Column) -> Column:
-    """Seconds to wait, from the JSON form or else the prose form of an error."""
+    """Whole seconds to wait, from the JSON form or else the prose form of an error."""
     found = F.coalesce(
-        F.nullif(F.regexp_extract(message, r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"', 1), F.lit("")),
-        F.nullif(F.regexp_extract(message, r"(?i)retry in (\d+(?:\.\d+)?)s", 1), F.lit("")),
+        F.nullif(F.regexp_extract(message, r'"retryDelay":\s*"(\d+)s"', 1), F.lit("")),
+        F.nullif(F.regexp_extract(message, r"(?i)retry after (\d+)", 1), F.lit("")),
     )
-    return found.cast("double")
+    return found.try_cast("bigint")
 
 
 def progress_value(value: Column) -> Column:

@@ -39,8 +39,8 @@ def test_elapsed(spark, text, seconds):
 def test_small_functions(spark):
     assert one(spark, T.options_of(F.col("t")), t="甲 / 乙／丙")[0] == ["甲", "乙", "丙"]
     assert one(spark, T.strip_fence(F.col("t")), t="```json\n{}\n```")[0] == "{}"
-    assert one(spark, T.retry_after(F.col("t")), t='{"retryDelay": "7.5s"}')[0] == 7.5
-    assert one(spark, T.retry_after(F.col("t")), t="Please retry in 12s.")[0] == 12
+    assert one(spark, T.retry_after(F.col("t")), t='{"retryDelay": "7s", "x": "retry after 9"}')[0] == 7
+    assert one(spark, T.retry_after(F.col("t")), t="Please Retry after 30 seconds.")[0] == 30
     assert one(spark, T.retry_after(F.col("t")), t="no")[0] is None
     assert one(spark, T.progress_value(F.col("t")), t='a "b"')[0] == '"a \\"b\\""'
     assert one(spark, T.language_name(F.col("t")), t="fr")[0] == "French"

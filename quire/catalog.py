@@ -161,12 +161,32 @@ def run_state(spark, sf_dir):
     return rows.select("event_id", state.run_state(F.col("code"), F.lit(None), F.col("event_id") % 7 == 0).alias("state"))
 
 
-@query("""
-WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM documents)
-SELECT source, doc_id FROM n WHERE c <= 3 OR i IN (0, c // 2, c - 1)
+SAMPLED = 5
+
+
+@query(f"""
+WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM documents),
+k AS (SELECT *, (c * 3) // {SAMPLED} AS x, (c * 4) // {SAMPLED} AS y FROM n),
+p AS (SELECT *, CASE WHEN x IN (0, c // 2, c - 1) THEN x + 1 ELSE x END AS p3 FROM k),
+q AS (SELECT *, CASE WHEN p3 < c AND p3 NOT IN (0, c // 2, c - 1) THEN p3 END AS q3 FROM p),
+r AS (SELECT *, CASE WHEN q3 IS NOT NULL THEN CASE WHEN y IN (0, c // 2, c - 1, q3) THEN y + 1 ELSE y END END AS p4 FROM q),
+t AS (SELECT *, CASE WHEN p4 < c AND p4 NOT IN (0, c // 2, c - 1, q3) THEN p4 END AS q4 FROM r)
+SELECT source, doc_id FROM t WHERE c <= {SAMPLED} OR i IN (0, c // 2, c - 1) OR i = q3 OR i = q4
 """)
 def head_mid_tail_sample(spark, sf_dir):
-    return state.head_middle_tail(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return state.head_middle_tail(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", SAMPLED)
+
+
+@query("""SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 10 + doc_id % 50 WHEN 1 THEN doc_id % 7 WHEN 2 THEN 3 END AS BIGINT) AS seconds FROM documents""")
+def retry_after(spark, sf_dir):
+    n, s = F.col("doc_id"), lambda x: x.cast("string")
+    message = (
+        F.when(n % 4 == 0, F.concat(F.lit('{"error": {"retryDelay": "'), s(10 + n % 50), F.lit('s"}} retry after 99')))
+        .when(n % 4 == 1, F.concat(F.lit("Quota is used up. Please Retry After "), s(n % 7), F.lit(" seconds")))
+        .when(n % 4 == 2, F.lit("retry in 5s, or retry after 3.5 s"))
+        .otherwise(F.left("text", F.lit(50)))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", T.retry_after(message).alias("seconds"))
 
 
 # ---------------------------------------------------------------- probe
@@ -194,7 +214,7 @@ checks AS (
 
 @query(PROBE_SQL + """SELECT conv_id, turn, "check", CASE WHEN length(source) > 120 THEN left(source, 120) || '...' ELSE source END AS source_excerpt, CASE WHEN length(target) > 120 THEN left(target, 120) || '...' ELSE target END AS target_excerpt FROM checks""")
 def sanity_probe(spark, sf_dir):
-    return probe.sanity_warnings(turn_pairs(spark, sf_dir)).drop("source", "target")
+    return probe.sanity_warnings(turn_pairs(spark, sf_dir)).drop("source", "target", "detail")
 
 
 @query(PROBE_SQL + """SELECT "check", count(*) AS warnings, count(DISTINCT conv_id) AS conversations FROM checks GROUP BY 1""")

@@ -12,15 +12,23 @@ MIN_DENSITY, MIN_DENSE_SOURCE = 0.30, 40
 
 
 def sanity_warnings(pairs: DataFrame, source: str = "source", target: str = "target", language: str = "zh", min_ratio: float = MIN_RATIO, max_ratio: float = MAX_RATIO, min_source: int = MIN_SOURCE, min_density: float = MIN_DENSITY, min_dense_source: int = MIN_DENSE_SOURCE) -> DataFrame:
-    """All columns of pairs, ``check``, and excerpts of both texts: one row for
-    each signal. An empty target has no other signal."""
+    """All columns of pairs, ``check``, its ``detail`` and excerpts of both texts: one
+    row for each signal. An empty target has no other signal."""
     s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
     empty = ~t.rlike(r"(?U)\S")
     ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
     off = (F.length(s) >= min_source) & ((ratio < min_ratio) | (ratio > max_ratio))
     thin = F.lit(language.startswith("zh")) & (F.length(s) >= min_dense_source) & ~s.rlike(T.URL_HINT) & (T.cjk_density(t) < min_density)
-    checks = F.array_compact(F.array(F.when(empty, "empty_output"), F.when(~empty & off, "length_ratio"), F.when(~empty & thin, "cjk_density")))
-    return pairs.select("*", F.explode(checks).alias("check"), T.excerpt(s).alias("source_excerpt"), T.excerpt(t).alias("target_excerpt"))
+    signal = lambda name, detail: F.struct(F.lit(name).alias("check"), detail.alias("detail"))
+    found = F.array_compact(
+        F.array(
+            F.when(empty, signal("empty_output", F.lit("translation is empty"))),
+            F.when(~empty & off, signal("length_ratio", F.format_string(f"length_ratio=%.2f not in [{min_ratio}, {max_ratio}]", ratio))),
+            F.when(~empty & thin, signal("cjk_density", F.format_string(f"cjk_density=%.2f < {min_density}", T.cjk_density(t)))),
+        )
+    )
+    rows = pairs.select("*", F.explode(found).alias("signal_"), T.excerpt(s).alias("source_excerpt"), T.excerpt(t).alias("target_excerpt"))
+    return rows.select(*pairs.columns, "signal_.check", "signal_.detail", "source_excerpt", "target_excerpt")
 
 
 def replace_warnings(old: DataFrame, new: DataFrame, probed: DataFrame, key: str) -> DataFrame:

@@ -72,10 +72,27 @@ def run_state(exit_code, ended, pid_alive):
     return F.when(pid_alive, "running").when(exit_code == 0, "finished").when(exit_code < 0, "stopped").when(exit_code.isNotNull(), "failed").otherwise("ended")
 
 
+def sample_places(total, n: int):
+    """0-based places of a sample of n out of total rows, total a column of more than
+    n: the first, the middle, the last, then k n-ths of the whole, each moved on by
+    one when taken; the sample ends early when that is taken or past the end too."""
+    if n < 1:
+        raise ValueError("a sample has one row at least")
+    fixed = [F.lit(0).cast("long"), F.expr("0L") + F.floor(total / 2), F.expr("0L") + total - 1][:n]
+    out, more = F.array(*fixed), F.lit(True)
+    for k in range(len(fixed), n):
+        at = F.floor(total * k / n)
+        moved = F.when(F.array_contains(out, at), at + 1).otherwise(at)
+        more = more & ~F.array_contains(out, moved) & (moved < total)
+        out = F.when(more, F.concat(out, F.array(moved))).otherwise(out)
+    return out
+
+
 def head_middle_tail(rows: DataFrame, group: str, order: str, n: int = 3) -> DataFrame:
-    """Up to n rows of each group at evenly spaced places: the first, the middle,
-    the last when n is 3; all rows of a smaller group."""
-    w = W.partitionBy(group)
-    numbered = rows.withColumn("at_", F.row_number().over(w.orderBy(order)) - 1).withColumn("of_", F.count("*").over(w))
-    places = F.array(*[F.least(F.floor(F.col("of_") * k / (n - 1)), F.col("of_") - 1).cast("long") for k in range(n)])
-    return numbered.filter((F.col("of_") <= n) | F.array_contains(places, F.col("at_").cast("long"))).drop("at_", "of_")
+    """n rows of each group at the places of ``sample_places``; all rows of a group
+    that has no more."""
+    numbered = rows.withColumn("at_", F.row_number().over(W.partitionBy(group).orderBy(order)).cast("long") - 1)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("of_"))
+    places = sizes.withColumn("places_", F.when(F.col("of_") > n, sample_places(F.col("of_"), n)))
+    joined = numbered.join(places, numbered[group].eqNullSafe(places[group])).drop(places[group])
+    return joined.filter(F.col("places_").isNull() | F.array_contains("places_", F.col("at_"))).drop("at_", "of_", "places_")

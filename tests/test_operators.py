@@ -214,3 +214,20 @@ def test_state(spark):
     random.seed(0)
     rows = spark.createDataFrame([("g", i) for i in range(7)], "g string, i int")
     assert [r.i for r in state.head_middle_tail(rows, "g", "i").orderBy("i").collect()] == [0, 3, 6]
+
+
+def test_sample_places(spark):
+    rows = spark.createDataFrame([("g", i) for i in range(100)] + [("small", 1), (None, 5)], "g string, i int")
+    for n, want in ((1, [0]), (2, [0, 50]), (3, [0, 50, 99]), (5, [0, 50, 60, 80, 99]), (7, [0, 42, 50, 57, 71, 85, 99])):
+        got = state.head_middle_tail(rows, "g", "i", n).collect()
+        assert sorted(r.i for r in got if r.g == "g") == want
+        assert [r.i for r in got if r.g != "g"] in ([1, 5], [5, 1])
+    short = [r.i for r in state.head_middle_tail(rows.filter("i < 4 and g = 'g'"), "g", "i", 3).collect()]
+    assert sorted(short) == [0, 2, 3]
+
+
+def test_warning_details(spark):
+    rows = spark.createDataFrame([(1, "x" * 40, "x"), (2, "a" * 40, " "), (3, "b" * 40, "y" * 40)], "id int, source string, target string")
+    got = {(r.id, r.check): r.detail for r in probe.sanity_warnings(rows).collect()}
+    assert got[1, "length_ratio"] == "length_ratio=0.03 not in [0.15, 2.0]" and got[2, "empty_output"] == "translation is empty"
+    assert got[3, "cjk_density"] == "cjk_density=0.00 < 0.3"

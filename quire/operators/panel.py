@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import protocol as P
 from ..functions import text as T
 from ..tables import keep
 
@@ -128,6 +129,70 @@ def negative_constraint(constraints, allowed):
     return F.coalesce(F.get(fits, F.lit(0)), F.lit(""))
 
 
+def merged_groups(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``id, target``: each candidate with the one that it is merged into, itself where none."""
+    return candidates.select("id").join(resolved, "id", "left").select("id", F.coalesce("target", "id").alias("target"))
+
+
+def best_priority(proposed: DataFrame, key: str = "id") -> DataFrame:
+    """The most urgent priority that any proposal of a target names; medium where
+    none is known."""
+    names = F.array(*[F.lit(x) for x in T.PRIORITIES])
+    return proposed.groupBy(key).agg(F.get(names, F.min(T.priority_rank(F.col("priority")))).alias("priority"))
+
+
+def same_vendors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``same``: whether both tables name the same vendors under a key."""
+    sets = [x.groupBy(key).agg(F.array_sort(F.collect_set("vendor")).alias(name)) for x, name in ((a, "a"), (b, "b"))]
+    return sets[0].join(sets[1], key, "full").select(key, F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+def decide(candidates: DataFrame, proposed: DataFrame, votes: DataFrame, judges: DataFrame, n_judges: int) -> DataFrame:
+    """One row a target after all merges: ``id, term, n_vendors, keeps, drops, kept``
+    and, where it is kept, ``translation, sources, tier, alternatives, priority,
+    negative, reason``. Without a judge and with one vendor there are no tiers.
+
+    candidates: id, term. proposed: id, vendor, vendor_ord, prop_ord, translation,
+    priority, negative_constraint. votes as at the top; only those on a target count."""
+    groups = keep(merged_groups(candidates, resolve_chains(duplicate_targets(candidates, votes, n_judges))))
+    named = proposed.join(groups, "id").withColumn("prop_ord", F.struct("id", "prop_ord")).drop("id").withColumnRenamed("target", "id")
+    named = keep(named)
+    targets = candidates.join(groups.filter("id = target").select("id"), "id", "left_semi")
+    vendors = named.select("id", "vendor").distinct()
+    tally = tallies(targets, vendors, votes)
+    if not n_judges:
+        tally = tally.withColumn("kept", F.lit(True))
+    ties = tie_break_order(self_preference(candidates, proposed.select("id", "vendor").distinct(), votes, judges))
+    chosen = choose(tally.filter("kept"), named, votes, judges, ties)
+    whole = named.groupBy("id").agg(F.collect_set("vendor").alias("vendors"), F.array_sort(F.collect_list(F.struct("prop_ord", "negative_constraint"))).alias("notes"))
+    keepers = votes.groupBy("id").agg(F.count_if("keep").alias("keepers"))
+    out = targets.select("id", "term").join(tally, "id").join(whole, "id").join(chosen, "id", "left").join(best_priority(named), "id").join(keepers, "id", "left")
+    untiered = F.lit(n_judges == 0) & (F.lit(vendors.select("vendor").distinct().limit(2).count()) == 1)
+    note = negative_constraint(F.transform("notes", lambda x: F.coalesce(x["negative_constraint"], F.lit(""))), F.concat(F.array("translation"), "alternatives"))
+    text = P.reason(F.col("vendors"), F.coalesce("keepers", F.lit(0)), F.lit(n_judges))
+    only = lambda c: F.when(F.col("kept"), c)
+    return out.select(
+        "id", "term", F.size("vendors").cast("bigint").alias("n_vendors"), "keeps", "drops", "kept", "translation", "sources",
+        F.when(~untiered, F.col("tier")).alias("tier"), "alternatives", only(F.col("priority")).alias("priority"), only(note).alias("negative"), only(text).alias("reason"),
+    )
+
+
+def summary(decisions: DataFrame, capped: DataFrame, n_candidates: int) -> DataFrame:
+    """Counts of a panel: candidates, merged, dropped, fixed, preferred, cut_by_limit.
+    decisions: of decide; capped: the entries that the limit left."""
+    tier = F.coalesce(decisions["tier"], F.lit("fixed"))
+    rows = decisions.join(capped.select("id", F.lit(True).alias("left_")), "id", "left")
+    left = F.coalesce("left_", F.lit(False))
+    return rows.agg(
+        F.lit(n_candidates).cast("bigint").alias("candidates"),
+        (F.lit(n_candidates) - F.count("*")).alias("merged"),
+        F.count_if(~F.col("kept")).alias("dropped"),
+        F.count_if(left & (tier == "fixed")).alias("fixed"),
+        F.count_if(left & (tier == "preferred")).alias("preferred"),
+        F.count_if(F.col("kept") & ~left).alias("cut_by_limit"),
+    )
+
+
 def parse_votes(replies: DataFrame, reply: str = "reply", ids: str = "ids") -> DataFrame:
     """Adds ``error`` and ``votes`` to judge replies: a reply that is no JSON array of
     strictly typed votes has an error and no votes. Ids that were not asked for are

@@ -101,8 +101,8 @@ def json_string(text: Column) -> Column:
     escaped = lambda c: F.concat(F.lit("\\u"), F.lower(F.left(units(c), F.lit(4))), F.when(F.length(units(c)) > 4, F.concat(F.lit("\\u"), F.lower(F.right(units(c), F.lit(4))))).otherwise(""))
     short = F.create_map(*[F.lit(x) for pair in {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}.items() for x in pair])
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    plain = text.rlike(r"^[\x20\x21\x23-\x5B\x5D-\x7F]*$")
-    odd = F.array_join(F.transform(chars, lambda c: F.coalesce(F.try_element_at(short, c), F.when(c.rlike(r"^[\x20-\x7F]$"), c).otherwise(escaped(c)))), "")
+    plain = text.rlike(r"^[\x20\x21\x23-\x5B\x5D-\x7E]*$")
+    odd = F.array_join(F.transform(chars, lambda c: F.coalesce(F.try_element_at(short, c), F.when(c.rlike(r"^[\x20-\x7E]$"), c).otherwise(escaped(c)))), "")
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(odd), F.lit('"'))
 
 

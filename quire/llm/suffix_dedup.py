@@ -20,9 +20,10 @@ one byte in 35 starts a suffix.
    the bytes to their left, and a string that reaches f bytes to the left is told by
    its run to the right (at least LENGTH - f bytes in common) and to the left (at
    least f). All but the first of a string's places repeat.
-4. The first and last run of a bucket may go on in the buckets beside it. Strings
-   that are first there are compared across the boundary by their bytes, as a
-   grouped minimum over whole strings.
+4. The first and last run of a bucket may go on in the buckets beside it. Suffixes of
+   runs that do are ordered by the bytes to their left; their strings, as far as what
+   they have in common with the bucket's end and with a neighbour in that order
+   allows, are compared across the boundary by their bytes, as a grouped minimum.
 5. Repeated ranges go back to their documents, where they are merged.
 
 Hashes only choose anchors and propose; which bytes go is decided on bytes.
@@ -135,8 +136,11 @@ def scan_anchors(buckets: int, counted: int = COUNTED):
         yield by_document(places[np.repeat(size, size) > 1], 1, buckets)
         h, places = h[new], places[new]
         places["sent"] = size > 1
-        # the buckets are equal ranges of the hash
-        at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        # anchors have the least hashes of their strings: mixed again, they spread evenly
+        with np.errstate(over="ignore"):
+            at = _base.mix(h ^ np.uint64(_base.MIX_A)) % np.uint64(buckets)
+        by = np.argsort(at, kind="stable")
+        h, places, at = h[by], places[by], at[by]
         edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
         blobs = [planes(h[a:b], places[a:b]) for a, b in zip(edge, np.append(edge[1:], len(h)))]
         none = np.zeros(len(edge), np.int64)
@@ -199,13 +203,14 @@ def settle_anchors(buckets: int):
 
 # ---------------------------------------------------------------- 2: suffixes
 
-PARTS = "kind int, doc long, row long, at long, left binary, right binary"
+PARTS = "kind int, doc long, row long, at long, left binary, right binary, wanted binary"
 NAMES = [x.split()[0] for x in PARTS.split(", ")]
 
 
-def emit(kind: int, doc, row, at, left, right) -> pa.RecordBatch:
+def emit(kind: int, doc, row, at, left, right, wanted=None) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], NAMES)
+    wanted = [None] * n if wanted is None else wanted
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(wanted, pa.binary())], NAMES)
 
 
 def ranged(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -346,8 +351,8 @@ class Bucket:
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix and reach f to the left: whether the string of LENGTH bytes
-        from there is in the bucket before, and whether it is in the document at all.
-        Leaves only suffixes that may have a partner, here or in a bucket beside."""
+        from there is in the bucket before, and whether it is not but may be in another
+        bucket. Leaves only suffixes that may have a partner, here or beside."""
         lcp = common(self.right)
         run = np.cumsum(lcp < LEAD)
         edge = (run == run[0]) | (run == run[-1])
@@ -378,30 +383,79 @@ class Bucket:
             key, own, rank = key[order], pick[order], self.rank[pick][order]
             new = np.r_[True, key[1:] != key[:-1]]
             late[own, f] = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
-        self.edge = edge
-        return late, ok
+        # a partner in a bucket before or after has no more in common with a suffix on the
+        # right than the bucket's first or last suffix has
+        whole = np.full(len(lcp), LENGTH)
+        to_first, to_last = whole.copy(), whole.copy()
+        to_first[1:] = np.minimum.accumulate(lcp[1:])
+        to_last[:-1] = np.minimum.accumulate(lcp[1:][::-1])[::-1]
+        beyond = np.maximum(np.where(run == run[0], to_first, 0), np.where(run == run[-1], to_last, 0))
+        wanted = ok & ~late & edge[:, None] & (far[None, :] >= LENGTH - beyond[:, None])
+        return late, wanted
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket. Kind 1: ranges that repeat. Kind 2: strings in right that come
-    first in a run that may go on in another bucket, with their place."""
+    """One bucket. Kind 1: ranges that repeat. Kind 2: suffixes of its first and last
+    run with strings that come first here and may not elsewhere (bits in wanted),
+    the bytes to the left put backwards. Kind 3: those runs' leads in right."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     bucket = Bucket(pa.Table.from_batches(held))
     held.clear()
     yield from bucket.combine()
-    late, ok = bucket.repeats()
+    leads = sorted({bucket.right[i, :LEAD].tobytes() for i in (0, -1)})
+    yield emit(3, *[np.zeros(len(leads), np.int64)] * 3, [None] * len(leads), leads)
+    late, wanted = bucket.repeats()
     step = np.diff(np.pad(late.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     i, lo = np.nonzero(step == 1)
     hi = np.nonzero(step == -1)[1] - 1
     yield from ranged(bucket.doc[i], bucket.row[i], bucket.at[i] - hi, bucket.at[i] - lo + LENGTH)
-    i, far = np.nonzero(ok & ~late & bucket.edge[:, None])
-    for a in range(0, len(i), 20_000):
-        own, f = i[a : a + 20_000], far[a : a + 20_000]
-        whole = np.hstack([bucket.left[own][:, ::-1], bucket.right[own]])
-        strings = whole[np.arange(len(own))[:, None], (REACH - f)[:, None] + np.arange(LENGTH)]
-        yield emit(2, bucket.doc[own], bucket.row[own], bucket.at[own] - f, [None] * len(own), [s.tobytes() for s in strings])
+    some = np.flatnonzero(wanted.any(axis=1))
+    bits = np.packbits(wanted[some], axis=1)
+    for a in range(0, len(some), 20_000):
+        own = some[a : a + 20_000]
+        left = [bucket.left[i, :n].tobytes() for i, n in zip(own.tolist(), bucket.n_left[own].tolist())]
+        right = [bucket.right[i, :n].tobytes() for i, n in zip(own.tolist(), bucket.n_right[own].tolist())]
+        yield emit(2, bucket.doc[own], bucket.row[own], bucket.at[own], left, right, [x.tobytes() for x in bits[a : a + 20_000]])
+
+
+# ---------------------------------------------------------------- 4: boundaries
+
+
+def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over suffixes of kind 2 in order of lead and of the bytes to the left: kind 2,
+    their wanted strings in right and where these start, as far as a neighbour has
+    the same bytes to the left. What lies beyond the partition may have all."""
+    last: pa.Table | None = None
+    before = REACH  # bytes that the first row has in common with the one before it
+
+    def found(rows: pa.Table, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, row, at = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        left, _ = matrix(rows.column(4).combine_chunks(), REACH)
+        right, _ = matrix(rows.column(5).combine_chunks(), LENGTH)
+        bits, _ = matrix(rows.column(6).combine_chunks(), -(-(REACH + 1) // 8))
+        i, far = np.nonzero(np.unpackbits(bits, axis=1)[:, : REACH + 1].astype(bool) & (np.arange(REACH + 1)[None, :] <= reach[:, None]))
+        for a in range(0, len(i), 20_000):
+            own, f = i[a : a + 20_000], far[a : a + 20_000]
+            whole = np.hstack([left[own][:, ::-1], right[own]])
+            text = whole[np.arange(len(own))[:, None], (REACH - f)[:, None] + np.arange(LENGTH)]
+            yield emit(2, doc[own], row[own], at[own] - f, [None] * len(own), [t.tobytes() for t in text])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([last, rows]).combine_chunks() if last is not None else rows
+        left, _ = matrix(rows.column(4).combine_chunks(), REACH)
+        lead, _ = matrix(rows.column(5).combine_chunks(), LEAD)
+        lcs = common(left)
+        lcs[1:][(lead[1:] != lead[:-1]).any(axis=1)] = 0
+        lcs[0] = before
+        yield from found(rows.slice(0, rows.num_rows - 1), np.maximum(lcs[:-1], lcs[1:]))
+        last, before = rows.slice(rows.num_rows - 1), int(lcs[-1])
+    if last is not None:
+        yield from found(last, np.array([REACH]))
 
 
 # ---------------------------------------------------------------- 5: documents
@@ -469,9 +523,15 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", bucket_rows:
     scratch.drop("suffixes")
     scratch.free_shuffles()
 
-    strings = found.filter("kind = 2").select("right", "doc", "row", "at")
-    first = strings.groupBy("right").agg(F.min(F.struct("doc", "row", "at")).alias("first"))
-    again = strings.join(first, "right").filter(F.struct("doc", "row", "at") > F.col("first"))
+    # leads that end one bucket and begin another
+    lead = F.substring("right", 1, LEAD).alias("lead")
+    split = found.filter("kind = 3").groupBy(F.col("right").alias("lead")).agg(F.count("*").alias("n")).filter("n > 1").select("lead")
+    edges = found.filter("kind = 2").select(*NAMES, lead).join(split, "lead", "left_semi")
+    edges = scratch.keep(edges, "edges")
+    edges = edges.repartitionByRange("lead", "left", "doc", "row", "at").sortWithinPartitions("lead", "left", "doc", "row", "at")
+    told = scratch.keep(edges.select(*NAMES).mapInArrow(strings, PARTS).select("right", "doc", "row", "at"), "strings")
+    first = told.groupBy("right").agg(F.min(F.struct("doc", "row", "at")).alias("first"))
+    again = told.join(first, "right").filter(F.struct("doc", "row", "at") > F.col("first"))
     pair = F.unhex(F.concat(*[little_endian(x) for x in (F.col("at"), F.col("at") + LENGTH)]))
     late = known.unionByName(found.filter("kind = 1").select("doc", "row", F.col("left").alias("packed")))
     late = late.unionByName(again.select("doc", "row", pair.alias("packed")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import protocol as P
 from ..functions import text as T
+from ..plans.numbering import numbered
 from ..tables import keep
 
 MIN_BIAS_SAMPLE, MAX_ALTERNATIVES = 10, 2
@@ -27,11 +28,12 @@ def proposals(nominations: DataFrame) -> DataFrame:
 
 def merge_nominations(nominations: DataFrame) -> DataFrame:
     """``id, key, term, n_vendors``: the union of all nominations; more vendors
-    first, then first appearance. Ranks come from a global order of the grouped
-    keys, not of the nominations."""
+    first, then first appearance. Ranks come from a sort by range of the grouped
+    keys, so no task sees them all."""
     at = F.struct("vendor_ord", "entry_ord")
     merged = proposals(nominations).groupBy("key").agg(F.min_by(F.trim("term"), at).alias("term"), F.countDistinct("vendor").alias("n_vendors"), F.min(at).alias("first"))
-    return merged.withColumn("id", F.row_number().over(W.orderBy(F.desc("n_vendors"), "first")).cast("bigint")).select("id", "key", "term", "n_vendors")
+    ranked = numbered(merged.select("key", "term", "n_vendors", "first.*"), [F.desc("n_vendors"), "vendor_ord", "entry_ord"], number="id")
+    return ranked.select("id", "key", "term", "n_vendors")
 
 
 def tallies(candidates: DataFrame, vendors: DataFrame, votes: DataFrame) -> DataFrame:

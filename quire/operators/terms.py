@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text as T
+from ..plans.numbering import numbered
+from ..tables import keep
 
 #: Words that are no term, and words that may join two.
 STOPWORDS = "a an and are as at be but by for from has have he in is it its of on or that the this to was were will with".split()
@@ -27,13 +29,15 @@ MAX_FOLLOWING = 6
 
 
 def position_labels(docs: DataFrame, book: str, order: str) -> DataFrame:
-    """front, body or back by place in the book (a tenth at each end, one at least), with its weight."""
-    w = W.partitionBy(book)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order))
-    edge = F.greatest(F.lit(1), F.floor(n / 10))
-    label = F.when(at <= edge, "front").when(at > n - edge, "back").otherwise("body")
+    """front, body or back by place in the book (a tenth at each end, one at least), with
+    its weight. Only places are sorted; documents meet the places where their book's
+    ends begin. Documents of one place share its label."""
+    at = numbered(docs.select(book, order), [order], [book])
+    edge = F.greatest(F.lit(1), F.floor(F.col("of") / 10))
+    cuts = at.groupBy(F.col(book).alias("book_")).agg(F.max(F.when(F.col("at") <= edge, F.col(order))).alias("front_"), F.min(F.when(F.col("at") > F.col("of") - edge, F.col(order))).alias("back_"))
+    label = F.when(F.col(order) <= F.col("front_"), "front").when(F.col(order) >= F.col("back_"), "back").otherwise("body")
     weight = F.when(F.col("label") == "front", 1.5).when(F.col("label") == "back", 1.2).otherwise(1.0)
-    return docs.withColumn("label", label).withColumn("weight", weight)
+    return docs.join(cuts, F.col(book).eqNullSafe(F.col("book_")), "left").withColumn("label", label).withColumn("weight", weight).drop("book_", "front_", "back_")
 
 
 def tidy(word: Column) -> Column:
@@ -128,7 +132,7 @@ def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, t
     by_phrase = keyed.filter(F.size("w_") > 0).withColumn("key_", F.explode(F.array_distinct(F.concat(F.slice("w_", 1, 1), F.when(F.size("w_") == 1, F.array(F.concat(F.get("w_", F.lit(0)), F.lit("s")), F.concat(F.get("w_", F.lit(0)), F.lit("es")))).otherwise(F.array().cast("array<string>"))))))
     tokens = sentences.withColumn("key_", F.explode(F.array_distinct(only_keys(word(F.col("sentence")), by_phrase, F.col("key_")))))
     exact = tokens.join(by_phrase, "key_").filter(F.expr("sentence rlike pattern_")).withColumn("pos_", F.length(F.get(F.split("sentence", F.col("pattern_"), 2), F.lit(0)))).withColumn("loose_", F.lit(0))
-    exact = exact.dropDuplicates([term, "doc_", "at_"])
+    exact = keep(exact.dropDuplicates([term, "doc_", "at_"]))
     rest = keyed.join(exact.select(term).distinct(), term, "left_anti").filter(F.size("stems_") > 0).withColumn("key_", F.left(F.get("stems_", F.lit(0)), F.lit(4)))
     # a stem may stand inside a word: all four-letter pieces of the tokens are keys
     pieces = F.array_distinct(F.flatten(F.transform(word(F.col("sentence")), lambda w: F.when(F.length(w) >= 4, F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.substr(w, i, F.lit(4)))).otherwise(F.array().cast("array<string>")))))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import integrity, panel, probe, state, terms
-from quire.plans import batching
+from quire.plans import batching, numbering
 from quire.streaming import resume
 
 
@@ -231,3 +231,18 @@ def test_warning_details(spark):
     got = {(r.id, r.check): r.detail for r in probe.sanity_warnings(rows).collect()}
     assert got[1, "length_ratio"] == "length_ratio=0.03 not in [0.15, 2.0]" and got[2, "empty_output"] == "translation is empty"
     assert got[3, "cjk_density"] == "cjk_density=0.00 < 0.3"
+
+
+def test_numbering(spark):
+    random.seed(1)
+    rows = [(random.choice(["big"] * 8 + ["x", None]), random.randint(0, 10_000), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(7)
+    got = numbering.numbered(df, ["o", "i"], ["g"]).collect()
+    assert len(got) == len(rows)
+    for g in ("big", "x", None):
+        want = sorted((o, i) for h, o, i in rows if h == g)
+        assert [(r.o, r.i) for r in sorted((r for r in got if r.g == g), key=lambda r: r["at"])] == want
+        assert sorted(r["at"] for r in got if r.g == g) == list(range(1, len(want) + 1)) and {r["of"] for r in got if r.g == g} == {len(want)}
+    every = numbering.numbered(df, [F.desc("o"), "i"]).collect()
+    assert [(-r.o, r.i) for r in sorted(every, key=lambda r: r["at"])] == sorted((-o, i) for _, o, i in rows)
+    assert numbering.numbered(df.limit(0), ["o"], ["g"]).count() == 0

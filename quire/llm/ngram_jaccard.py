@@ -516,5 +516,6 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    least = job.scratch.keep(least, "least")  # as a table of its own, a giant component's rows can be split
     out = named.join(least, "root", "left")
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

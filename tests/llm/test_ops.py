@@ -493,7 +493,7 @@ def test_pipeline(spark):
                 items = [tuple(r) for r in _base.table(spark, SF, "benchmark").select("item_id", "text").collect()]
                 assert set(after) == {k for k, n, h, _ in H.hits(before, items) if not (h and 20 * h >= n)}
             rows = after
-    sp = sentencepiece_codec.ChunkTable(catalog.tokenizer_model()).sp
+    sp = sentencepiece_codec.Segmenter(catalog.tokenizer_model()).sp
     assert all(r.ids == sp.encode(rows[r.doc_id]) for r in now.collect()) and now.count() == len(rows)
 
 

@@ -89,3 +89,46 @@ def repeats_removed(rows, length=100):
         spans = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
         out.append((i, len(raw), sum(gone), spans, bytes(x for x, g in zip(raw, gone) if not g)))
     return out
+
+
+def plain_png(media):
+    """Lines of an 8-bit grey PNG, one pixel after the other."""
+    import struct
+    import zlib
+
+    at, data = 8, b""
+    while at < len(media):
+        (n,), kind = struct.unpack(">I", media[at : at + 4]), media[at + 4 : at + 8]
+        if kind == b"IHDR":
+            w, h = struct.unpack(">II", media[at + 8 : at + 16])
+        if kind == b"IDAT":
+            data += media[at + 8 : at + 8 + n]
+        at += 12 + n
+    raw, out, above = zlib.decompress(data), [], [0] * w
+    for y in range(h):
+        kind, line, now = raw[y * (w + 1)], raw[y * (w + 1) + 1 : (y + 1) * (w + 1)], []
+        for x in range(w):
+            a, b, c = (now[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            now.append((line[x] + (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        out.append(now)
+        above = now
+    return out
+
+
+def plain_hash(lines, grid=32, low=8):
+    """Signs of the low cosine frequencies, by their sums."""
+    import math
+    from statistics import median
+
+    def cells(rows):
+        n = len(rows)
+        cut = [(i * n // grid, max((i + 1) * n // grid, i * n // grid + 1)) for i in range(grid)]
+        return [[sum(rows[y][x] for y in range(a, b)) / (b - a) for x in range(len(rows[0]))] for a, b in cut]
+
+    small = [list(r) for r in zip(*cells([list(r) for r in zip(*cells(lines))]))]
+    wave = [[math.cos(math.pi * (2 * x + 1) * k / (2 * grid)) for x in range(grid)] for k in range(low)]
+    freq = [round(sum(wave[u][y] * sum(wave[v][x] * small[y][x] for x in range(grid)) for y in range(grid)), 6) for u in range(low) for v in range(low)]
+    middle = median(freq[1:])
+    return "".join(str(int(f > middle)) for f in freq), freq, middle

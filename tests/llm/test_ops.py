@@ -368,6 +368,22 @@ def test_png_filters_at_work(spark, monkeypatch):
     assert kinds >= {1, 2, 3, 4}
 
 
+def test_media_by_a_plain_reader(spark):
+    """Stored images and features against a decoder and a transform that share no code with the operator."""
+    random.seed(12)
+    texts = ["", "a", "é" * 40, "".join(random.choices("abc \n", k=3000)), "".join(map(chr, range(32, 2000))), "same " * 700]
+    kinds = set()
+    for r in media.to_media(frame(spark, [*enumerate(texts), (99, None)])).collect():
+        raw = (texts[r.doc_id] if r.doc_id < 99 else "").encode()
+        lines = H.plain_png(bytes(r.media))
+        assert bytes(x for line in lines for x in line) == raw + bytes(-len(raw) % 64 if raw else 64) == bytes(r.payload)
+        kinds |= set(media.inflated(bytes(r.media))[:, 0].tolist())
+        bits, freq, middle = H.plain_hash(lines)
+        got = f"{int(r.feature, 16):064b}"
+        assert all(a == b or abs(f - middle) < 1e-4 for a, b, f in zip(got, bits, freq))
+    assert len(kinds) > 2  # filters at work
+
+
 def test_media(spark):
     rows = [*EDGES, (50, "x" * 64), (51, "x" * 65)]
     out = media.to_media(frame(spark, rows, extra=True)).collect()

@@ -107,6 +107,14 @@ def only_keys(tokens: Column, terms: DataFrame, key: Column) -> Column:
     return F.filter(tokens, lambda w: w.isin(keys)) if 0 < len(keys) <= FEW_KEYS else tokens
 
 
+def keys_within(text: Column, pieces: Column, terms: DataFrame, key: Column) -> Column:
+    """As only_keys, for a lower-cased text whose pieces these are: a few keys are sought
+    in the text itself, which is not cut up for them. A key found inside another
+    word is one more candidate, for the pattern to refuse."""
+    keys = [r[0] for r in terms.select(key).distinct().limit(FEW_KEYS + 1).collect()]
+    return F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(text, k)) if 0 < len(keys) <= FEW_KEYS else pieces
+
+
 def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
     """Rows of texts with the terms they hold as whole words in any case.
 
@@ -130,14 +138,14 @@ def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, t
     keyed = terms.select(term, T.phrase_pattern(F.col(term)).alias("pattern_"), T.stems(F.col(term)).alias("stems_"), word(F.col(term)).alias("w_"))
     # a phrase's first word is a token of the sentence; its last may carry a plural
     by_phrase = keyed.filter(F.size("w_") > 0).withColumn("key_", F.explode(F.array_distinct(F.concat(F.slice("w_", 1, 1), F.when(F.size("w_") == 1, F.array(F.concat(F.get("w_", F.lit(0)), F.lit("s")), F.concat(F.get("w_", F.lit(0)), F.lit("es")))).otherwise(F.array().cast("array<string>"))))))
-    tokens = sentences.withColumn("key_", F.explode(F.array_distinct(only_keys(word(F.col("sentence")), by_phrase, F.col("key_")))))
+    tokens = sentences.withColumn("key_", F.explode(keys_within(F.lower("sentence"), F.array_distinct(word(F.col("sentence"))), by_phrase, F.col("key_"))))
     exact = tokens.join(by_phrase, "key_").filter(F.expr("sentence rlike pattern_")).withColumn("pos_", F.length(F.get(F.split("sentence", F.col("pattern_"), 2), F.lit(0)))).withColumn("loose_", F.lit(0))
     exact = keep(exact.dropDuplicates([term, "doc_", "at_"]))
     rest = keyed.join(exact.select(term).distinct(), term, "left_anti").filter(F.size("stems_") > 0).withColumn("key_", F.left(F.get("stems_", F.lit(0)), F.lit(4)))
     # a stem may stand inside a word: all four-letter pieces of the tokens are keys
     pieces = F.array_distinct(F.flatten(F.transform(word(F.col("sentence")), lambda w: F.when(F.length(w) >= 4, F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.substr(w, i, F.lit(4)))).otherwise(F.array().cast("array<string>")))))
     stem = F.left(F.get("stems_", F.lit(0)), F.lit(4))
-    pieces = only_keys(pieces, keyed.filter(F.size("stems_") > 0), stem)
+    pieces = keys_within(F.lower("sentence"), pieces, rest, stem)
     loose = sentences.withColumn("key_", F.explode(pieces)).join(rest, "key_").filter(F.forall("stems_", lambda s: F.contains(F.lower("sentence"), s)))
     loose = loose.withColumn("pos_", F.expr("instr(lower(sentence), stems_[0]) - 1")).withColumn("loose_", F.lit(1))
     cols = [term, "doc_", "at_", "sentence", "pos_"]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import integrity, panel, probe, state, terms
 from quire.plans import batching, numbering
 from quire.streaming import resume
@@ -246,3 +247,28 @@ def test_numbering(spark):
     every = numbering.numbered(df, [F.desc("o"), "i"]).collect()
     assert [(-r.o, r.i) for r in sorted(every, key=lambda r: r["at"])] == sorted((-o, i) for _, o, i in rows)
     assert numbering.numbered(df.limit(0), ["o"], ["g"]).count() == 0
+
+
+def test_probe_replies(spark):
+    rows = [("", "a"), ("  ", "a"), ("a ", "a"), ("```x", "a"), ("<seg id=1>", "a"), ("%%", "a"), ("ok", "a")]
+    df = spark.createDataFrame(rows, "reply string, source string")
+    got = [r[0] for r in df.select(probe.output_problems(F.col("reply"), F.col("source"))).collect()]
+    assert got == ["empty", "empty", "untranslated", "artifact", "artifact", "artifact", None]
+
+
+def test_warnings_are_replaced_by_segment(spark):
+    old = spark.createDataFrame([("s1", "length_ratio"), ("s2", "empty_output")], "id string, check string")
+    new = spark.createDataFrame([("s1", "cjk_density")], "id string, check string")
+    probed = spark.createDataFrame([("s1",), ("s3",), ("s1",)], "id string")
+    assert sorted(map(tuple, probe.replace_warnings(old, new, probed, "id").collect())) == [("s1", "cjk_density"), ("s2", "empty_output")]
+
+
+def test_negative_constraints(spark):
+    cases = [([" not B ", "other"], ["A", "B"], "other"), (["not A"], ["A"], ""), ([], ["A"], ""), (["  ", "keep"], ["", "A"], "keep")]
+    df = spark.createDataFrame(cases, "c array<string>, allowed array<string>, want string")
+    assert all(r[0] == r.want for r in df.select(panel.negative_constraint(F.col("c"), F.col("allowed")), "want").collect())
+
+
+def test_slashes_flag_choices(spark):
+    df = spark.createDataFrame([("甲/乙",), ("甲／乙",), ("甲乙",)], "t string")
+    assert [r[0] for r in df.select(T.offers_choice(F.col("t"))).collect()] == [True, True, False]

@@ -114,8 +114,9 @@ def stream(rows_needed: int):
 def refused(docs: DataFrame, text: str, id_: str, min_chars: int, min_docs: int, scratch: _base.Scratch) -> DataFrame:
     """(doc, row, pos): positions of lines to drop; row is a fingerprint of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(whole).alias("row"), F.posexplode(keys_of(F.col(text))).alias("p", "key"))
-    rows = rows.filter(F.length("key") >= min_chars)
+    # the whole text is hashed once a document, below the explode, not once a line
+    rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(whole).alias("row"), keys_of(F.col(text)).alias("keys"))
+    rows = rows.select("doc", "row", F.posexplode("keys").alias("p", "key")).filter(F.length("key") >= min_chars)
     rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "row", F.array("p").alias("pos"))
     rows = scratch.keep(rows, "hashes")  # the splitters are sampled from it, then it is dealt
     ordered = rows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "row")
@@ -173,6 +174,8 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", min_chars: i
     loses all its lines except in the document of the largest id; ids decide, so
     rows that repeat an id count as one document. A null or empty text is one
     empty line; a null id sorts below all others. Rows are never added or lost.
+    Keys are told apart by 128-bit hashes; a text's lines cost time in proportion
+    to their number, whatever it is.
     """
     _base.small_batches(docs.sparkSession)
     maps = keep_bitmaps(docs, text, id_, min_chars, min_docs)

@@ -46,6 +46,9 @@ LENGTH, LEAD = 100, 32
 REACH = LENGTH - LEAD
 #: Suffixes of a bucket, as sampled splitters cut them on average.
 BUCKET_ROWS = 100_000
+#: Bytes of text whose anchors share a counting bucket, on average (about half a million
+#: anchors), whatever the size of the input.
+BUCKET_BYTES = 1 << 24
 #: Anchors that a task counts at a time.
 COUNTED = 1_000_000
 #: Runs up to this size are ordered by plain sorts in place of further quicksort steps.
@@ -504,7 +507,8 @@ def dedup(docs: DataFrame, text: str = "text", id_: str = "doc_id", bucket_rows:
     scratch = _base.Scratch(spark)
     rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text_"))
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text_").cast("long"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     met = rows.mapInArrow(scan_anchors(buckets, counted), MET).repartition("bucket").sortWithinPartitions("bucket")
     met = scratch.keep(met.mapInArrow(settle_anchors(buckets), MET).select("doc", "row", "packed"), "met")
     scratch.free_shuffles()

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -120,6 +121,18 @@ def test_lines(spark, parts):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_lines_of_a_long_text(spark):
+    """70,000 lines in 5 MB: time in proportion, where a hash of the text a line took minutes."""
+    random.seed(11)
+    lines = [f"line {i} of one very long text, " + "x" * random.randint(20, 60) for i in range(70_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[::1000])), (3, "\n".join(lines[::2000]))]
+    docs = frame(spark, rows)
+    began = time.time()
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs).collect())
+    assert time.time() - began < 40
+    assert got == sorted(H.kept_lines(rows))
+
+
 # ---------------------------------------------------------------- URLs
 
 
@@ -446,7 +459,8 @@ def test_language_learns_from_whole_texts(spark):
 
 
 @pytest.mark.parametrize("bucket_rows,counted", [(100_000, 1_000_000), (25, 40)])
-def test_suffixes(spark, bucket_rows, counted):
+def test_suffixes(spark, monkeypatch, bucket_rows, counted):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 40 * counted)  # buckets by size in the second case
     random.seed(3)
     text = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
     shared = [text(n) for n in (99, 100, 101, 150, 400)]

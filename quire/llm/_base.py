@@ -87,9 +87,9 @@ class Scratch:
         with contextlib.suppress(Exception):  # the session may be gone by now
             self.drop("")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -172,12 +172,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def passes(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with about PASS_BYTES of text each, with bytes and offsets."""
+def passes(batch: pa.RecordBatch, text: int, size: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about size (PASS_BYTES) of text each, with bytes and offsets."""
     raw, offs = utf8(batch.column(text))
     lo, n = 0, batch.num_rows
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + PASS_BYTES, "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + (size or PASS_BYTES), "right")) - 1))
         yield batch.slice(lo, hi - lo), raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -3,12 +3,13 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import integrity, panel, probe, state, terms
-from quire.plans import batching, numbering
+from quire.plans import batching, blocks, numbering
 from quire.streaming import resume
 
 
@@ -30,6 +31,54 @@ def test_batches(spark):
         sizes(spark, [1], max_chars=0)
 
 
+def packed(lengths, limit, separator, most):
+    """Batch numbers one row after the other."""
+    out, chars, count, batch = [], 0, 0, 0
+    for n in lengths:
+        after = chars + (separator if count else 0) + n
+        if count and (after > limit or (most is not None and count >= most)):
+            batch, after, count = batch + 1, n, 0
+        chars, count = after, count + 1
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("most", "separator", "chunk"), [(25, 6, None), (25, 6, 40), (7, 0, 7), (None, 6, 64), (None, 0, 5)])
+def test_batches_over_chunks(spark, most, separator, chunk):
+    """Books of several chunks, batches of more rows than a chunk among them."""
+    random.seed(most or 0)
+    books = {"long": [random.choice([0, 1, 5, 30, 99, 101, 250]) for _ in range(900)], "tiny": [0] * 130, "one": [500], None: [random.randint(0, 40) for _ in range(200)], "whole": [1] * 160}
+    rows = [(b, i, "x" * n) for b, sizes in books.items() for i, n in enumerate(sizes)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, place int, body string").repartition(5)
+    got = batching.plan_batches(df, "name", "place", "body", 100, separator, most, chunk).collect()
+    assert len(got) == len(rows)
+    for b, sizes in books.items():
+        own = sorted((r.ord, r.chars, r.batch_id) for r in got if r.book == b)
+        assert own == [(i, n, k) for (i, n), k in zip(enumerate(sizes), packed(sizes, 100, separator, most))], b
+
+
+def test_jumps():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        following = batching.successors(rng.integers(0, 30, n), 50, int(rng.integers(0, 3)), 6)
+        end = int(rng.integers(1, n + 1))
+        exits, steps = batching.jumps(following, end)
+        for i in range(end):
+            at, k = i, 0
+            while at < end:
+                at, k = int(following[at]), k + 1
+            assert (at, k) == (exits[i], steps[i])
+
+
+def test_beside_first(spark):
+    rows = spark.range(0, 100, 1, 7).filter("id % 50 > 9 or id < 30")
+    block = spark.createDataFrame([(["a", "b"],)], "words array<string>")
+    parts = blocks.beside_first(rows, block).groupBy(F.spark_partition_id().alias("p")).agg(F.min_by("words", "id").alias("first"), F.count("words").alias("n"), F.min("id").alias("least"), F.collect_list("id").alias("ids")).collect()
+    assert all(r.n == 1 and r.first == ["a", "b"] and r.ids == sorted(r.ids) for r in parts) and sum(len(r.ids) for r in parts) == rows.count()
+
+
 def test_head_words(spark):
     rows = spark.createDataFrame([("b", 0, "x", 6), ("b", 1, "y", 5), ("b", 2, "z", 4)], "book string, ord int, head string, size long")
     assert [r.chunk_id for r in batching.head_word_chunks(rows, 10).orderBy("ord").collect()] == [0, 1, 1]

@@ -1,9 +1,8 @@
 """Term candidates, the sentences that hold them, and how translations use them.
 
-A term is matched by a pattern only where it can match at all: text is tokenised
-once, and terms meet texts by an equi-join on one of the term's words before any
-pattern runs. The pattern then decides, so the result is that of trying every
-pattern on every text.
+A term is matched by a pattern only where it can match at all: an automaton over all
+terms reads each text once and proposes, then the pattern decides, so the result is
+that of trying every pattern on every text.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import types
 from ..functions import text as T
 from ..plans.numbering import numbered
 from ..tables import keep
+from . import automaton
 
 #: Words that are no term, and words that may join two.
 STOPWORDS = "a an and are as at be but by for from has have he in is it its of on or that the this to was were will with".split()
@@ -96,63 +96,56 @@ def rank_candidates(blocks: DataFrame, terms: Column, limit: int | None = 300) -
     return out.orderBy(F.desc("weighted_score"), "term").limit(limit) if limit is not None else out
 
 
-#: So many distinct keys may stand in a plan as literals.
-FEW_KEYS = 1000
-
-
-def only_keys(tokens: Column, terms: DataFrame, key: Column) -> Column:
-    """The tokens that can be some term's key, when the keys are few enough to
-    list; else all tokens, and the join does the work."""
-    keys = [r[0] for r in terms.select(key).distinct().limit(FEW_KEYS + 1).collect()]
-    return F.filter(tokens, lambda w: w.isin(keys)) if 0 < len(keys) <= FEW_KEYS else tokens
-
-
-def keys_within(text: Column, pieces: Column, terms: DataFrame, key: Column) -> Column:
-    """As only_keys, for a lower-cased text whose pieces these are: a few keys are sought
-    in the text itself, which is not cut up for them. A key found inside another
-    word is one more candidate, for the pattern to refuse."""
-    keys = [r[0] for r in terms.select(key).distinct().limit(FEW_KEYS + 1).collect()]
-    return F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(text, k)) if 0 < len(keys) <= FEW_KEYS else pieces
-
-
-def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term", block_bytes: int | None = None) -> DataFrame:
     """Rows of texts with the terms they hold as whole words in any case.
 
-    One word of each term, its longest, is the join key; texts that hold it are
-    then held against the term's pattern. Terms that share no whole token with a
-    text (words glued to others by punctuation) are found too, since tokens are cut
-    at everything but letters and digits. A term without letters or digits has no
-    key and matches nothing."""
-    tokens = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
-    keyed = terms.withColumn("key_", F.array_max(F.transform(tokens(F.col(term)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).withColumn("pattern_", T.term_pattern(F.col(term))).filter("key_ is not null")
-    held = texts.withColumn("key_", F.explode(F.array_distinct(only_keys(tokens(F.col(text)), keyed, F.col("key_")))))
-    return held.join(keyed, "key_").filter(F.expr(f"`{text}` rlike pattern_")).drop("key_", "pattern_")
+    One pass over the texts for each block of terms: an automaton finds the terms that a
+    text can hold, and their patterns decide, so the result is that of trying every
+    pattern on every text. A blank term matches nothing."""
+    keyed = automaton.with_ids(terms.filter(F.trim(term) != ""))
+    found = automaton.find(texts, F.col(text), keyed.select("id", F.array(term).alias("pieces")), automaton.WORDS, block_bytes)
+    keyed = keyed.withColumn("pattern_", T.term_pattern(F.col(term))).withColumnRenamed("id", "hit")
+    return found.join(keyed, "hit").filter(F.expr(f"`{text}` rlike pattern_")).drop("hit", "pattern_")
 
 
-def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, term: str = "term", most: int = 3) -> DataFrame:
+def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, term: str = "term", most: int = 3, block_bytes: int | None = None) -> DataFrame:
     """Up to most sentences for each term: ``term, rank, sentence`` (clipped around
     the match). Whole phrase first; if it is nowhere, sentences that hold all the
-    term's stems. Different documents first, then book order."""
-    sentences = docs.select(F.col(order).alias("doc_"), F.posexplode(T.sentences(F.col(text))).alias("at_", "sentence"))
-    word = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
-    keyed = terms.select(term, T.phrase_pattern(F.col(term)).alias("pattern_"), T.stems(F.col(term)).alias("stems_"), word(F.col(term)).alias("w_"))
-    # a phrase's first word is a token of the sentence; its last may carry a plural
-    by_phrase = keyed.filter(F.size("w_") > 0).withColumn("key_", F.explode(F.array_distinct(F.concat(F.slice("w_", 1, 1), F.when(F.size("w_") == 1, F.array(F.concat(F.get("w_", F.lit(0)), F.lit("s")), F.concat(F.get("w_", F.lit(0)), F.lit("es")))).otherwise(F.array().cast("array<string>"))))))
-    tokens = sentences.withColumn("key_", F.explode(keys_within(F.lower("sentence"), F.array_distinct(word(F.col("sentence"))), by_phrase, F.col("key_"))))
-    exact = tokens.join(by_phrase, "key_").filter(F.expr("sentence rlike pattern_")).withColumn("pos_", F.length(F.get(F.split("sentence", F.col("pattern_"), 2), F.lit(0)))).withColumn("loose_", F.lit(0))
-    exact = keep(exact.dropDuplicates([term, "doc_", "at_"]))
-    rest = keyed.join(exact.select(term).distinct(), term, "left_anti").filter(F.size("stems_") > 0).withColumn("key_", F.left(F.get("stems_", F.lit(0)), F.lit(4)))
-    # a stem may stand inside a word: all four-letter pieces of the tokens are keys
-    pieces = F.array_distinct(F.flatten(F.transform(word(F.col("sentence")), lambda w: F.when(F.length(w) >= 4, F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.substr(w, i, F.lit(4)))).otherwise(F.array().cast("array<string>")))))
-    stem = F.left(F.get("stems_", F.lit(0)), F.lit(4))
-    pieces = keys_within(F.lower("sentence"), pieces, rest, stem)
-    loose = sentences.withColumn("key_", F.explode(pieces)).join(rest, "key_").filter(F.forall("stems_", lambda s: F.contains(F.lower("sentence"), s)))
-    loose = loose.withColumn("pos_", F.expr("instr(lower(sentence), stems_[0]) - 1")).withColumn("loose_", F.lit(1))
-    cols = [term, "doc_", "at_", "sentence", "pos_"]
-    hits = exact.select(cols).unionByName(loose.select(cols))
-    first = F.row_number().over(W.partitionBy(term, "doc_").orderBy("at_"))
-    rank = F.row_number().over(W.partitionBy(term).orderBy(F.col("n_") > 1, "doc_", "at_"))
-    return hits.withColumn("n_", first).withColumn("rank", rank).filter(F.col("rank") <= most).select(term, "rank", T.clip(F.col("sentence"), F.col("pos_")).alias("sentence"))
+    term's stems. Different documents first, then book order; documents of one order
+    value are one document.
+
+    An automaton proposes the sentences of each term. Only places travel until the few
+    that a term keeps are known; their sentences are then cut from the texts again."""
+    cut = lambda rows: rows.select(F.col(order).alias("doc_"), F.posexplode(T.sentences(F.col(text))).alias("at_", "sentence"))
+    words = F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"[\s/-]+"), lambda w: w != "")
+    keyed = automaton.with_ids(terms.select(term, T.phrase_pattern(F.col(term)).alias("pattern_"), T.stems(F.col(term)).alias("stems_"), F.array_join(words, " ").alias("phrase_")))
+    first = lambda hits: _first_places(hits, most)
+
+    phrases_ = keyed.filter("phrase_ <> ''").select("id", F.array("phrase_").alias("pieces"))
+    exact = automaton.find(cut(docs), F.col("sentence"), phrases_, automaton.PHRASES, block_bytes)
+    exact = exact.join(keyed.select(F.col("id").alias("hit"), "pattern_"), "hit").filter(F.expr("sentence rlike pattern_"))
+    exact = keep(first(exact))
+
+    rest = keep(keyed.join(exact, keyed["id"] == exact["hit"], "left_anti").filter(F.size("stems_") > 0).select("id", F.col("stems_").alias("pieces")))
+    lowered = cut(docs).withColumn("sentence", F.lower("sentence"))
+    loose = first(automaton.find(lowered, F.col("sentence"), rest, automaton.PARTS, block_bytes))
+
+    places = keep(exact.withColumn("loose_", F.lit(False)).unionByName(loose.withColumn("loose_", F.lit(True))))
+    texts = cut(docs.join(places.select(F.col("doc_").alias("d_")).distinct(), F.col(order) == F.col("d_"), "left_semi"))
+    found = texts.join(places, ["doc_", "at_"]).join(keyed.withColumnRenamed("id", "hit"), "hit")
+    phrase_at = F.length(F.get(F.split("sentence", F.col("pattern_"), 2), F.lit(0)))
+    stem_at = F.expr("instr(lower(sentence), stems_[0]) - 1")
+    found = found.withColumn("pos_", F.when(F.col("loose_"), stem_at).otherwise(phrase_at)).dropDuplicates(["hit", "rank"])
+    return found.select(term, "rank", T.clip(F.col("sentence"), F.col("pos_")).alias("sentence"))
+
+
+def _first_places(hits: DataFrame, most: int) -> DataFrame:
+    """(hit, doc_, at_, rank): the first sentence of each of a hit's first documents; where
+    it has fewer documents than most, further sentences in order."""
+    nth = F.row_number().over(W.partitionBy("hit", "doc_").orderBy("at_"))
+    rank = F.row_number().over(W.partitionBy("hit").orderBy(F.col("n_") > 1, "doc_", "at_"))
+    own = hits.select("hit", "doc_", "at_").distinct().withColumn("n_", nth).filter(F.col("n_") <= most)
+    return own.withColumn("rank", rank).filter(F.col("rank") <= most).drop("n_")
 
 
 def consume(target: Column, options: Column) -> Column:

@@ -7,7 +7,8 @@
    all of them.
 2. Numbers of documents and terms are sums over shards, document frequencies a
    grouped sum over the shards' own lists. They give each query term its weight.
-3. Queries are packed into blocks of bounded size, and every block meets every shard.
+3. Queries are packed into blocks of bounded size. A block is broadcast and reaches
+   each task once, beside the first shard of its partition; shards stay where they are.
    A shard turns term counts into integer impacts once, then scores a query term at a
    time into a dense array of its documents. The k highest are selected with all that
    tie for the last place, and a task keeps the k best of all its shards.
@@ -17,6 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.blocks import beside_first
 from . import _base, vectors
 
 K = 10
@@ -96,8 +99,7 @@ def one_list(values: pa.Array) -> pa.Array:
 def index(docs: DataFrame, scratch: _base.Scratch, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The shards of all documents that have a term."""
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text_"))
-    out = rows.mapInArrow(shards, SHARD).withColumn("shard", F.monotonically_increasing_id())
-    return scratch.keep(out, "shards", **{"parquet.block.size": GROUP_BYTES})
+    return scratch.keep(rows.mapInArrow(shards, SHARD), "shards", **{"parquet.block.size": GROUP_BYTES})
 
 
 def weights(shards_: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -142,7 +144,8 @@ class Best:
 
 
 def score_shards(n: int, total: int, k: int):
-    """Over rows of a shard and a block of queries: each task's k best of each query."""
+    """Over shards, the first of them with a block of queries: each task's k best of
+    each query."""
 
     def block_of(terms: pa.Array):
         """Distinct terms of a block, the (query, term) pairs in order of query, and where each query's begin."""
@@ -155,16 +158,13 @@ def score_shards(n: int, total: int, k: int):
         return coded.dictionary, own, np.append(first, len(q)), code, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, block = None, None, None
+        best = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
-                if (g := row["g"][0].as_py()) != now:
-                    if best:
-                        yield best.rows()
-                    now, block = g, block_of(row["block"])
-                    best = Best(block[1], k)
-                words, own, first, code, w = block
+                if best is None:
+                    words, own, first, code, w = block_of(row["block"])
+                    best = Best(own, k)
                 ids, sizes, df = (row[c].flatten() for c in ("ids", "sizes", "df"))
                 places, counts = (np.frombuffer(row[c][0].as_buffer(), "<i4").astype(np.int64) for c in ("places", "counts"))
                 value = impacts(counts, places, sizes.to_numpy(), n, total)
@@ -205,7 +205,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", id
     _base.small_batches(spark)
     scratch = _base.Scratch(spark)
     held = index(docs, scratch, text, id_)
-    n, total, count = (x or 0 for x in held.agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first())
+    n, total = (x or 0 for x in held.agg(F.sum("n_docs"), F.sum("n_terms")).first())
     words = F.array_distinct(F.regexp_extract_all(_base.ascii_lower(F.coalesce(F.col(item_text), F.lit(""))), F.lit(TERM), F.lit(0)))
     queries = scratch.keep(items.select(F.col(item_id).alias("item_id"), words.alias("terms")).withColumn("q", F.monotonically_increasing_id()), "queries")
 
@@ -213,11 +213,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", id
     entries = scratch.keep(entries, "entries")
     pairs, size = entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-pairs // block_terms), -(-size // BLOCK_BYTES))
-    parts = max(1, min(count, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = entries.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("g")).agg(F.collect_list(F.struct("q", "term", "w")).alias("block"))
-    asked = asked.withColumn("s", every(parts))
-    met = held.withColumn("s", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int")).withColumn("g", every(blocks)).join(asked.hint("shuffle_hash"), ["g", "s"])
-    found = met.select("g", "block", "ids", "sizes", "terms", "df", "places", "counts").mapInArrow(score_shards(n, total, k), FOUND)
+
+    def scored(g: int) -> DataFrame:
+        own = entries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == g).agg(F.collect_list(F.struct("q", "term", "w")).alias("block"))  # a block of bounded size
+        return beside_first(held.select("ids", "sizes", "terms", "df", "places", "counts"), own).mapInArrow(score_shards(n, total, k), FOUND)
+
+    found = reduce(DataFrame.unionByName, map(scored, range(blocks)))
     found = vectors.nearest_first(found, ["q"], [F.desc("score"), F.asc("doc_id")], k, "rank")
     return found.join(queries.select("q", "item_id"), "q").select("item_id", "rank", "doc_id", "score")

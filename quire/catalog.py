@@ -122,13 +122,18 @@ def state_upsert(spark, sf_dir):
     return state.upsert(old, new, "user_id", "version").drop("version")
 
 
-@query("""
-SELECT * FROM (VALUES ('effort', 'low', 'high', false), ('max_batch_chars', '60000', '18000', false), ('segmenter', 'v3', 'v4', true), ('glossary', CAST(NULL AS VARCHAR), 'g1', false)) AS t(field, stored, expected, hard)
-""")
+IDENTITY_FIELDS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(f"""
+WITH a AS (SELECT o_custkey AS run, arg_min((o_custkey, o_orderstatus, o_orderpriority), o_orderkey) AS s, arg_max((o_custkey, o_orderstatus, o_orderpriority), o_orderkey) AS e FROM orders GROUP BY o_custkey),
+f AS (SELECT run, unnest({IDENTITY_FIELDS}) AS field, unnest([CAST(s[1] AS VARCHAR), CAST(s[2] AS VARCHAR), CAST(s[3] AS VARCHAR)]) AS stored, unnest([CAST(e[1] AS VARCHAR), CAST(e[2] AS VARCHAR), CAST(e[3] AS VARCHAR)]) AS expected FROM a)
+SELECT run, field, stored, expected, field = 'o_orderstatus' AS hard FROM f WHERE stored IS DISTINCT FROM expected""")
 def identity_diff(spark, sf_dir):
-    stored = spark.sql("SELECT 'abc' AS input_signature, 'v3' AS segmenter, 'low' AS effort, 60000 AS max_batch_chars")
-    expected = spark.sql("SELECT 'abc' AS input_signature, 'v4' AS segmenter, 'high' AS effort, 18000 AS max_batch_chars, 'g1' AS glossary")
-    return state.identity_diff(stored, expected, ["input_signature", "segmenter"])
+    """Each customer's first order against the last: which fields differ."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), "o_orderkey", *IDENTITY_FIELDS)
+    side = lambda pick: rows.groupBy("run").agg(pick(F.struct(*IDENTITY_FIELDS), F.col("o_orderkey")).alias("x")).select("run", "x.*")
+    return state.identity_diff(side(F.min_by), side(F.max_by), ["o_orderstatus"], "run")
 
 
 @query("""
@@ -177,14 +182,14 @@ def head_mid_tail_sample(spark, sf_dir):
     return state.head_middle_tail(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", SAMPLED)
 
 
-@query("""SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 10 + doc_id % 50 WHEN 1 THEN doc_id % 7 WHEN 2 THEN 3 END AS BIGINT) AS seconds FROM documents""")
+@query(r"""SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 10 + doc_id % 50 WHEN 1 THEN doc_id % 7 WHEN 2 THEN 3 ELSE TRY_CAST(coalesce(nullif(regexp_extract(text, '"retryDelay":\s*"(\d+)s"', 1), ''), nullif(regexp_extract(text, '(?i)retry after (\d+)', 1), '')) AS BIGINT) END AS BIGINT) AS seconds FROM documents""")
 def retry_after(spark, sf_dir):
     n, s = F.col("doc_id"), lambda x: x.cast("string")
     message = (
         F.when(n % 4 == 0, F.concat(F.lit('{"error": {"retryDelay": "'), s(10 + n % 50), F.lit('s"}} retry after 99')))
         .when(n % 4 == 1, F.concat(F.lit("Quota is used up. Please Retry After "), s(n % 7), F.lit(" seconds")))
         .when(n % 4 == 2, F.lit("retry in 5s, or retry after 3.5 s"))
-        .otherwise(F.left("text", F.lit(50)))
+        .otherwise(F.col("text"))
     )
     return table(spark, sf_dir, "documents").select("doc_id", T.retry_after(message).alias("seconds"))
 
@@ -510,7 +515,7 @@ def parse_votes(spark, sf_dir):
     return panel.parse_votes(rows).select("event_id", "error", F.when(F.col("votes").isNotNull(), F.size("votes")).alias("n_votes"))
 
 
-@query(PLAN_SQL + """SELECT p.book, p.ord, p.batch_id, '[' || length(coalesce(text, '')) || '] ' || left(reverse(coalesce(text, '')), 40) AS translated FROM p JOIN documents ON source = p.book AND doc_id = p.ord""")
+@query(PLAN_SQL + """SELECT p.book, p.ord, p.batch_id, '[' || length(coalesce(text, '')) || '] ' || reverse(coalesce(text, '')) AS translated FROM p JOIN documents ON source = p.book AND doc_id = p.ord""")
 def stub_translate_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("ord"), "text")
     plan = batching.plan_batches(docs, "book", "ord", "text", PLAN_CHARS, 6, PLAN_SEGMENTS).select("book", "ord", "batch_id")

@@ -1,12 +1,17 @@
 """Batches of segments as one prompt and back, prompts, and identities of saved work.
-Each function takes and returns columns and stays in the JVM."""
+Each function takes and returns columns and stays in the JVM, but for the folding of
+file names."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
-from .text import LANGUAGES
+from .text import language_name
 
 #: What separates segments, and how a tagged segment and a fence look.
 SEPARATOR = "\n\n%%\n\n"
@@ -79,9 +84,10 @@ def glossary_line(term: Column, translation: Column, negative: Column, alternati
     return F.concat(line, F.when(F.coalesce(negative, F.lit("")) != "", F.concat(F.lit("（"), negative, F.lit("）"))).otherwise(""))
 
 
-def rendered(template: Column, language: str, glossary: Column, custom: Column) -> Column:
-    """A prompt template with its three places filled in."""
-    out = F.replace(template, F.lit("{TARGET_LANGUAGE}"), F.lit(LANGUAGES.get(language, language)))
+def rendered(template: Column, language: Column, glossary: Column, custom: Column) -> Column:
+    """A prompt template with its three places filled in. language: a code, or a name
+    as it is."""
+    out = F.replace(template, F.lit("{TARGET_LANGUAGE}"), language_name(language))
     out = F.replace(out, F.lit("{GLOSSARY_BLOCK}"), F.coalesce(glossary, F.lit("")))
     return F.replace(out, F.lit("{CUSTOM_INSTRUCTIONS_BLOCK}"), F.coalesce(custom, F.lit("")))
 
@@ -129,9 +135,17 @@ def reply_digest(model: Column, prompt: Column) -> Column:
 # ---------------------------------------------------------------- file names
 
 
+@F.pandas_udf(types.StringType())
+def folded_name(names: pd.Series) -> pd.Series:
+    """A name as file systems that ignore letter case and composition see it: composed
+    (NFC), then with full case folding, which no column function has."""
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold())
+
+
 def same_name(a: Column, b: Column) -> Column:
-    """Whether a file system that ignores letter case would take two names for one."""
-    return F.lower(a) == F.lower(b)
+    """Whether a file system that ignores letter case and composition would take two
+    names for one."""
+    return folded_name(a) == folded_name(b)
 
 
 def output_name(given: Column, source: Column) -> Column:
@@ -143,7 +157,7 @@ def output_name(given: Column, source: Column) -> Column:
     name = F.when(asked == "", F.concat(stem, F.lit(".zh.epub"))).otherwise(asked)
     name = F.when(suffix(name) == "", F.concat(name, F.lit(".epub"))).otherwise(name)
     error = (
-        F.when(name.rlike(r"[/\\\p{Cc}]") | name.startswith("."), "not a plain file name")
+        F.when(name.rlike(r"[/\\]|[\p{C}\p{Z}&&[^ ]]") | name.startswith("."), "not a plain file name")
         .when(F.octet_length(name) > 255, "too long")
         .when(F.lower(suffix(name)) != ".epub", "does not end in .epub")
         .when(same_name(name, source), "is the uploaded file")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Glossary priorities from most to least urgent.
 PRIORITIES = ("critical", "high", "medium", "low")
 #: Language names by code.
-LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French", "ja": "Japanese", "ko": "Korean", "zh": "Chinese", "zh-CN": "Simplified Chinese"}
+LANGUAGES = {"zh": "Chinese", "en": "English", "ja": "Japanese", "ko": "Korean", "fr": "French", "de": "German", "es": "Spanish", "pt": "Portuguese", "ru": "Russian", "ar": "Arabic", "it": "Italian"}
 
 #: Fixed value: what a source with addresses or imprint lines looks like.
 URL_HINT = r"(?i)https?://|www\.|\.com\b|\.org\b|\.net\b|\.co\.\w{2}\b|@\w|©|ISBN\b|First\s+published\b"

@@ -36,6 +36,18 @@ def replace_warnings(old: DataFrame, new: DataFrame, probed: DataFrame, key: str
     return old.join(probed.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def output_problems(reply, source):
-    """Why a probe's reply is no translation, or null."""
-    return F.when(~F.coalesce(reply, F.lit("")).rlike(r"\S"), "empty").when(F.trim(reply) == F.trim(source), "untranslated").when(reply.rlike("```|<seg|%%"), "artifact")
+#: Fixed value: what shows that a probe's reply came with something else.
+ARTIFACT = r"```|file://|antigravity-cli/brain/"
+
+
+def output_problems(reply, source, segment=None, expect_chinese: bool = False):
+    """All defects of a probe's reply, in order, as an array. segment: its number. With a
+    prompt of the caller's own the target language is not known, so a reply may be like
+    its source; where Chinese is expected, one without an ideograph is a defect too."""
+    reply, number = F.coalesce(reply, F.lit("")), F.lit(1) if segment is None else segment
+    text = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
+    told = lambda what: F.concat(F.lit("segment "), number.cast("string"), F.lit(f" {what}"))
+    first = F.when(text == "", told("empty"))
+    if expect_chinese:
+        first = first.when((text == source) | (T.cjk_count(text) == 0), told("not translated into Chinese"))
+    return F.array_compact(F.array(first, F.when(reply.rlike(ARTIFACT), told("contains a fence or artifact link"))))

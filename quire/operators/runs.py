@@ -81,13 +81,26 @@ def mixed_models(used: Column, model: Column, enabled: Column, trial: Column) ->
     return (F.size(others) > 0) & (F.array_contains(trial, model) | (F.size(F.array_intersect(others, trial)) > 0))
 
 
-def vendors_of(models: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Each model with its family's vendor, by prefix; null where none is known.
-    prefixes: prefix, vendor; a short list, met by its first letters."""
-    n = prefixes.agg(F.min(F.length("prefix"))).first()[0] or 0
-    known = prefixes.withColumn("head_", F.left("prefix", F.lit(n)))
-    rows = models.withColumn("head_", F.left("model", F.lit(n)))
-    return rows.join(known, (rows["head_"] == known["head_"]) & rows["model"].startswith(known["prefix"]), "left").drop("head_", "prefix")
+def vendors_of(models: DataFrame, prefixes: DataFrame, strict: bool = False) -> DataFrame:
+    """Each row of models with its family's vendor: that of the first prefix, in order of
+    ``ord``, that the model begins with. An unknown model has none, or with strict is an
+    error. prefixes: prefix (not empty), vendor, ord; they meet distinct models by their
+    first letter."""
+    names = models.select("model").distinct().withColumn("head_", F.left("model", F.lit(1)))
+    known = prefixes.withColumn("head_", F.left("prefix", F.lit(1)))
+    fit = names.join(known, "head_").filter(F.col("model").startswith(F.col("prefix")))
+    fit = fit.groupBy(F.col("model").alias("model_")).agg(F.min_by("vendor", "ord").alias("vendor"))
+    out = models.join(fit, F.col("model") == F.col("model_"), "left").drop("model_")
+    unknown = F.raise_error(F.concat(F.lit("no vendor is known for model "), F.coalesce("model", F.lit("null")))).cast("string")
+    return out.withColumn("vendor", F.coalesce("vendor", unknown)) if strict else out
+
+
+def presets_with_vendors(presets: DataFrame, prefixes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The vendor that each asked preset name stands for, by the model of the preset;
+    ``error`` where no preset has the name."""
+    named = vendors_of(presets.select("preset", "model"), prefixes).withColumn("there_", F.lit(True))
+    error = F.when(F.col("there_").isNull(), F.concat(F.lit("unknown preset: "), F.col("preset")))
+    return asked.join(named, "preset", "left").withColumn("error", error).drop("there_")
 
 
 def presets_in_order(presets: DataFrame) -> DataFrame:

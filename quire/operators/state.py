@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
+
 
 def pending(segments: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Segments without a saved translation."""
@@ -33,15 +35,16 @@ def upsert(state: DataFrame, changes: DataFrame, key: str, version: str) -> Data
     return ranked.filter("rank_ = 1").drop("from_", "rank_")
 
 
-def identity_diff(stored: DataFrame, expected: DataFrame, hard: list[str]) -> DataFrame:
-    """``field, stored, expected, hard`` of every field that differs between two
-    one-row tables; a field of one side only differs from null."""
+def identity_diff(stored: DataFrame, expected: DataFrame, hard: list[str], key: str) -> DataFrame:
+    """``key, field, stored, expected, hard`` of every field of a run that differs between
+    two tables with a row a run; a field or run of one side only differs from null."""
 
     def long(df: DataFrame, name: str) -> DataFrame:
-        pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("string") for c in df.columns]))
-        return df.select(F.explode(pairs).alias("field", name))
+        fields = [c for c in df.columns if c != key]
+        pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in fields]), F.array(*[F.col(c).cast("string") for c in fields]))
+        return df.select(key, F.explode(pairs).alias("field", name))
 
-    both = long(stored, "stored").join(long(expected, "expected"), "field", "full")
+    both = long(stored, "stored").join(long(expected, "expected"), [key, "field"], "full")
     return both.filter(~F.col("stored").eqNullSafe(F.col("expected"))).withColumn("hard", F.col("field").isin(hard))
 
 
@@ -91,8 +94,6 @@ def sample_places(total, n: int):
 def head_middle_tail(rows: DataFrame, group: str, order: str, n: int = 3) -> DataFrame:
     """n rows of each group at the places of ``sample_places``; all rows of a group
     that has no more."""
-    numbered = rows.withColumn("at_", F.row_number().over(W.partitionBy(group).orderBy(order)).cast("long") - 1)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("of_"))
-    places = sizes.withColumn("places_", F.when(F.col("of_") > n, sample_places(F.col("of_"), n)))
-    joined = numbered.join(places, numbered[group].eqNullSafe(places[group])).drop(places[group])
-    return joined.filter(F.col("places_").isNull() | F.array_contains("places_", F.col("at_"))).drop("at_", "of_", "places_")
+    placed = numbered(rows, [order], [group], "at_", "of_")
+    wanted = F.array_contains(sample_places(F.col("of_"), n), F.col("at_") - 1)
+    return placed.filter((F.col("of_") <= n) | wanted).drop("at_", "of_")

@@ -126,11 +126,16 @@ def glossary_files(spark, sf_dir):
     return glossary.parse(kept, fenced=False).select("book", F.size("terms").cast("bigint").alias("terms"), F.array_join(F.transform("terms", lambda x: x["term"]), "|").alias("names"))
 
 
-@query("""SELECT doc_id, md5('To ' || 'German' || '. ' || 'G' || doc_id || ' {GLOSSARY} ' || coalesce(left(text, 40), '')) AS prompt_md5 FROM documents""")
+CODES = ["zh", "en", "ja", "ko", "fr", "de", "es", "pt", "ru", "ar", "it", "zh-CN", "Old Norse"]
+
+
+@query(f"""WITH n AS (SELECT ['Chinese', 'English', 'Japanese', 'Korean', 'French', 'German', 'Spanish', 'Portuguese', 'Russian', 'Arabic', 'Italian', 'zh-CN', 'Old Norse'] AS names)
+SELECT doc_id, md5('To ' || names[doc_id % 13 + 1] || '. ' || 'G' || doc_id || ' {{GLOSSARY}} ' || coalesce(text, '')) AS prompt_md5 FROM documents, n""")
 def prompt_render(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
+    code = F.get(F.array(*map(F.lit, CODES)), (F.col("doc_id") % 13).cast("int"))
     template = F.lit("To {TARGET_LANGUAGE}. {GLOSSARY_BLOCK} {GLOSSARY} {CUSTOM_INSTRUCTIONS_BLOCK}")
-    return docs.select("doc_id", F.md5(P.rendered(template, "de", F.concat(F.lit("G"), F.col("doc_id").cast("string")), F.left("text", F.lit(40)))).alias("prompt_md5"))
+    return docs.select("doc_id", F.md5(P.rendered(template, code, F.concat(F.lit("G"), F.col("doc_id").cast("string")), F.col("text"))).alias("prompt_md5"))
 
 
 # ---------------------------------------------------------------- panels
@@ -281,9 +286,10 @@ def trial_models(spark, sf_dir):
     return used.select("user_id", runs.mixed_models(F.col("used"), F.lit("click"), lit("view", "click", "purchase"), lit("purchase")).alias("refused"))
 
 
-@query("""SELECT p_partkey, p_name AS model, CASE WHEN starts_with(p_name, 'a') THEN 'first' WHEN starts_with(p_name, 'b') THEN 'second' WHEN starts_with(p_name, 'sp') THEN 'third' END AS vendor FROM part""")
+@query("""SELECT p_partkey, p_name AS model, CASE WHEN starts_with(p_name, 'a') THEN 'first' WHEN starts_with(p_name, 'blu') THEN 'second' WHEN starts_with(p_name, 'b') THEN 'third' WHEN starts_with(p_name, 'sp') THEN 'fourth' END AS vendor FROM part""")
 def model_vendors(spark, sf_dir):
-    prefixes = spark.createDataFrame([("a", "first"), ("b", "second"), ("sp", "third")], "prefix string, vendor string")
+    """Prefixes overlap: the first of them in their order counts."""
+    prefixes = spark.createDataFrame([("b", "third", 3), ("a", "first", 1), ("blu", "second", 2), ("an", "never", 5), ("sp", "fourth", 4)], "prefix string, vendor string, ord int")
     return runs.vendors_of(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("model")), prefixes)
 
 
@@ -299,12 +305,14 @@ def certified_runs(spark, sf_dir):
     return runs.certified(rows, rows.filter("l_orderkey % 5 = 0"), "l_returnflag", "l_linestatus", "l_suppkey", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber")
 
 
-@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'b' || page_id || '.zh.epub' WHEN 1 THEN 'x' || page_id || '.epub' WHEN 5 THEN 'y.EPUB' END AS name,
-CASE page_id % 6 WHEN 2 THEN 'not a plain file name' WHEN 3 THEN 'does not end in .epub' WHEN 4 THEN 'is the uploaded file' END AS error FROM pages""")
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'Stra\u00dfe \u00e9' || page_id || '.zh.epub' WHEN 1 THEN 'x' || page_id || '.epub' WHEN 5 THEN 'y.EPUB' END AS name,
+CASE page_id % 8 WHEN 2 THEN 'not a plain file name' WHEN 3 THEN 'does not end in .epub' WHEN 4 THEN 'is the uploaded file' WHEN 6 THEN 'is the uploaded file' WHEN 7 THEN 'not a plain file name' END AS error FROM pages""")
 def output_names(spark, sf_dir):
-    k, n = F.col("page_id") % 6, F.col("page_id").cast("string")
-    given = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("x"), n)).when(k == 2, F.concat(F.lit("a/"), n)).when(k == 3, F.lit("name.pdf")).when(k == 4, F.concat(F.lit("B"), n, F.lit(".epub"))).otherwise("y.EPUB")
-    return table(spark, sf_dir, "pages").select("page_id", P.output_name(given, F.concat(F.lit("b"), n, F.lit(".epub"))).alias("o")).select("page_id", "o.name", "o.error")
+    """The source is named in composed letters; 4 gives it in capitals, 6 in decomposed ones."""
+    k, n = F.col("page_id") % 8, F.col("page_id").cast("string")
+    given = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("x"), n)).when(k == 2, F.concat(F.lit("a/"), n)).when(k == 3, F.lit("name.pdf")).when(k == 4, F.concat(F.lit("STRASSE \u00c9"), n, F.lit(".EPUB")))
+    given = given.when(k == 6, F.concat(F.lit("stra\u00dfe e\u0301"), n, F.lit(".epub"))).when(k == 7, F.concat(F.lit("a\u2028"), n)).otherwise("y.EPUB")
+    return table(spark, sf_dir, "pages").select("page_id", P.output_name(given, F.concat(F.lit("Stra\u00dfe \u00e9"), n, F.lit(".epub"))).alias("o")).select("page_id", "o.name", "o.error")
 
 
 # ---------------------------------------------------------------- links

@@ -28,7 +28,7 @@ class RateLimited(Exception):
 
 def stub_provider(texts: list[str]) -> list[str]:
     """A deterministic stand-in for a model."""
-    return [f"[{len(t)}] {t[::-1][:40]}" for t in texts]
+    return [f"[{len(t)}] {t[::-1]}" for t in texts]
 
 
 def call(provider: Callable[[list[str]], list[str]], texts: list[str], depth: int = 0) -> list[str]:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import integrity, panel, probe, state, terms
+from quire.functions import protocol
+from quire.operators import automaton, integrity, panel, probe, runs, state, terms
 from quire.plans import batching, blocks, numbering
 from quire.streaming import resume
 
@@ -299,10 +300,34 @@ def test_numbering(spark):
 
 
 def test_probe_replies(spark):
-    rows = [("", "a"), ("  ", "a"), ("a ", "a"), ("```x", "a"), ("<seg id=1>", "a"), ("%%", "a"), ("ok", "a")]
-    df = spark.createDataFrame(rows, "reply string, source string")
-    got = [r[0] for r in df.select(probe.output_problems(F.col("reply"), F.col("source"))).collect()]
-    assert got == ["empty", "empty", "untranslated", "artifact", "artifact", "artifact", None]
+    rows = [("", "a"), (None, "a"), (" \u00a0", "a"), ("a ", "a"), ("```x", "a"), ("中 file://x", "a"), ("ok", "a"), ("中文", "a"), ("中", "中")]
+    df = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "n int, reply string, source string").coalesce(1)
+    got = [[p.removeprefix(f"segment {r.n} ") for p in r.p] for r in df.select("n", probe.output_problems(F.col("reply"), F.col("source"), F.col("n")).alias("p")).collect()]
+    fence, other = "contains a fence or artifact link", "not translated into Chinese"
+    assert got == [["empty"], ["empty"], ["empty"], [], [fence], [fence], [], [], []]
+    got = [[p.removeprefix("segment 1 ") for p in r[0]] for r in df.select(probe.output_problems(F.col("reply"), F.col("source"), expect_chinese=True)).collect()]
+    assert got == [["empty"], ["empty"], ["empty"], [other], [other, fence], [fence], [other], [], [other]]
+
+
+def test_vendors(spark):
+    models = spark.createDataFrame([("gpt-5", 1), ("gpt-5", 2), ("gemini-x", 3), ("other", 4), (None, 5)], "model string, n int")
+    prefixes = spark.createDataFrame([("g", "any", 2), ("gpt-", "one", 1), ("gpt-5", "late", 3)], "prefix string, vendor string, ord int")
+    got = {(r.n, r.vendor) for r in runs.vendors_of(models, prefixes).collect()}
+    assert got == {(1, "one"), (2, "one"), (3, "any"), (4, None), (5, None)}
+    with pytest.raises(Exception, match="no vendor is known for model other"):
+        runs.vendors_of(models.filter("n = 4"), prefixes, strict=True).collect()
+    presets = spark.createDataFrame([("fast", "gpt-5"), ("slow", "gemini-x")], "preset string, model string")
+    asked = spark.createDataFrame([("fast",), ("gone",)], "preset string")
+    assert {tuple(r) for r in runs.presets_with_vendors(presets, prefixes, asked).collect()} == {("fast", "gpt-5", "one", None), ("gone", None, None, "unknown preset: gone")}
+
+
+def test_names(spark):
+    pairs = [("é.epub", "e\u0301.EPUB", True), ("Straße.epub", "STRASSE.epub", True), ("a.epub", "b.epub", False), ("ﬁ.epub", "FI.epub", True), ("①.epub", "1.epub", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, same boolean")
+    assert all(r.got == r.same for r in rows.select("same", protocol.same_name(F.col("a"), F.col("b")).alias("got")).collect())
+    given = [("x", "x.epub", None), ("a\u200b.epub", None, "not a plain file name"), ("a\u3000b.epub", None, "not a plain file name"), ("a b.epub", "a b.epub", None), ("é" * 130, None, "too long"), ("STRASSE.epub", None, "is the uploaded file")]
+    rows = spark.createDataFrame([g[0] for g in given], "string").coalesce(1)
+    assert [(r.o.name, r.o.error) for r in rows.select(protocol.output_name(F.col("value"), F.lit("straße.epub")).alias("o")).collect()] == [g[1:] for g in given]
 
 
 def test_warnings_are_replaced_by_segment(spark):

@@ -102,7 +102,7 @@ def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term
     One pass over the texts for each block of terms: an automaton finds the terms that a
     text can hold, and their patterns decide, so the result is that of trying every
     pattern on every text. A blank term matches nothing."""
-    keyed = automaton.with_ids(terms.filter(F.trim(term) != ""))
+    keyed = automaton.with_ids(terms.filter(F.col(term).rlike(r"(?U)\S")))
     found = automaton.find(texts, F.col(text), keyed.select("id", F.array(term).alias("pieces")), automaton.WORDS, block_bytes)
     keyed = keyed.withColumn("pattern_", T.term_pattern(F.col(term))).withColumnRenamed("id", "hit")
     return found.join(keyed, "hit").filter(F.expr(f"`{text}` rlike pattern_")).drop("hit", "pattern_")

@@ -127,6 +127,52 @@ def test_usage(spark):
     assert {r.term: r.missing for r in terms.term_usage(pairs, fixed).collect()}["port"] == 2
 
 
+ODD_LETTERS = ["s", "ſ", "S", "K", "\u212a", "k", "İ", "i", "ı", "I", "é", "É", "ß", "ẞ", "σ", "ς", "Σ", "_", "²", "1", "中", "+", "(", ".", "-", "\u0301", "\u00a0", "ŉ", "ǅ"]
+
+
+@pytest.mark.parametrize("block_bytes", [None, 60])
+def test_terms_by_every_pattern(spark, block_bytes):
+    """The automaton's proposals lose nothing that a pattern finds, in any block."""
+    random.seed(5)
+    word = lambda: "".join(random.choices(ODD_LETTERS, k=random.randint(1, 2)))
+    names = sorted({" ".join(word() for _ in range(random.randint(1, 2))) for _ in range(150)}) + ["", "  ", "c++", ".net"]
+    texts = [(i, "".join(random.choice([word(), random.choice(names).upper(), random.choice(names)]) + random.choice([" ", "  ", "\n", ",", "", "-"]) for _ in range(random.randint(0, 12)))) for i in range(120)] + [(900, None), (901, "Uses C++ and .NET.")]
+    docs, wanted = spark.createDataFrame(texts, "n int, body string").repartition(3), spark.createDataFrame([(t,) for t in names], "term string")
+    every = docs.crossJoin(wanted.filter(F.col("term").rlike(r"(?U)\S")).withColumn("p", T.term_pattern(F.col("term")))).filter("body rlike p")
+    want = {(r.n, r.term) for r in every.collect()}
+    got = [(r.n, r.term) for r in terms.match_terms(docs, "body", wanted, block_bytes=block_bytes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300 and {(901, "c++"), (901, ".net")} <= want
+
+
+@pytest.mark.parametrize("block_bytes", [None, 40])
+def test_sentences_by_every_pattern(spark, block_bytes):
+    random.seed(6)
+    words = ["port", "ports", "Port-and", "adapter", "adapters", "adaptive", "box", "boxes", "a/b", "ſet", "set", "x"]
+    texts = [(i, " ".join(random.choice(words) + random.choice(["", "", ".", "-", "!"]) for _ in range(random.randint(0, 25)))) for i in range(60)] + [(99, None)]
+    wanted = ["port and adapter", "box", "adapters (of any kind)", "set", "adapting porter", "nothing", "ports/box", "", "x"]
+    docs, asked = spark.createDataFrame(texts, "n int, body string").repartition(3), spark.createDataFrame([(t,) for t in wanted], "term string")
+    cut = docs.select("n", F.posexplode(T.sentences(F.col("body"))).alias("at", "s"))
+    both = cut.crossJoin(asked.select("term", T.phrase_pattern(F.col("term")).alias("p"), T.stems(F.col("term")).alias("stems")))
+    rows = both.select("term", "n", "at", "s", (F.expr("s rlike p") & (F.col("term") != "")).alias("exact"), ((F.size("stems") > 0) & F.forall("stems", lambda x: F.contains(F.lower("s"), x))).alias("loose")).collect()
+    want = set()
+    for t in wanted:
+        hits = [r for r in rows if r.term == t and r.exact] or [r for r in rows if r.term == t and r.loose]
+        seen, order = set(), []
+        for r in sorted(hits, key=lambda r: (r.n, r["at"])):
+            order.append((r.n in seen, r.n, r["at"], r.s))
+            seen.add(r.n)
+        want |= {(t, k + 1, x[3]) for k, x in enumerate(sorted(order)[:3])}
+    got = terms.select_sentences(docs, "n", "body", asked, block_bytes=block_bytes).collect()
+    assert {(r.term, r["rank"], r.sentence) for r in got} == want and len(got) == len(want) > 12
+
+
+def test_a_hundred_thousand_terms(spark):
+    names = spark.range(100_000).select(F.concat(F.lit("term"), F.col("id").cast("string"), F.lit(" of many")).alias("term"))
+    docs = spark.createDataFrame([(i, f"a Term{i * 1000}  of many and term{i}x of many") for i in range(90)], "n int, body string")
+    got = {(r.n, r.term) for r in terms.match_terms(docs, "body", names).collect()}
+    assert got == {(i, f"term{i * 1000} of many") for i in range(90)}
+
+
 def test_longest_option_first(spark):
     row = spark.range(1).select(terms.consume(F.lit("abcab"), F.array(F.lit("ab"), F.lit("abc"), F.lit("zz"))))
     assert row.first()[0] == ["abc", "ab"]

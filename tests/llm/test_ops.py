@@ -298,6 +298,37 @@ def test_dictionary_holds_whole_texts():
     assert all(w in d and w not in e for w, d, e in ((b"excellent-reading", model.good, model.bad), (b"worthless-clutter", model.bad, model.good)))
 
 
+def test_no_part_of_a_dictionary_is_lost():
+    """4 MB a class in short texts: frames from anywhere in it shrink by it, and only by it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    text = {y: [" ".join(word() for _ in range(1400)) for _ in range(800)] for y in (0, 1)}  # 7.8 MB a class, half of it for the dictionaries
+    model = quality.fit([(t, y) for i in range(800) for y, t in ((0, text[0][i]), (1, text[1][i]))])
+    assert len(model.goods) == len(model.bads) == quality.DICTS and all(len(d) <= quality.DICT_BYTES for d in model.goods + model.bads)
+    score = model.scorer()
+    for y in (0, 1):
+        used = b"".join(t.encode() for t in text[y][0::2])[: quality.DICTS * quality.DICT_BYTES]
+        for part in range(40):
+            frame_ = used[len(used) * part // 40 :][: quality.FRAME]
+            raw = score(frame_)
+            assert raw > 0.5 if y else raw < -0.5, (y, part, raw)
+        assert abs(score(" ".join(word() for _ in range(300)).encode())) < 0.05
+
+
+def test_bound_of_the_sample(spark, monkeypatch):
+    """Whole texts up to a bound in bytes; the one that passes it is cut."""
+    monkeypatch.setattr(quality, "DICT_BYTES", 500)
+    rows = [(i, "é" * (700 if i % 7 else 9000) + str(i)) for i in range(60)] + [(90, None), (91, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(95)], "doc_id long, quality int")
+    got = quality.sample(frame(spark, rows, extra=True), labels, lambda i: F.lit(True))
+    most, texts = 2 * quality.DICTS * 500, {t: i for i, t in rows}
+    for y in (0, 1):
+        own = [t for t, x in got if x == y]
+        sizes = [len(t.encode()) for t in own]
+        assert sum(sizes[:-1]) < most and len(own) >= 1 and all(t in texts or len(t) == most for t in own)
+    assert quality.fit(got) is None or sum(map(len, quality.fit(got).goods)) <= quality.DICTS * 500
+
+
 def test_quality_by_plain_sizes(spark):
     """Scores from sizes that a plain compressor gives, and the class shares that they are calibrated to."""
     import zstandard as z

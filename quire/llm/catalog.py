@@ -47,8 +47,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85)
-    return out.select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85, links=True)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +179,11 @@ WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT u, v FROM met JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+links AS (SELECT u, v, c = x.n AND c = y.n AS same FROM met JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v)
-SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, least(documents.doc_id, coalesce(o.least, documents.doc_id)) AS class_id, coalesce(o.n_links, 0) AS n_links
 FROM documents JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+LEFT JOIN (SELECT u, count(*) AS n_links, min(v) FILTER (WHERE same) AS least FROM links GROUP BY u) o ON o.u = documents.doc_id
 """
 
 OP6_SQL = r"""

@@ -19,14 +19,20 @@ components: first a least spanning forest of each block by differing bits, which
 joins what links join but for the error of the tables, at last all members that
 the bounds leave. N-grams are told apart by 64-bit hashes, whose chance meetings are
 too rare to move an overlap. A group of n near copies so costs about n exact counts and not n
-squared, while a link between any two components is still found. The result is
-components: links inside a component beyond those that joined it are not decided.
+squared, while a link between any two components is still found.
+
+Links are then counted, where they are asked for. All of them lie inside components, so
+each component's incidence matrix is multiplied by its transpose in blocks: overlap
+counts are accumulated over stretches of columns, pairs below the bound that their sizes
+set are discarded, and what leaves a block is a number for each class. This is exact and
+takes time with the square of a component's classes, spread over its pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +55,11 @@ HELD, SMALL = 4096, 64
 #: Bits of the filter on classes whose sets are wanted, at most (32 MB); beyond the
 #: classes that fit, more sets pass and the join after it still decides.
 FILTER_BITS = 28
-#: Classes of a column in one block of the last round.
+#: Classes of a column in one block of the last round, and of a component in one block
+#: of the count.
 BLOCK = 512
+#: Columns that the count multiplies at a time.
+STRETCH = 4096
 
 
 def sets_of(part: pa.RecordBatch, raw: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -353,6 +362,66 @@ def product(percent: int, forest: bool):
     return run
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Common n-grams of each set of a with each of b: dense products of the columns that
+    two sets at least have, some at a time."""
+    sets = [*a, *b]
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, STRETCH):
+        i, j = np.searchsorted(column, [lo, lo + STRETCH])
+        dense = np.zeros((len(sets), min(STRETCH, int(column[-1]) + 1 - lo)), np.float32)
+        dense[row[i:j], column[i:j] - lo] = 1
+        out += dense[: len(a)] @ dense[len(a) :].T  # whole numbers, exact up to 2**24
+    return out.astype(np.int64)
+
+
+def counted(percent: int):
+    """Over rows (root, low, high, side, class, m, set) in order of root and block pair:
+    for each class the documents of the classes of the other side that link with it."""
+
+    def links(rows: list[tuple], cross: bool) -> Iterator[tuple[bytes, int]]:
+        side = [r[0] for r in rows]
+        first = [i for i, x in enumerate(side) if x == side[0]] if cross else list(range(len(rows)))
+        second = [i for i, x in enumerate(side) if x != side[0]] if cross else first
+        if not second:
+            return
+        n, m = np.array([len(r[3]) for r in rows]), np.array([r[2] for r in rows])
+        if len(first) <= 2 and len(second) <= 2:  # most components are a pair
+            both = np.array([[len(np.intersect1d(rows[i][3], rows[j][3], assume_unique=True)) for j in second] for i in first])
+        else:
+            both = overlaps([rows[i][3] for i in first], [rows[j][3] for j in second])
+        linked_ = 100 * both >= percent * (n[first][:, None] + n[second] - both)
+        if not cross:
+            np.fill_diagonal(linked_, False)
+        yield from zip([rows[i][1] for i in first], (linked_ @ m[second]).tolist())
+        if cross:
+            yield from zip([rows[j][1] for j in second], (m[first] @ linked_).tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], Columns(pa.binary(), pa.int64())
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, (root, low, high, *row) in enumerate(zip(*cols)):
+                if (root, low, high) != key:
+                    if len(held) > 1:
+                        out.rows.extend(links(held, key[1] != key[2]))
+                    key, held = (root, low, high), []
+                held.append((*row, np.frombuffer(batch.column(6)[i].as_buffer(), np.uint64)))
+            yield out.batch(["class", "links"])
+        if len(held) > 1:
+            out.rows.extend(links(held, key[1] != key[2]))
+        yield out.batch(["class", "links"])
+
+    return run
+
+
 def hopeful(percent: int):
     """Pairs whose parity tables differ in no more bits than linked sets can."""
 
@@ -392,7 +461,8 @@ class Join:
         self.scratch = _base.Scratch(self.spark)
         self.docs = docs.select(F.col(id_).cast("long").alias("id_"), F.col(text).alias("text_"))
         self.texts = self.docs.select("text_").withColumn("zero_", F.lit(0)).select("zero_", "text_")
-        self.sets: DataFrame | None = None
+        #: n-gram sets of the classes that rounds have wanted, each class in one table.
+        self.sets: list[DataFrame] = []
 
     def classes(self) -> DataFrame:
         """(id, n, class) of each document; also counts n-grams for the order."""
@@ -419,19 +489,37 @@ class Join:
         pairs = self.scratch.keep(pairs, f"pairs{tag}")
         self.scratch.free_shuffles()
         members = ends(pairs)
+        for known in self.sets:
+            members = members.join(known, "class", "left_anti")
         members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
         n = members.count()
-        if not n:
+        if n:
+            shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, FILTER_BITS))
+            raw = self.texts.mapInArrow(scan_sets(shared, self.words), "class binary, set binary")
+            self.sets.append(self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}"))
+            self.scratch.free_shuffles()
+        if not self.sets:
             return pairs.select("u", "v")
-        shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, FILTER_BITS))
-        raw = self.texts.mapInArrow(scan_sets(shared, self.words), "class binary, set binary")
-        sets = self.scratch.keep(raw.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"sets{tag}")
-        self.scratch.free_shuffles()
+        sets = reduce(DataFrame.unionByName, self.sets)
         both = pairs.join(sets.select(F.col("class").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("set").alias("b")), "v")
         edges = self.scratch.keep(both.select("u", "v", "a", "b").mapInArrow(linked(self.percent), "u binary, v binary"), f"edges{tag}")
-        self.scratch.drop(f"sets{tag}", f"members{tag}", f"pairs{tag}")
+        self.scratch.drop(f"members{tag}", f"pairs{tag}")
         return edges
 
+    def links(self, roots: DataFrame, classes: DataFrame) -> DataFrame:
+        """(class, links): of the classes that link with another, how many documents of
+        other classes each links with."""
+        own = roots.select(F.col("node").alias("class"), "root")
+        sizes = own.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        times = classes.filter("class is not null").groupBy("class").agg(F.count("*").alias("m"))
+        rows = own.join(sizes, "root").join(times, "class").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        rows = reduce(DataFrame.unionByName, self.sets).join(rows, "class")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("root", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "class", "m", "set")
+        dealt = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+        found = dealt.mapInArrow(counted(self.percent), "class binary, links long")
+        return self.scratch.keep(found.groupBy("class").agg(F.sum("links").alias("links")), "links")
+
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (u < v) those that their parity tables leave."""
         pairs = self.scratch.keep(pairs, "all")
@@ -483,9 +571,11 @@ def key_of(name: str):
     return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
 
 
-def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """One row a row of docs: id, ``n_shingles`` (distinct n-grams) and
-    ``component_id``, the least id reachable by links.
+    ``component_id``, the least id reachable by links. With links also ``class_id``, the
+    least id of the documents with the same n-grams, and ``n_links``, the number of other
+    documents that the document links with, those of its class among them.
 
     Words are runs of anything but ASCII whitespace, with A-Z lower-cased. A text
     of fewer words than an n-gram has its whole sequence as one; one without
@@ -518,4 +608,12 @@ def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words:
     least = named.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     least = job.scratch.keep(least, "least")  # as a table of its own, a giant component's rows can be split
     out = named.join(least, "root", "left")
-    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    if links:
+        own = named.filter("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("m"))
+        own = own.join(job.links(roots, classes), "class", "left") if job.sets else own.withColumn("links", F.lit(0))
+        own = job.scratch.keep(own.select("class", "class_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
+        out = out.join(own, "class", "left")
+        more = [F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    else:
+        more = []
+    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)

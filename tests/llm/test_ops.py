@@ -199,8 +199,40 @@ def test_jaccard(spark, k, percent):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_jaccard_links(spark, monkeypatch, block):
+    """Every link is counted, inside groups of near copies too, whose blocks meet in pairs."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "STRETCH", 7 if block == 3 else 4096)
+    random.seed(block)
+    words, rows = [f"w{i}" for i in range(500)], list(EDGES)
+    for _ in range(8):
+        base = random.choices(words, k=random.randint(8, 60))
+        for _ in range(random.choice([1, 2, 30])):
+            own = list(base)
+            for _ in range(random.randint(0, 2)):
+                own[random.randrange(len(own))] = random.choice(words)
+            rows += [(100 + len(rows), " ".join(own))] * random.choice([1, 1, 2])
+    sets = H.shingle_sets(rows, 3)
+    n = [sum(bool(x & y) and 100 * len(x & y) >= 70 * len(x | y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    least = [min((i for (i, _), y in zip(rows, sets) if y == x and i is not None), default=None) if x else own for (own, _), x in zip(rows, sets)]
+    out = ngram_jaccard.components(frame(spark, rows, extra=True), words=3, percent=70, links=True)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "class_id", "n_links"]
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in out.collect()), key=repr) == sorted(((i, c, k) for (i, _), c, k in zip(rows, least, n)), key=repr)
+    assert max(n) > 20
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(20)]
+    assert ngram_jaccard.overlaps(sets[:12], sets[12:]).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]
+    assert ngram_jaccard.overlaps([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
 def test_jaccard_of_nothing(spark):
     assert ngram_jaccard.components(frame(spark, [])).count() == 0
+    assert ngram_jaccard.components(frame(spark, []), links=True).count() == 0
+    assert [r.n_links for r in ngram_jaccard.components(frame(spark, [(1, "a b"), (2, None)]), links=True).collect()] == [0, 0]
 
 
 def test_words_that_polynomials_confuse(spark):

@@ -408,7 +408,7 @@ def shared_phrases(spark, sf_dir):
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), pair)
     said = table(spark, sf_dir, "conversations").filter("text is not null").select(words.alias("w")).filter(F.size("w") > 1)
     said = said.select(F.explode(pairs).alias("p")).select(F.lower("p").alias("term")).filter(F.col("term").rlike(r"^[^ ]+ [^ ]+$")).distinct()
-    found = terms.match_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", said)
+    found = terms.match_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", said, keep_=["doc_id"])
     return found.groupBy("term").agg(F.count("*").alias("documents"))
 
 

@@ -101,19 +101,19 @@ def escape_regex(text: Column) -> Column:
 
 def term_pattern(term: Column) -> Column:
     """Words joined by any white space, whole words only, any case."""
-    words = F.transform(F.split(F.trim(term), r"\s+"), escape_regex)
+    words = F.transform(F.split(F.regexp_replace(term, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), escape_regex)
     return F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(words, r"\s+"), F.lit(r"(?!\w)"))
 
 
 def phrase_pattern(term: Column) -> Column:
     """As term_pattern, words joined by spaces or hyphens, with an optional plural."""
-    words = F.transform(F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"[\s/-]+"), lambda w: w != ""), escape_regex)
+    words = F.transform(F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"(?U)[\s/-]+"), lambda w: w != ""), escape_regex)
     return F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(words, r"[\s-]+"), F.lit(r"(?:s|es)?(?!\w)"))
 
 
 def stems(term: Column) -> Column:
     """Of words of four letters or more: all but the last three, four at least."""
-    words = F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"[\s/-]+"), lambda w: F.length(w) >= 4)
+    words = F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"(?U)[\s/-]+"), lambda w: F.length(w) >= 4)
     return F.transform(words, lambda w: F.left(F.lower(w), F.greatest(F.lit(4), F.length(w) - 3)))
 
 

@@ -6,13 +6,15 @@ partition, and the task builds its automaton there. A text is read once a block,
 whatever the number of rows in it.
 
 The automaton proposes: it sees texts and pieces in a folded form (one case, runs of
-joints as one space) in which whatever a pattern can match is found. Patterns decide."""
+joints as one space) in which whatever a pattern can match is found. Patterns decide, on
+the few letters around each place, so a long text is not searched again for each hit."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import pyarrow as pa
@@ -34,10 +36,21 @@ class Fold:
     def __init__(self, joints: str | None, case: bool = True):
         self.joints, self.case = joints and re.compile(joints), case
 
-    def __call__(self, text: str) -> str:
+    def __call__(self, text: str) -> tuple[str, Callable[[int], int]]:
+        """The folded text, and where each of its letters stands in the text."""
         if self.case:
             text = text.lower() if text.isascii() else "".join(map(one_case, text))
-        return self.joints.sub(" ", text) if self.joints else text
+        if not self.joints:
+            return text, lambda i: i
+        out, ends, skipped, at = [], [0], [0], 0
+        for run in self.joints.finditer(text):
+            out += [text[at : run.start()], " "]
+            at = run.end()
+            if at - run.start() > 1:
+                ends.append(run.start() + 1 - skipped[-1])  # where letters after the run stand when folded
+                skipped.append(skipped[-1] + at - run.start() - 1)
+        out.append(text[at:])
+        return "".join(out), lambda i: i + skipped[bisect_right(ends, i) - 1]
 
 
 @lru_cache(1 << 16)
@@ -52,20 +65,23 @@ WORDS, PHRASES, PARTS = (r"\s+", True, ("",)), (r"[\s\-]+", True, ("", "s", "es"
 
 
 class Finder:
-    """The rows of a block whose pieces a text all holds."""
+    """The rows of a block whose pieces a text all holds, each with the places of its
+    longest piece: slices of the text from the letter before the piece (a line end where
+    the text begins) to as far as a pattern may look behind it."""
 
     def __init__(self, rows: list[dict], joints: str | None, bounded: bool, endings: tuple[str, ...]):
         import ahocorasick
 
         self.fold, self.bounded, self.endings = Fold(joints, case=bounded), bounded, endings
+        self.tail = 1 + max(map(len, endings), default=0)
         pieces: dict[str, int] = {}
         # of each row, the longest piece leads to it and the others are then asked for
-        self.led: dict[int, list[tuple[int, frozenset[int]]]] = defaultdict(list)
+        self.led: dict[int, list[tuple[int, str | None, frozenset[int]]]] = defaultdict(list)
         for row in rows:
-            own = {self.fold(p).strip(" ") if joints else p for p in row["pieces"]} - {""}
+            own = {self.fold(p)[0].strip(" ") if joints else p for p in row["pieces"]} - {""}
             if own:
                 ids = {p: pieces.setdefault(p, len(pieces)) for p in own}
-                self.led[ids[max(own, key=lambda p: (len(p), p))]].append((row["id"], frozenset(ids.values())))
+                self.led[ids[max(own, key=lambda p: (len(p), p))]].append((row["id"], row["said"], frozenset(ids.values())))
         self.tree = ahocorasick.Automaton()
         for p, i in pieces.items():
             self.tree.add_word(p, (i, len(p)))
@@ -75,18 +91,23 @@ class Finder:
             self.tree = None
 
     def at_word(self, text: str, start: int, end: int) -> bool:
-        if start and is_word(text[start - 1]) and is_word(text[start]):
+        if start and is_word(text[start - 1]):
             return False
         return any(text.startswith(x, end) and not (end + len(x) < len(text) and is_word(text[end + len(x)])) for x in self.endings)
 
-    def __call__(self, text: str | None) -> list[int]:
+    def __call__(self, text: str | None) -> list[dict]:
         if not text or not self.tree:
             return []
-        text, met = self.fold(text), set()
-        for end, (i, n) in self.tree.iter(text):
-            if i not in met and (not self.bounded or self.at_word(text, end + 1 - n, end + 1)):
-                met.add(i)
-        return [id_ for i in met if i in self.led for id_, others in self.led[i] if others <= met]
+        folded, place = self.fold(text)
+        met: dict[int, set[str]] = defaultdict(set)
+        for last, (i, n) in self.tree.iter(folded):
+            start, end = last + 1 - n, last + 1
+            if not self.bounded:
+                met[i]  # noqa: B018 (an entry without slices)
+            elif self.at_word(folded, start, end):
+                a = place(start)
+                met[i].add((text[a - 1] if a else "\n") + text[a : place(end - 1) + 1 + self.tail])
+        return [{"id": id_, "said": said, "slices": sorted(met[i])} for i in met if i in self.led for id_, said, others in self.led[i] if others <= met.keys()]
 
 
 def is_word(letter: str) -> bool:
@@ -95,14 +116,21 @@ def is_word(letter: str) -> bool:
     return letter.isalpha() or letter.isdecimal() or letter == "_"
 
 
-def find(rows: DataFrame, text: Column, sought: DataFrame, how: tuple, block_bytes: int | None = None) -> DataFrame:
-    """One row for each row and each id of sought (id long, pieces array<string>) whose
-    pieces the text can hold: the columns of rows and ``hit``. sought should be a written
-    table: it is read once to count its bytes, and once a block."""
+HITS = types.ArrayType(types.StructType().add("id", types.LongType()).add("said", types.StringType()).add("slices", types.ArrayType(types.StringType())))
+ARROW_HITS = pa.list_(pa.struct([("id", pa.int64()), ("said", pa.string()), ("slices", pa.list_(pa.string()))]))
+
+
+def find(rows: DataFrame, text: Column, keep_: list[str], sought: DataFrame, how: tuple, block_bytes: int | None = None) -> DataFrame:
+    """The columns keep_ of rows and ``hit``, one row for each text and each row of sought
+    (id long, pieces array<string>, said string) whose pieces the text can hold. said is a
+    pattern to hold against the hit's slices, or null. Neither texts nor patterns leave the
+    task. sought should be a written table: it is read once to count its bytes, and once a
+    block."""
     size = sought.agg(F.sum(F.octet_length(F.array_join("pieces", "")).cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // (block_bytes or BLOCK_BYTES)))
-    schema = types.StructType([*rows.schema.fields, types.StructField("hits", types.ArrayType(types.LongType()))])
-    carried = rows.columns
+    carried = [f"c{i}" for i in range(len(keep_))]
+    lean = rows.select(*[F.col(c).alias(n) for c, n in zip(keep_, carried)], text.alias("text_"))
+    schema = types.StructType([*lean.schema.fields[:-1], types.StructField("hits", HITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None
@@ -113,15 +141,17 @@ def find(rows: DataFrame, text: Column, sought: DataFrame, how: tuple, block_byt
             met = [i for i, h in enumerate(hits) if h]
             if met:
                 kept = batch.select(carried).take(pa.array(met))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([hits[i] for i in met], pa.list_(pa.int64()))], [*carried, "hits"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([hits[i] for i in met], ARROW_HITS)], [*carried, "hits"])
 
     def block(g: int) -> DataFrame:
         own = sought.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == g) if blocks > 1 else sought
-        own = own.agg(F.collect_list(F.struct("id", "pieces")).alias("block_rows"))  # bounded: a block
-        return beside_first(rows.withColumn("text_", text), own).mapInArrow(run, schema)
+        own = own.agg(F.collect_list(F.struct("id", "pieces", "said")).alias("block_rows"))  # bounded: a block
+        return beside_first(lean, own).mapInArrow(run, schema)
 
     found = reduce(DataFrame.unionByName, map(block, range(blocks)))
-    return found.select(*carried, F.explode("hits").alias("hit"))
+    found = found.select(*carried, F.explode("hits").alias("h")).select(*[F.col(n).alias(c) for n, c in zip(carried, keep_)], F.col("h.id").alias("hit"), F.col("h.said").alias("said_"), F.col("h.slices").alias("slices_"))
+    # a slice begins one letter before the match
+    return found.filter(F.expr("said_ is null or exists(slices_, x -> x rlike concat('(?s)^.', said_))")).drop("said_", "slices_")
 
 
 def with_ids(terms: DataFrame) -> DataFrame:

@@ -96,16 +96,17 @@ def rank_candidates(blocks: DataFrame, terms: Column, limit: int | None = 300) -
     return out.orderBy(F.desc("weighted_score"), "term").limit(limit) if limit is not None else out
 
 
-def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term", block_bytes: int | None = None) -> DataFrame:
-    """Rows of texts with the terms they hold as whole words in any case.
+def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term", keep_: list[str] | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Rows of texts with the terms they hold as whole words in any case: the columns
+    keep_ of texts (all by default) and those of terms.
 
     One pass over the texts for each block of terms: an automaton finds the terms that a
     text can hold, and their patterns decide, so the result is that of trying every
     pattern on every text. A blank term matches nothing."""
     keyed = automaton.with_ids(terms.filter(F.col(term).rlike(r"(?U)\S")))
-    found = automaton.find(texts, F.col(text), keyed.select("id", F.array(term).alias("pieces")), automaton.WORDS, block_bytes)
-    keyed = keyed.withColumn("pattern_", T.term_pattern(F.col(term))).withColumnRenamed("id", "hit")
-    return found.join(keyed, "hit").filter(F.expr(f"`{text}` rlike pattern_")).drop("hit", "pattern_")
+    sought = keyed.select("id", F.array(term).alias("pieces"), T.term_pattern(F.col(term)).alias("said"))
+    found = automaton.find(texts, F.col(text), texts.columns if keep_ is None else keep_, sought, automaton.WORDS, block_bytes)
+    return found.join(keyed.withColumnRenamed("id", "hit"), "hit").drop("hit")
 
 
 def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, term: str = "term", most: int = 3, block_bytes: int | None = None) -> DataFrame:
@@ -117,18 +118,15 @@ def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, t
     An automaton proposes the sentences of each term. Only places travel until the few
     that a term keeps are known; their sentences are then cut from the texts again."""
     cut = lambda rows: rows.select(F.col(order).alias("doc_"), F.posexplode(T.sentences(F.col(text))).alias("at_", "sentence"))
-    words = F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"[\s/-]+"), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(term, r"\(.*?\)", ""), r"(?U)[\s/-]+"), lambda w: w != "")
     keyed = automaton.with_ids(terms.select(term, T.phrase_pattern(F.col(term)).alias("pattern_"), T.stems(F.col(term)).alias("stems_"), F.array_join(words, " ").alias("phrase_")))
     first = lambda hits: _first_places(hits, most)
 
-    phrases_ = keyed.filter("phrase_ <> ''").select("id", F.array("phrase_").alias("pieces"))
-    exact = automaton.find(cut(docs), F.col("sentence"), phrases_, automaton.PHRASES, block_bytes)
-    exact = exact.join(keyed.select(F.col("id").alias("hit"), "pattern_"), "hit").filter(F.expr("sentence rlike pattern_"))
-    exact = keep(first(exact))
+    phrases_ = keyed.filter("phrase_ <> ''").select("id", F.array("phrase_").alias("pieces"), F.col("pattern_").alias("said"))
+    exact = keep(first(automaton.find(cut(docs), F.col("sentence"), ["doc_", "at_"], phrases_, automaton.PHRASES, block_bytes)))
 
-    rest = keep(keyed.join(exact, keyed["id"] == exact["hit"], "left_anti").filter(F.size("stems_") > 0).select("id", F.col("stems_").alias("pieces")))
-    lowered = cut(docs).withColumn("sentence", F.lower("sentence"))
-    loose = first(automaton.find(lowered, F.col("sentence"), rest, automaton.PARTS, block_bytes))
+    rest = keep(keyed.join(exact, keyed["id"] == exact["hit"], "left_anti").filter(F.size("stems_") > 0).select("id", F.col("stems_").alias("pieces"), F.lit(None).cast("string").alias("said")))
+    loose = first(automaton.find(cut(docs), F.lower("sentence"), ["doc_", "at_"], rest, automaton.PARTS, block_bytes))
 
     places = keep(exact.withColumn("loose_", F.lit(False)).unionByName(loose.withColumn("loose_", F.lit(True))))
     texts = cut(docs.join(places.select(F.col("doc_").alias("d_")).distinct(), F.col(order) == F.col("d_"), "left_semi"))
@@ -169,7 +167,7 @@ def term_usage(pairs: DataFrame, glossary: DataFrame, source: str = "source", ta
     whole = F.trim("suggested_translation")
     parts = F.array_distinct(F.concat(T.options_of(whole), F.when(F.coalesce(fixed, F.lit(False)) | F.col("alternatives").isNull(), F.array().cast("array<string>")).otherwise(T.clean_alternatives(F.col("alternatives")))))
     terms = terms.select(F.trim("term").alias("term"), whole.alias("translation"), parts.alias("parts"))
-    hits = match_terms(pairs.select(F.col(source).alias("s_"), F.col(target).alias("t_")), "s_", terms)
+    hits = match_terms(pairs.select(F.col(source).alias("s_"), F.col(target).alias("t_")), "s_", terms, keep_=["t_"])
     used = hits.select("term", "translation", consume(F.coalesce(F.col("t_"), F.lit("")), F.array_union(F.col("parts"), F.array("translation"))).alias("used"))
     total = used.groupBy("term", "translation").agg(F.count("*").alias("segments"), F.count_if(F.size("used") == 0).alias("missing"))
     counts = used.select("term", "translation", F.explode("used").alias("option")).groupBy("term", "translation", "option").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from .functions import index_pages as I
 from .functions import text as T
 from .operators import integrity, panel, probe, state, terms
 from .plans import batching
-from .sources import epub
+from .sources import epub, trees
 from .streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,6 +258,42 @@ def candidate_lines(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(T.candidate_lines(F.col("html"))).alias("line"))
 
 
+#: Each document as a page: odd lines are paragraphs, even ones items of a list that hold
+#: a paragraph and bold text. Of every fourth document the page is not well-formed.
+PAGE_SQL = """WITH t AS (SELECT doc_id, string_split(replace(replace(replace(regexp_replace(text, '[^\\x20-\\x7E\\xA0-\\x{D7FF}\\n]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT doc_id, generate_subscripts(l, 1) AS i, trim(regexp_replace(unnest(l), '[\\s\\xA0]+', ' ', 'g')) AS x FROM t),
+line AS (SELECT doc_id, i, replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS own, x FROM plain WHERE x <> ''),
+"""
+
+
+def document_pages(spark, sf_dir) -> DataFrame:
+    clean = F.regexp_replace("text", r"[^\x20-\x7E\x{A0}-\x{D7FF}\n]", "")
+    escaped = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    boxed = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("<p>"), x, F.lit("</p>"))).otherwise(F.concat(F.lit("<ul><li><p>"), x, F.lit("</p><b>!</b></li></ul>")))
+    end = F.when(F.col("doc_id") % 4 == 0, "<br></body>").otherwise("</body>")
+    page = F.concat(F.lit("<body><h4>no line</h4>"), F.array_join(F.transform(F.split(escaped, "\n", -1), boxed), ""), end)
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", page.alias("html"))
+
+
+@query(PAGE_SQL + """w AS (SELECT doc_id, own AS line FROM line WHERE doc_id % 4 <> 0
+  UNION ALL SELECT doc_id, trim(coalesce(x, '') || '!') FROM (SELECT plain.doc_id, plain.i, line.own AS x FROM plain LEFT JOIN line ON line.doc_id = plain.doc_id AND line.i = plain.i) WHERE i % 2 = 0 AND doc_id % 4 <> 0
+  UNION ALL SELECT doc_id, x FROM line WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, '!' FROM plain WHERE i % 2 = 0 AND doc_id % 4 = 0 UNION ALL SELECT DISTINCT doc_id, 'no line' FROM plain WHERE doc_id % 4 = 0)
+SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM w GROUP BY doc_id""")
+def tag_lines(spark, sf_dir):
+    lines = document_pages(spark, sf_dir).select("doc_id", F.explode(trees.page_lines(F.col("html"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length(T.collapse(F.regexp_replace("line", "\u00a0", " ")))).alias("chars"))
+
+
+@query(PAGE_SQL + """n AS (SELECT doc_id, i FROM plain WHERE i % 2 = 0 AND doc_id % 4 <> 0)
+SELECT doc_id, count(*) AS paragraphs, CAST(sum(length(coalesce(own, ''))) AS BIGINT) AS chars FROM n LEFT JOIN line USING (doc_id, i) GROUP BY doc_id""")
+def list_paragraphs(spark, sf_dir):
+    """Paragraphs inside list items: nodes that lie in others, by a join of intervals."""
+    nodes = trees.nodes(document_pages(spark, sf_dir), "doc_id", "html")
+    outer, inner = nodes.filter("tag = 'li'").alias("o"), nodes.filter("tag = 'p'").alias("i")
+    both = outer.join(inner, trees.inside("o", "i", "doc_id"))
+    return both.groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("i.text")).alias("chars"))
+
+
 ENTRY = r"[A-Za-z0-9].{1,160},\s*(?:\d{1,4}(?:[-–]\d{1,4})?|[♣♦•·*†‡§¶])(?:\s*,\s*(?:\d{1,4}(?:[-–]\d{1,4})?|[♣♦•·*†‡§¶]))*"
 SCORE_SQL = f"""WITH s AS (SELECT page_id, url,
   CASE WHEN regexp_matches(lower(url), '(?:^|/)(?:index|glossary|idx|ix\\d+)') THEN 25 ELSE 0 END

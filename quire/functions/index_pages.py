@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import candidate_lines, collapse
+from ..sources.trees import page_lines
+from .text import collapse
 
+#: How an entry names its pages, and what an entry looks like.
 _PAGE = r"(?:\d{1,4}(?:[-–]\d{1,4})?|[♣♦•·*†‡§¶])"
 _ENTRY = r"[A-Za-z0-9].{1,160},\s*" + _PAGE + r"(?:\s*,\s*" + _PAGE + ")*"
 #: Name, weight and pattern of each signal, in order of report.
@@ -20,9 +22,12 @@ SIGNALS = (
     ("line_shape", 20, r",(?=\s*(?:\d|[♣♦•·*†‡§¶]))(?<=[A-Za-z0-9].{1,160},)"),
 )
 STRONG = 35
+#: All that a converter leaves on a page without a text.
+STOCK = ("converted ebook", "converted ebook dead simple python")
 #: Words that mark the heading of an index, and pages that hold nothing else.
 HEADING_HINTS = ("index", "glossary", "searchable terms", "terminology")
 HEADING_WORDS = ("index", "glossary", "searchable", "terms", "索引", "术语表")
+#: Names of index pages, bars of letters, names of tables of contents.
 PATH_HINTS = ("index", "idx", "glossary")
 NAV_MARKERS = ("[ a ][ b ][ c ]", "[ a ][ b ]")
 TOC_NAME = r"(?i)(?<![a-z0-9])(?:toc|contents)(?![a-z0-9])"
@@ -56,7 +61,8 @@ def looks_like_index(lines: Column) -> Column:
 
 
 def index_page(html: Column) -> Column:
-    return looks_like_index(candidate_lines(html))
+    """Whether the lines of a page, by its tags where it is well-formed, are an index."""
+    return looks_like_index(page_lines(html))
 
 
 def is_index_path(path: Column) -> Column:
@@ -72,7 +78,7 @@ def is_placeholder(text: Column) -> Column:
     """Nothing but a heading, or a converter's stock text."""
     flat = F.lower(collapse(text))
     words = F.regexp_extract_all(flat, F.lit(r"(?U)\w+"), F.lit(0))
-    return (flat == "") | flat.isin("converted ebook", "converted ebook dead simple python") | (F.size(F.array_except(words, F.array(*[F.lit(w) for w in HEADING_WORDS]))) == 0)
+    return (flat == "") | flat.isin(*STOCK) | (F.size(F.array_except(words, F.array(*[F.lit(w) for w in HEADING_WORDS]))) == 0)
 
 
 def is_toc_name(path: Column) -> Column:

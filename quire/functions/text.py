@@ -12,6 +12,8 @@ LANGUAGES = {"zh": "Chinese", "en": "English", "ja": "Japanese", "ko": "Korean",
 
 #: Fixed value: what a source with addresses or imprint lines looks like.
 URL_HINT = r"(?i)https?://|www\.|\.com\b|\.org\b|\.net\b|\.co\.\w{2}\b|@\w|©|ISBN\b|First\s+published\b"
+#: Where a text's lines end.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 EXCERPT_CHARS, CLIP_CHARS, CLIP_LEAD = 120, 400, 180
 
 
@@ -66,8 +68,8 @@ def strip_tags(html: Column) -> Column:
 
 def candidate_lines(html: Column) -> Column:
     """Stripped non-empty lines once tags have become line ends."""
-    lines = F.split(F.regexp_replace(html, "<[^>]+>", "\n"), "\n")
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.split(F.regexp_replace(html, "<[^>]+>", "\n"), LINE_END)
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:

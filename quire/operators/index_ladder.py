@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import index_pages as I
 from ..functions import text as T
+from ..sources.trees import visible_text
 
 #: Spine documents from the end that the last two passes look at.
 TAIL, USABLE_CHARS = 10, 100
@@ -37,8 +38,9 @@ def locate_index(docs: DataFrame) -> DataFrame:
     the end of the spine, the first of the last ten documents with an alphabet bar,
     or with index lines. Placeholders never count in passes 0 to 2."""
     total, _ = I.score(F.col("href"), F.col("html"))
-    rows = docs.withColumn("plain", T.strip_tags(F.col("html"))).withColumn("total", total)
-    rows = rows.withColumn("real", ~I.is_placeholder(F.col("plain"))).withColumn("bar", I.has_alphabet_bar(F.col("plain"))).withColumn("lined", I.index_page(F.col("html")))
+    told = docs.select("book_id", "item_ord", "spine_ord", "href", total.alias("total"), visible_text(F.col("html")).alias("plain"), I.index_page(F.col("html")).alias("lined"))
+    real, bar = ~I.is_placeholder(F.col("plain")), I.has_alphabet_bar(F.col("plain"))
+    rows = told.select("book_id", "item_ord", "spine_ord", "href", "total", "lined", real.alias("real"), bar.alias("bar"))  # documents are ranked without their texts
     book = W.partitionBy("book_id")
     named = I.is_index_path(F.col("href")) & F.col("real")
     weak = named & ~(F.col("bar") | F.col("lined"))
@@ -60,10 +62,11 @@ def locate_index(docs: DataFrame) -> DataFrame:
             F.when(tail & F.col("lined"), step(4, "from_end")),
         )
     )
-    best = rows.select("book_id", "href", "plain", F.array_min(steps).alias("step"), strong.alias("strong")).filter("step is not null")
-    out = best.groupBy("book_id").agg(F.min_by(F.struct("href", "plain"), "step").alias("d"), F.min("step").alias("step"), F.max("strong").alias("strong"))
-    text = first_script(F.col("d.plain"))
-    return out.select("book_id", F.col("step.pass_no").alias("pass_no"), F.col("d.href").alias("href"), text.alias("text"), ((F.length(text) > USABLE_CHARS) | F.col("strong")).alias("usable"))
+    best = rows.select("book_id", "item_ord", F.array_min(steps).alias("step"), strong.alias("strong")).filter("step is not null")
+    out = best.groupBy("book_id").agg(F.min_by("item_ord", "step").alias("item_ord"), F.min("step").alias("step"), F.max("strong").alias("strong"))
+    won = docs.select("book_id", "item_ord", "href", "html").join(out, ["book_id", "item_ord"])
+    won = won.select("book_id", "step", "strong", "href", first_script(visible_text(F.col("html"))).alias("text"))
+    return won.select("book_id", F.col("step.pass_no").alias("pass_no"), "href", "text", ((F.length("text") > USABLE_CHARS) | F.col("strong")).alias("usable"))
 
 
 def body_documents(docs: DataFrame, index: DataFrame, properties: str = "properties") -> DataFrame:
@@ -74,7 +77,7 @@ def body_documents(docs: DataFrame, index: DataFrame, properties: str = "propert
     out = docs.filter("spine_ord is not null and not coalesce(is_toc, false)").join(index.select("book_id", "href"), ["book_id", "href"], "left_anti")
     nav = F.array_contains(F.split(F.coalesce(F.col(properties), F.lit("")), r"\s+"), "nav")
     out = out.filter(~nav & ~I.is_toc_href(F.col("href")) & ~stem.rlike(TITLE_NAME) & ~F.col("html").rlike(TOC_MARKUP) & ~F.col("html").rlike(TITLE_MARKUP))
-    return out.select("book_id", "spine_ord", "href", T.strip_tags(F.col("html")).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))
+    return out.select("book_id", "spine_ord", "href", visible_text(F.col("html")).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def judge_report(judges: DataFrame, candidates: DataFrame, vendors: DataFrame, votes: DataFrame) -> DataFrame:

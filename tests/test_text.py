@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import random
+import re
+import xml.etree.ElementTree as ET
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import index_pages as I
 from quire.functions import text as T
+from quire.sources import trees
 
 
 def one(spark, *columns, **values):
@@ -73,3 +78,42 @@ def test_index_lines(spark):
     assert not one(spark, I.is_placeholder(F.col("t")), t="Index of names")[0]
     assert one(spark, I.is_toc_name(F.col("t")), t="x/mytoc.html")[0] and not one(spark, I.is_toc_href(F.col("t")), t="x/mytoc.html")[0]
     assert one(spark, I.is_toc_href(F.col("t")), t="x/my-toc.html")[0]
+
+
+def plain_lines(page):
+    """Lines of a page by way of its element tree."""
+    try:
+        root = ET.fromstring(page)
+    except ET.ParseError:
+        return [x.strip() for x in re.sub("<[^>]+>", "\n", page).splitlines() if x.strip()], re.sub("<[^>]+>", " ", page).strip()
+    wanted = [e for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2].lower() in trees.LINE_TAGS]
+    return [x for x in (" ".join("".join(e.itertext()).split()) for e in wanted) if x], " ".join(root.itertext()).strip()
+
+
+def test_lines_by_tags(spark):
+    random.seed(1)
+
+    def node(depth):
+        tag = random.choice(["p", "li", "ul", "b", "H2", "div", "dd", "x:dt"])
+        inner = "".join(node(depth + 1) if depth < 5 and random.random() < 0.6 else random.choice(["word ", " a\n b ", "é\u00a0", "&amp;", "<!-- c -->", ""]) for _ in range(random.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>" + random.choice(["", " tail ", "\n"])
+
+    pages = [f'<html xmlns:x="http://www.w3.org/1999/xhtml">{node(0)}{node(0)}</html>' for _ in range(120)]
+    pages += [p.replace("</ul>", "", 1) for p in pages[:40]] + ["", "no tags\x0bhere\u2028and", "<p>1<p>2", "<p/>", "<p>" * 3000 + "deep" + "</p>" * 3000]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)] + [(None, None)], "n int, html string").repartition(3)
+    got = {r.n: r for r in df.select("n", trees.page_lines(F.col("html")).alias("lines"), trees.visible_text(F.col("html")).alias("text")).collect()}
+    for i, p in enumerate(pages):
+        lines, text = plain_lines(p)
+        assert got[i].lines == lines and got[i].text.split() == text.split(), i
+    assert got[None].lines is None or got[None].lines == []
+
+
+def test_nodes_as_intervals(spark):
+    pages = [(1, "<a>x<b>y<c/>z</b><b>w</b></a>"), (2, "<a><b></a>"), (None, "<q>é</q>"), (None, "<q>é</q>"), (3, None)]
+    df = spark.createDataFrame(pages, "id long, html string")
+    rows = trees.nodes(df, "id", "html").orderBy("id", "at").collect()
+    assert [tuple(r) for r in rows] == [(None, 0, 0, 0, "q", "é")] * 2 + [(1, 0, 3, 0, "a", "xyzw"), (1, 1, 2, 1, "b", "yz"), (1, 2, 2, 2, "c", ""), (1, 3, 3, 1, "b", "w")]
+    nodes = trees.nodes(df, "id", "html")
+    met = nodes.alias("o").join(nodes.alias("i"), trees.inside("o", "i", "id")).filter("o.id = 1").select("o.at", "i.at").collect()
+    assert sorted(tuple(r) for r in met) == [(0, 1), (0, 2), (0, 3), (1, 2)]
+    assert trees.nodes(df.limit(0), "id", "html").count() == 0

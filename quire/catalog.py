@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import index_pages as I
 from .functions import text as T
+from .operators import glossary as glossaries
 from .operators import integrity, panel, probe, state, terms
 from .plans import batching
 from .sources import epub, trees
@@ -412,7 +413,8 @@ GLOSSARY = [("the", "the/The", ["that"], None), ("and", "and", ["ing", "an"], No
 
 
 def glossary(spark) -> DataFrame:
-    return spark.createDataFrame(GLOSSARY, "term string, suggested_translation string, alternatives array<string>, tier string")
+    rows = [(*entry, i) for i, entry in enumerate(GLOSSARY)]
+    return spark.createDataFrame(rows, "term string, suggested_translation string, alternatives array<string>, tier string, ord long")
 
 
 @query(PAIRS_SQL + """, g(term, o) AS (VALUES ('the', ['the/The', 'that', 'The', 'the']), ('and', ['and', 'ing', 'an']), ('est', ['est']), ('der', ['das', 'die']), ('of the', ['the', 'of']), ('que', ['que'])),
@@ -424,10 +426,30 @@ def term_usage(spark, sf_dir):
     return terms.term_usage(turn_pairs(spark, sf_dir), glossary(spark)).select("term", "segments", "missing")
 
 
-@query()
+USAGE_SQL = PAIRS_SQL + """, g(ord, term, translation, parts, o) AS (VALUES
+  (0, 'the', 'the/The', ['the', 'The', 'that'], ['the/The', 'that', 'The', 'the']), (1, 'and', 'and', ['and', 'ing', 'an'], ['and', 'ing', 'an', NULL]), (2, 'est', 'est', ['est'], ['est', NULL, NULL, NULL]),
+  (3, 'der', 'die', ['die', 'das'], ['das', 'die', NULL, NULL]), (4, 'of the', 'of', ['of', 'the'], ['the', 'of', NULL, NULL]), (5, 'que', 'que', ['que'], ['que', NULL, NULL, NULL])),
+h AS (SELECT g.term, g.o, coalesce(p.target, '') AS r0 FROM pairs p JOIN g ON regexp_matches(p.source, '(?i)(^|[^\\p{L}\\p{N}_])' || replace(g.term, ' ', '\\s+') || '([^\\p{L}\\p{N}_]|$)')),
+r AS (SELECT *, replace(r2, coalesce(o[3], chr(1)), '') AS r3 FROM (SELECT *, replace(r1, coalesce(o[2], chr(1)), '') AS r2 FROM (SELECT *, replace(r0, o[1], '') AS r1 FROM h))),
+u AS (SELECT term, list_filter([CASE WHEN strpos(r0, o[1]) > 0 THEN o[1] END, CASE WHEN strpos(r1, o[2]) > 0 THEN o[2] END, CASE WHEN strpos(r2, o[3]) > 0 THEN o[3] END, CASE WHEN strpos(r3, o[4]) > 0 THEN o[4] END], lambda x: x IS NOT NULL) AS used FROM r),
+n AS (SELECT term, opt, count(*) AS n FROM (SELECT term, unnest(used) AS opt FROM u) GROUP BY ALL),
+s AS (SELECT term, count(*) AS segments, count(*) FILTER (WHERE len(used) = 0) AS missing FROM u GROUP BY term),
+shown AS (SELECT ord, term, unnest(parts) AS opt, generate_subscripts(parts, 1) AS i FROM g UNION ALL SELECT ord, g.term, translation, 99 FROM g JOIN n ON n.term = g.term AND n.opt = translation WHERE NOT list_contains(parts, translation)),
+c AS (SELECT shown.term, '{' || string_agg('"' || shown.opt || '":' || coalesce(n.n, 0), ',' ORDER BY i) || '}' AS option_counts, count(n.n) AS used FROM shown LEFT JOIN n ON n.term = shown.term AND n.opt = shown.opt GROUP BY shown.term),
+w AS (SELECT ord, g.term, translation, coalesce(segments, 0) AS segments, option_counts, coalesce(missing, 0) AS missing, coalesce(missing, 0) = 0 AND c.used <= 1 AS consistent FROM g JOIN c USING (term) LEFT JOIN s USING (term))
+"""
+
+
+@query(USAGE_SQL + "SELECT row_number() OVER (ORDER BY consistent, ord) AS place, term, translation, segments, option_counts, missing, consistent FROM w")
 def term_usage_options(spark, sf_dir):
-    out = terms.term_usage(turn_pairs(spark, sf_dir), glossary(spark))
-    return out.select("term", "translation", F.to_json("option_counts").alias("option_counts"), "consistent").orderBy("consistent", "term")
+    """In the order of the report: inconsistent terms first, each group in the glossary's order."""
+    out = terms.term_usage(turn_pairs(spark, sf_dir), glossary(spark)).withColumn("option_counts", F.to_json("option_counts"))
+    return out.select(F.row_number().over(W.orderBy("consistent", "ord")).cast("bigint").alias("place"), "term", "translation", "segments", "option_counts", "missing", "consistent")  # a glossary's few rows
+
+
+@query(USAGE_SQL + """SELECT '{"summary":{"terms":' || count(*) || ',"inconsistent":' || count(*) FILTER (WHERE NOT consistent) || '},"terms":[' || string_agg('{"term":"' || term || '","translation":"' || translation || '","segments":' || segments || ',"option_counts":' || option_counts || ',"missing":' || missing || ',"consistent":' || consistent || '}', ',' ORDER BY consistent, ord) || ']}' AS json FROM w""")
+def usage_report(spark, sf_dir):
+    return glossaries.usage_report(terms.term_usage(turn_pairs(spark, sf_dir), glossary(spark)))
 
 
 PAIR_WORDS = """w AS (SELECT *, string_split_regex(trim(text), '\\s+') AS w FROM {table}),

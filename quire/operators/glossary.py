@@ -96,3 +96,17 @@ def usage_summary(usage: DataFrame, tier: Column | None = None) -> DataFrame:
     glossary only prefers vary freely. usage: consistent."""
     loose = F.lit(False) if tier is None else F.coalesce(tier == "preferred", F.lit(False))
     return usage.agg(F.count("*").alias("terms"), F.count_if(~F.col("consistent") & ~loose).alias("inconsistent"), F.count_if(~F.col("consistent") & loose).alias("preferred_varied"))
+
+
+def usage_report(usage: DataFrame) -> DataFrame:
+    """One row, ``json``: the summary of a term usage table and its terms, inconsistent
+    ones first, each group in the glossary's order. Tiers are named only where some term
+    has one. A glossary is bounded by its maximum of terms, so its report is one value."""
+    tiered = F.max(F.col("tier").isNotNull())
+    terms = F.array_sort(F.collect_list(F.struct("consistent", "ord", "term", "translation", "segments", "option_counts_", "missing", "tier")))
+    loose = F.col("tier").eqNullSafe(F.lit("preferred"))
+    rows = usage.withColumn("option_counts_", F.to_json("option_counts"))  # a map has no order to sort by
+    out = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("consistent") & ~loose).alias("off"), F.count_if(~F.col("consistent") & loose).alias("varied"), F.coalesce(tiered, F.lit(False)).alias("tiered"), terms.alias("terms"))
+    named = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["translation"].alias("translation"), x["segments"].alias("segments"), F.from_json(x["option_counts_"], "map<string,bigint>").alias("option_counts"), x["missing"].alias("missing"), x["tier"].alias("tier"), x["consistent"].alias("consistent")))
+    summary = F.struct(F.col("n").alias("terms"), F.col("off").alias("inconsistent"), F.when(F.col("tiered"), F.col("varied")).alias("preferred_varied"))
+    return out.select(F.to_json(F.struct(summary.alias("summary"), named.alias("terms"))).alias("json"))

@@ -156,26 +156,33 @@ def consume(target: Column, options: Column) -> Column:
 
 
 def term_usage(pairs: DataFrame, glossary: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """``term, translation, segments, option_counts, missing, consistent`` for each
-    glossary row (term, suggested_translation, alternatives, tier).
+    """``ord, term, translation, tier, segments, option_counts, missing, consistent`` for
+    each glossary row (term, suggested_translation, alternatives, tier, and ord, its place,
+    where the glossary has one).
 
     When any row has a tier, a row without one is fixed, and a fixed term's
-    alternatives don't count as its translation."""
+    alternatives don't count as its translation. option_counts has every option in order,
+    also those that no segment uses, and the whole translation where it is used."""
     tiered = glossary.filter("tier is not null").limit(1).select(F.lit(True).alias("tiered_"))
     terms = glossary.filter("trim(term) <> '' and trim(suggested_translation) <> ''").join(F.broadcast(tiered), F.lit(True), "left")  # one row at most
     fixed = (F.col("tier") == "fixed") | (F.col("tier").isNull() & F.col("tiered_").isNotNull())
     whole = F.trim("suggested_translation")
     parts = F.array_distinct(F.concat(T.options_of(whole), F.when(F.coalesce(fixed, F.lit(False)) | F.col("alternatives").isNull(), F.array().cast("array<string>")).otherwise(T.clean_alternatives(F.col("alternatives")))))
-    terms = terms.select(F.trim("term").alias("term"), whole.alias("translation"), parts.alias("parts"))
+    ord_ = F.col("ord") if "ord" in glossary.columns else F.lit(None).cast("long")
+    tier = F.when(F.col("tiered_").isNotNull(), F.coalesce("tier", F.lit("fixed")))
+    terms = keep(terms.select(F.monotonically_increasing_id().alias("no_"), ord_.alias("ord"), F.trim("term").alias("term"), whole.alias("translation"), tier.alias("tier"), parts.alias("parts")))
     hits = match_terms(pairs.select(F.col(source).alias("s_"), F.col(target).alias("t_")), "s_", terms, keep_=["t_"])
-    used = hits.select("term", "translation", consume(F.coalesce(F.col("t_"), F.lit("")), F.array_union(F.col("parts"), F.array("translation"))).alias("used"))
-    total = used.groupBy("term", "translation").agg(F.count("*").alias("segments"), F.count_if(F.size("used") == 0).alias("missing"))
-    counts = used.select("term", "translation", F.explode("used").alias("option")).groupBy("term", "translation", "option").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("term", "translation").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("option", "n")))).alias("option_counts"))
-    out = terms.join(total, ["term", "translation"], "left").join(counts, ["term", "translation"], "left")
-    n_used = F.coalesce(F.size("option_counts"), F.lit(0))
+    used = hits.select("no_", consume(F.coalesce(F.col("t_"), F.lit("")), F.array_union(F.col("parts"), F.array("translation"))).alias("used"))
+    total = used.groupBy("no_").agg(F.count("*").alias("segments"), F.count_if(F.size("used") == 0).alias("missing"))
+    counts = used.select("no_", F.explode("used").alias("option")).groupBy("no_", "option").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("no_").agg(F.map_from_entries(F.collect_list(F.struct("option", "n"))).alias("met"))  # a term's few options
+    out = terms.join(total, "no_", "left").join(counts, "no_", "left")
+    n = lambda o: F.coalesce(F.try_element_at(F.col("met"), o), F.lit(0)).cast("bigint")
+    shown = F.concat("parts", F.when((n(F.col("translation")) > 0) & ~F.array_contains("parts", F.col("translation")), F.array("translation")).otherwise(F.array().cast("array<string>")))
+    options = F.map_from_entries(F.transform(shown, lambda o: F.struct(o.alias("key"), n(o).alias("value"))))
     missing = F.coalesce("missing", F.lit(0)).cast("bigint")
-    return out.select("term", "translation", F.coalesce("segments", F.lit(0)).cast("bigint").alias("segments"), "option_counts", missing.alias("missing"), ((missing == 0) & (F.when(F.col("option_counts").isNull(), 0).otherwise(n_used) <= 1)).alias("consistent"))
+    one = F.coalesce(F.size("met"), F.lit(0)) <= 1
+    return out.select("ord", "term", "translation", "tier", F.coalesce("segments", F.lit(0)).cast("bigint").alias("segments"), options.alias("option_counts"), missing.alias("missing"), ((missing == 0) & one).alias("consistent"))
 
 
 def glossary_cap(entries: DataFrame, max_terms: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import protocol
-from quire.operators import automaton, integrity, panel, probe, runs, state, terms
+from quire.operators import glossary, integrity, panel, probe, runs, state, terms
 from quire.plans import batching, blocks, numbering
 from quire.streaming import resume
 
@@ -173,6 +173,23 @@ def test_a_hundred_thousand_terms(spark):
     assert got == {(i, f"term{i * 1000} of many") for i in range(90)}
 
 
+def test_usage_report(spark):
+    pairs = spark.createDataFrame([("a port", "端口"), ("port", "港口"), ("box box", "盒")], "source string, target string")
+    entries = [("box", "盒", None, None, 2), ("port", "端口", ["港口"], "preferred", 1), ("port", "端口", ["港口"], "fixed", 0), ("gone", "无", None, None, 3)]
+    usage = terms.term_usage(pairs, spark.createDataFrame(entries, "term string, suggested_translation string, alternatives array<string>, tier string, ord int"))
+    got = json.loads(glossary.usage_report(usage).first().json)
+    assert got["summary"] == {"terms": 4, "inconsistent": 1, "preferred_varied": 1}
+    assert [(t["term"], t["tier"], t["option_counts"], t["missing"], t["consistent"]) for t in got["terms"]] == [
+        ("port", "fixed", {"端口": 1}, 1, False),
+        ("port", "preferred", {"端口": 1, "港口": 1}, 0, False),
+        ("box", "fixed", {"盒": 1}, 0, True),
+        ("gone", "fixed", {"无": 0}, 0, True),
+    ]
+    bare = terms.term_usage(pairs, spark.createDataFrame([("box", "盒/箱", None, None)], "term string, suggested_translation string, alternatives array<string>, tier string"))
+    assert json.loads(glossary.usage_report(bare).first().json) == {"summary": {"terms": 1, "inconsistent": 0}, "terms": [{"term": "box", "translation": "盒/箱", "segments": 1, "option_counts": {"盒": 1, "箱": 0}, "missing": 0, "consistent": True}]}
+    assert json.loads(glossary.usage_report(usage.limit(0)).first().json)["summary"] == {"terms": 0, "inconsistent": 0}
+
+
 def test_longest_option_first(spark):
     row = spark.range(1).select(terms.consume(F.lit("abcab"), F.array(F.lit("ab"), F.lit("abc"), F.lit("zz"))))
     assert row.first()[0] == ["abc", "ab"]

@@ -10,6 +10,7 @@ import html
 import io
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..tables import delete, keep
 from . import dom
 
 DOCUMENT_TYPES = ("application/xhtml+xml", "text/html")
@@ -136,9 +137,10 @@ def apply_translations(books: DataFrame, translations: DataFrame) -> DataFrame:
     return joined.select("book_id", "doc_path", patched("xhtml", F.transform("t", lambda x: x["translated"]), "doc_path").alias("xhtml"))
 
 
-def repack(content: bytes, overrides: dict[str, str]) -> bytes:
-    """The archive with some entries replaced: same order and metadata, ``mimetype``
-    first and stored. An override of an entry that does not exist is refused."""
+def repack(content: bytes, overrides: dict[str, str], line_end: bool = False) -> bytes:
+    """The archive with some entries replaced: same order, metadata and comment,
+    ``mimetype`` first and stored. An override of an entry that does not exist is
+    refused. With line_end the comment, and so the archive, ends with a line end."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
         unknown = sorted(set(overrides) - set(old.namelist()))
@@ -147,61 +149,43 @@ def repack(content: bytes, overrides: dict[str, str]) -> bytes:
         for info in sorted(old.infolist(), key=lambda i: i.filename != "mimetype"):
             data = overrides[info.filename].encode() if info.filename in overrides else old.read(info.filename)
             new.writestr(info, data, zipfile.ZIP_STORED if info.filename == "mimetype" else info.compress_type)
+        new.comment = old.comment[: 65535 - line_end] + b"\n" * line_end
     return out.getvalue()
 
 
-class BookSink(DataSource):
-    """``df.write.format("quire_epub").mode("append").save(folder)`` for rows of file name, content and
-    overrides (map of entry to text). Each archive is written beside its place and
-    renamed when the job commits; an aborted job leaves nothing."""
-
-    @classmethod
-    def name(cls):
-        return "quire_epub"
-
-    def schema(self):
-        return "name string, content binary, overrides map<string, string>"
-
-    def writer(self, schema, overwrite):
-        return BookWriter(self.options["path"])
-
-
-class BookWriter(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://")
-
-    def write(self, rows):
-        import os
-        import tempfile
-
-        made = []
-        os.makedirs(self.folder, exist_ok=True)
-        for row in rows:
-            if "/" in row["name"] or row["name"] in ("", ".", ".."):
-                raise ValueError(f"unsafe file name {row['name']!r}")
-            data = repack(bytes(row["content"]), dict(row["overrides"] or {}))
-            handle, path = tempfile.mkstemp(prefix=".part-", dir=self.folder)
-            with os.fdopen(handle, "wb") as f:
-                f.write(data)
-                f.flush()
-                os.fsync(f.fileno())
-            made.append((path, os.path.join(self.folder, row["name"])))
-        out = WriterCommitMessage()
-        out.made = made
-        return out
-
-    def commit(self, messages):
-        import os
-
-        for message in messages:
-            for path, target in message.made if message else ():
-                os.replace(path, target)
-
-    def abort(self, messages):
-        import contextlib
-        import os
-
-        for message in messages:
-            for path, _ in message.made if message else ():
-                with contextlib.suppress(OSError):
-                    os.remove(path)
+def write_books(rows: DataFrame, folder: str) -> None:
+    """Writes rows of name, content and overrides (map of entry to text, or null) as one
+    archive each in folder, wherever Spark can write.
+
+    Two phases: tasks repack archives and Spark's own writer commits them under a
+    temporary folder beside their places, one file a row, whatever tasks run again; then
+    the driver, which sees names only, moves each to its place, replacing what is there.
+    A name that is unsafe or repeated, or an override of no entry, fails the first phase,
+    after which nothing is left. An empty table writes nothing."""
+    spark = rows.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    temporary = f"{folder.rstrip('/')}/.quire-{uuid.uuid4().hex}"
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            # the writer ends each file with a line end, which is the last byte of the archive's comment
+            yield pd.DataFrame({"n": part["n"], "data": [repack(bytes(c), dict(o) if o is not None else {}, line_end=True)[:-1] for c, o in zip(part["content"], part["overrides"])]})
+
+    try:
+        names = rows.select("name")
+        bad = names.filter(F.col("name").isNull() | F.col("name").isin("", ".", "..") | F.contains("name", F.lit("/")) | F.col("name").startswith("."))
+        for found, what in ((bad, "unsafe file name"), (names.groupBy("name").count().filter("count > 1").select("name"), "repeated file name")):
+            if first := found.first():
+                raise ValueError(f"{what} {first[0]!r}")
+        held = keep(rows.select("name", "content", "overrides").withColumn("n", F.monotonically_increasing_id()))
+        data = held.select("n", "content", "overrides").mapInPandas(packed, "n long, data binary")
+        data.select("n", F.col("data").cast("string")).write.partitionBy("n").option("compression", "none").text(temporary)
+        context = fs.FileContext.getFileContext(fs.Path(folder).toUri(), conf)
+        replacing = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        replacing[0] = fs.Options.Rename.OVERWRITE
+        for row in held.select("n", "name").toLocalIterator():
+            (made,) = context.util().globStatus(fs.Path(f"{temporary}/n={row.n}/part-*"))
+            context.rename(made.getPath(), fs.Path(f"{folder}/{row['name']}"), replacing)
+    finally:
+        delete(spark, temporary)

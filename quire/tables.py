@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df written as Parquet, so that a lost executor costs a re-read and not the lineage."""
+    """df written as Parquet, so that a lost executor costs a re-read and not the lineage.
+    The table stays until ``release`` or the program's end."""
     path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _kept.append((df.sparkSession, path))
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder wherever Spark can reach it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release() -> None:
+    """Removes all kept tables. Results that were built on them can't be read any more."""
+    while _kept:
+        spark, path = _kept.pop()
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            delete(spark, path)
+
+
+atexit.register(release)

@@ -90,14 +90,37 @@ def test_book_tables(spark, tmp_path):
     docs = epub.apply_translations(books, translated)
     overrides = docs.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_path", "xhtml"))).alias("overrides"))
     files = spark.read.format("binaryFile").load(str(tmp_path / "in")).select(F.col("path").alias("book_id"), "content")
-    spark.dataSource.register(epub.BookSink)
     out = files.join(overrides, "book_id").select(F.lit("out.epub").alias("name"), "content", "overrides")
-    out.write.format("quire_epub").mode("append").save(str(tmp_path / "out"))
+    for _ in range(2):  # the second time it replaces the first
+        epub.write_books(out, f"file://{tmp_path}/out")
     with zipfile.ZipFile(tmp_path / "out" / "out.epub") as z:
         assert z.namelist() == zipfile.ZipFile(io.BytesIO(data)).namelist()
         assert z.infolist()[0].compress_type == zipfile.ZIP_STORED
         assert "FIRST" in z.read("OEBPS/c1.xhtml").decode()
-    assert [p.name for p in (tmp_path / "out").iterdir()] == ["out.epub"]
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")] == ["out.epub"]
+
+
+def test_sink_refuses_as_a_whole(spark, tmp_path):
+    data = book({"c": "<p>x</p>"}, ["c"])
+    with zipfile.ZipFile(tmp_path / "said.epub", "w") as z:
+        z.writestr("mimetype", "x")
+        z.comment = b"said before"
+    said = (tmp_path / "said.epub").read_bytes()
+    schema, folder = "name string, content binary, overrides map<string, string>", f"file://{tmp_path}/out"
+    write = lambda *rows: epub.write_books(spark.createDataFrame(rows, schema).repartition(3), folder)
+    write()
+    for rows, what in (([("../x", data, None)], "unsafe"), ([(None, data, None)], "unsafe"), ([("a", data, None), ("a", data, {})], "repeated"), ([("a", data, None), ("b", data, {"nope": "x"})], "no such entries")):
+        with pytest.raises(Exception, match=what):
+            write(*rows)
+    assert not (tmp_path / "out").exists() or not [p for p in (tmp_path / "out").iterdir() if p.suffix != ".crc"]
+    write(*[(f"Straße {i} %20 =.epub", said if i == 3 else data, {"OEBPS/c.xhtml": f"new {i}"} if i % 2 == 0 else None) for i in range(7)])
+    made = sorted(p for p in (tmp_path / "out").iterdir() if p.suffix != ".crc")
+    assert [p.name for p in made] == [f"Straße {i} %20 =.epub" for i in range(7)]
+    for i, p in enumerate(made):
+        with zipfile.ZipFile(p) as z:
+            assert z.testzip() is None and z.comment == (b"said before\n" if i == 3 else b"\n")
+            if i != 3:
+                assert (z.read("OEBPS/c.xhtml") == f"new {i}".encode()) == (i % 2 == 0)
 
 
 def test_refusals():

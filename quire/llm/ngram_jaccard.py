@@ -52,8 +52,8 @@ FREQUENT, LOCAL, SPAN = 16, 2, 4_000_000
 PIECE = 1024
 #: A task holds so many rows of a column at most, and seeks partners in columns up to SMALL.
 HELD, SMALL = 4096, 64
-#: Bits of the filter on classes whose sets are wanted, at most (32 MB); beyond the
-#: classes that fit, more sets pass and the join after it still decides.
+#: Bits of the filter on documents whose sets are wanted, at most (32 MB); beyond the
+#: documents that fit, more sets pass and the join after it still decides.
 FILTER_BITS = 28
 #: Classes of a column in one block of the last round, and of a component in one block
 #: of the count.
@@ -256,15 +256,17 @@ def bounded(percent: int, n, at, n0, at0):
 
 
 def scan_sets(shared, k: int):
-    """(class, n-gram set as bytes) of classes that pass the filter, once a task."""
+    """(class, n-gram set as bytes) of the documents whose keys pass the filter, a class
+    once a task. Other texts are not cut into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(shared.value.has(batch.column(0).to_numpy().view(np.uint64)))))
             for part, raw, offs in _base.passes(batch, 1):
                 names, sets = [], []
                 for s in sets_of(part, raw, offs, k):
-                    if len(s) and (name := fingerprint(s)) not in seen and shared.value.has(np.frombuffer(name[:8], ">u8").astype(np.uint64))[0]:
+                    if len(s) and (name := fingerprint(s)) not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(name)
@@ -460,7 +462,7 @@ class Join:
         _base.small_batches(self.spark)
         self.scratch = _base.Scratch(self.spark)
         self.docs = docs.select(F.col(id_).cast("long").alias("id_"), F.col(text).alias("text_"))
-        self.texts = self.docs.select("text_").withColumn("zero_", F.lit(0)).select("zero_", "text_")
+        self.texts = self.docs.select(hashed_id("id_").alias("key"), "text_")
         #: n-gram sets of the classes that rounds have wanted, each class in one table.
         self.sets: list[DataFrame] = []
 
@@ -472,6 +474,8 @@ class Join:
         rows = slot.toArrow()  # at most one row a slot of a table of fixed size
         self.levels = np.zeros(1 << LEVEL_BITS, np.uint8)
         self.levels[rows["slot"].to_numpy()] = rows["level"].to_numpy()
+        #: One document of each class, by the hash of its id.
+        self.first = found.filter("kind = 0 and class is not null").groupBy("class").agg(F.min(hashed_id("at")).alias("key"))
         self.parities = found.filter("kind = 0 and class is not null").select("class", "n", "parity")
         return found.filter("kind = 0").select(F.col("at").alias("id"), "n", "class")
 
@@ -491,7 +495,7 @@ class Join:
         members = ends(pairs)
         for known in self.sets:
             members = members.join(known, "class", "left_anti")
-        members = self.scratch.keep(members.withColumn("key", key_of("class")), f"members{tag}")
+        members = self.scratch.keep(members.join(self.first, "class"), f"members{tag}")
         n = members.count()
         if n:
             shared = _base.Shared(self.spark, _base.key_filter(members.select("key"), n, FILTER_BITS))
@@ -566,9 +570,9 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
 
 
-def key_of(name: str):
-    """The first 8 bytes of a class as a long."""
-    return F.expr(f"cast(conv(hex(substring({name}, 1, 8)), 16, -10) as long)")
+def hashed_id(name: str):
+    """A hash of an id; a null id has one too."""
+    return F.xxhash64(F.coalesce(F.col(name), F.lit(0)), F.col(name).isNull())
 
 
 def components(docs: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:

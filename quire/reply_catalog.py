@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .catalog import CANDIDATES_SQL, panel_tables, query, table
 from .functions import protocol as P
 from .functions import text as T
-from .operators import glossary, links, panel, runs, terms
+from .operators import glossary, links, panel, resumption, runs, terms
 
 # ---------------------------------------------------------------- replies
 # A conversation is a batch and its turns the segments; its number decides what is wrong
@@ -286,6 +286,81 @@ def trial_models(spark, sf_dir):
     return used.select("user_id", runs.mixed_models(F.col("used"), F.lit("click"), lit("view", "click", "purchase"), lit("purchase")).alias("refused"))
 
 
+# Customers are runs, their orders saved segments; line items tell which segments the book has.
+
+RUN_SQL = """WITH e AS (SELECT c_custkey AS run, CAST(c_nationkey AS VARCHAR) AS input_signature, c_mktsegment AS output_lang, CAST(c_custkey % 3 AS VARCHAR) AS effort, 'p' || c_custkey % 4 AS system_prompt_hash, 'm' || c_custkey % 5 AS model, c_custkey % 6 = 0 AS force FROM customer),
+r AS (SELECT o_custkey AS run, o_orderkey AS ord, o_orderkey AS segment_id, CASE WHEN o_orderkey % 61 = 0 THEN ' ' ELSE o_orderpriority END AS translated, CASE WHEN o_orderkey % 71 = 0 THEN 'other' ELSE 'cli' END AS provider, 'm' || CASE WHEN o_custkey % 7 = 0 THEN o_orderkey % 5 ELSE o_custkey % 5 END AS model FROM orders),
+v AS (SELECT run, CASE WHEN run % 13 = 0 THEN 'changed' ELSE input_signature END AS input_signature, CASE WHEN run % 10 = 0 THEN 'changed' ELSE output_lang END AS output_lang, CASE WHEN run % 9 = 0 THEN NULL ELSE effort END AS effort, CASE WHEN run % 8 = 0 THEN 'changed' ELSE system_prompt_hash END AS system_prompt_hash, CASE WHEN run % 12 = 0 THEN 1 + (SELECT count(*) FROM r WHERE r.run = e.run) ELSE (SELECT count(*) FROM r WHERE r.run = e.run) END AS claimed FROM e WHERE run % 11 <> 0),
+s AS (SELECT DISTINCT o_custkey AS run, l_orderkey AS segment_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 53 <> 0),
+d AS (SELECT e.run, e.force, list_filter([CASE WHEN v.input_signature IS DISTINCT FROM e.input_signature THEN 'input_signature' END, CASE WHEN v.output_lang IS DISTINCT FROM e.output_lang THEN 'output_lang' END, CASE WHEN v.effort IS DISTINCT FROM e.effort THEN 'effort' END, CASE WHEN v.system_prompt_hash IS DISTINCT FROM e.system_prompt_hash THEN 'system_prompt_hash' END], lambda x: x IS NOT NULL) AS f FROM e JOIN v USING (run)),
+bad AS (SELECT r.run, arg_min(CASE WHEN s.segment_id IS NULL THEN 'unknown segment' WHEN trim(translated) = '' THEN 'empty translation' ELSE 'invalid origin' END, ord) AS problem FROM r LEFT JOIN s ON s.run = r.run AND s.segment_id = r.segment_id WHERE s.segment_id IS NULL OR trim(translated) = '' OR provider <> 'cli' GROUP BY r.run),
+n AS (SELECT v.run, coalesce(bad.problem, CASE WHEN claimed <> (SELECT count(*) FROM r WHERE r.run = v.run) THEN 'wrong number of records' END) AS problem FROM v LEFT JOIN bad USING (run)),
+o AS (SELECT e.run, e.model, list_sort(list_filter(list_distinct(list(r.model)), lambda x: x <> e.model AND x IN ('m0', 'm1', 'm2'))) AS others FROM e JOIN r ON r.run = e.run GROUP BY e.run, e.model),
+x AS (SELECT run, others FROM o WHERE len(others) > 0 AND (model = 'm1' OR list_contains(others, 'm1'))),
+vf AS (SELECT e.run, d.f IS NOT NULL AS may_reuse, CASE WHEN list_contains(d.f, 'input_signature') THEN 'mismatch: ' || array_to_string(d.f, ', ') WHEN n.problem IS NOT NULL THEN n.problem WHEN NOT e.force AND x.others IS NOT NULL THEN 'model on trial, with: ' || array_to_string(x.others, ', ')
+  WHEN NOT e.force AND len(list_filter(d.f, lambda y: y <> 'system_prompt_hash')) > 0 THEN 'mismatch: ' || array_to_string(list_filter(d.f, lambda y: y <> 'system_prompt_hash'), ', ') END AS refused FROM e LEFT JOIN d USING (run) LEFT JOIN n USING (run) LEFT JOIN x USING (run)),
+rs AS (SELECT vf.run, may_reuse, coalesce(refused, CASE WHEN NOT d.force AND len(d.f) > 0 THEN 'mismatch: ' || array_to_string(d.f, ', ') END) AS late FROM vf LEFT JOIN d USING (run))
+"""
+RUN_FIELDS = ["input_signature", "output_lang", "effort", "system_prompt_hash"]
+
+
+def run_tables(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """Expected and saved identities, records, and the segments of the books."""
+    k = F.col("run")
+    text = lambda c: c.cast("string")
+    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"), text(F.col("c_nationkey")).alias("input_signature"), F.col("c_mktsegment").alias("output_lang"))
+    expected = expected.withColumns({"effort": text(k % 3), "system_prompt_hash": F.concat(F.lit("p"), text(k % 4)), "model": F.concat(F.lit("m"), text(k % 5)), "force": k % 6 == 0})
+    o = F.col("o_orderkey")
+    model = F.concat(F.lit("m"), text(F.when(F.col("o_custkey") % 7 == 0, o % 5).otherwise(F.col("o_custkey") % 5)))
+    records = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("run"), o.alias("ord"), o.alias("segment_id"), F.when(o % 61 == 0, " ").otherwise(F.col("o_orderpriority")).alias("translated"), F.lit("pro").alias("profile"), F.when(o % 71 == 0, "other").otherwise("cli").alias("provider"), F.lit("codex").alias("backend"), model.alias("model")
+    )
+    n = records.groupBy("run").agg(F.count("*").alias("n"))
+    changed = lambda m, c: F.when(k % m == 0, "changed").otherwise(F.col(c)).alias(c)
+    saved = expected.filter(k % 11 != 0).join(n, "run", "left").select("run", changed(13, "input_signature"), changed(10, "output_lang"), F.when(k % 9 != 0, F.col("effort")).alias("effort"), changed(8, "system_prompt_hash"), (F.coalesce("n", F.lit(0)) + F.when(k % 12 == 0, 1).otherwise(0)).alias("claimed"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 53 <> 0").select(F.col("l_orderkey").alias("segment_id")).distinct()
+    segments = lines.join(records.select("run", "segment_id"), "segment_id")
+    return expected, saved, records, segments
+
+
+def verified_runs(spark, sf_dir) -> DataFrame:
+    expected, saved, records, segments = run_tables(spark, sf_dir)
+    names = lambda *x: F.array(*map(F.lit, x))
+    return resumption.verify(saved, expected, records, segments, RUN_FIELDS, ["cli"], ["codex"], names("m0", "m1", "m2"), names("m1"))
+
+
+@query(RUN_SQL + "SELECT run, may_reuse, refused FROM vf")
+def verify_runs(spark, sf_dir):
+    return verified_runs(spark, sf_dir)
+
+
+@query(RUN_SQL + "SELECT rs.run, late AS refused, count(r.run) AS released FROM rs LEFT JOIN r ON r.run = rs.run AND late IS NULL AND may_reuse GROUP BY rs.run, late")
+def restore_runs(spark, sf_dir):
+    expected, saved, records, _ = run_tables(spark, sf_dir)
+    told, released = resumption.restore(verified_runs(spark, sf_dir), saved, expected, records, RUN_FIELDS)
+    return told.join(released.groupBy("run").agg(F.count("*").alias("released")), "run", "left").na.fill(0, ["released"])
+
+
+@query("""WITH o AS (SELECT c_custkey AS run, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 1 END AS layout, CASE c_custkey % 3 WHEN 0 THEN 'gemini-2.5-flash' WHEN 1 THEN 'gemini-2.5-pro' ELSE 'else' END AS model, CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE 'fr' END AS lang, c_custkey % 2 = 0 AS force, c_custkey % 7 <> 0 AS same, CASE WHEN c_custkey % 4 = 0 THEN 'epub-leaf-block-v3' ELSE 'v2' END AS seg FROM customer),
+t AS (SELECT o_custkey AS run, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 101 <> 0) AS told FROM orders GROUP BY o_custkey),
+u AS (SELECT o.*, coalesce(n, 0) AS n, CASE WHEN layout <> 1 THEN 'unsupported layout' WHEN lang IS NULL THEN 'missing: output_lang' WHEN model = 'else' AND NOT force THEN 'unknown model' WHEN NOT same THEN 'another file' WHEN NOT force THEN 'unverified source, not forced' WHEN coalesce(told, 0) < coalesce(n, 0) THEN 'invalid translation' WHEN o.run % 23 = 0 THEN 'wrong number of records' END AS refused FROM o LEFT JOIN t USING (run))
+SELECT run, refused, CASE WHEN refused IS NULL THEN CASE model WHEN 'gemini-2.5-flash' THEN 'flash' WHEN 'gemini-2.5-pro' THEN 'pro' ELSE 'now' END END AS profile, CASE WHEN refused IS NULL THEN CASE seg WHEN 'v2' THEN 'legacy_unknown' ELSE 'segment_tags' END END AS protocol, CASE WHEN refused IS NULL THEN n ELSE 0 END AS records FROM u""")
+def upgraded_runs(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("run"))
+    k = F.col("run")
+    texts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderkey") % 101 != 0, F.col("o_orderpriority")).alias("translated"))
+    n = texts.groupBy("run").agg(F.count("*").alias("n"))
+    old = rows.join(n, "run", "left").select(
+        "run", F.when(k % 17 == 0, 2).otherwise(1).alias("schema_version"), F.lit("s").alias("input_signature"), F.lit("epub").alias("input_format"), F.when(k % 4 == 0, "epub-leaf-block-v3").otherwise("v2").alias("segmenter_signature"), F.when(k % 19 != 0, "fr").alias("output_lang"),
+        F.lit("h").alias("system_prompt_hash"), F.lit(100).alias("max_batch_chars"), F.lit(6).alias("separator_overhead"), F.when(k % 3 == 0, "gemini-2.5-flash").when(k % 3 == 1, "gemini-2.5-pro").otherwise("else").alias("model"), F.lit("cli").alias("provider"), (F.coalesce("n", F.lit(0)) + F.when(k % 23 == 0, 1).otherwise(0)).alias("claimed"),
+    )
+    now = rows.select("run", F.lit("sha").alias("input_signature"), F.when(k % 7 == 0, "t").otherwise("s").alias("legacy_signature"), F.lit("now").alias("profile"), (k % 2 == 0).alias("force"))
+    identities, records = resumption.upgrade(old, texts, now)
+    count = records.groupBy("run").agg(F.count("*").alias("records"))
+    return identities.join(count, "run", "left").na.fill(0, ["records"]).select("run", "refused", "profile", "protocol", "records")
+
+
 @query("""SELECT p_partkey, p_name AS model, CASE WHEN starts_with(p_name, 'a') THEN 'first' WHEN starts_with(p_name, 'blu') THEN 'second' WHEN starts_with(p_name, 'b') THEN 'third' WHEN starts_with(p_name, 'sp') THEN 'fourth' END AS vendor FROM part""")
 def model_vendors(spark, sf_dir):
     """Prefixes overlap: the first of them in their order counts."""

@@ -3,13 +3,16 @@ the synthetic tables, and their SQL. Importing this module adds them to the cata
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import CANDIDATES_SQL, panel_tables, query, table
 from .functions import protocol as P
 from .functions import text as T
-from .operators import glossary, links, panel, resumption, runs, terms
+from .operators import glossary, links, panel, replies, resumption, runs, terms
+from .tables import keep, shared_dir
 
 # ---------------------------------------------------------------- replies
 # A conversation is a batch and its turns the segments; its number decides what is wrong
@@ -361,6 +364,36 @@ def upgraded_runs(spark, sf_dir):
     return identities.join(count, "run", "left").na.fill(0, ["records"]).select("run", "refused", "profile", "protocol", "records")
 
 
+@query(f"""WITH k AS (SELECT DISTINCT digest FROM ({CALLS_SQL}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND digest IS NOT NULL)
+SELECT source AS purpose, count(DISTINCT CASE WHEN k.digest IS NULL THEN c.digest END) AS made, count(k.digest) AS reused FROM ({CALLS_SQL}) c JOIN documents USING (doc_id) LEFT JOIN k ON k.digest = c.digest GROUP BY source""")
+def panel_calls(spark, sf_dir):
+    """Replies are saved where they parse; what is asked then is made once or reused."""
+    calls = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("purpose"), P.reply_digest(F.concat(F.lit("model-"), F.col("lang")), F.coalesce("text", F.lit(""))).alias("digest"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") != 1, "broken").alias("error"))
+    path = f"{shared_dir(spark)}/replies-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run saves nothing more
+        replies.save(calls.join(labels, "doc_id").withColumn("reply", F.col("digest")), path)
+    return replies.calls(calls, keep(replies.saved(spark, path)))
+
+
+@query("""WITH r AS (SELECT user_id AS run, CASE WHEN user_id % 3 = 0 THEN 7 END AS exit_code, CASE WHEN user_id % 3 = 0 THEN 0 END AS ended_at FROM events GROUP BY user_id),
+f AS (SELECT user_id AS run, arg_min(event_id % 4, event_id) AS exit_code, min(event_id) AS at FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT r.run, CASE WHEN r.ended_at IS NOT NULL THEN r.exit_code ELSE f.exit_code END AS exit_code, coalesce(r.ended_at, f.at) AS ended_at FROM r LEFT JOIN f USING (run)""")
+def finished_runs(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    done = F.col("run") % 3 == 0
+    records = events.select(F.col("user_id").alias("run")).distinct().select("run", F.when(done, F.lit(7).cast("long")).alias("exit_code"), F.when(done, F.lit(0).cast("long")).alias("ended_at"))
+    return replies.finished(records, events.filter("event_type = 'purchase'").select(F.col("user_id").alias("run"), (F.col("event_id") % 4).alias("exit_code"), F.col("event_id").alias("at")))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS model, l_linenumber AS version, max(CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN 1 ELSE 0 END) AS worst FROM lineitem GROUP BY ALL)
+SELECT model, version FROM p WHERE worst = 0 AND (model, version) NOT IN (SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0)""")
+def new_certificates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_suppkey": "model", "l_linenumber": "version"})
+    problems = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48), F.array(F.lit("empty"))).otherwise(F.array().cast("array<string>"))
+    return replies.certified_anew(rows.filter("l_orderkey % 50 = 0"), rows.select("model", "version", problems.alias("problems")), "model", "version")
+
+
 @query("""SELECT p_partkey, p_name AS model, CASE WHEN starts_with(p_name, 'a') THEN 'first' WHEN starts_with(p_name, 'blu') THEN 'second' WHEN starts_with(p_name, 'b') THEN 'third' WHEN starts_with(p_name, 'sp') THEN 'fourth' END AS vendor FROM part""")
 def model_vendors(spark, sf_dir):
     """Prefixes overlap: the first of them in their order counts."""

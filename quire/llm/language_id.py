@@ -29,6 +29,8 @@ ORDERS = (1, 2, 3, 4)
 DIMS = 1 << 15
 #: Bounds of the fit: whole texts of one language, landmarks in all.
 PER_LANGUAGE, LANDMARKS = 400, 256
+#: Texts of all languages together.
+TOTAL = 4000
 #: Kernel rows that are computed at a time.
 ROWS = 64
 RIDGE = 1e-2
@@ -138,12 +140,15 @@ def unlearned(name: str = "any") -> Model:
 
 def sample(docs: DataFrame, learn, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> list[tuple[np.ndarray, str]]:
     """The bounded training rows, slots and language: for each language up to
-    PER_LANGUAGE learnable texts, the one of least hash in each slot of hashes.
+    PER_LANGUAGE learnable texts, and no more than TOTAL in all (one a language at
+    least), the one of least hash in each slot of hashes.
     Hashes are chosen first and the chosen rows found by them; whole texts become
     slots (at most ORDERS x DIMS of them) where they stand."""
     rows = docs.filter(learn).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(id_), F.col(text)).alias("h")).filter(F.col("t").rlike("\\p{L}"))
-    chosen = rows.groupBy("l", F.pmod("h", F.lit(PER_LANGUAGE)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
+    languages = docs.filter(learn).agg(F.countDistinct(F.col(lang).cast("string"))).first()[0]
+    each = max(1, min(PER_LANGUAGE, TOTAL // max(1, languages)))
+    chosen = rows.groupBy("l", F.pmod("h", F.lit(each)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
     found = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").select("h", "l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,7 +161,10 @@ def cosine_hash(img: np.ndarray) -> str:
 def to_media(docs: DataFrame, text: str = "text", id_: str = "doc_id", row: int = ROW) -> DataFrame:
     """One row a document: id, ``n_bytes``, ``media`` (the PNG), ``payload`` (the
     bytes read back from it) and ``feature``. A null text is an empty one, whose
-    payload is one line of zeros. Equal texts give equal values."""
+    payload is one line of zeros. Equal texts give equal values, repeated rows each its
+    own; a null id stays null. Texts are taken whole, at any length: one longer than a
+    pass is a pass of its own. Other columns, whatever their names, are not read; an empty
+    table gives none."""
     _base.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,8 +174,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", id_: str = "doc_id
     library's decode) to the columns in keep (the id alone by default; of these the
     result's own columns replace any of their names).
 
-    Null and empty texts have no ids and decode to the empty text. Repeated rows
-    give repeated results; other columns are not read.
+    Null and empty texts have no ids and decode to the empty text. Texts are encoded
+    whole, at any length; a null id stays null. Repeated rows give repeated results, an
+    empty table none; other columns, whatever their names, are not read.
     """
     check_model(model)
     _base.small_batches(docs.sparkSession)

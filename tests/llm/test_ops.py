@@ -558,6 +558,46 @@ def test_suffixes_of_nothing(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 
 
+# ---------------------------------------------------------------- long texts
+
+
+def test_texts_longer_than_a_pass(spark):
+    """Texts of 1.4 MB, over one pass, by every operator that cuts texts into passes."""
+    import sentencepiece
+
+    random.seed(21)
+    words = ["the", "über", "clear", "mail@host.example", "10.0.0.1", "prose\n", "été", *(f"w{i}" for i in range(3000))]
+    long = " ".join(random.choices(words, k=260_000))
+    assert len(long.encode()) > 1.2 * _base.PASS_BYTES
+    near = long.replace("w77 ", "w78 ", 40)
+    passage = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, long), (2, near), (3, "short one"), (4, long[:700_000] + f" {passage} " + long[700_000:])]
+    docs = frame(spark, rows)
+
+    assert {r.doc_id: r.spans for r in pii.run(docs.filter("doc_id = 1")).collect()}[1].startswith(",".join(base_spans(long)))
+    sp = sentencepiece.SentencePieceProcessor(model_proto=catalog.tokenizer_model())
+    assert {(r.doc_id, tuple(r.ids)) for r in sentencepiece_codec.encode(docs, catalog.tokenizer_model()).collect()} == {(i, tuple(sp.encode(t))) for i, t in rows}
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.components(docs, links=True).collect())
+    assert got == [(i, n, c) for (i, _), (n, c) in zip(rows, H.jaccard_components(rows, 5, 80))] and got[1][2] == 1
+    items = [(7, passage), (8, "absent words only")]
+    out = decontaminate.find_hits(docs, spark.createDataFrame(items, "item_id long, text string")).withColumn("n", decontaminate.n_hit()).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n"], list(r["items"])) for r in out) == sorted(H.hits(rows, items))
+    assert {(r.doc_id, bytes(r.payload)) for r in media.to_media(docs).collect()} == {(i, media.payload(t.encode())) for i, t in rows}
+    assert {(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs.filter("doc_id <> 2")).collect()} == {(i, n, s, k) for i, _, n, s, k in H.repeats_removed([r for r in rows if r[0] != 2])}
+    model = quality.fit([("clear prose " * 30, 1), ("spam " * 30, 0)] * 4)
+    score = model.scorer()
+    assert all(abs(r.score - model.probability(score(dict(rows)[r.doc_id].encode()))) < 1e-12 for r in quality.score(docs, model).collect())
+    tongue = language_id.fit([(np.array(sorted(set(language_id.presence(np.frombuffer(t.encode(), np.uint8)).tolist()))), lang) for t, lang in (("the clear prose of an end", "en"), ("über die Prosa", "de"))])
+    assert {r.lang_pred for r in language_id.identify(docs, tongue).collect()} <= {"en", "de"}
+
+
+def test_bound_of_all_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} here", f"l{i % 40}") for i in range(800)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "TOTAL", 80)
+    got = language_id.sample(docs, F.lit(True))
+    assert {lang for _, lang in got} == {f"l{i}" for i in range(40)} and len(got) <= 80
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -341,9 +341,11 @@ def broken_links(spark, sf_dir):
     return integrity.missing(links, pages.select(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("href")), "href")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("""SELECT DISTINCT l_partkey AS asset FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0)""")
 def missing_assets(spark, sf_dir):
-    return integrity.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+    """Parts that line items name, against the parts on stock."""
+    named = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset")).distinct()
+    return integrity.missing(named, table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("asset")), "asset")
 
 
 @query()
@@ -582,13 +584,24 @@ def duplicate_chains(spark, sf_dir):
     return panel.resolve_chains(direct.join(orders.select(F.col("o_orderkey").alias("target")), "target", "left_semi").select("id", "target"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'vote is not valid' WHEN event_id % 4 = 1 THEN 'not an array' END AS error, CASE WHEN event_id % 4 >= 2 THEN 1 END AS n_votes FROM events""")
+@query("""WITH v AS (SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag <> 'R' AS keep, l_linenumber % 4 <> 0 AND (l_quantity >= 50 OR l_suppkey % 25 = 0) AS bad FROM lineitem),
+g AS (SELECT id, max(bad::INT) AS bad, count(*) FILTER (WHERE n % 4 <> 0) AS votes, count(*) FILTER (WHERE n % 4 <> 0 AND keep) AS keeps FROM v GROUP BY id)
+SELECT id, CASE WHEN id % 41 = 0 THEN 'not JSON' WHEN bad = 1 THEN 'vote is not valid' END AS error, CASE WHEN id % 41 <> 0 AND bad = 0 THEN votes END AS votes, CASE WHEN id % 41 <> 0 AND bad = 0 THEN keeps END AS keeps FROM g""")
 def parse_votes(spark, sf_dir):
-    vote = lambda keep: F.concat(F.lit('[{"id": '), F.col("event_id").cast("string"), F.lit(f', "keep": {keep}, "translation": "t", "enforce": "fixed", "duplicate_of": null}}, {{"id": -1, "keep": 3}}]'))
-    kind = F.col("event_id") % 4
-    reply = F.when(kind == 0, vote("1")).when(kind == 1, F.lit('{"id": 1}')).when(kind == 2, F.concat(F.lit("```json\n"), vote("true"), F.lit("\n```"))).otherwise(vote("false"))
-    rows = table(spark, sf_dir, "events").select("event_id", reply.alias("reply"), F.array("event_id").alias("ids"))
-    return panel.parse_votes(rows).select("event_id", "error", F.when(F.col("votes").isNotNull(), F.size("votes")).alias("n_votes"))
+    """An order is a judge's reply, its line items the votes; of every fourth candidate
+    nothing was asked."""
+    n, text = F.col("l_linenumber"), lambda c: c.cast("string")
+    keep = F.when(F.col("l_suppkey") % 25 == 0, "1").otherwise(text(F.col("l_returnflag") != "R"))
+    enforce = F.when(F.col("l_quantity") >= 50, "strict").when(n % 2 == 1, "fixed").otherwise("preferred")
+    same = F.when((F.col("l_linestatus") == "F") & (n > 1), text(n - 1)).otherwise("null")
+    vote = F.concat(F.lit('{"id": '), text(n), F.lit(', "keep": '), keep, F.lit(', "translation": " '), F.col("l_returnflag"), text(F.col("l_suppkey")), F.lit('", "enforce": "'), enforce, F.lit('", "duplicate_of": '), same, F.lit("}"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), vote.alias("v")))).alias("x"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["v"]), ", "), F.when(F.col("id") % 41 == 0, F.lit("")).otherwise("]"))
+    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    ids = F.transform(F.filter("x", lambda x: x["n"] % 4 != 0), lambda x: x["n"].cast("bigint"))
+    out = panel.parse_votes(rows.select("id", reply.alias("reply"), ids.alias("ids")))
+    count = lambda c: F.when(F.col("votes").isNotNull(), F.size(c)).cast("bigint")
+    return out.select("id", "error", count(F.col("votes")).alias("votes"), count(F.filter("votes", lambda v: v["keep"])).alias("keeps"))
 
 
 @query(PLAN_SQL + """SELECT p.book, p.ord, p.batch_id, '[' || length(coalesce(text, '')) || '] ' || reverse(coalesce(text, '')) AS translated FROM p JOIN documents ON source = p.book AND doc_id = p.ord""")

@@ -36,6 +36,33 @@ def framed(segments: Column, tagged: bool = True) -> Column:
     return F.when(F.size(segments) == 1, F.get(segments, F.lit(0))).otherwise(F.array_join(parts, "\n\n" if tagged else SEPARATOR))
 
 
+#: What a prompt says about batches of more than one segment.
+DELIMITED_ADDENDUM = (
+    "\n\nIMPORTANT: The input contains multiple text sections separated"
+    " by %%. Translate each section independently and preserve the %%"
+    " separators in your output. Output exactly the same number of"
+    " sections as the input."
+)
+TAGGED_ADDENDUM = (
+    "\n\n[STRICT OUTPUT CONTRACT]\n"
+    "Return exactly one XML block per section using this structure:\n"
+    '<segment id="1">...</segment>\n'
+    '<segment id="2">...</segment>\n'
+    "...\n"
+    "Rules:\n"
+    "1) Preserve every segment id from 1..N exactly once.\n"
+    "2) Do NOT merge, split, reorder, add, or drop segments.\n"
+    "3) Output only <segment> blocks (no prose, no markdown fences).\n"
+    "4) Keep empty sections as empty content inside their original tags.\n"
+    "If any id is missing or duplicated, the task is considered failed."
+)
+
+
+def with_contract(prompt: Column, n: Column, tagged: bool) -> Column:
+    """A prompt with what it must say of a batch of n segments; of one it says nothing."""
+    return F.when(n <= 1, prompt).otherwise(F.concat(prompt, F.lit(TAGGED_ADDENDUM if tagged else DELIMITED_ADDENDUM)))
+
+
 def _result(n: Column, whole: Column, error: Column, parts: Column) -> Column:
     """The rules that all protocols share: nothing was asked, or one segment alone."""
     none = F.array().cast("array<string>")

@@ -141,6 +141,13 @@ def prompt_render(spark, sf_dir):
     return docs.select("doc_id", F.md5(P.rendered(template, code, F.concat(F.lit("G"), F.col("doc_id").cast("string")), F.col("text"))).alias("prompt_md5"))
 
 
+@query(f"""SELECT conv_id, md5('say' || CASE WHEN count(*) > 1 THEN '{P.DELIMITED_ADDENDUM}' ELSE '' END) AS delimited, md5('say' || CASE WHEN count(*) > 1 THEN '{P.TAGGED_ADDENDUM}' ELSE '' END) AS tagged FROM conversations GROUP BY conv_id""")
+def batch_contracts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    say = lambda tagged: F.md5(P.with_contract(F.lit("say"), F.col("n"), tagged))
+    return rows.select("conv_id", say(False).alias("delimited"), say(True).alias("tagged"))
+
+
 # ---------------------------------------------------------------- panels
 # The judges call a candidate a duplicate of one before it where a customer's number says so.
 

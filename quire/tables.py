@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
-_kept: list[tuple[SparkSession, str]] = []
+#: Paths only: functions sent to tasks may bring the modules they name along.
+_kept: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,7 @@ def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet, so that a lost executor costs a re-read and not the lineage.
     The table stays until ``release`` or the program's end."""
     path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    _kept.append((df.sparkSession, path))
+    _kept.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,9 +58,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def release() -> None:
     """Removes all kept tables. Results that were built on them can't be read any more."""
     while _kept:
-        spark, path = _kept.pop()
+        path = _kept.pop()
         with contextlib.suppress(Exception):  # the session may be gone by now
-            delete(spark, path)
+            delete(SparkSession.active(), path)
 
 
 atexit.register(release)

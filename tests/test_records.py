@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from quire import tables
 from quire.operators import replies as S
 from quire.sources import files
 from quire.streaming import progress, resume
@@ -68,3 +69,13 @@ def test_runs_end_once(spark):
     certificates = spark.createDataFrame([("m", "1")], "model string, version string")
     probes = spark.createDataFrame([("m", "1", []), ("m", "2", []), ("m", "2", ["empty"]), ("n", "1", [])], "model string, version string, problems array<string>")
     assert [tuple(r) for r in S.certified_anew(certificates, probes, "model", "version").collect()] == [("n", "1")]
+
+
+def test_kept_tables_are_released(spark):
+    df = tables.keep(spark.range(5))
+    path = tables._kept[-1]
+    assert df.count() == 5 and tables.exists(spark, path)
+    before, tables._kept[:] = tables._kept[:-1], [path]
+    tables.release()
+    tables._kept[:] = before
+    assert not tables.exists(spark, path)

@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ from pyspark.sql import types
 from ..plans.blocks import beside_first
 from ..tables import keep
 
-#: Bytes of the pieces of a block, on average.
-BLOCK_BYTES = 1 << 22
+#: Bytes of the pieces of a block, on average: some 80,000 terms, 100 MB in a task.
+BLOCK_BYTES = 1 << 20
+#: Texts whose hits are sent at a time.
+SENT = 256
 
 
 class Fold:
@@ -69,45 +72,58 @@ class Finder:
     longest piece: slices of the text from the letter before the piece (a line end where
     the text begins) to as far as a pattern may look behind it."""
 
-    def __init__(self, rows: list[dict], joints: str | None, bounded: bool, endings: tuple[str, ...]):
+    def __init__(self, block: pa.StructArray, joints: str | None, bounded: bool, endings: tuple[str, ...]):
         import ahocorasick
 
         self.fold, self.bounded, self.endings = Fold(joints, case=bounded), bounded, endings
         self.tail = 1 + max(map(len, endings), default=0)
-        pieces: dict[str, int] = {}
-        # of each row, the longest piece leads to it and the others are then asked for
-        self.led: dict[int, list[tuple[int, str | None, frozenset[int]]]] = defaultdict(list)
-        for row in rows:
-            own = {self.fold(p)[0].strip(" ") if joints else p for p in row["pieces"]} - {""}
+        self.ids, self.said = block.field("id"), block.field("said")
+        number: dict[str, int] = {}
+        # of each row, the longest piece leads to it and the others, if any, are then asked for
+        self.led: list[list[int]] = []
+        self.others: dict[int, frozenset[int]] = {}
+        for row, pieces in enumerate(block.field("pieces")):
+            own = {self.fold(p)[0].strip(" ") if joints else p for p in pieces.as_py() or ()} - {""}
             if own:
-                ids = {p: pieces.setdefault(p, len(pieces)) for p in own}
-                self.led[ids[max(own, key=lambda p: (len(p), p))]].append((row["id"], row["said"], frozenset(ids.values())))
-        self.tree = ahocorasick.Automaton()
-        for p, i in pieces.items():
-            self.tree.add_word(p, (i, len(p)))
-        if pieces:
+                at = {p: number.setdefault(p, len(number)) for p in own}
+                self.led += [[] for _ in range(len(number) - len(self.led))]
+                self.led[at[max(own, key=lambda p: (len(p), p))]].append(row)
+                if len(own) > 1:
+                    self.others[row] = frozenset(at.values())
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS) if number else None
+        self.size = [0] * len(number)
+        for p, i in number.items():
+            self.tree.add_word(p, i)
+            self.size[i] = len(p)
+        if number:
             self.tree.make_automaton()
-        else:
-            self.tree = None
 
     def at_word(self, text: str, start: int, end: int) -> bool:
         if start and is_word(text[start - 1]):
             return False
         return any(text.startswith(x, end) and not (end + len(x) < len(text) and is_word(text[end + len(x)])) for x in self.endings)
 
-    def __call__(self, text: str | None) -> list[dict]:
+    def __call__(self, text: str | None) -> list[tuple[int, list[str]]]:
+        """Rows of the block, each with its slices."""
         if not text or not self.tree:
             return []
         folded, place = self.fold(text)
-        met: dict[int, set[str]] = defaultdict(set)
-        for last, (i, n) in self.tree.iter(folded):
-            start, end = last + 1 - n, last + 1
+        met: dict[int, set[str]] = {}
+        for last, i in self.tree.iter(folded):
+            start, end = last + 1 - self.size[i], last + 1
             if not self.bounded:
-                met[i]  # noqa: B018 (an entry without slices)
+                met.setdefault(i, set())
             elif self.at_word(folded, start, end):
                 a = place(start)
-                met[i].add((text[a - 1] if a else "\n") + text[a : place(end - 1) + 1 + self.tail])
-        return [{"id": id_, "said": said, "slices": sorted(met[i])} for i in met if i in self.led for id_, said, others in self.led[i] if others <= met.keys()]
+                met.setdefault(i, set()).add((text[a - 1] if a else "\n") + text[a : place(end - 1) + 1 + self.tail])
+        return [(row, sorted(slices)) for i, slices in met.items() for row in self.led[i] if self.others.get(row, frozenset()) <= met.keys()]
+
+    def hits(self, found: list[list[tuple[int, list[str]]]]) -> pa.ListArray:
+        """Rows found in each of several texts as structs of id, said and slices."""
+        rows = pa.array([row for text in found for row, _ in text], pa.int64())
+        slices = pa.array([s for text in found for _, s in text], pa.list_(pa.string()))
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([self.ids.take(rows), self.said.take(rows), slices], ["id", "said", "slices"]))
 
 
 def is_word(letter: str) -> bool:
@@ -117,7 +133,6 @@ def is_word(letter: str) -> bool:
 
 
 HITS = types.ArrayType(types.StructType().add("id", types.LongType()).add("said", types.StringType()).add("slices", types.ArrayType(types.StringType())))
-ARROW_HITS = pa.list_(pa.struct([("id", pa.int64()), ("said", pa.string()), ("slices", pa.list_(pa.string()))]))
 
 
 def find(rows: DataFrame, text: Column, keep_: list[str], sought: DataFrame, how: tuple, block_bytes: int | None = None) -> DataFrame:
@@ -136,12 +151,13 @@ def find(rows: DataFrame, text: Column, keep_: list[str], sought: DataFrame, how
         finder = None
         for batch in batches:
             if finder is None and batch.num_rows:
-                finder = Finder(batch.column("block_rows")[0].as_py() or [], *how)
-            hits = [finder(t) for t in batch.column("text_").to_pylist()]
-            met = [i for i, h in enumerate(hits) if h]
-            if met:
-                kept = batch.select(carried).take(pa.array(met))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([hits[i] for i in met], ARROW_HITS)], [*carried, "hits"])
+                finder = Finder(batch.column("block_rows")[0].values, *how)
+            found = [finder(t) for t in batch.column("text_").to_pylist()]
+            met = [i for i, h in enumerate(found) if h]
+            for lo in range(0, len(met), SENT):
+                some = met[lo : lo + SENT]
+                kept = batch.select(carried).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*kept.columns, finder.hits([found[i] for i in some])], [*carried, "hits"])
 
     def block(g: int) -> DataFrame:
         own = sought.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == g) if blocks > 1 else sought

@@ -7,7 +7,7 @@ duplicate_of)``, where an absent row is an abstention; ``judge(judge, judge_ord)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -228,3 +228,36 @@ def parse_votes(replies: DataFrame, reply: str = "reply", ids: str = "ids") -> D
     )
     good = F.transform(F.filter("votes_", asked), lambda x: F.struct(x["id"].alias("id"), x["keep"].alias("keep"), x["translation"].alias("translation"), x["enforce"].alias("enforce"), x["duplicate_of"].alias("duplicate_of")))
     return rows.withColumn("error", error).withColumn("votes", F.when(F.col("error").isNull(), good)).drop("row_", "v_", "items_", "votes_")
+
+
+def _text(c: Column) -> Column:
+    """A JSON string, or null, as it stands in an array."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _listed(items: Column, indent: int) -> Column:
+    """Items, written already, as a JSON array over several lines."""
+    whole = F.concat(F.lit("[\n"), F.array_join(items, ",\n"), F.lit("\n" + " " * indent + "]"))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, whole).otherwise("[]")
+
+
+def judge_prompts(candidates: DataFrame, proposals: DataFrame, sentences: DataFrame, instructions: Column, toc: Column, index: Column) -> DataFrame:
+    """``chunk, prompt``: what a judge is asked of each chunk of candidates.
+
+    candidates: chunk, id, term. proposals: id, ord, letter, translation, priority, reason;
+    letters stand for lists, so no proposal names its vendor. sentences: id, rank,
+    sentence. The instructions stand first ({letters} and {count} are filled in), then the
+    candidates in order of id as JSON, the table of contents and the index. A chunk is
+    bounded by what fits a call, so its candidates meet in one row."""
+    said = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c).otherwise("(none)")
+    fields = [F.concat(F.lit(f'    "{name}": '), _text(F.col(c))) for name, c in (("list", "letter"), ("translation", "translation"), ("priority", "priority"), ("reason", "reason"))]
+    one = F.concat(F.lit("   {\n"), F.concat_ws(",\n", *fields), F.lit("\n   }"))
+    offers = proposals.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "letter", one.alias("json")))).alias("offers"))
+    lines = sentences.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("   "), _text(F.col("sentence"))).alias("json")))).alias("lines"))
+    rows = candidates.join(offers, "id", "left").join(lines, "id", "left")
+    entry = F.concat(
+        F.lit(' {\n  "id": '), F.col("id").cast("string"), F.lit(',\n  "term": '), _text(F.col("term")), F.lit(',\n  "proposals": '), _listed(F.transform("offers", lambda x: x["json"]), 2), F.lit(',\n  "sentences": '), _listed(F.transform("lines", lambda x: x["json"]), 2), F.lit("\n }")
+    )
+    chunks = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("json")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("offers", lambda x: x["letter"]))))).alias("letters"))
+    head = F.replace(F.replace(instructions, F.lit("{letters}"), F.array_join("letters", ", ")), F.lit("{count}"), F.size("all").cast("string"))
+    return chunks.select("chunk", F.concat(head, F.lit("\nCANDIDATES:\n"), _listed(F.transform("all", lambda x: x["json"]), 0), F.lit("\n\nTABLE OF CONTENTS:\n"), said(toc), F.lit("\n\nINDEX:\n"), said(index), F.lit("\n")).alias("prompt"))

@@ -148,6 +148,22 @@ def batch_contracts(spark, sf_dir):
     return rows.select("conv_id", say(False).alias("delimited"), say(True).alias("tagged"))
 
 
+@query(r"""WITH p AS (SELECT p_brand AS chunk, p_partkey AS id, p_name AS term FROM part),
+o AS (SELECT id, k AS ord, CASE k WHEN 0 THEN 'A' ELSE 'B' END AS letter, term || ' "' || k || '"' AS translation, CASE WHEN k = 1 THEN 'high' END AS priority FROM p, (VALUES (0), (1)) t(k) WHERE (id + k) % 3 <> 0),
+oj AS (SELECT id, string_agg('   {' || chr(10) || '    "list": ' || to_json(letter) || ',' || chr(10) || '    "translation": ' || to_json(translation) || ',' || chr(10) || '    "priority": ' || coalesce(CAST(to_json(priority) AS VARCHAR), 'null') || ',' || chr(10) || '    "reason": ' || to_json('é\' || id) || chr(10) || '   }', ',' || chr(10) ORDER BY ord) AS x FROM o GROUP BY id),
+s AS (SELECT l_partkey AS id, string_agg('   ' || to_json('sold ' || l_quantity::INT), ',' || chr(10) ORDER BY l_orderkey, l_linenumber, 'sold ' || l_quantity::INT) AS x FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY l_partkey),
+e AS (SELECT chunk, p.id, ' {' || chr(10) || '  "id": ' || p.id || ',' || chr(10) || '  "term": ' || to_json(term) || ',' || chr(10) || '  "proposals": ' || coalesce('[' || chr(10) || oj.x || chr(10) || '  ]', '[]') || ',' || chr(10) || '  "sentences": ' || coalesce('[' || chr(10) || s.x || chr(10) || '  ]', '[]') || chr(10) || ' }' AS j FROM p LEFT JOIN oj ON oj.id = p.id LEFT JOIN s ON s.id = p.id)
+SELECT chunk, md5('Judge ' || count(*) || ' of ' || (SELECT string_agg(DISTINCT letter, ', ' ORDER BY letter) FROM o JOIN p ON p.id = o.id WHERE p.chunk = e.chunk) || '.' || chr(10) || 'CANDIDATES:' || chr(10) || '[' || chr(10) || string_agg(j, ',' || chr(10) ORDER BY id) || chr(10) || ']' || chr(10) || chr(10) || 'TABLE OF CONTENTS:' || chr(10) || 'One' || chr(10) || chr(10) || 'INDEX:' || chr(10) || '(none)' || chr(10)) AS prompt_md5 FROM e GROUP BY chunk""")
+def judge_prompts(spark, sf_dir):
+    """Brands are chunks and their parts the candidates; line items stand for sentences."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("chunk"), F.col("p_partkey").alias("id"), F.col("p_name").alias("term"))
+    offers = rows.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).filter((F.col("id") + F.col("ord")) % 3 != 0)
+    offers = offers.select("id", "ord", F.when(F.col("ord") == 0, "A").otherwise("B").alias("letter"), F.concat("term", F.lit(' "'), F.col("ord").cast("string"), F.lit('"')).alias("translation"), F.when(F.col("ord") == 1, "high").alias("priority"), F.concat(F.lit("é\\"), F.col("id").cast("string")).alias("reason"))
+    sold = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_partkey").alias("id"), F.struct("l_orderkey", "l_linenumber").alias("rank"), F.concat(F.lit("sold "), F.col("l_quantity").cast("int").cast("string")).alias("sentence"))
+    out = panel.judge_prompts(rows, offers, sold, F.lit("Judge {count} of {letters}."), F.lit("One"), F.lit(""))
+    return out.select("chunk", F.md5("prompt").alias("prompt_md5"))
+
+
 # ---------------------------------------------------------------- panels
 # The judges call a candidate a duplicate of one before it where a customer's number says so.
 

@@ -409,3 +409,22 @@ def test_negative_constraints(spark):
 def test_slashes_flag_choices(spark):
     df = spark.createDataFrame([("甲/乙",), ("甲／乙",), ("甲乙",)], "t string")
     assert [r[0] for r in df.select(T.offers_choice(F.col("t"))).collect()] == [True, True, False]
+
+
+def test_judge_prompts(spark):
+    """The candidates are JSON with an indent of one, as a plain writer gives it."""
+    candidates = spark.createDataFrame([(0, 2, 'a "b"'), (0, 1, "é\\n"), (1, 3, "x")], "chunk int, id long, term string")
+    proposals = spark.createDataFrame([(1, 1, "B", "t2", None, "r"), (1, 0, "A", "t\n1", "high", "")], "id long, ord int, letter string, translation string, priority string, reason string")
+    sentences = spark.createDataFrame([(2, 2, "two"), (2, 1, "one\t")], "id long, rank int, sentence string")
+    got = {r.chunk: r.prompt for r in panel.judge_prompts(candidates, proposals, sentences, F.lit("{count} by {letters}"), F.lit(None).cast("string"), F.lit("i")).collect()}
+    payload = [
+        {"id": 1, "term": "é\\n", "proposals": [{"list": "A", "translation": "t\n1", "priority": "high", "reason": ""}, {"list": "B", "translation": "t2", "priority": None, "reason": "r"}], "sentences": []},
+        {"id": 2, "term": 'a "b"', "proposals": [], "sentences": ["one\t", "two"]},
+    ]
+    assert got[0] == f"2 by A, B\nCANDIDATES:\n{json.dumps(payload, ensure_ascii=False, indent=1)}\n\nTABLE OF CONTENTS:\n(none)\n\nINDEX:\ni\n"
+    assert got[1].startswith("1 by \nCANDIDATES:\n")
+
+
+def test_contracts_of_batches(spark):
+    row = spark.range(1).select(protocol.with_contract(F.lit("p"), F.lit(1), True).alias("one"), protocol.with_contract(F.lit("p"), F.lit(2), True).alias("tagged"), protocol.with_contract(F.lit("p"), F.lit(3), False).alias("plain")).first()
+    assert row.one == "p" and row.tagged.startswith("p\n\n[STRICT OUTPUT CONTRACT]\n") and row.plain.endswith("sections as the input.")

@@ -21,8 +21,9 @@ HEADING_CLASSES = ("head", "title", "subhead")
 BOLD_TAGS, BOLD_CLASSES = {"b", "strong"}, ("bold",)
 BIBLIOGRAPHY = {"bibliography", "references", "works cited", "参考文献", "参考书目"}
 MAX_HEADING_CHARS = 120
+INLINE = {"a", "abbr", "b", "cite", "code", "em", "font", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Tags that a new block closes when pages leave them open.
+#: Tags that a new block closes when pages leave them open, with what is open inside them.
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 
 
@@ -76,8 +77,11 @@ class _Pages(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSED_BY.get(self.open[-1].tag, ()):
-            self.open.pop()
+        i = len(self.open) - 1
+        while self.open[i].tag in INLINE:
+            i -= 1
+        if tag in CLOSED_BY.get(self.open[i].tag, ()):
+            del self.open[i:]
         node = Node(tag, {local(k.rpartition(":")[2]): v or "" for k, v in attrs})
         self.open[-1].parts.append(node)
         if tag not in VOID:

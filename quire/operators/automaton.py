@@ -11,6 +11,7 @@ the few letters around each place, so a long text is not searched again for each
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -42,18 +43,29 @@ class Fold:
     def __call__(self, text: str) -> tuple[str, Callable[[int], int]]:
         """The folded text, and where each of its letters stands in the text."""
         if self.case:
-            text = text.lower() if text.isascii() else "".join(map(one_case, text))
+            text = text.lower() if text.isascii() or not odd_letters().search(text) else "".join(map(one_case, text))
         if not self.joints:
-            return text, lambda i: i
-        out, ends, skipped, at = [], [0], [0], 0
+            return text, same_place
+        whole = self.joints.sub(" ", text)
+        if len(whole) == len(text):  # no run is longer than a letter
+            return whole, same_place
+        ends, skipped = [0], [0]
         for run in self.joints.finditer(text):
-            out += [text[at : run.start()], " "]
-            at = run.end()
-            if at - run.start() > 1:
+            if run.end() - run.start() > 1:
                 ends.append(run.start() + 1 - skipped[-1])  # where letters after the run stand when folded
-                skipped.append(skipped[-1] + at - run.start() - 1)
-        out.append(text[at:])
-        return "".join(out), lambda i: i + skipped[bisect_right(ends, i) - 1]
+                skipped.append(skipped[-1] + run.end() - run.start() - 1)
+        return whole, lambda i: i + skipped[bisect_right(ends, i) - 1]
+
+
+def same_place(i: int) -> int:
+    return i
+
+
+@lru_cache
+def odd_letters() -> re.Pattern:
+    """Letters of which lower case is not the one form: all that have cases are below
+    U+20000, and a sigma's lower case depends on what follows it."""
+    return re.compile("[" + re.escape("".join(c for c in map(chr, range(128, 0x20000)) if c == "Σ" or c.lower() != one_case(c))) + "]")
 
 
 @lru_cache(1 << 16)
@@ -132,6 +144,7 @@ def is_word(letter: str) -> bool:
     return letter.isalpha() or letter.isdecimal() or letter == "_"
 
 
+ROWS = pa.struct([("id", pa.int64()), ("pieces", pa.list_(pa.string())), ("said", pa.string())])
 HITS = types.ArrayType(types.StructType().add("id", types.LongType()).add("said", types.StringType()).add("slices", types.ArrayType(types.StringType())))
 
 
@@ -151,7 +164,7 @@ def find(rows: DataFrame, text: Column, keep_: list[str], sought: DataFrame, how
         finder = None
         for batch in batches:
             if finder is None and batch.num_rows:
-                finder = Finder(batch.column("block_rows")[0].values, *how)
+                finder = Finder(pa.array(json.loads(batch.column("block_rows")[0].as_py()), ROWS), *how)
             found = [finder(t) for t in batch.column("text_").to_pylist()]
             met = [i for i, h in enumerate(found) if h]
             for lo in range(0, len(met), SENT):
@@ -161,7 +174,8 @@ def find(rows: DataFrame, text: Column, keep_: list[str], sought: DataFrame, how
 
     def block(g: int) -> DataFrame:
         own = sought.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == g) if blocks > 1 else sought
-        own = own.agg(F.collect_list(F.struct("id", "pieces", "said")).alias("block_rows"))  # bounded: a block
+        # a block of bounded size, as one string: a nested column would cost each row that lacks it
+        own = own.agg(F.to_json(F.collect_list(F.struct("id", "pieces", "said"))).alias("block_rows"))
         return beside_first(lean, own).mapInArrow(run, schema)
 
     found = reduce(DataFrame.unionByName, map(block, range(blocks)))

@@ -27,7 +27,7 @@ from pyspark.sql import types
 from ..plans.blocks import beside_first
 from ..tables import keep
 
-#: Bytes of the pieces of a block, on average: some 80,000 terms, 100 MB in a task.
+#: Bytes of the pieces of a block, on average: some 80,000 terms.
 BLOCK_BYTES = 1 << 20
 #: Texts whose hits are sent at a time.
 SENT = 256

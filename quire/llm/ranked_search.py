@@ -34,8 +34,9 @@ K = 10
 SHARD_BYTES = 1 << 22
 #: Query terms of a block, on average, and bytes of their text.
 BLOCK_TERMS, BLOCK_BYTES = 1 << 16, 1 << 20
-#: Bytes of a row group of the index: a few shards.
-GROUP_BYTES = 1 << 24
+#: Shards of a row group of the index. Writer and reader hold a row group, and Parquet looks
+#: at a group's bytes only every hundred rows, so rows bound it.
+GROUP_SHARDS = 4
 #: Terms: anything but ASCII other than letters and digits.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
@@ -99,7 +100,7 @@ def one_list(values: pa.Array) -> pa.Array:
 def index(docs: DataFrame, scratch: _base.Scratch, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The shards of all documents that have a term."""
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text_"))
-    return scratch.keep(rows.mapInArrow(shards, SHARD), "shards", **{"parquet.block.size": GROUP_BYTES})
+    return scratch.keep(rows.mapInArrow(shards, SHARD), "shards", **{"parquet.block.row.count.limit": GROUP_SHARDS})
 
 
 def weights(shards_: DataFrame, queries: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +253,17 @@ def test_terms_across_shards(spark):
     assert got == dict(want)
 
 
+def test_row_groups_of_the_index_hold_few_shards(spark, monkeypatch):
+    """A row group is held whole by its writer and its reader."""
+    monkeypatch.setattr(ranked_search, "SHARD_BYTES", 100)
+    scratch = _base.Scratch(spark)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(30)).alias("text")).coalesce(1)
+    assert ranked_search.index(docs, scratch).count() == 60
+    files = [pq.ParquetFile(f) for f in glob.glob(scratch.root.removeprefix("file://") + "/shards/*.parquet")]
+    sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) == 60 and max(sizes) <= 4
+
+
 def test_slices_of_arrow_arrays():
     raw = pa.array(["skipped", "One two", None, "", "two"])[1:]
     terms, size = ranked_search.terms_of(*_base.utf8(raw), ranked_search.term_fold())

@@ -463,13 +463,8 @@ d AS (WITH {PAIR_WORDS.format(table="documents")} SELECT DISTINCT doc_id, a || '
 SELECT term, count(*) AS documents FROM t JOIN d USING (term) GROUP BY term""")
 def shared_phrases(spark, sf_dir):
     """All pairs of words of the conversations, sought in all documents at once."""
-    words = F.split(F.trim("text"), r"\s+")
-    pair = lambda w, v: F.concat_ws(" ", F.regexp_extract(w, r"[\p{L}\p{N}_]+$", 0), F.regexp_extract(v, r"^[\p{L}\p{N}_]+", 0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), pair)
-    said = table(spark, sf_dir, "conversations").filter("text is not null").select(words.alias("w")).filter(F.size("w") > 1)
-    said = said.select(F.explode(pairs).alias("p")).select(F.lower("p").alias("term")).filter(F.col("term").rlike(r"^[^ ]+ [^ ]+$")).distinct()
-    found = terms.match_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", said, keep_=["doc_id"])
-    return found.groupBy("term").agg(F.count("*").alias("documents"))
+    said = table(spark, sf_dir, "conversations").select(F.explode(terms.word_pairs(F.col("text"))).alias("term")).distinct()
+    return terms.count_pairs(table(spark, sf_dir, "documents"), "text", said).withColumnRenamed("texts", "documents")
 
 
 SENTENCE_TERMS = ["the", "Leaux", "heion", "est une", "thing"]

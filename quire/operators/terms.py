@@ -109,6 +109,31 @@ def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str = "term
     return found.join(keyed.withColumnRenamed("id", "hit"), "hit").drop("hit")
 
 
+#: A word before white space and another word, and that other word. Both patterns match in
+#: the same places, as each match ends where the other word begins.
+LETTERS = r"[\p{L}\p{N}_]"
+FORMER, LATTER = rf"({LETTERS}++)\s+(?={LETTERS})", rf"{LETTERS}++\s+(?=({LETTERS}++))"
+
+
+def word_pairs(text: Column) -> Column:
+    """The distinct pairs of words that only white space parts, in lower case, as
+    ``a b``; null for a null text."""
+    low = F.lower(text)
+    both = F.zip_with(F.regexp_extract_all(low, F.lit(FORMER), F.lit(1)), F.regexp_extract_all(low, F.lit(LATTER), F.lit(1)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(both)
+
+
+def count_pairs(texts: DataFrame, text: str, pairs: DataFrame, term: str = "term") -> DataFrame:
+    """``term, texts``: how many texts hold each of pairs (distinct, as word_pairs gives
+    them); those of no text are left out.
+
+    For lists that grow with the corpus, of which an automaton would read all texts once a
+    block: a text is read once, its pairs are counted before anything moves, and counts
+    meet the list by a shuffle."""
+    held = texts.select(F.explode(word_pairs(F.col(text))).alias(term)).groupBy(term).agg(F.count("*").alias("texts"))
+    return held.join(pairs, term, "left_semi")
+
+
 def select_sentences(docs: DataFrame, order: str, text: str, terms: DataFrame, term: str = "term", most: int = 3, block_bytes: int | None = None) -> DataFrame:
     """Up to most sentences for each term: ``term, rank, sentence`` (clipped around
     the match). Whole phrase first; if it is nowhere, sentences that hold all the

@@ -428,3 +428,13 @@ def test_judge_prompts(spark):
 def test_contracts_of_batches(spark):
     row = spark.range(1).select(protocol.with_contract(F.lit("p"), F.lit(1), True).alias("one"), protocol.with_contract(F.lit("p"), F.lit(2), True).alias("tagged"), protocol.with_contract(F.lit("p"), F.lit(3), False).alias("plain")).first()
     assert row.one == "p" and row.tagged.startswith("p\n\n[STRICT OUTPUT CONTRACT]\n") and row.plain.endswith("sections as the input.")
+
+
+def test_pairs_counted_as_terms_are_found(spark):
+    """Counted pairs against the automaton, in one pass of the texts whatever the list."""
+    texts = spark.createDataFrame([(1, "One  two\tthree, four"), (2, "one two ONE TWO"), (3, "one two one-two one, two"), (4, "Été one"), (5, None), (6, ""), (7, "xone two two")], "id int, text string")
+    pairs = spark.createDataFrame([("one two",), ("two three",), ("three four",), ("two one",), ("été one",), ("never met",), ("two two",)], "term string")
+    got = {tuple(r) for r in terms.count_pairs(texts, "text", pairs).collect()}
+    found = terms.match_terms(texts, "text", pairs, keep_=["id"]).groupBy("term").agg(F.countDistinct("id")).collect()
+    assert got == {tuple(r) for r in found} == {("one two", 2), ("two three", 1), ("two one", 2), ("été one", 1), ("two two", 1)}
+    assert {r.term for r in texts.select(F.explode(terms.word_pairs(F.col("text"))).alias("term")).collect()} == {"one two", "two three", "two one", "été one", "xone two", "two two"}

@@ -503,7 +503,7 @@ def panel_tables(spark, sf_dir):
     vendors = c.select("id", v).filter("(id div 4) % (v + 2) = 0 or v = id % 3").select("id", name.alias("vendor"), F.col("v").alias("vendor_ord"))
     votes = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).filter("(o_custkey + v) % 5 <> 0")
     votes = votes.select(
-        "id", name.alias("judge"), F.col("v").alias("judge_ord"), ((F.col("p") + F.col("v")) % 2 == 0).alias("keep"), F.concat(F.lit("t"), ((F.col("p") * (F.col("v") + 1)) % 3).cast("string")).alias("translation"), F.when(F.col("p") < 4, "fixed").otherwise("preferred").alias("enforce")
+        "id", name.alias("judge"), F.col("v").alias("judge_ord"), ((F.col("p") + F.col("v")) % 2 == 0).alias("keep"), F.concat(F.lit("t"), ((F.col("p") * (F.col("v") + 1)) % 3).cast("string")).alias("translation"), F.when(F.col("p") < 4, "fixed").otherwise("preferred").alias("enforce"), "o_custkey"
     )
     judges = spark.createDataFrame([("v0", 0), ("v1", 1)], "judge string, judge_ord int")
     return c.select("id"), vendors, votes, judges
@@ -542,10 +542,9 @@ win AS (SELECT ch.id, ch.translation, coalesce(cnt.n, 0) AS sources,
 
 def winners(spark, sf_dir) -> DataFrame:
     candidates, vendors, votes, judges = panel_tables(spark, sf_dir)
-    kept = panel.tallies(candidates, vendors, votes).filter("kept")
     proposed = vendors.withColumns({"prop_ord": F.lit(0), "translation": F.concat(F.lit("t"), (F.col("vendor_ord") % 2).cast("string"))})
     ties = panel.tie_break_order(panel.self_preference(candidates, vendors, votes, judges))
-    return panel.choose(kept, proposed, votes, judges, ties)
+    return panel.elect(candidates, proposed, votes, judges, ties)
 
 
 @query(WIN_SQL + "SELECT id, translation, sources FROM win")

@@ -206,9 +206,8 @@ capped AS (SELECT * FROM dec WHERE kept ORDER BY tier <> 'fixed', n_vendors DESC
 
 def decisions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     candidates, vendors, votes, judges = panel_tables(spark, sf_dir)
-    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
     target = F.expr("id - 1 - o_custkey % 3")
-    votes = votes.join(order, "id").withColumn("duplicate_of", F.when(F.expr("o_custkey % 4 = 1"), target)).drop("o_custkey")
+    votes = votes.withColumn("duplicate_of", F.when(F.expr("o_custkey % 4 = 1"), target)).drop("o_custkey")
     named = candidates.select("id", F.concat(F.lit("term "), F.col("id").cast("string")).alias("term"))
     both = F.col("id") + F.col("vendor_ord")
     names = F.array(*[F.lit(x) for x in T.PRIORITIES])
@@ -227,6 +226,7 @@ def panel_decisions(spark, sf_dir):
 (SELECT count(*) FROM capped WHERE tier = 'fixed') AS fixed, (SELECT count(*) FROM capped WHERE tier = 'preferred') AS preferred, (SELECT count(*) FROM dec WHERE kept) - (SELECT count(*) FROM capped) AS cut_by_limit""")
 def panel_summary(spark, sf_dir):
     out, named = decisions(spark, sf_dir)
+    out = keep(out.select("id", "term", "n_vendors", "kept", "tier", "priority"))  # decided once, read twice
     return panel.summary(out, terms.glossary_cap(out.filter("kept"), 500), named.count())
 
 

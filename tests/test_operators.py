@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire import catalog
+from quire import catalog, reply_catalog  # noqa: F401 (the second adds its queries to the first)
 from quire.functions import text as T
 from quire.functions import protocol
 from quire.operators import glossary, integrity, panel, probe, runs, state, terms
@@ -466,3 +466,21 @@ def test_votes_are_shuffled_by_id_twice_at_most(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 1 <= plan.count("Exchange hashpartitioning(id#") <= 2
+
+
+def test_a_panel_is_decided_once(spark):
+    optimized = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in optimized("panel_summary")  # what was decided is read back
+    assert optimized("panel_decisions").count("Join") <= 10
+
+
+@pytest.mark.parametrize("name", ["tag_lines", "stub_translate_batches"])
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 1 << 28)
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) <= 1 << 23
+    finally:
+        spark.conf.set(key, before)

@@ -18,7 +18,7 @@ from .functions import index_pages as I
 from .functions import text as T
 from .operators import glossary as glossaries
 from .operators import integrity, panel, probe, state, terms
-from .plans import batching
+from .plans import batching, blocks
 from .sources import epub, trees
 from .streaming import resume
 
@@ -268,6 +268,7 @@ line AS (SELECT doc_id, i, replace(replace(replace(x, '&lt;', '<'), '&gt;', '>')
 
 
 def document_pages(spark, sf_dir) -> DataFrame:
+    blocks.small_batches(spark)
     clean = F.regexp_replace("text", r"[^\x20-\x7E\x{A0}-\x{D7FF}\n]", "")
     escaped = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     boxed = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("<p>"), x, F.lit("</p>"))).otherwise(F.concat(F.lit("<ul><li><p>"), x, F.lit("</p><b>!</b></li></ul>")))

@@ -7,7 +7,7 @@ the plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a partition are numbered in the low bits of a monotonically increasing id.
@@ -22,3 +22,15 @@ def beside_first(rows: DataFrame, block: DataFrame) -> DataFrame:
     first = F.when(F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)) == 0, F.lit(True))
     right = block.withColumn("block_", F.lit(True))
     return rows.withColumn("first_", first).join(F.broadcast(right), F.col("first_") == F.col("block_"), "left").drop("first_", "block_")
+
+
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is one batch.
+BATCH_BYTES = 1 << 23
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are counted in rows by default, whatever their texts take; for this
+    session they are bounded in bytes too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)

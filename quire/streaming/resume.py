@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import state as S
+from ..plans.blocks import small_batches
 
 MAX_DEPTH = 8
 
@@ -66,6 +67,7 @@ def translate(planned: DataFrame, provider: Callable[[list[str]], list[str]] = s
         if held is not None and len(held):
             yield done(held)
 
+    small_batches(planned.sparkSession)
     rows = planned.select("book", "batch_id", "ord", "text").repartition("book", "batch_id").sortWithinPartitions("book", "batch_id", "ord")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, translated string")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 #: Identity fields that always refuse, the one that is settled last, and
 #: what a record may name.
 HARD = ("input_signature", "input_format", "segmenter_signature")
@@ -32,7 +34,7 @@ def differences(saved: DataFrame, expected: DataFrame, fields: list[str], hard:
     """``run, fields`` (those that differ, in order) ``, hard`` (whether a hard one does) of
     each run that has saved state. A field of null equals null only."""
     a, b = saved.alias("a"), expected.alias("b")
-    both = a.join(b, F.col("a.run") == F.col("b.run"))
+    both = a.join(spread(b), F.col("a.run") == F.col("b.run"))
     differ = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields]))
     own = F.array(*[F.lit(c) for c in fields if c in hard]).cast("array<string>")
     return both.select("b.run", differ.alias("fields")).withColumn("hard", F.size(F.array_intersect("fields", own)) > 0)
@@ -45,9 +47,9 @@ def content_problems(saved: DataFrame, records: DataFrame, segments: DataFrame,
     known = segments.select("run", "segment_id").distinct().withColumn("there_", F.lit(True))
     origin = F.col("profile").isin(*PROFILES) & F.col("provider").isin(*providers) & F.col("backend").isin(*backends)
     defect = F.when(F.col("there_").isNull(), "unknown segment").when(~F.coalesce(F.col("translated").rlike(r"(?U)\S"), F.lit(False)), "empty translation").when(~F.coalesce(origin, F.lit(False)), "invalid origin")
-    told = records.join(known, ["run", "segment_id"], "left").withColumn("defect_", defect)
+    told = records.join(spread(known), ["run", "segment_id"], "left").withColumn("defect_", defect)
     first = told.groupBy("run").agg(F.min_by("defect_", F.when(F.col("defect_").isNotNull(), F.col("ord"))).alias("first_"), F.count("*").alias("n_"))
-    out = saved.select("run", "claimed").join(first, "run", "left")
+    out = saved.select("run", "claimed").join(spread(first), "run", "left")
     wrong = F.when(~F.col("claimed").eqNullSafe(F.coalesce("n_", F.lit(0))), "wrong number of records")
     return out.select("run", F.coalesce("first_", wrong).alias("problem")).filter("problem is not null")
 
@@ -56,7 +58,7 @@ def mixed_models(expected: DataFrame, records: DataFrame, enabled: Column, trial
     """``run, others``: runs that would go on with another model than their records have,
     where one of them is on trial. others: the enabled models of the records."""
     used = records.groupBy("run").agg(F.collect_set("model").alias("used"))
-    rows = expected.select("run", "model").join(used, "run")
+    rows = expected.select("run", "model").join(spread(used), "run")
     rows = rows.withColumn("others", F.array_sort(F.array_intersect(F.array_except("used", F.array("model")), enabled)))
     risky = F.array_contains(trial, F.col("model")) | (F.size(F.array_intersect("others", trial)) > 0)
     return rows.filter((F.size("others") > 0) & risky).select("run", "others")
@@ -70,10 +72,10 @@ def verify(saved: DataFrame, expected: DataFrame, records: DataFrame, segments:
     """``run, may_reuse, refused`` of each run of expected (run, the identity fields, model,
     force). A run without saved state has nothing to reuse and is not refused."""
     all_ = differences(saved, expected, fields)
-    soon = differences(saved, expected, [f for f in fields if f not in deferred]).select("run", F.col("fields").alias("soft"))
+    all_ = all_.withColumn("soft", F.array_except("fields", F.array(*map(F.lit, deferred)).cast("array<string>")))
     rows = expected.select("run", F.coalesce("force", F.lit(False)).alias("force"))
-    rows = rows.join(all_, "run", "left").join(soon, "run", "left")
-    rows = rows.join(content_problems(saved, records, segments, providers, backends), "run", "left").join(mixed_models(expected, records, enabled, trial), "run", "left")
+    rows = rows.join(spread(all_), "run", "left").join(spread(content_problems(saved, records, segments, providers, backends)), "run", "left")
+    rows = rows.join(spread(mixed_models(expected, records, enabled, trial)), "run", "left")
     refused = (
         F.when(F.col("hard"), told("mismatch", F.col("fields")))
         .when(F.col("problem").isNotNull(), F.col("problem"))
@@ -86,12 +88,12 @@ def verify(saved: DataFrame, expected: DataFrame, records: DataFrame, segments:
 def restore(verified: DataFrame, saved: DataFrame, settled: DataFrame, records: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """``run, refused`` of each verified run under its settled identity (as expected,
     deferred fields filled in), and the records of those that pass."""
-    now = differences(saved, settled, fields).join(settled.select("run", F.coalesce("force", F.lit(False)).alias("force")), "run")
-    rows = verified.join(now.drop("hard"), "run", "left")
+    now = differences(saved, settled, fields).join(spread(settled.select("run", F.coalesce("force", F.lit(False)).alias("force"))), "run")
+    rows = verified.join(spread(now.drop("hard")), "run", "left")
     late = F.when(~F.col("force") & (F.size("fields") > 0), told("mismatch", F.col("fields")))
     out = rows.select("run", F.coalesce("refused", late).alias("refused"))
     passed = rows.filter(F.coalesce("refused", late).isNull() & F.col("may_reuse")).select("run")
-    return out, records.join(passed, "run", "left_semi")
+    return out, records.join(spread(passed), "run", "left_semi")
 
 
 def upgrade(old: DataFrame, translations: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +109,7 @@ def upgrade(old: DataFrame, translations: DataFrame, current: DataFrame) -> tupl
     A run that is refused has no records."""
     n = translations.groupBy("run").agg(F.count("*").alias("n_"), F.count("translated").alias("told_"))
     now = current.select("run", F.col("input_signature").alias("signature_"), "legacy_signature", F.col("profile").alias("profile_"), F.coalesce("force", F.lit(False)).alias("force_"))
-    rows = old.join(now, "run").join(n, "run", "left").na.fill(0, ["n_", "told_"])
+    rows = old.join(spread(now), "run").join(spread(n), "run", "left").na.fill(0, ["n_", "told_"])
     look = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
     known = look(OLD_PROFILES, F.col("model"))
     texts = ["input_signature", "input_format", "segmenter_signature", "output_lang", "system_prompt_hash", "model", "provider"]
@@ -131,5 +133,5 @@ def upgrade(old: DataFrame, translations: DataFrame, current: DataFrame) -> tupl
     whole = rows.withColumn("refused", refused)
     identities = whole.select(*kept, *[F.when(F.col("refused").isNull(), v).alias(k) for k, v in fresh.items()], "refused")
     origin = whole.filter("refused is null").select("run", "model", "provider", fresh["profile"].alias("profile"), F.coalesce(look(OLD_BACKENDS, F.col("provider")), F.lit(UNKNOWN)).alias("backend"))
-    records = translations.join(origin, "run").withColumn("source_verification", F.lit("legacy_metadata_only"))
+    records = translations.join(spread(origin), "run").withColumn("source_verification", F.lit("legacy_metadata_only"))
     return identities, records

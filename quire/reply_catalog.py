@@ -12,7 +12,7 @@ from .catalog import CANDIDATES_SQL, panel_tables, query, table
 from .functions import protocol as P
 from .functions import text as T
 from .operators import glossary, links, panel, replies, resumption, runs, terms
-from .tables import keep, shared_dir
+from .tables import keep, shared_dir, spread
 
 # ---------------------------------------------------------------- replies
 # A conversation is a batch and its turns the segments; its number decides what is wrong
@@ -343,9 +343,9 @@ def run_tables(spark, sf_dir) -> tuple[DataFrame, ...]:
     )
     n = records.groupBy("run").agg(F.count("*").alias("n"))
     changed = lambda m, c: F.when(k % m == 0, "changed").otherwise(F.col(c)).alias(c)
-    saved = expected.filter(k % 11 != 0).join(n, "run", "left").select("run", changed(13, "input_signature"), changed(10, "output_lang"), F.when(k % 9 != 0, F.col("effort")).alias("effort"), changed(8, "system_prompt_hash"), (F.coalesce("n", F.lit(0)) + F.when(k % 12 == 0, 1).otherwise(0)).alias("claimed"))
+    saved = expected.filter(k % 11 != 0).join(spread(n), "run", "left").select("run", changed(13, "input_signature"), changed(10, "output_lang"), F.when(k % 9 != 0, F.col("effort")).alias("effort"), changed(8, "system_prompt_hash"), (F.coalesce("n", F.lit(0)) + F.when(k % 12 == 0, 1).otherwise(0)).alias("claimed"))
     lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 53 <> 0").select(F.col("l_orderkey").alias("segment_id")).distinct()
-    segments = lines.join(records.select("run", "segment_id"), "segment_id")
+    segments = lines.join(spread(records.select("run", "segment_id")), "segment_id")
     return expected, saved, records, segments
 
 
@@ -363,8 +363,8 @@ def verify_runs(spark, sf_dir):
 @query(RUN_SQL + "SELECT rs.run, late AS refused, count(r.run) AS released FROM rs LEFT JOIN r ON r.run = rs.run AND late IS NULL AND may_reuse GROUP BY rs.run, late")
 def restore_runs(spark, sf_dir):
     expected, saved, records, _ = run_tables(spark, sf_dir)
-    told, released = resumption.restore(verified_runs(spark, sf_dir), saved, expected, records, RUN_FIELDS)
-    return told.join(released.groupBy("run").agg(F.count("*").alias("released")), "run", "left").na.fill(0, ["released"])
+    told, released = resumption.restore(keep(verified_runs(spark, sf_dir)), saved, expected, records, RUN_FIELDS)
+    return told.join(spread(released.groupBy("run").agg(F.count("*").alias("released"))), "run", "left").na.fill(0, ["released"])
 
 
 @query("""WITH o AS (SELECT c_custkey AS run, CASE WHEN c_custkey % 17 = 0 THEN 2 ELSE 1 END AS layout, CASE c_custkey % 3 WHEN 0 THEN 'gemini-2.5-flash' WHEN 1 THEN 'gemini-2.5-pro' ELSE 'else' END AS model, CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE 'fr' END AS lang, c_custkey % 2 = 0 AS force, c_custkey % 7 <> 0 AS same, CASE WHEN c_custkey % 4 = 0 THEN 'epub-leaf-block-v3' ELSE 'v2' END AS seg FROM customer),
@@ -377,14 +377,14 @@ def upgraded_runs(spark, sf_dir):
     k = F.col("run")
     texts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderkey") % 101 != 0, F.col("o_orderpriority")).alias("translated"))
     n = texts.groupBy("run").agg(F.count("*").alias("n"))
-    old = rows.join(n, "run", "left").select(
+    old = rows.join(spread(n), "run", "left").select(
         "run", F.when(k % 17 == 0, 2).otherwise(1).alias("schema_version"), F.lit("s").alias("input_signature"), F.lit("epub").alias("input_format"), F.when(k % 4 == 0, "epub-leaf-block-v3").otherwise("v2").alias("segmenter_signature"), F.when(k % 19 != 0, "fr").alias("output_lang"),
         F.lit("h").alias("system_prompt_hash"), F.lit(100).alias("max_batch_chars"), F.lit(6).alias("separator_overhead"), F.when(k % 3 == 0, "gemini-2.5-flash").when(k % 3 == 1, "gemini-2.5-pro").otherwise("else").alias("model"), F.lit("cli").alias("provider"), (F.coalesce("n", F.lit(0)) + F.when(k % 23 == 0, 1).otherwise(0)).alias("claimed"),
     )
     now = rows.select("run", F.lit("sha").alias("input_signature"), F.when(k % 7 == 0, "t").otherwise("s").alias("legacy_signature"), F.lit("now").alias("profile"), (k % 2 == 0).alias("force"))
     identities, records = resumption.upgrade(old, texts, now)
     count = records.groupBy("run").agg(F.count("*").alias("records"))
-    return identities.join(count, "run", "left").na.fill(0, ["records"]).select("run", "refused", "profile", "protocol", "records")
+    return identities.join(spread(count), "run", "left").na.fill(0, ["records"]).select("run", "refused", "profile", "protocol", "records")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT digest FROM ({CALLS_SQL}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND digest IS NOT NULL)

@@ -39,6 +39,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is dealt out by key and never sent whole to every task.
+    The size that Spark plans by is that of packed columns on disk: a table of a few MB
+    there can be millions of rows."""
+    return df.hint("merge")
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

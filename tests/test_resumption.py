@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quire import catalog, reply_catalog  # noqa: F401 (the second adds its queries to the first)
 from quire.operators import resumption as R
 
 FIELDS = ["input_signature", "output_lang", "system_prompt_hash"]
@@ -76,3 +77,9 @@ def test_upgrade(spark):
         assert identities.first().refused == why and records.count() == 0
     row = R.upgrade(old(model="x", segmenter_signature="v1", provider="web"), texts, now())
     assert (row[0].first().profile, row[0].first().protocol, row[1].first().backend) == ("flash", "legacy_unknown", "legacy_unknown")
+
+
+@pytest.mark.parametrize("name", ["verify_runs", "restore_runs", "upgraded_runs"])
+def test_runs_are_dealt_out_and_never_sent_whole(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan

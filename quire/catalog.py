@@ -590,7 +590,7 @@ def parse_votes(spark, sf_dir):
     enforce = F.when(F.col("l_quantity") >= 50, "strict").when(n % 2 == 1, "fixed").otherwise("preferred")
     same = F.when((F.col("l_linestatus") == "F") & (n > 1), text(n - 1)).otherwise("null")
     vote = F.concat(F.lit('{"id": '), text(n), F.lit(', "keep": '), keep, F.lit(', "translation": " '), F.col("l_returnflag"), text(F.col("l_suppkey")), F.lit('", "enforce": "'), enforce, F.lit('", "duplicate_of": '), same, F.lit("}"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), vote.alias("v")))).alias("x"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(n.alias("n"), vote.alias("v")))).alias("x"))
     whole = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["v"]), ", "), F.when(F.col("id") % 41 == 0, F.lit("")).otherwise("]"))
     reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
     ids = F.transform(F.filter("x", lambda x: x["n"] % 4 != 0), lambda x: x["n"].cast("bigint"))

@@ -121,7 +121,8 @@ def stems(term: Column) -> Column:
 
 def strip_fence(reply: Column) -> Column:
     """A model reply without the Markdown fence around its JSON."""
-    return F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    inner = F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.when(F.contains(reply, F.lit("```")), inner).otherwise(F.trim(reply))
 
 
 def language_name(code: Column) -> Column:

@@ -484,3 +484,20 @@ def test_texts_reach_python_in_batches_of_bounded_bytes(spark, name):
         assert int(spark.conf.get(key)) <= 1 << 23
     finally:
         spark.conf.set(key, before)
+
+
+def test_merged_terms_are_dealt_out_and_never_sent_whole(spark):
+    plan = catalog.QUERIES["panel_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [id#" not in plan
+
+
+def test_votes_are_taken_apart_in_one_pass(spark):
+    """A field is looked up once; of its kinds, only that of the field itself is worked out."""
+    df = spark.createDataFrame([("[]", [1])], "reply string, ids array<long>")
+    plan = panel.parse_votes(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("variant_get(") <= 6
+
+
+@pytest.mark.parametrize(("reply", "error"), [("null", "not an array"), ("[null]", "item is not an object"), ("[{}]", "item has no integer id"), ('[{"id": 1.5}]', "item has no integer id"), ('[{"id": 1, "keep": true, "translation": "t", "enforce": "fixed", "duplicate_of": "2"}]', "vote is not valid"), ('[{"id": 1, "keep": true, "translation": 5, "enforce": "fixed"}]', "vote is not valid")])
+def test_votes_of_odd_shapes(spark, reply, error):
+    assert panel.parse_votes(spark.createDataFrame([(reply, [1])], "reply string, ids array<long>")).first().error == error

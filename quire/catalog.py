@@ -21,6 +21,7 @@ from .operators import integrity, panel, probe, state, terms
 from .plans import batching, blocks
 from .sources import epub, trees
 from .streaming import resume
+from .tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -576,7 +577,7 @@ SELECT id, target FROM r WHERE target NOT IN (SELECT id FROM d)""")
 def duplicate_chains(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     direct = orders.filter("o_custkey % 4 <> 0").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey - 1 - o_custkey % 3").alias("target"))
-    return panel.resolve_chains(direct.join(orders.select(F.col("o_orderkey").alias("target")), "target", "left_semi").select("id", "target"))
+    return panel.resolve_chains(direct.join(spread(orders.select(F.col("o_orderkey").alias("target"))), "target", "left_semi").select("id", "target"))
 
 
 @query("""WITH v AS (SELECT l_orderkey AS id, l_linenumber AS n, l_returnflag <> 'R' AS keep, l_linenumber % 4 <> 0 AND (l_quantity >= 50 OR l_suppkey % 25 = 0) AS bad FROM lineitem),
